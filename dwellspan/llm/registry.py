@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op2_source_mix
+from .packing import op6_harmonic_pack
+from .sstable import op8_token_shards
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op6_harmonic_pack, op8_token_shards, op9_exact_dedup)}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}

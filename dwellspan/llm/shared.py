@@ -116,3 +116,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(n)[:-1]
     out[at] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
+
+
+def text_slices(batches, column: str, limit: int = 2 << 20):
+    """Arrow batches cut into slices of about ``limit`` text bytes (single longer texts stay whole)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
