@@ -4,8 +4,8 @@ A source's documents all get the expectation ``target / source_size``. Its whole
 copies; its fraction is an inclusion probability that the cube method turns into 0 or 1. The flight
 moves three undecided documents at a time along the null space of the two balancing constraints
 (number of documents, number of words), so both totals hold exactly until at most two documents
-are undecided. Blocks of a source fly independently, their few undecided documents fly together
-once more, and the last two at most are landed on the pair that is nearest in words.
+are undecided. Blocks of a source fly independently; the two at most that each leaves undecided form
+new blocks, until a source has one. Its last two are landed on the pair that is nearest in words.
 
 Edge cases: a null or blank text has size 0; its source is still mixed. A null source is a source
 of its own, last in order. Repeated rows are documents of their own. A source without words has
@@ -28,7 +28,7 @@ from .shared import written
 
 MOST_COPIES = 3
 WEIGHT_CYCLE = (1, 2, 3)
-BLOCK_ROWS = 20_000  # documents of a source that fly in one task
+BLOCK_ROWS = 1024  # undecided documents of a source that fly in one group
 BROADCAST_SOURCES = 10_000  # the table of sources is broadcast up to this many rows, else shuffled
 
 EPS = 1e-9
@@ -118,13 +118,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("expected", F.least(expected, F.lit(float(MOST_COPIES))))
     rows = rows.withColumn("sure", F.floor(F.col("expected") + EPS).cast("long")).withColumn("chance", F.greatest(F.lit(0.0), F.col("expected") - F.col("sure")))
-    block = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK_ROWS)))
-    rows = rows.select("doc_id", "size", "source", "source_size", "target", "sure", "chance", block.alias("block"))
-    flown = written(rows.groupBy("source", "block").applyInPandas(_flown(False), rows.schema), "mix-flown")
+    rows = rows.select("doc_id", "size", "source", "source_size", "target", "sure", "chance", F.col("n_docs").alias("block"))
     undecided = (F.col("chance") > 0) & (F.col("chance") < 1)
-    landed = flown.where(undecided).withColumn("block", F.lit(-1).cast("long")).groupBy("source").applyInPandas(_flown(True), rows.schema)
+    settled, open_, most = rows.where(~undecided), rows.where(undecided), None
+    while most is None or most > BLOCK_ROWS:
+        blocks = F.ceil(F.col("block") / BLOCK_ROWS)
+        grouped = open_.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc_id", "size", F.lit(most)), blocks)).otherwise(0))
+        flown = written(grouped.groupBy("source", "block").applyInPandas(_flown(False), rows.schema), "mix-flown")
+        settled = settled.unionByName(flown.where(~undecided))
+        counts = written(flown.where(undecided).groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n_open")), "mix-open")
+        most = counts.agg(F.max("n_open")).first()[0] or 0
+        open_ = flown.where(undecided).join(counts, F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.col("n_open")).select(rows.columns)
+    landed = open_.groupBy("source").applyInPandas(_flown(True), rows.schema)
     copies = (F.col("sure") + F.col("chance").cast("long")).alias("copies")
-    return flown.where(~undecided).unionByName(landed).select("doc_id", "size", "source", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return settled.unionByName(landed).select("doc_id", "size", "source", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
