@@ -14,6 +14,7 @@ type. Repeated rows are independent. An empty table gives an empty result. Other
 from __future__ import annotations
 
 import functools
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_slices
+
 BLOCK = 576
 SAMPLE_RATE = 8000
 DECLARED = "application/octet-stream"
+SLICE = 1 << 20  # bytes that are worked on at a time
 
 #: The formats' published signatures.
 SIGNATURES = {
@@ -203,45 +207,76 @@ def as_wav(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", len(payload)) + payload
 
 
+def _encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [t or b"" for t in batch.column(1).to_pylist()]
+    media = pa.array([as_wav(payload_of(t)) for t in texts], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([DECLARED] * len(texts), pa.string()), media], ["doc_id", "n_bytes", "declared_type", "media"])
+
+
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, declared_type, media: each whole text's payload as 8-bit samples of a WAVE file."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            media = pa.array([as_wav(payload_of(t)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([DECLARED] * len(texts)), media], ["doc_id", "n_bytes", "declared_type", "media"])
+        for part in text_slices(batches, "text", SLICE):
+            yield _encoded(part)
+
+    return _bytes(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_bytes long, declared_type string, media binary")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_bytes long, declared_type string, media binary")
+
+def _bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
 CARVED = "array<struct<type: string, start: long, end: long>>"
 
 
+def examined(blob: bytes | None, declared: str | None) -> tuple:
+    """The corrected type, whether it differs from the declared one, the body that the type's validator
+    confirmed, what is embedded in that body (or, without a confirmed type, anywhere), and its features."""
+    if blob is None:
+        return None, False, None, [], None
+    found = sniff(blob)
+    own = found[0] if found and found[0].start == 0 else None
+    body, carved = blob, found
+    if own:
+        body = blob[own.body : own.body_end]
+        carved = [f._replace(start=f.start + own.body, end=f.end + own.body) for f in sniff(body)] + found[1:]
+    kind = own.kind if own else declared
+    return kind, kind != declared, body, [{"type": f.kind, "start": f.start, "end": f.end} for f in carved], features(body)
+
+
 def sniffed(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """For each blob: the corrected type, the body that its validator confirmed, what is embedded in
-    that body (or, without a confirmed type, anywhere), and features of the body's bytes."""
+    """``keep`` and, for each blob, type, corrected, body, carved, features as ``examined`` finds them."""
     schema = ", ".join(f"{k} {t}" for k, t in media.select(*keep).dtypes)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for blob, declared in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
-                if blob is None:
-                    out.append((None, False, None, [], None))
-                    continue
-                found = sniff(blob)
-                own = found[0] if found and found[0].start == 0 else None
-                body, carved = (blob[own.body : own.body_end], [f._replace(start=f.start + own.body, end=f.end + own.body) for f in sniff(blob[own.body : own.body_end])] + found[1:]) if own else (blob, found)
-                kind = own.kind if own else declared
-                out.append((kind, kind != declared, body, [{"type": f.kind, "start": f.start, "end": f.end} for f in carved], features(body)))
+        for part in text_slices(batches, media_col, SLICE):
+            out = list(map(examined, part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()))
             columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.bool_(), pa.binary(), _CARVED, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, "type", "corrected", "body", "carved", "features"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], [*keep, "type", "corrected", "body", "carved", "features"])
 
     return media.select(*keep, media_col, declared_col).mapInArrow(look, f"{schema}, type string, corrected boolean, body binary, carved {CARVED}, features string")
 
 
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``stored`` and ``sniffed`` in one pass, slice by slice, with digests in place of the bytes."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", SLICE):
+            rows = []
+            for doc_id, n_bytes, declared, blob in zip(*(c.to_pylist() for c in _encoded(part).columns)):
+                kind, _, body, carved, found = examined(blob, declared)
+                line = ",".join(f"{c['type']}:{c['start']}:{c['end']}" for c in carved)
+                rows.append((doc_id, n_bytes, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{found};carved={line}"))
+            types = [pa.string() if c.endswith("string") else pa.int64() for c in DIGESTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [c.split()[0] for c in DIGESTS.split(", ")])
+
+    return _bytes(docs, id_col, text_col).mapInArrow(both, DIGESTS)
+
+
 _CARVED = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -256,17 +291,4 @@ def features(samples: bytes) -> str:
 
 def op1_media_sniff(spark, sf_dir: str) -> DataFrame:
     """Stores each text's payload as a WAVE file declared as plain bytes, and reads back what sniffing confirms."""
-    media = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    media = media.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    back = sniffed(media, ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    carved = F.concat_ws(",", F.transform("carved", lambda c: F.concat_ws(":", c["type"], c["start"], c["end"])))
-    return back.select(
-        "doc_id",
-        "n_bytes",
-        F.length("body").cast("long").alias("payload_bytes"),
-        F.sha2("body", 256).alias("payload_sha256"),
-        F.crc32(F.substring("body", -32, 32)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        F.concat_ws(";", "type", "features", F.concat(F.lit("carved="), carved)).alias("feature"),
-    )
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
