@@ -10,7 +10,8 @@ from .packing import op6_harmonic_pack
 from .pii import op7_pii_field
 from .secrets import op3_secret_scan
 from .sstable import op8_token_shards
+from .substring_dedup import op4_suffix_dedup
 from .toxicity import op5_toxicity_cnn
 
-QUERIES = {f.__name__: f for f in (op1_media_sniff, op2_source_mix, op3_secret_scan, op5_toxicity_cnn, op6_harmonic_pack, op7_pii_field, op8_token_shards, op9_exact_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_sniff, op2_source_mix, op3_secret_scan, op4_suffix_dedup, op5_toxicity_cnn, op6_harmonic_pack, op7_pii_field, op8_token_shards, op9_exact_dedup, op10_near_dedup)}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
