@@ -103,7 +103,9 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: i
         model.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return model
     model.bias = float(np.log(share / (1 - share)))
-    whole, prefix, bounds = word_buckets(pa.array(texts, pa.string()))
+    parts = [word_buckets(part.column(0)) for part in text_slices([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})], "text", 1 << 20)]
+    whole, prefix = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     moments: dict = {}
     step = 0
 
