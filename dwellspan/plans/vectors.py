@@ -21,9 +21,14 @@ def queries_and_references(spark, sf_dir):
     return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref"))
 
 
+def dimensions(spark, sf_dir) -> int | None:
+    first = table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()
+    return first[0] if first else None
+
+
 def similarities(spark, sf_dir):
     q, r = queries_and_references(spark, sf_dir)
-    return q.join(r).select("vec_id", "label", "ref_id", "person", F.round(vx.dot("embedding", "ref"), 6).alias("sim"))
+    return q.join(r).select("vec_id", "label", "ref_id", "person", F.round(vx.dot("embedding", "ref", dimensions(spark, sf_dir)), 6).alias("sim"))
 
 
 @query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}), 5) AS norm, round(embedding[1]::DOUBLE / sqrt({DOT.format('embedding', 'embedding')}), 5) AS first FROM embeddings")
@@ -55,7 +60,7 @@ def v8_set_similarity(spark, sf_dir):
     """The highest similarity between the vectors of two persons (of the first sessions)."""
     e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
     x, y = e.select(F.col("label").alias("a"), F.col("embedding").alias("va")), e.select(F.col("label").alias("b"), F.col("embedding").alias("vb"))
-    return x.join(y, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.max(vx.dot("va", "vb")), 6).alias("sim"))
+    return x.join(y, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.max(vx.dot("va", "vb", dimensions(spark, sf_dir))), 6).alias("sim"))
 
 
 @query(
@@ -110,7 +115,7 @@ def a28_outliers(spark, sf_dir):
     in the plan's hot path; the pairs here are within one person's bounded template set."""
     e = table(spark, sf_dir, "embeddings")
     b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("vb"))
-    per = e.join(b, "label").where("vec_id <> other").groupBy("label", "vec_id").agg(F.avg(F.round(vx.dot("embedding", "vb"), 6)).alias("mean"))
+    per = e.join(b, "label").where("vec_id <> other").groupBy("label", "vec_id").agg(F.avg(F.round(vx.dot("embedding", "vb", dimensions(spark, sf_dir)), 6)).alias("mean"))
     mid = per.groupBy("label").agg(F.median("mean").alias("mid"))
     return per.join(mid, "label").select("vec_id", F.round("mean", 4).alias("mean"), (F.round("mean", 4) < F.round(F.col("mid") - 0.15, 4)).alias("outlier"))
 
