@@ -47,7 +47,7 @@ def b3_complement(spark, sf_dir):
 
 @query(
     f"""WITH {PRESENCE}, d AS (SELECT person_id, start_us // 86400000000 AS day, min(start_us) AS start_us, max(end_us) AS end_us FROM iv GROUP BY ALL),
-hit AS (SELECT d.*, greatest(iv.start_us, d.start_us) AS cs, least(iv.end_us, d.end_us) AS ce FROM d JOIN iv ON iv.person_id = d.person_id AND iv.start_us < d.end_us AND iv.end_us > d.start_us),
+hit AS (SELECT d.*, greatest(iv.start_us, d.start_us) AS cs, least(iv.end_us, d.end_us) AS ce FROM d JOIN iv ON iv.person_id = d.person_id AND iv.start_us < d.end_us AND iv.end_us > d.start_us AND iv.end_us > iv.start_us),
 isl AS (SELECT *, max(ce) OVER (PARTITION BY person_id, day ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM hit),
 gap AS (SELECT person_id, day, sum(CASE WHEN cs > coalesce(r, start_us) THEN cs - coalesce(r, start_us) ELSE 0 END) AS gap_us, count(CASE WHEN cs > coalesce(r, start_us) THEN 1 END) AS gaps FROM isl GROUP BY ALL)
 SELECT person_id, CAST(sum(gap_us) AS BIGINT) AS gap_us, CAST(sum(gaps) AS BIGINT) AS gaps, CAST(sum(d.end_us - d.start_us) AS BIGINT) AS presence_us,

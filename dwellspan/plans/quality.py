@@ -119,12 +119,12 @@ def a39_employee_kpis(spark, sf_dir):
     return table(spark, sf_dir, "customer").agg(F.count_if(F.col("c_acctbal") > 0).alias("active"), F.count_distinct("c_mktsegment").alias("divisions"), names.alias("names"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) FILTER (event_id >= 100) AS last_label, round(avg(value) FILTER (event_id >= 100), 6) AS mean, count(DISTINCT event_type) AS sources, count(*) FILTER (event_id >= 100) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, event_id) FILTER (event_id >= 100) AS last_label, CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_id >= 100) AS BIGINT) AS hundredths, count(DISTINCT event_type) AS sources, count(*) FILTER (event_id >= 100) AS n FROM events GROUP BY user_id")
 def a40_trial_summary(spark, sf_dir):
-    """Steady state after the warm-up: last label of each track, mean, sources seen."""
+    """Steady state after the warm-up: last label of each track, sum of values in hundredths, sources seen."""
     steady = F.col("event_id") >= 100
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max_by("event_type", F.when(steady, F.col("event_id"))).alias("last_label"), F.round(F.avg(F.when(steady, F.col("value"))), 6).alias("mean"), F.count_distinct("event_type").alias("sources"), F.count_if(steady).alias("n")
+        F.max_by("event_type", F.when(steady, F.col("event_id"))).alias("last_label"), F.sum(F.when(steady, F.round(F.col("value") * 100).cast("long"))).alias("hundredths"), F.count_distinct("event_type").alias("sources"), F.count_if(steady).alias("n")
     )
 
 
