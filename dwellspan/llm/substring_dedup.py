@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ LENGTH = 50
 ANCHOR = 16
 SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a window, and windows of a context at most
 HOT = 4096  # texts of an anchor from which its windows go separate ways
+HOT_KEYS = 10_000  # hot anchors that are named in the plan; more of them are marked by a join
 SHARD = 1 << 20  # bytes of a shard, unless one anchor's contexts have more
 BLOCK_BYTES = 4 << 20  # text bytes for each hash range
 SLICE = 3 << 19
@@ -126,14 +128,10 @@ def _entries(n_blocks: int):
 
 def _packed(entries: np.ndarray) -> bytes:
     """Column by column, compressed."""
-    import zstandard
-
     return zstandard.compress(b"".join(np.ascontiguousarray(entries[c]).tobytes() for c in ENTRY.names), 1)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    import zstandard
-
     raw = zstandard.decompress(blob)
     out, at = np.empty(len(raw) // ENTRY.itemsize, ENTRY), 0
     for c in ENTRY.names:
@@ -182,7 +180,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 CONTEXTS = "block long, texts binary, ends binary, docs binary, los binary, keys binary, removed boolean"
 
 
-def _contexts(n_blocks: int):
+def _contexts(n_blocks: int, hot_keys: list[int]):
     """Step 2, map side: contexts (or, of hot anchors, windows) by where they meet; a slice's equal ones
     are merged, and what their larger doc_ids lose is settled here."""
 
@@ -196,6 +194,7 @@ def _contexts(n_blocks: int):
             lo, n, key, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             lo, n = lo.astype(np.int64), n.astype(np.int64)
             row = np.repeat(np.arange(len(doc)), count)
+            hot = hot | np.isin(key, hot_keys)
             if hot.any():  # single windows
                 times = np.where(hot, n, 1)
                 pick = np.repeat(np.arange(len(lo)), times)
@@ -224,7 +223,7 @@ def _contexts(n_blocks: int):
             out = [[], [], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 a, z = cuts[b], cuts[b + 1]
-                text = data[ranges(start[a:z], n[a:z] + LENGTH - 1)].tobytes()
+                text = zstandard.compress(data[ranges(start[a:z], n[a:z] + LENGTH - 1)], 1)
                 for column, x in zip(out, (b, text, n[a:z], doc[row[a:z]], lo[a:z], key[a:z], False)):
                     column.append(x)
             yield _rows(*out)
@@ -246,7 +245,7 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
     n, lo = n.astype(np.int64), lo.astype(np.int64)
     if group["removed"].iloc[0]:
         return _spans(doc, lo, n)
-    data = np.frombuffer(b"".join(group["texts"]), np.uint8)
+    data = np.frombuffer(b"".join(map(zstandard.decompress, group["texts"])), np.uint8)
     size = n + LENGTH - 1
     start = np.cumsum(size) - size
     content, other = SpanHasher(data)(start, start + size), SpanHasher(data, 9)(start, start + size)
@@ -353,19 +352,32 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = written(known.join(classes, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
     blobs = usable.mapInArrow(_entries(n_blocks), "block long, asks boolean, blob binary")
-    shared = written(blobs.groupBy("block").applyInPandas(_shared, SHARED), "shared")
-    hot = shared.where("n = 0").select("key").distinct().withColumn("is_hot", F.lit(True))
-    spots = shared.where("n > 0").join(copies.select("doc_id").distinct(), "doc_id", "left_anti").join(hot, "key", "left")
-    spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), "n", "key", (F.col("hot") | F.coalesce("is_hot", F.lit(False))).alias("hot"))).alias("spots"))
-    with_spots = texts.join(spots, "doc_id").select("doc_id", "text", "spots")
-    contexts = with_spots.mapInArrow(_contexts(n_blocks), CONTEXTS)
+    shared = blobs.groupBy("block").applyInPandas(_shared, SHARED)
+    # One row per document, and the hot keys in rows of their own: all of one shuffle.
+    key_row = F.col("n") == 0
+    shared = shared.withColumn("is_key", key_row).withColumn("doc_id", F.when(key_row, F.pmod("key", F.lit(1024))).otherwise(F.col("doc_id")))
+    shared = shared.join(copies.select("doc_id", F.lit(False).alias("is_key")).distinct(), ["doc_id", "is_key"], "left_anti")
+    spot = F.struct(F.col("lo").cast("int").alias("lo"), "n", "key", "hot")
+    grouped = written(shared.groupBy("doc_id", "is_key").agg(F.collect_list(spot).alias("spots")), "spots")
+    hot = [r.key for r in grouped.where("is_key").select(F.explode("spots").alias("s")).select("s.key").distinct().limit(HOT_KEYS + 1).collect()]
+    spots = grouped.where("NOT is_key").select("doc_id", "spots")
+    if len(hot) > HOT_KEYS:  # too many to name in the plan: mark them by a join
+        keys = grouped.where("is_key").select(F.explode("spots").alias("s")).select(F.col("s.key").alias("hot_key")).distinct()
+        each = spots.select("doc_id", F.explode("spots").alias("s")).join(keys, F.col("s.key") == F.col("hot_key"), "left")
+        marked = F.struct("s.lo", "s.n", "s.key", (F.col("s.hot") | F.col("hot_key").isNotNull()).alias("hot"))
+        spots, hot = each.groupBy("doc_id").agg(F.collect_list(marked).alias("spots")), []
+    named = texts.where("doc_id IS NOT NULL")
+    with_spots = named.join(spots, "doc_id").select("doc_id", "text", "spots")
+    contexts = with_spots.mapInArrow(_contexts(n_blocks, hot), CONTEXTS)
     place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_blocks)) + n_blocks).otherwise(F.col("block"))
     gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(_settled, REMOVED)
     gone = gone.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    digest = F.unhex(F.sha2("text", 256))
-    whole = texts.join(gone, "doc_id", "left").join(copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied")), "doc_id", "left")
-    copy = F.coalesce(F.when(F.col("copied").isNotNull(), F.array_contains("copied", digest)), F.lit(False))
-    return whole.select("doc_id", "text", copy.alias("copy"), "spans").mapInArrow(_cut, RESULT)
+    copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    copy = F.coalesce(F.array_contains("copied", F.unhex(F.sha2("text", 256))), F.lit(False)).alias("copy")
+    whole = named.join(gone, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", copy, "spans")
+    out = whole.mapInArrow(_cut, RESULT)
+    nameless = texts.where("doc_id IS NULL").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(whole.schema["spans"].dataType).alias("spans"))
+    return out.unionByName(nameless.mapInArrow(_cut, RESULT))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

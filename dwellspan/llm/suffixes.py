@@ -15,21 +15,41 @@ from .shared import mixed
 _MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 
 
+BASE = 1 << 18  # names up to which the recursion ends in rank doubling
+
+
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """The recursion's base: suffixes of names by doubling the length that ranks tell apart."""
+    rank, width, n = names.astype(np.int64), 1, len(names)
+    while True:
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - width)] = rank[width:] + 1
+        key = rank * (n + 1) + second
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([0], np.cumsum(key[order[1:]] != key[order[:-1]])))
+        if new[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        width *= 2
+
+
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the end counts as smaller than all."""
     n = len(s)
-    rise = np.zeros(n, np.int8)
-    rise[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
-    rise[-1] = -1
-    at = np.where(rise != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return rise[at] > 0
+    differs = np.empty(n, bool)
+    np.not_equal(s[:-1], s[1:], out=differs[:-1])
+    differs[-1] = True
+    rise = np.zeros(n, bool)
+    np.less(s[:-1], s[1:], out=rise[:-1])
+    at = np.flatnonzero(differs)
+    return np.repeat(rise[at], np.diff(at, prepend=-1))
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones in order."""
     n = len(s)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     counts = np.bincount(s, minlength=sigma)
     heads = np.cumsum(counts) - counts
     tails = heads + counts
@@ -37,61 +57,60 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) ->
     lms_counts = np.bincount(s[lms], minlength=sigma)
     lms_ends = np.cumsum(lms_counts)
     next_ = heads.copy()
-    present = np.flatnonzero(counts)
-
-    def place(rows: np.ndarray, symbols: np.ndarray, step: int) -> None:
-        order = np.argsort(symbols, kind="stable")
-        rows, symbols = rows[order], symbols[order]
+    # Each suffix's left neighbour, if that is to be induced in the pass; else -1.
+    left = np.arange(-1, n - 1, dtype=np.int32)
+    left_larger = np.where(np.concatenate(([True], smaller[:-1])), np.int32(-1), left)
+    left_smaller = np.where(np.concatenate(([False], smaller[:-1])), left, np.int32(-1))
+
+    def place(rows: np.ndarray, step: int) -> None:
+        symbols = s[rows]
+        order = np.argsort(symbols, kind="stable")  # radix sort: symbols have 16 bits
+        symbols = symbols[order]
         first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+        held = symbols[first]
         size = np.diff(np.append(first, len(symbols)))
-        rank = np.arange(len(symbols)) - np.repeat(first, size)
-        out[next_[symbols] + step * rank] = rows
-        next_[symbols[first]] += step * size
+        out[np.repeat(next_[held] - step * first, size) + step * np.arange(len(symbols))] = rows[order]
+        next_[held] += step * size
 
-    place(np.array([n - 1]), s[n - 1 :], 1)
-    for c in present.tolist():
+    place(np.array([n - 1], np.int32), 1)
+    for c in np.flatnonzero(counts).tolist():
         done = heads[c]
         while done < next_[c]:
-            before = out[done : next_[c]] - 1
+            before = left_larger[out[done : next_[c]]]
             done = next_[c]
             before = before[before >= 0]
-            before = before[~smaller[before]]
             if len(before):
-                place(before, s[before], 1)
-        group = lms[lms_ends[c] - lms_counts[c] : lms_ends[c]]
-        if len(group):
-            before = group - 1
-            place(before, s[before], 1)
+                place(before, 1)
+        if lms_counts[c]:
+            place(lms[lms_ends[c] - lms_counts[c] : lms_ends[c]] - np.int32(1), 1)
     next_ = tails - 1
-    for c in present[::-1].tolist():
-        done, floor = tails[c] - 1, heads[c] + larger[c]
+    for c in np.flatnonzero(counts)[::-1].tolist():
+        done = tails[c] - 1
         while done > next_[c]:
-            before = out[next_[c] + 1 : done + 1][::-1] - 1
+            before = left_smaller[out[next_[c] + 1 : done + 1][::-1]]
             done = next_[c]
             before = before[before >= 0]
-            before = before[smaller[before]]
             if len(before):
-                place(before, s[before], -1)
+                place(before, -1)
         if larger[c]:
-            before = out[heads[c] : floor][::-1] - 1
+            before = left_smaller[out[heads[c] : heads[c] + larger[c]][::-1]]
             before = before[before >= 0]
-            before = before[smaller[before] & (s[before] < c)]
             if len(before):
-                place(before, s[before], -1)
+                place(before, -1)
     return out
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """The starts of all suffixes of ``s`` (symbols below ``sigma``) in order."""
+    """The starts of all suffixes of ``s`` (symbols below ``sigma``, at most 2^16) in order."""
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = s.astype(np.int64)
+    s = s.astype(np.uint16)
     smaller = _types(s)
     is_lms = smaller.copy()
     is_lms[0] = False
     is_lms[1:] &= ~smaller[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) > 1:
         by_symbol = lms[np.argsort(s[lms], kind="stable")]
         rough = _induce(s, smaller, by_symbol, sigma)
@@ -102,7 +121,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         powers = np.full(n, _MULTIPLIER, np.uint64)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=np.uint64)
-        np.cumsum(mixed((s * 2 + smaller + 1).astype(np.uint64)) * powers, dtype=np.uint64, out=sums[1:])
+        np.cumsum(mixed(s.astype(np.uint64) * np.uint64(2) + smaller.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64, out=sums[1:])
         down = np.full(n, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)), np.uint64)
         down[0] = 1
         down = np.cumprod(down, dtype=np.uint64)
@@ -117,6 +136,8 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         distinct = int(names.max()) + 1
         if distinct == len(lms):
             lms = rough
+        elif len(names) <= BASE:
+            lms = lms[_doubled(names)]
         elif distinct <= 1024:
             lms = lms[suffix_array(names, distinct)]
         else:  # two digits a name keep the alphabet small
