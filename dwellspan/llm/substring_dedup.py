@@ -310,7 +310,7 @@ def _spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     doc, lo, n = doc[order], lo[order], n[order]
     head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
     lists = [[{"lo": a, "n": b} for a, b in zip(x, y)] for x, y in zip(*(map(np.ndarray.tolist, np.split(v, head[1:])) for v in (lo, n)))] if len(doc) else []
-    return pd.DataFrame({"doc_id": doc[head], "spans": lists})
+    return pd.DataFrame({"doc_id": doc[head], "spans": pd.Series(lists, dtype=object)})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
