@@ -11,8 +11,9 @@ compared with their smallest id and within sub-blocks, and what is then still ap
 component is compared with the whole node.
 
 Inside a small node all pairs are compared on sketches. First only a maximum spanning forest of the likely pairs is put
-forward and confirmed on full sets; then the likely pairs that are still in different components.
-So no group's pairs are all written out, and no link between components is lost.
+forward and confirmed on full sets. Then the documents with likely partners in other components bring
+their full sets to the node, where those pairs are compared; only links that join components leave it.
+So no group's pairs are written out, and no link between components is lost.
 
 Edge cases: a null or blank text has an empty set, size 0, and is a component of its own. Texts with
 fewer words than a shingle are one shingle. Equal ids are one document; a null id follows its
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,12 +113,8 @@ def _agreeing(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (sketches == one).sum(1)
 
 
-def _forest(group: pd.DataFrame) -> pd.DataFrame:
+def _forest(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
     """A maximum spanning forest of the likely pairs of a node (Prim's way)."""
-    ids = group["doc_id"].to_numpy()
-    sketches = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(ids), SKETCH)
-    order = np.argsort(ids)
-    ids, sketches = ids[order], sketches[order]
     outside = np.ones(len(ids), bool)
     best, source = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
     edges = []
@@ -130,66 +126,153 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
         same = _agreeing(sketches, sketches[at])
         nearer = outside & (same > best)
         best[nearer], source[nearer] = same[nearer], at
-    return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+    return edges
 
 
-def _apart(group: pd.DataFrame) -> pd.DataFrame:
-    """The likely pairs of a node that lie in different components."""
-    group = group.sort_values("doc_id")
-    ids, label = group["doc_id"].to_numpy(), group["label"].to_numpy()
-    if (label == label[0]).all():
-        return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
-    sketches = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(ids), SKETCH)
+def _apart(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """The documents of a node that have a likely partner in another component."""
+    out = np.zeros(len(ids), bool)
+    for i in range(len(ids) - 1):
+        likely = np.flatnonzero((labels[i + 1 :] != labels[i]) & (_agreeing(sketches[i + 1 :], sketches[i]) >= LIKELY * SKETCH)) + i + 1
+        out[likely] = True
+        out[i] |= bool(len(likely))
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _joining(ids, labels, sketches, sets: list, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join a node's components: all likely pairs that are still apart are compared on full sets."""
+    root = {x: x for x in labels.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     edges = []
     for i in range(len(ids) - 1):
-        likely = np.flatnonzero((label[i + 1 :] != label[i]) & (_agreeing(sketches[i + 1 :], sketches[i]) >= LIKELY * SKETCH)) + i + 1
-        edges += [(ids[i], ids[j]) for j in likely]
-    return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+        for j in (np.flatnonzero(_agreeing(sketches[i + 1 :], sketches[i]) >= LIKELY * SKETCH) + i + 1).tolist():
+            a, b = find(labels[i]), find(labels[j])
+            if a != b and _similar(sets[i], sets[j], percent):
+                root[a] = b
+                edges.append((ids[i], ids[j]))
+    return edges
+
+
+def _groups(table: pa.Table) -> tuple:
+    node, block, ids, labels = (table.column(k).to_numpy() for k in range(4))
+    edge = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+    return ids, labels, np.frombuffer(b"".join(table.column(4).to_pylist()), "<u2").reshape(len(ids), SKETCH), np.concatenate(([0], edge)), np.concatenate((edge, [len(ids)]))
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["u", "v"])
+
+
+def _likely_pairs(table: pa.Table) -> pa.RecordBatch:
+    ids, labels, sketches, starts, ends = _groups(table)
+    two = starts[ends - starts == 2]
+    two = two[(sketches[two] == sketches[two + 1]).sum(1) >= LIKELY * SKETCH]
+    found = [np.stack((ids[two], ids[two + 1]), 1)]
+    for i, j in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+        found.append(np.array(_forest(ids[i:j], labels[i:j], sketches[i:j]), np.int64).reshape(-1, 2))
+    return _pairs(found)
+
+
+def _rows_apart(table: pa.Table) -> pa.RecordBatch:
+    ids, labels, sketches, starts, ends = _groups(table)
+    keep = np.concatenate([_apart(ids[i:j], labels[i:j], sketches[i:j]) for i, j in zip(starts.tolist(), ends.tolist())])
+    return table.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else pa.RecordBatch.from_pylist([], table.schema)
+
+
+def _joining_pairs(percent: int):
+    def of(table: pa.Table) -> pa.RecordBatch:
+        ids, labels, sketches, starts, ends = _groups(table)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(5)]
+        return _pairs([np.array(_joining(ids[i:j], labels[i:j], sketches[i:j], sets[i:j], percent), np.int64).reshape(-1, 2) for i, j in zip(starts.tolist(), ends.tolist())])
+
+    return of
+
+
+def _by_node(members: DataFrame, of_nodes, schema: str, *more: str) -> DataFrame:
+    """``of_nodes`` over whole (node, block) groups of ``members`` (node, block, doc_id, label, sketch and
+    ``more``). A task walks through its nodes in order and holds a batch and one node at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            node, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+            last = len(node) - int(((node == node[-1]) & (block == block[-1])).sum())
+            if last:
+                yield of_nodes(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None:
+            yield of_nodes(rest)
+
+    rows = members.select("node", "block", "doc_id", "label", "sketch", *more)
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "doc_id").mapInArrow(run, schema)
+
+
+PAIR, MEMBER = "u long, v long", "node long, block long, doc_id long, label long, sketch binary"
 
 
 def nodes(reps: DataFrame) -> DataFrame:
     """node, doc_id, size, dense: the leaves of all trees with at least two documents.
 
-    Level by level the documents of nodes that are still too large go to the next token."""
-    open_ = reps.select("doc_id", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    Level by level the documents of nodes that are still too large go to the next token. Nodes of
+    several trees with the same documents count once."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("path", t * DEPTH + 1).alias("node")))
+    keyed = reps.select("doc_id", F.inline(trees))
     leaves = None
     for depth in range(DEPTH):
-        keyed = open_.select("doc_id", "path", "tree", F.element_at("path", F.col("tree") * DEPTH + depth + 1).alias("node"))
-        sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        level = written(keyed.join(sizes, "node"), f"level-{depth}")
-        last = depth == DEPTH - 1
-        done = level.where(F.lit(True) if last else F.col("size") <= LEAF).select("node", "doc_id", "size")
+        sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("size > 1")
+        small = sizes if depth == DEPTH - 1 else sizes.where(F.col("size") <= LEAF)
+        once = small.groupBy("size", "members").agg(F.min("node").alias("node"))
+        done = written(keyed.join(once, "node").select("node", "doc_id", "size"), f"leaves-{depth}")
         leaves = done if leaves is None else leaves.unionByName(done)
-        open_ = level.where(F.col("size") > LEAF).select("doc_id", "path", "tree")
-        if last or open_.isEmpty():
+        if depth == DEPTH - 1:
+            break
+        large = written(keyed.join(sizes.where(F.col("size") > LEAF).select("node"), "node", "left_semi").select("doc_id", "tree"), f"level-{depth}")
+        if large.isEmpty():
             break
+        keyed = large.join(reps.select("doc_id", "path"), "doc_id").select("doc_id", "tree", F.element_at("path", F.col("tree") * DEPTH + depth + 2).alias("node"))
     return leaves.withColumn("dense", F.col("size") > LEAF)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets are similar enough. ``docs``: doc_id, text, one row per id."""
-    involved = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, set of the documents in ``ids``. ``docs``: doc_id, text, one row per id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], ["doc_id", "set"])
 
-    full = written(docs.join(involved, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+    return written(docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose full sets are similar enough."""
+    full = full_sets(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))), docs, words)
     with_u = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u")), "u")
     with_both = with_u.join(full.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.searchsorted(a, b)
-                at[at == len(a)] = 0
-                both = int((a[at] == b).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.mapInArrow(compare, "u long, v long")
+    return with_both.mapInArrow(compare, PAIR)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -204,9 +287,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # Dense nodes: everything with the smallest id; sub-blocks stand in for the node below.
     least = leaves.where("dense").groupBy("node").agg(F.min("doc_id").alias("u"))
     stars = leaves.where("dense").join(least, "node").where("u <> doc_id").select("u", F.col("doc_id").alias("v"))
-    block = F.when(F.col("dense"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LEAF))).otherwise(0)
-    blocks = written(leaves.withColumn("block", block).join(sketches, "doc_id"), "blocks")
-    forest = blocks.groupBy("node", "block").applyInPandas(_forest, "u long, v long")
+    block = F.when(F.col("dense"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LEAF))).otherwise(0).cast("long")
+    blocks = leaves.withColumn("block", block)
+    forest = _by_node(blocks.join(sketches, "doc_id").withColumn("label", F.lit(0).cast("long")), _likely_pairs, PAIR)
     same_id = signed.where("n_shingles > 0").join(classes, ["sum", "xor", "n_shingles"])
     texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     tried = written(forest.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
@@ -214,27 +297,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     label = components(links)
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    labelled = written(blocks.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-    across = labelled.groupBy("node", "block").applyInPandas(_apart, "u long, v long")
-    lead = labelled.where("dense").groupBy("node").agg(F.min_by("label", "doc_id").alias("lead"))
-    rest = labelled.where("dense").join(lead, "node").where("label <> lead").select("node", F.col("doc_id").alias("u"), F.col("label").alias("label_u"), F.col("sketch").alias("sketch_u"))
-    met = labelled.where("dense").join(rest, "node").where("label <> label_u").select("u", F.col("doc_id").alias("v"), "sketch_u", F.col("sketch").alias("sketch_v"))
-    across = across.unionByName(met.mapInArrow(_likely, "u long, v long"))
-    more = written(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    labelled = written(blocks.where("size > 2").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    # Of a dense node, what is apart from its smallest id's component meets every sub-block.
+    dense = labelled.where("dense")
+    lead = dense.groupBy("node").agg(F.min_by("label", "doc_id").alias("lead"))
+    rest = dense.join(lead, "node").where("label <> lead").select("node", "doc_id", "label")
+    visiting = rest.join(dense.select("node", "block").distinct(), "node").select("node", "block", "doc_id", "label")
+    members = written(labelled.select("node", "block", "doc_id", "label").unionByName(visiting).distinct(), "members")
+    mixed_nodes = members.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = written(_by_node(members.join(mixed_nodes, ["node", "block"], "left_semi").join(sketches, "doc_id"), _rows_apart, MEMBER), "apart")
+    more = _by_node(apart.join(full_sets(apart.select("doc_id"), texts, words), "doc_id"), _joining_pairs(percent), PAIR, "set")
+    more = written(more.distinct(), "links")
     if not more.isEmpty():
-        label = components(links.unionByName(confirmed(more, texts, words, percent)))
+        label = components(links.unionByName(more))
     ids = same_id.select("doc_id", "sum", "xor", "n_shingles", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, SKETCH) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array((a == b).sum(1) >= LIKELY * SKETCH))
-
-
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
