@@ -4,8 +4,9 @@ A source's documents all get the expectation ``target / source_size``. Its whole
 copies; its fraction is an inclusion probability that the cube method turns into 0 or 1. The flight
 moves three undecided documents at a time along the null space of the two balancing constraints
 (number of documents, number of words), so both totals hold exactly until at most two documents
-are undecided. Blocks of a source fly independently; the two at most that each leaves undecided form
-new blocks, until a source has one. Its last two are landed on the pair that is nearest in words.
+would be left undecided. Blocks of a source fly independently and stop at ``LANDING`` undecided documents;
+these form new blocks, until a source has one. Its last ones are landed together, on the combination
+that is nearest in words.
 
 Edge cases: a null or blank text has size 0; its source is still mixed. A null source is a source
 of its own, last in order. Repeated rows are documents of their own. A source without words has
@@ -17,8 +18,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +29,7 @@ from .shared import written
 
 MOST_COPIES = 3
 WEIGHT_CYCLE = (1, 2, 3)
+LANDING = 14  # undecided documents that a flight leaves; a source's last ones are landed together
 BLOCK_ROWS = 1024  # undecided documents of a source that fly in one group
 BROADCAST_SOURCES = 10_000  # the table of sources is broadcast up to this many rows, else shuffled
 
@@ -57,17 +59,17 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "n_docs", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0))).alias("target"))
 
 
-def flight(probability: list[float], size: list[int], rng: random.Random) -> list[float]:
-    """Cube flight for the constraints (1, size); leaves at most two entries strictly between 0 and 1.
+def flight(probability: list[float], size: list[int], rng: random.Random, leave: int = 2) -> list[float]:
+    """Cube flight for the constraints (1, size); ends with at most ``leave`` entries strictly between 0 and 1.
 
-    Large documents fly first, so those left undecided are small ones."""
+    Large documents fly first, so those left undecided are mostly small ones."""
     p = list(probability)
     queue = sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: (size[i], i))
     trio: list[int] = []
     while True:
         while len(trio) < 3 and queue:
             trio.append(queue.pop())
-        if len(trio) < 3:
+        if len(trio) < 3 or len(trio) + len(queue) <= leave:
             break
         a, b, c = (size[i] for i in trio)
         u = (b - c, c - a, a - b) if not a == b == c else (1, -1, 0)
@@ -84,14 +86,15 @@ def flight(probability: list[float], size: list[int], rng: random.Random) -> lis
 
 
 def landing(probability: list[float], size: list[int]) -> list[float]:
-    """Rounds the few undecided entries to the combination whose words are nearest to what is expected."""
-    p = list(probability)
-    open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    want = sum(p[i] * size[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(open_) if m >> k & 1) - want), m))
-    for k, i in enumerate(open_):
-        p[i] = float(best >> k & 1)
-    return p
+    """Rounds the few undecided entries to the combination whose words are nearest to what is expected;
+    among equals, to the one nearest in documents."""
+    p = np.array(probability)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    sizes = np.array(size, np.float64)[open_]
+    words, count = np.abs(picks @ sizes - p[open_] @ sizes), np.abs(picks.sum(1) - p[open_].sum())
+    p[open_] = picks[np.lexsort((np.arange(len(picks)), count, np.round(words, 6)))[0]]
+    return p.tolist()
 
 
 def _flown(last: bool):
@@ -100,7 +103,7 @@ def _flown(last: bool):
         source = group["source"].iloc[0]
         rng = random.Random(zlib.crc32(f"{source!r}:{group['block'].iloc[0]}:{last}".encode()))
         size = group["size"].tolist()
-        p = flight(group["chance"].tolist(), size, rng)
+        p = flight(group["chance"].tolist(), size, rng, LANDING)
         group["chance"] = landing(p, size) if last else p
         return group
 
@@ -121,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.select("doc_id", "size", "source", "source_size", "target", "sure", "chance", F.col("n_docs").alias("block"))
     undecided = (F.col("chance") > 0) & (F.col("chance") < 1)
     settled, open_, most = rows.where(~undecided), rows.where(undecided), None
-    while most is None or most > BLOCK_ROWS:
+    while most is None or most > max(BLOCK_ROWS, 2 * LANDING):
         blocks = F.ceil(F.col("block") / BLOCK_ROWS)
         grouped = open_.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc_id", "size", F.lit(most)), blocks)).otherwise(0))
         flown = written(grouped.groupBy("source", "block").applyInPandas(_flown(False), rows.schema), "mix-flown")
