@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from .shared import SpanHasher, mixed, text_bytes, text_slices, word_spans
 
 TRAIN_ROWS = 6000  # bound of the labelled sample that the model is fitted on
+ROW_VISITS, MOST_EPOCHS = 36_000, 30
 BUCKETS = 1 << 15
 WIDTH = 12  # embedding size
 FILTERS = {1: 16, 2: 8, 3: 8}  # filters by width in words
 PREFIX = 4
+WORD_DROPOUT = 0.5
 THRESHOLD = 0.3
 
 
@@ -87,7 +89,7 @@ def scores(model: Model, tables: dict[int, np.ndarray], column: pa.Array) -> np.
     return 1 / (1 + np.exp(-(np.concatenate(pooled, 1) @ model.weights + model.bias).clip(-30, 30)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     filters = sum(FILTERS.values())
     model = Model(
@@ -98,7 +100,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: i
         0.0,
     )
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         model.weights[:] = 0
         model.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return model
@@ -117,7 +119,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: i
         value[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
 
     bias = np.array([model.bias])
-    for _ in range(epochs):
+    for _ in range(min(MOST_EPOCHS, max(6, ROW_VISITS // len(labels)))):  # few labels are read more often
         for at in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch)):
             step += 1
             spans = [(int(bounds[i]), int(bounds[i + 1])) for i in at]
@@ -126,7 +128,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: i
             ends = np.cumsum(sizes)
             full = sizes > 0
             a_rows, b_rows = whole[take], prefix[take] + BUCKETS
-            e = model.embedding[a_rows] + model.embedding[b_rows]
+            seen = rng.random(len(take)) >= WORD_DROPOUT  # else the prefix alone stands for the word
+            e = model.embedding[a_rows] * seen[:, None] + model.embedding[b_rows]
             left = np.repeat(ends, sizes) - np.arange(len(take))
             pooled, tops = [], []
             for w, kernel in model.kernels.items():
@@ -163,7 +166,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: i
                     np.add.at(slope_k[t].T, kk, e[place] * weight[:, None])
                     back = kernel[t].T[kk] * weight[:, None]
                     rows_touched += [a_rows[place], b_rows[place]]
-                    slopes += [back, back]
+                    slopes += [back * seen[place, None], back]
                 slope_b = g.sum(0)
                 adam(("k", w), kernel, slope_k)
                 adam(("b", w), model.biases[w], slope_b)
