@@ -35,7 +35,8 @@ from .shared import SpanHasher, mixed, text_bytes, text_slices, word_spans, writ
 SHINGLE = 5
 PERCENT = 80
 TREES, DEPTH = 14, 5
-LEAF = 64  # documents of a node that are compared exhaustively
+LEVELS = (1, 3, 5)  # depths at which nodes are formed
+LEAF = 128  # documents of a node that are compared exhaustively
 SKETCH = 128  # minwise values of a sketch, 16 bits of each
 LIKELY = 0.67  # share of equal sketch values from which a pair is confirmed on full sets: 0.80 less 3.7 deviations
 
@@ -231,23 +232,24 @@ PAIR, MEMBER = "u long, v long", "node long, block long, doc_id long, label long
 def nodes(reps: DataFrame) -> DataFrame:
     """node, doc_id, size, dense: the leaves of all trees with at least two documents.
 
-    Level by level the documents of nodes that are still too large go to the next token. Nodes of
+    Level by level the documents of nodes that are still too large go two tokens further. Nodes of
     several trees with the same documents count once."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("path", t * DEPTH + 1).alias("node")))
     keyed = reps.select("doc_id", F.inline(trees))
     leaves = None
-    for depth in range(DEPTH):
+    for level, depth in enumerate(LEVELS):
+        last = depth == LEVELS[-1]
         sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("size > 1")
-        small = sizes if depth == DEPTH - 1 else sizes.where(F.col("size") <= LEAF)
+        small = sizes if last else sizes.where(F.col("size") <= LEAF)
         once = small.groupBy("size", "members").agg(F.min("node").alias("node"))
         done = written(keyed.join(once, "node").select("node", "doc_id", "size"), f"leaves-{depth}")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == DEPTH - 1:
+        if last:
             break
         large = written(keyed.join(sizes.where(F.col("size") > LEAF).select("node"), "node", "left_semi").select("doc_id", "tree"), f"level-{depth}")
         if large.isEmpty():
             break
-        keyed = large.join(reps.select("doc_id", "path"), "doc_id").select("doc_id", "tree", F.element_at("path", F.col("tree") * DEPTH + depth + 2).alias("node"))
+        keyed = large.join(reps.select("doc_id", "path"), "doc_id").select("doc_id", "tree", F.element_at("path", F.col("tree") * DEPTH + LEVELS[level + 1]).alias("node"))
     return leaves.withColumn("dense", F.col("size") > LEAF)
 
 
@@ -309,7 +311,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     more = _by_node(apart.join(full_sets(apart.select("doc_id"), texts, words), "doc_id"), _joining_pairs(percent), PAIR, "set")
     more = written(more.distinct(), "links")
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
     ids = same_id.select("doc_id", "sum", "xor", "n_shingles", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
