@@ -62,9 +62,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 def flight(probability: list[float], size: list[int], rng: random.Random, leave: int = 2) -> list[float]:
     """Cube flight for the constraints (1, size); ends with at most ``leave`` entries strictly between 0 and 1.
 
-    Large documents fly first, so those left undecided are mostly small ones."""
+    A reserve of the largest and of some of all sizes flies last; of the others, small documents fly first.
+    Sums of the documents left undecided then lie close together, which helps the landing."""
     p = list(probability)
-    queue = sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: (size[i], i))
+    queue = sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: (-size[i], i))
+    top, every = leave // 2, max(1, 2 * len(queue) // max(leave, 1))
+    reserve = [k < top or k % every == 0 for k in range(len(queue))]
+    queue = [i for i, r in zip(queue, reserve) if r] + [i for i, r in zip(queue, reserve) if not r]
     trio: list[int] = []
     while True:
         while len(trio) < 3 and queue:
