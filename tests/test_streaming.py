@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -38,6 +39,8 @@ def log(tmp_path):
     folder.mkdir()
     (folder / "engine.0001.ndjson").write_text("\n".join(a) + "\n")
     (folder / "engine.0002.ndjson").write_text("\n".join(b) + "\n")
+    for second, file in enumerate(sorted(folder.iterdir())):  # a stream reads files by modification time
+        os.utime(file, (1758240000 + second, 1758240000 + second))
     return str(folder)
 
 
