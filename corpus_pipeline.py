@@ -18,18 +18,19 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under their language's calibrated threshold. The model learns outside the held-out
-    fold; the fold's labels calibrate."""
+    fold and the calibration's rows; the held-out fold's labels aren't read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fitted(docs, labels)
+    model = toxicity.fitted(docs, labels, calibration=True)
     scores = written(toxicity.scored(docs, model).groupBy("doc_id").agg(F.max("score").alias("score")), "toxicity")
-    known = labels.where(toxicity.fold(F.col("doc_id")) == 2).select("doc_id", "toxic")
+    known = labels.where(toxicity.calibrates(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     langs = docs.select("doc_id", "lang").distinct()
     rows = toxicity.calibrated(scores.join(known, "doc_id").join(langs, "doc_id")).collect()  # a row per language with labels
     by = {r.lang: r.threshold for r in rows}
-    least = F.lit(by.pop(None, toxicity.THRESHOLD))
+    least, lowest = F.lit(by.get(None, toxicity.THRESHOLD)), min([toxicity.THRESHOLD, *by.values()])
+    by.pop(None, None)
     for lang, threshold in sorted(by.items()):
         least = F.when(F.col("lang") == lang, F.lit(threshold)).otherwise(least)
-    toxic = scores.where(F.col("score") >= toxicity.THRESHOLD).join(langs, "doc_id").where(F.col("score") >= least).select("doc_id").distinct()
+    toxic = scores.where(F.col("score") >= lowest).join(langs, "doc_id").where(F.col("score") >= least).select("doc_id").distinct()
     return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
 
 

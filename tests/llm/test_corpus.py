@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dwellspan.llm import exact_dedup, mixing, near_dedup, substring_dedup, suffixes, toxicity
 
@@ -251,6 +252,30 @@ def test_op5_odd_rows(spark, corpus):
     assert toxicity.op5_toxicity_cnn(spark, empty).count() == 0
 
 
+def test_calibration_ignores_single_noisy_labels(spark):
+    rows = [("de", k / 1000, 0) for k in range(130)] + [("de", 0.99, 0)] + [("de", 0.3 + k / 50, 1) for k in range(30)]  # one clean label is wrong
+    rows += [("hi", 0.5, 0)] * 40 + [("hi", 0.9, 1)] * 40 + [("lo", 0.01, 0)] * 40 + [("lo", 0.155, 1)] * 40  # scores lie elsewhere
+    rows += [("few", 0.5, 0)] * 30 + [(None, 0.2, None)]
+    got = {r.lang: r.threshold for r in toxicity.calibrated(spark.createDataFrame(rows, "lang string, score double, toxic int")).collect()}
+    assert got["de"] == toxicity.THRESHOLD and "few" not in got
+    assert 0.5 < got["hi"] <= 0.9 and 0.01 < got["lo"] <= 0.155
+    assert {r.lang: r.threshold for r in toxicity.calibrated(spark.createDataFrame([], "lang string, score double, toxic int")).collect()} == {}
+
+
+def test_pipeline_catches_the_toxic_of_each_language(spark):
+    import corpus_pipeline as cp
+
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in cp.drop_toxic(spark, docs, folder).select("doc_id").collect()}
+    held = spark.read.parquet(f"{folder}/labels.parquet").where(toxicity.fold(F.col("doc_id")) == 2).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    for lang, least in (("de", 0.75), ("en", 0.9), ("fr", 0.75)):
+        bad = [r.doc_id for r in held if r.lang == lang and r.toxic == 1]
+        assert sum(d not in left for d in bad) >= least * len(bad), lang
+    clean = [r.doc_id for r in held if r.toxic == 0]
+    assert sum(d not in left for d in clean) <= 0.02 * len(clean)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
