@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHasher, ranges, text_bytes, text_slices, written
+from .shared import SpanHasher, mixed, ranges, text_bytes, text_slices, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -120,7 +120,8 @@ def _entries(n_blocks: int):
             cuts = np.searchsorted(block, np.arange(n_blocks + 1))
             which = np.flatnonzero(np.diff(cuts))
             blobs = [_packed(sent[cuts[b] : cuts[b + 1]]) for b in which] + ([_packed(np.sort(kept, order=["doc", "lo"]))] if len(kept) else [])
-            names = which.tolist() + [int(which[0])] * (len(kept) > 0)
+            # They carry their ranges, so any group can read them: each slice picks its own.
+            names = which.tolist() + [int(mixed(doc[:1].astype(np.int64).view(np.uint64))[0] % np.uint64(n_blocks))] * (len(kept) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([True] * len(which) + [False] * (len(kept) > 0)), pa.array(blobs, pa.binary())], ["block", "asks", "blob"])
 
     return run

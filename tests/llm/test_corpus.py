@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,18 @@ def test_op4(spark, corpus, monkeypatch, hot):
     assert sorted(map(tuple, got), key=repr) == plain_removed(rows)
 
 
+def test_op4_deals_out_what_slices_keep():
+    """Occurrences that a slice knows to be shared go to as many groups as there are, not to one."""
+    rng, places, n = np.random.default_rng(7), [], 16
+    for k in range(64):
+        same = bytes(rng.integers(97, 123, 4000, np.uint8))
+        slice_ = pa.RecordBatch.from_arrays([pa.array([10 * k, 10 * k + 1]), pa.array([same + b"a" * 60, same + b"b" * 60], pa.binary())], ["doc_id", "text"])
+        rows = [r for part in substring_dedup._entries(n)(iter([slice_])) for r in part.to_pylist()]
+        places += [r["block"] for r in rows if not r["asks"]]
+    assert len(places) == 64 and set(places) <= set(range(n))
+    assert max(places.count(b) for b in range(n)) <= 16
+
+
 def test_op4_odd_rows(spark, corpus):
     assert substring_dedup.op4_suffix_dedup(spark, corpus([])).count() == 0
     rows = [*ODD_TEXTS, (11, "x" * 500)]
