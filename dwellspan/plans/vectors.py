@@ -58,7 +58,16 @@ def v4_best_other(spark, sf_dir):
 @query(f"WITH a AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id < 200), s AS (SELECT x.label AS a, y.label AS b, round(max({DOT.format('x.embedding', 'y.embedding')}), 6) AS sim FROM a x, a y WHERE x.label < y.label GROUP BY ALL) SELECT a, b, sim FROM s")
 def v8_set_similarity(spark, sf_dir):
     """The highest similarity between the vectors of two persons (of the first sessions)."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
+    return set_similarities(spark, sf_dir, table(spark, sf_dir, "embeddings").where("vec_id < 200"))
+
+
+@query(f"SELECT x.label AS a, y.label AS b, round(max({DOT.format('x.embedding', 'y.embedding')}), 6) AS sim FROM embeddings x, embeddings y WHERE x.label < y.label GROUP BY ALL")
+def v8_set_similarity_whole(spark, sf_dir):
+    """The same over the whole gallery."""
+    return set_similarities(spark, sf_dir, table(spark, sf_dir, "embeddings"))
+
+
+def set_similarities(spark, sf_dir, e):
     x, y = e.select(F.col("label").alias("a"), F.col("embedding").alias("va")), e.select(F.col("label").alias("b"), F.col("embedding").alias("vb"))
     return x.join(y, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.max(vx.dot("va", "vb", dimensions(spark, sf_dir))), 6).alias("sim"))
 
@@ -98,10 +107,19 @@ SELECT label, d AS dimension, round(v / n, 6) AS value FROM m JOIN n USING (labe
 )
 def a26_weighted_fusion(spark, sf_dir):
     """Weighted mean vectors of each person, at unit length; the first four dimensions."""
+    return a26_weighted_fusion_whole(spark, sf_dir).where("dimension <= 4")
+
+
+@query(
+    """WITH e AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, CAST(sum(CAST(round(x * 1e9) AS BIGINT) * w) AS DOUBLE) AS v FROM e GROUP BY label, d), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
+SELECT label, d AS dimension, round(v / n, 6) AS value FROM m JOIN n USING (label)"""
+)
+def a26_weighted_fusion_whole(spark, sf_dir):
+    """The same in all dimensions."""
     e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 7 + 1).alias("w"), F.posexplode("embedding").alias("d", "x"))
     m = e.groupBy("label", "d").agg(F.sum(F.round(F.col("x").cast("double") * 1e9).cast("long") * F.col("w")).cast("double").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("label")))
-    return m.select("label", (F.col("d") + 1).cast("long").alias("dimension"), F.round(F.col("v") / norm, 6).alias("value")).where("dimension <= 4")
+    return m.select("label", (F.col("d") + 1).cast("long").alias("dimension"), F.round(F.col("v") / norm, 6).alias("value"))
 
 
 @query(

@@ -48,3 +48,12 @@ def test_sequential_vectors(spark):
     assert [r.weight for r in protos] == [1, 2]
     verdicts = vx.template_weighing(df, ["label"], ["vec_id"], per_day=2).collect()
     assert {r.vec_id: r.verdict for r in verdicts} == {0: "accepted", 1: "duplicate", 2: "accepted", 3: "duplicate", 4: "daily_cap"}
+
+
+def test_whole_tables(spark, duck):
+    count = lambda sql: duck.execute(sql).fetchone()[0]
+    ranks = sorted(r.rank for r in QUERIES["t5_severity_whole"](spark, DATA).collect())
+    assert ranks == list(range(1, count("SELECT count(*) FROM orders") + 1))
+    assert QUERIES["p33_policy_keys_whole"](spark, DATA).count() == count("SELECT count(*) FROM events")
+    assert QUERIES["v8_set_similarity_whole"](spark, DATA).count() == count("SELECT count(DISTINCT label) * (count(DISTINCT label) - 1) // 2 FROM embeddings")
+    assert QUERIES["a26_weighted_fusion_whole"](spark, DATA).count() == count("SELECT count(DISTINCT label) * max(len(embedding)) FROM embeddings")
