@@ -57,3 +57,16 @@ def test_whole_tables(spark, duck):
     assert QUERIES["p33_policy_keys_whole"](spark, DATA).count() == count("SELECT count(*) FROM events")
     assert QUERIES["v8_set_similarity_whole"](spark, DATA).count() == count("SELECT count(DISTINCT label) * (count(DISTINCT label) - 1) // 2 FROM embeddings")
     assert QUERIES["a26_weighted_fusion_whole"](spark, DATA).count() == count("SELECT count(DISTINCT label) * max(len(embedding)) FROM embeddings")
+
+
+def test_whole_times(spark, duck):
+    points = QUERIES["j20_point_in_presence_whole"](spark, DATA)
+    assert points.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    ends = {c: (a, z) for c, a, z in duck.execute("SELECT event_type, min(epoch_us(ts)), max(epoch_us(ts)) FROM events GROUP BY 1").fetchall()}
+    for name in ("j22_nearest_whole", "p41_interpolation_whole"):
+        got = {}
+        for r in QUERIES[name](spark, DATA).collect():
+            got.setdefault(r.camera_id, set()).add(r.at_us)
+        hour = 3_600_000_000
+        for camera, (a, z) in ends.items():
+            assert set(range(-(-a // hour) * hour, z, hour)) <= got[camera]
