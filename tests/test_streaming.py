@@ -1,6 +1,7 @@
 """Ingestion and stateful streams against their batch counterparts."""
 
 import io
+import re
 import json
 import os
 import zipfile
@@ -81,3 +82,12 @@ def test_track_log_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     book = zipfile.ZipFile(io.BytesIO(sinks.workbook({"health": rows.orderBy("metric"), "n": health.agg(F.count("*").alias("n"))})))
     assert "<v>5.0</v>" in book.read("xl/worksheets/sheet1.xml").decode() and "xl/worksheets/sheet2.xml" in book.namelist()
+
+
+def test_workbook_has_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 3)
+    book = zipfile.ZipFile(io.BytesIO(sinks.workbook({"n": spark.range(8).orderBy("id"), "none": spark.range(0), "n 2": spark.range(3)})))
+    names = re.findall('sheet name="([^"]*)"', book.read("xl/workbook.xml").decode())
+    values = [re.findall(r"<v>(\d+)</v>", book.read(f"xl/worksheets/sheet{k}.xml").decode()) for k in range(1, len(names) + 1)]
+    assert names == ["n", "n 3", "n 4", "none", "n 2"]
+    assert values == [["0", "1", "2"], ["3", "4", "5"], ["6", "7"], [], ["0", "1", "2"]]
