@@ -1,5 +1,5 @@
-"""Queries of vector matching. Galleries are bounded tables by design (references of enrolled persons);
-their joins carry an explicit probe key, and Spark broadcasts a side only under its own size threshold."""
+"""Queries of vector matching. Galleries are taken as bounded tables (references of enrolled persons); nothing
+checks the bound: each probe meets each reference in a cross join, and Spark broadcasts a side only under its own size threshold."""
 
 from __future__ import annotations
 
