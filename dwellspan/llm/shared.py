@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
 
@@ -24,9 +25,12 @@ _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 6
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors all see, below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single machine, tests) a temporary folder takes its place."""
+    Only where that setting is absent and Spark runs in one process (tests) a temporary folder takes its place:
+    on a cluster each machine would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='dwellspan-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/dwellspan/{name}-{uuid.uuid4().hex}"
@@ -73,8 +77,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_PLACES = 64
+_PLACE_VALUES = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none of them empty: the sum of a random value for each pair of place and byte.
+
+    Unlike a polynomial modulo a power of two it has no texts that are known to collide. It still is a hash:
+    what must be equal for sure is compared or told apart by a cryptographic digest."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    head = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(head, sizes)
+    values = _PLACE_VALUES[((place & (_PLACES - 1)) << 8) | data[ranges(starts, sizes)]]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        values[far] = mixed(values[far] + (place[far] // _PLACES).astype(np.uint64) * _BASE)
+    return mixed(np.add.reduceat(values, head) + sizes.astype(np.uint64) * _BASE)
+
+
+def text_digests(data: np.ndarray, bounds: np.ndarray, size: int = 16) -> np.ndarray:
+    """A cryptographic digest of each row's bytes: rows of ``size`` // 8 64-bit numbers."""
+    raw, edges = data.tobytes(), bounds.tolist()
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(edges, edges[1:])), "<u8").reshape(-1, size // 8)
+
+
 class SpanHasher:
-    """64-bit polynomial hashes of any byte ranges, from one prefix sum."""
+    """64-bit polynomial hashes of any byte ranges, from one prefix sum.
+
+    Only to spread or to find: some texts are known to collide (Thue-Morse words of 1024 letters and more)."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)

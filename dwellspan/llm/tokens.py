@@ -3,7 +3,8 @@
 That library's pre-tokenizer always breaks before a space that a visible character follows, and between
 a Latin letter and ASCII punctuation, so a text is the concatenation of chunks cut there, and equal
 chunks have equal ids. Each distinct chunk of a
-slice is encoded once by the library and kept in a bounded table of the Python worker."""
+slice is encoded once by the library and kept in a bounded table of the Python worker. Chunks are found by a
+hash and then compared byte by byte; rows with a chunk whose hash is another one's are encoded whole."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import SpanHasher, ranges, text_bytes
+from .shared import ranges, span_hashes, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 TABLE_CHUNKS = 1_000_000  # chunks a worker remembers before it starts anew
@@ -41,20 +42,28 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._keys, self._at, self._n, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._keys = np.zeros(0, np.uint64)
+        self._at, self._n, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._from, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
         got = [e.ids for e in encode(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self._keys) + len(keys) > TABLE_CHUNKS and len(self._keys):
             self._clear()
-        at = len(self._ids) + np.cumsum(n) - n
-        self._ids = np.concatenate((self._ids, flat))
-        keys, at, n = (np.concatenate(x) for x in ((self._keys, keys), (self._at, at), (self._n, n)))
-        order = np.argsort(keys, kind="stable")
-        self._keys, self._at, self._n = keys[order], at[order], n[order]
+        raw, size = data[ranges(starts, ends - starts)], ends - starts
+        edges, whole = np.concatenate(([0], np.cumsum(size))).tolist(), raw.tobytes()
+        flat, n = self._encoded([whole[a:b].decode() for a, b in zip(edges, edges[1:])])
+        at, start = len(self._ids) + np.cumsum(n) - n, len(self._bytes) + np.cumsum(size) - size
+        self._ids, self._bytes = np.concatenate((self._ids, flat)), np.concatenate((self._bytes, raw))
+        old = (self._keys, self._at, self._n, self._from, self._size)
+        table = [np.concatenate(x) for x in zip(old, (keys, at, n, start, size))]
+        order = np.argsort(table[0], kind="stable")
+        self._keys, self._at, self._n, self._from, self._size = (x[order] for x in table)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids in one array, and each row's bounds in it. Null has no ids."""
@@ -71,25 +80,43 @@ class ChunkEncoder:
         cut[heads] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        keys, first, which = np.unique(SpanHasher(data)(starts, ends), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
 
         def missing() -> np.ndarray:
             at = np.searchsorted(self._keys, keys)
             at[at == len(self._keys)] = 0
             return np.flatnonzero(self._keys[at] != keys) if len(self._keys) else np.arange(len(keys))
 
-        new = missing()
-        if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            self._learn(keys[new], texts)
-            if len(again := missing()):  # the table was started anew
-                self._learn(keys[again], [raw[a:b].decode() for a, b in zip(starts[first[again]].tolist(), ends[first[again]].tolist())])
-        slot = np.searchsorted(self._keys, keys)[which]
+        while len(new := missing()):  # twice at most: the table may be started anew
+            self._learn(keys[new], data, starts[first[new]], ends[first[new]])
+        known = np.searchsorted(self._keys, keys)
+        slot = known[which]
         n = self._n[slot]
         ids = self._ids[ranges(self._at[slot], n)]
-        ends_at = np.concatenate(([0], np.cumsum(n)))
-        return ids, ends_at[np.searchsorted(starts, bounds)]
+        out = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, bounds)]
+        odd = ~_same(data, starts, ends - starts, data, starts[first[which]], (ends - starts)[first[which]])
+        odd |= ~_same(data, starts[first], (ends - starts)[first], self._bytes, self._from[known], self._size[known])[which]
+        return self._with_whole(column, ids, out, np.unique(np.searchsorted(bounds, starts[odd], "right") - 1)) if odd.any() else (ids, out)
+
+    def _with_whole(self, column: pa.Array, ids: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` with those of ``rows`` encoded anew, as whole texts."""
+        flat, n = self._encoded([column[int(r)].as_py() for r in rows])
+        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for r, part in zip(rows.tolist(), np.split(flat, np.cumsum(n)[:-1])):
+            parts[r] = part
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+    @staticmethod
+    def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return span_hashes(data, starts, ends)
+
+
+def _same(a: np.ndarray, a_starts, a_sizes, b: np.ndarray, b_starts, b_sizes) -> np.ndarray:
+    """Whether each range of ``a`` holds the bytes of its range of ``b``; no range is empty."""
+    same = a_sizes == b_sizes
+    n = np.where(same, a_sizes, 1)
+    differs = a[ranges(a_starts, n)] != b[ranges(b_starts, n)]
+    return same & ~np.logical_or.reduceat(differs, np.cumsum(n) - n) if len(n) else same
 
 
 @functools.cache

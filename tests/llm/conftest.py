@@ -18,3 +18,11 @@ def corpus(spark):
 
 
 ODD_TEXTS = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a"), (5, "a"), (None, "lost id"), (7, "Ünï çødé 🙂 <|endoftext|>  end"), (8, "x" * 50_000), (9, "word " * 9_000), (None, None)]
+
+
+def thue_morse(order: int) -> tuple[str, str]:
+    """A word of 2^order letters and its complement: alike under every polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(order):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -12,9 +12,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from dwellspan.llm import packing, sstable
-from dwellspan.llm.tokens import encoder
+from dwellspan.llm.tokens import ChunkEncoder, encoder
 
-from .conftest import ODD_TEXTS
+from .conftest import ODD_TEXTS, thue_morse
 
 DATA = "/root/testdata/sf0.01"
 
@@ -39,6 +39,24 @@ def test_chunked_ids_are_the_librarys(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library_ids(t) for t in texts]
 
 
+def test_colliding_chunks_have_their_own_ids(spark, corpus, monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"x {w} y" for order in (10, 11, 12) for w in thue_morse(order)] + [None, "", "plain words"]
+    for hashes in (None, lambda data, starts, ends: data[starts].astype(np.uint64)):  # a hash that knows the first byte alone
+        if hashes:
+            monkeypatch.setattr(ChunkEncoder, "_hashes", staticmethod(hashes))
+        fresh = ChunkEncoder()
+        for _ in range(2):
+            for part in (texts, texts[::-1], ["pretty plots plan", "x"]):
+                ids, bounds = fresh.encode(pa.array(part))
+                assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library_ids(t) for t in part]
+    rows = [(k, w) for k, w in enumerate(x for order in (10, 11, 12) for x in thue_morse(order))]
+    folder = corpus(rows)
+    check_pieces(packing.op6_harmonic_pack(spark, folder).collect(), dict(rows))
+    assert {r.doc_id: r.ids_crc32 for r in sstable.op8_token_shards(spark, folder).collect()} == {k: crc([*library_ids(w), 0]) for k, w in rows}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 300), max_size=60))
 def test_pack_covers_every_token_once(lengths):
