@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHasher, mixed, ranges, text_bytes, text_slices, written
+from .shared import SpanHasher, mixed, ranges, text_bytes, text_digests, text_slices, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -43,8 +43,11 @@ SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a window, and windows of a
 HOT = 4096  # texts of an anchor from which its windows go separate ways
 HOT_KEYS = 10_000  # hot anchors that are named in the plan; more of them are marked by a join
 SHARD = 1 << 20  # bytes of a shard, unless one anchor's contexts have more
-BLOCK_BYTES = 4 << 20  # text bytes for each hash range
+BLOCK_BYTES = 16 << 20  # text bytes for each range of anchors
+CONTEXT_BYTES = 6 << 20  # text bytes for each range of contexts
 SLICE = 3 << 19
+FLUSH = 600_000  # anchors that a task gathers before it deals them out
+CONTEXT_FLUSH = 12 << 20  # bytes of contexts that a task gathers before it deals them out
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,55 +81,76 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return written(rows, "digests")
 
 
-ENTRY = np.dtype([("hash", "<u4"), ("texts", "<u4"), ("doc", "<i8"), ("text", "<u4"), ("lo", "<u4"), ("n", "u1")])
+ENTRY = np.dtype([("hash", "<u4"), ("texts", "<u4"), ("doc", "<i8"), ("text", "<u8"), ("lo", "<u4"), ("n", "u1")])
+_NO_TEXT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _entries(n_blocks: int):
     """Step 1, map side: one entry per distinct anchor of a slice. Those that several texts of the slice
-    share are known to be shared; their occurrences stay behind in a block of their own."""
+    share are known to be shared; their occurrences stay behind in a block of their own. Texts are told
+    apart by a digest of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in text_slices(batches, "text", SLICE):
-            data, bounds = text_bytes(part.column(1))
-            key, first, n, row = anchors(data, bounds)
-            if not len(key):
-                continue
-            doc = part.column(0).to_numpy()
-            text = SpanHasher(data)(bounds[:-1], bounds[1:])
-            order = np.lexsort((text[row], key))
-            key, first, n, row = key[order], first[order], n[order], row[order]
-            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            new_text = np.concatenate(([True], (key[1:] != key[:-1]) | (text[row][1:] != text[row][:-1])))
-            texts = np.add.reduceat(new_text.astype(np.int64), head)
-            sent = np.zeros(len(head), ENTRY)
-            sent["hash"], sent["texts"] = key[head] & np.uint64(0xFFFFFFFF), texts
-            several = np.repeat(texts > 1, np.diff(np.append(head, len(key))))
-            once = texts == 1
-            sent["doc"][once], sent["text"][once] = doc[row[head[once]]], text[row[head[once]]] >> np.uint64(32)
-            sent["lo"][once], sent["n"][once] = (first - bounds[row])[head[once]], n[head[once]]
-            block = ((key[head] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64)
-            # A text's own repeats of an anchor follow its entry, without texts of their own.
-            again = np.flatnonzero(~several & np.concatenate(([False], key[1:] == key[:-1])))
-            more = np.zeros(len(again), ENTRY)
-            more["hash"], more["doc"], more["text"] = key[again] & np.uint64(0xFFFFFFFF), doc[row[again]], text[row[again]] >> np.uint64(32)
-            more["lo"], more["n"] = (first - bounds[row])[again], n[again]
-            sent = np.concatenate((sent, more))
-            block = np.concatenate((block, ((key[again] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64)))
-            kept = np.zeros(int(several.sum()), ENTRY)
-            kept["hash"], kept["doc"] = key[several] & np.uint64(0xFFFFFFFF), doc[row[several]]
-            kept["text"], kept["lo"], kept["n"] = (key[several] >> np.uint64(32)) % np.uint64(n_blocks), (first - bounds[row])[several], n[several]
-            order = np.lexsort((sent["lo"], sent["doc"], block))
-            sent, block = sent[order], block[order]
-            cuts = np.searchsorted(block, np.arange(n_blocks + 1))
-            which = np.flatnonzero(np.diff(cuts))
-            blobs = [_packed(sent[cuts[b] : cuts[b + 1]]) for b in which] + ([_packed(np.sort(kept, order=["doc", "lo"]))] if len(kept) else [])
-            # They carry their ranges, so any group can read them: each slice picks its own.
-            names = which.tolist() + [int(mixed(doc[:1].astype(np.int64).view(np.uint64))[0] % np.uint64(n_blocks))] * (len(kept) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([True] * len(which) + [False] * (len(kept) > 0)), pa.array(blobs, pa.binary())], ["block", "asks", "blob"])
+            found = _slice_entries(part, n_blocks)
+            if found:
+                held.append(found)
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield _dealt(held, n_blocks)
+                    held = []
+        if held:
+            yield _dealt(held, n_blocks)
 
     return run
 
 
+def _slice_entries(part: pa.RecordBatch, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Entries to send, their blocks, and the occurrences that stay behind."""
+    data, bounds = text_bytes(part.column(1))
+    key, first, n, row = anchors(data, bounds)
+    if not len(key):
+        return None
+    doc = part.column(0).to_numpy()
+    text = text_digests(data, bounds, 8)[:, 0]
+    order = np.lexsort((text[row], key))
+    key, first, n, row = key[order], first[order], n[order], row[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    new_text = np.concatenate(([True], (key[1:] != key[:-1]) | (text[row][1:] != text[row][:-1])))
+    texts = np.add.reduceat(new_text.astype(np.int64), head)
+    sent = np.zeros(len(head), ENTRY)
+    sent["hash"], sent["texts"] = key[head] & np.uint64(0xFFFFFFFF), texts
+    several = np.repeat(texts > 1, np.diff(np.append(head, len(key))))
+    once = texts == 1
+    sent["doc"][once], sent["text"][once] = doc[row[head[once]]], text[row[head[once]]]
+    sent["lo"][once], sent["n"][once] = (first - bounds[row])[head[once]], n[head[once]]
+    block = ((key[head] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64)
+    # A text's own repeats of an anchor follow its entry, without texts of their own.
+    again = np.flatnonzero(~several & np.concatenate(([False], key[1:] == key[:-1])))
+    more = np.zeros(len(again), ENTRY)
+    more["hash"], more["doc"], more["text"] = key[again] & np.uint64(0xFFFFFFFF), doc[row[again]], text[row[again]]
+    more["lo"], more["n"] = (first - bounds[row])[again], n[again]
+    kept = np.zeros(int(several.sum()), ENTRY)
+    kept["hash"], kept["doc"] = key[several] & np.uint64(0xFFFFFFFF), doc[row[several]]
+    kept["text"], kept["lo"], kept["n"] = (key[several] >> np.uint64(32)) % np.uint64(n_blocks), (first - bounds[row])[several], n[several]
+    return np.concatenate((sent, more)), np.concatenate((block, ((key[again] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64))), kept
+
+
+def _dealt(held: list, n_blocks: int) -> pa.RecordBatch:
+    sent, block, kept = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((sent["lo"], sent["doc"], block))
+    sent, block = sent[order], block[order]
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    blobs = [_packed(x) for x in np.split(sent, cuts[1:])]
+    names = block[cuts].tolist()
+    asks = [True] * len(names)
+    if len(kept):  # they carry their ranges, so any group can read them: each task's go where its first document's hash says
+        blobs.append(_packed(np.sort(kept, order=["doc", "lo"])))
+        names.append(int(mixed(kept["doc"][:1].view(np.uint64))[0] % np.uint64(n_blocks)))
+        asks.append(False)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(asks), pa.array(blobs, pa.binary())], ["block", "asks", "blob"])
+
+
 def _packed(entries: np.ndarray) -> bytes:
     """Column by column, compressed."""
     return zstandard.compress(b"".join(np.ascontiguousarray(entries[c]).tobytes() for c in ENTRY.names), 1)
@@ -156,8 +180,8 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.append(head, len(asked)))
     if len(head):
         alone = asked["n"] > 0
-        low = np.minimum.reduceat(np.where(alone, asked["text"], np.uint32(0xFFFFFFFF)), head)
-        high = np.maximum.reduceat(np.where(alone, asked["text"], np.uint32(0)), head)
+        low = np.minimum.reduceat(np.where(alone, asked["text"], _NO_TEXT), head)
+        high = np.maximum.reduceat(np.where(alone, asked["text"], np.uint64(0)), head)
         texts = np.add.reduceat(asked["texts"].astype(np.int64), head)
         shared = np.repeat((np.maximum.reduceat(asked["texts"], head) > 1) | (low < high), size)
         hot = np.repeat(texts > HOT, size)
@@ -186,6 +210,7 @@ def _contexts(n_blocks: int, hot_keys: list[int]):
     are merged, and what their larger doc_ids lose is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for part in text_slices(batches, "text", SLICE >> 1):
             data, bounds = text_bytes(part.column(1))
             doc = part.column(0).to_numpy()
@@ -204,12 +229,10 @@ def _contexts(n_blocks: int, hot_keys: list[int]):
                 lo = lo[pick] + shift
             start = bounds[row] + lo
             content = SpanHasher(data)(start, start + n + LENGTH - 1)
-            other = SpanHasher(data, 9)(start, start + n + LENGTH - 1)
             key = np.where(hot, content.view(np.int64), key)
-            order = np.lexsort((lo, doc[row], other, content, key))
-            row, lo, n, key, start = (x[order] for x in (row, lo, n, key, start))
-            content, other = content[order], other[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (other[1:] != other[:-1])))
+            order = np.lexsort((lo, doc[row], content, key))
+            row, lo, n, key, start, content = (x[order] for x in (row, lo, n, key, start, content))
+            new = _new_content(data, key, content, start, n + LENGTH - 1)
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             lost = ~new & (doc[row] > doc[row[head]])
             if lost.any():
@@ -218,20 +241,47 @@ def _contexts(n_blocks: int, hot_keys: list[int]):
             send = new | ~lost
             row, lo, n, key, start = (x[send] for x in (row, lo, n, key, start))
             block = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_blocks
-            order = np.argsort(block, kind="stable")
-            row, lo, n, key, start, block = (x[order] for x in (row, lo, n, key, start, block))
-            cuts = np.searchsorted(block, np.arange(n_blocks + 1))
-            out = [[], [], [], [], [], [], []]
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                a, z = cuts[b], cuts[b + 1]
-                text = zstandard.compress(data[ranges(start[a:z], n[a:z] + LENGTH - 1)], 1)
-                for column, x in zip(out, (b, text, n[a:z], doc[row[a:z]], lo[a:z], key[a:z], False)):
-                    column.append(x)
-            yield _rows(*out)
+            held.append((data[ranges(start, n + LENGTH - 1)], block, n, doc[row], lo, key))
+            if sum(len(x[0]) for x in held) >= CONTEXT_FLUSH:
+                yield _dealt_contexts(held)
+                held = []
+        if held:
+            yield _dealt_contexts(held)
 
     return run
 
 
+def _dealt_contexts(held: list[tuple]) -> pa.RecordBatch:
+    data, block, n, doc, lo, key = (np.concatenate(x) for x in zip(*held))
+    size = n + LENGTH - 1
+    order = np.argsort(block, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    block, n, doc, lo, key, size = (x[order] for x in (block, n, doc, lo, key, size))
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else [], len(block)).astype(np.int64)
+    out = [[], [], [], [], [], [], []]
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        text = zstandard.compress(data[ranges(start[a:z], size[a:z])], 1)
+        for column, x in zip(out, (block[a], text, n[a:z], doc[a:z], lo[a:z], key[a:z], False)):
+            column.append(x)
+    return _rows(*out)
+
+
+def _new_content(data: np.ndarray, key: np.ndarray, content: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the contexts, ordered by key and hash, differ from the one before, byte by byte: equal hashes
+    only bring candidates together."""
+    new = np.ones(len(key), bool)
+    at = np.flatnonzero((key[1:] == key[:-1]) & (content[1:] == content[:-1]) & (size[1:] == size[:-1])) + 1
+    if len(at):
+        words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))  # at any byte
+        a, b, n = start[at], start[at - 1], size[at]
+        same = words[a + n - 8] == words[b + n - 8]
+        for k in range(0, int(n.max()) - 7, 8):
+            inside = n >= k + 8
+            same &= ~inside | (words[np.where(inside, a + k, 0)] == words[np.where(inside, b + k, 0)])
+        new[at] = ~same
+    return new
+
+
 def _rows(blocks, texts, ns, docs, los, keys, removed) -> pa.RecordBatch:
     raw = [pa.array([x.astype(t).tobytes() for x in column], pa.binary()) for column, t in ((ns, "u1"), (docs, "<i8"), (los, "<u4"), (keys, "<i8"))]
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(texts, pa.binary()), *raw, pa.array(removed)], ["block", "texts", "ends", "docs", "los", "keys", "removed"])
@@ -249,11 +299,11 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
     data = np.frombuffer(b"".join(map(zstandard.decompress, group["texts"])), np.uint8)
     size = n + LENGTH - 1
     start = np.cumsum(size) - size
-    content, other = SpanHasher(data)(start, start + size), SpanHasher(data, 9)(start, start + size)
-    order = np.lexsort((lo, doc, other, content, key))
-    n, doc, lo, key, start, size, content, other = (x[order] for x in (n, doc, lo, key, start, size, content, other))
+    content = SpanHasher(data)(start, start + size)
+    order = np.lexsort((lo, doc, content, key))
+    n, doc, lo, key, start, size, content = (x[order] for x in (n, doc, lo, key, start, size, content))
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
-    new = new_key | np.concatenate(([True], (content[1:] != content[:-1]) | (other[1:] != other[:-1])))
+    new = _new_content(data, key, content, start, size)
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     lost = doc > doc[head]
     found = [(doc[lost], lo[lost], n[lost])]
@@ -345,7 +395,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     digests = text_classes(texts)
     total = digests.agg(F.sum("n_bytes")).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    n_blocks, n_places = (max(1, -(-total // size)) for size in (BLOCK_BYTES, CONTEXT_BYTES))
     known, usable = digests.where("doc_id IS NOT NULL"), texts.where("doc_id IS NOT NULL")
     unclear = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     if not unclear.isEmpty():
@@ -369,8 +419,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         spots, hot = each.groupBy("doc_id").agg(F.collect_list(marked).alias("spots")), []
     named = texts.where("doc_id IS NOT NULL")
     with_spots = named.join(spots, "doc_id").select("doc_id", "text", "spots")
-    contexts = with_spots.mapInArrow(_contexts(n_blocks, hot), CONTEXTS)
-    place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_blocks)) + n_blocks).otherwise(F.col("block"))
+    contexts = with_spots.mapInArrow(_contexts(n_places, hot), CONTEXTS)
+    place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_places)) + n_places).otherwise(F.col("block"))
     gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(_settled, REMOVED)
     gone = gone.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))

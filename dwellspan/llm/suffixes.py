@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shared import mixed
-
-_MULTIPLIER = np.uint64(0xD1342543DE82EF95)
+from .shared import ranges
 
 
 BASE = 1 << 18  # names up to which the recursion ends in rank doubling
@@ -115,22 +113,19 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         by_symbol = lms[np.argsort(s[lms], kind="stable")]
         rough = _induce(s, smaller, by_symbol, sigma)
         rough = rough[is_lms[rough]]
-        # A leftmost-smaller substring reaches to the next one's first symbol; compared by length and hash.
+        # A leftmost-smaller substring reaches to the next one's first symbol. Equal ones are neighbours by
+        # now; those of equal length are compared symbol by symbol.
         ends = np.append(lms[1:] + 1, n)
-        sums = np.zeros(n + 1, np.uint64)
-        powers = np.full(n, _MULTIPLIER, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        np.cumsum(mixed(s.astype(np.uint64) * np.uint64(2) + smaller.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64, out=sums[1:])
-        down = np.full(n, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)), np.uint64)
-        down[0] = 1
-        down = np.cumprod(down, dtype=np.uint64)
-        content = (sums[ends] - sums[lms]) * down[lms]
         length = ends - lms
         length[-1] = 0  # the last one ends in the end itself: like no other
         index = np.searchsorted(lms, rough)
+        size = length[index]
         new = np.ones(len(rough), np.int64)
-        new[1:] = (content[index[1:]] != content[index[:-1]]) | (length[index[1:]] != length[index[:-1]])
+        alike = np.flatnonzero((size[1:] == size[:-1]) & (size[1:] > 0)) + 1
+        if len(alike):
+            n_symbols = size[alike].astype(np.int64)
+            differs = s[ranges(rough[alike].astype(np.int64), n_symbols)] != s[ranges(rough[alike - 1].astype(np.int64), n_symbols)]
+            new[alike] = np.logical_or.reduceat(differs, np.cumsum(n_symbols) - n_symbols)
         names = np.empty(len(lms), np.int64)
         names[index] = np.cumsum(new) - 1
         distinct = int(names.max()) + 1
