@@ -1,14 +1,16 @@
 """Near-duplicate detection: a Chosen Path set similarity join and its connected components.
 
-Documents are sets of word shingles. Equal sets are one class, represented by its smallest id, so
-copies never meet each other again. In each of ``TREES`` independent trees the representatives branch
-by minwise tokens: a node's children are those of its documents that agree on the next token, and only
-nodes with more than ``LEAF`` documents branch on. Two sets of similarity s share a node of depth d
-with probability s^d, in one of t trees with 1 - (1 - s^d)^t.
-
-Nodes that can't be made small by ``DEPTH`` tokens hold documents that are nearly the same; they are
+Documents are sets of word shingles. Texts of the same words are one class (by a cryptographic digest of all
+words), represented by its smallest id, so copies never meet each other again. In each of ``TREES`` independent
+trees the representatives branch by minwise tokens: a node selects one or two of the tokens of its depth, by
+its own key and 1 / 0.8 on average, and each of its documents goes to the child of each selected token's value. Nodes
+of every depth with at most ``LEAF`` documents are compared, only larger ones branch on. Two sets of
+similarity 0.8 so have on average one common child of a common node, and a node of a tree in common with
+probability 0.84, 0.73, 0.64, 0.58, 0.52, 0.48 at depths 1 to 6: in one of nine trees with over 0.997.
+
+Nodes that ``DEPTH`` tokens don't make small hold documents that are nearly the same; they are
 compared with their smallest id and within sub-blocks, and what is then still apart from that id's
-component is compared with the whole node.
+component is compared with the whole node, block by block.
 
 Inside a small node all pairs are compared on sketches. First only a maximum spanning forest of the likely pairs is put
 forward and confirmed on full sets. Then the documents with likely partners in other components bring
@@ -30,31 +32,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SpanHasher, mixed, text_bytes, text_slices, word_spans, written
+from .shared import mixed, ranges, span_hashes, text_bytes, text_digests, text_slices, word_spans, written
 
 SHINGLE = 5
 PERCENT = 80
-TREES, DEPTH = 14, 5
-LEVELS = (1, 3, 5)  # depths at which nodes are formed
+TREES, DEPTH = 9, 6
 LEAF = 128  # documents of a node that are compared exhaustively
-SKETCH = 128  # minwise values of a sketch, 16 bits of each
+SKETCH = 128  # minwise values: 32 bits of each as tokens, 16 in a sketch
+TOKENS = SKETCH // DEPTH  # tokens that nodes of one depth select from
 LIKELY = 0.67  # share of equal sketch values from which a pair is confirmed on full sets: 0.80 less 3.7 deviations
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _MULTIPLY = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.uint64(0x9FB21C651E98DF25)
+_BY_LEVEL = _RNG.integers(0, 1 << 63, DEPTH, dtype=np.uint64)
 
 
-def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    """Each row's set of shingles as sorted distinct 64-bit hashes."""
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of their words, and each row's bounds in words."""
     data, bounds = text_bytes(column)
     lower = np.arange(256, dtype=np.uint8)
     lower[0x41:0x5B] += 32
     data = lower[data]
     starts, ends, rows = word_spans(data, bounds)
-    h = SpanHasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    first = np.searchsorted(rows, np.arange(len(bounds)))
+    return data, starts, ends, np.searchsorted(rows, np.arange(len(bounds)))
+
+
+def _sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: int) -> list[np.ndarray]:
+    h = span_hashes(data, starts, ends)
     rolled = h[: max(0, len(h) - words + 1)].copy()
     for t in range(1, words):
         rolled = mixed(rolled * _ORDER + h[t : t + len(rolled)])
@@ -72,6 +78,22 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Each row's set of shingles as sorted distinct 64-bit hashes."""
+    return _sets(*_words(column), words)
+
+
+def _word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A digest of each row's words in turn, each with one space behind it."""
+    size = ends - starts + 1
+    stop = np.cumsum(size)
+    spaced = np.full(int(size.sum()), 0x20, np.uint8)
+    inner = np.ones(len(spaced), bool)
+    inner[stop - 1] = False
+    spaced[inner] = data[ranges(starts, ends - starts)]
+    return text_digests(spaced, np.concatenate(([0], stop))[first])
+
+
 def minwise(shingles: np.ndarray) -> np.ndarray:
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
@@ -80,34 +102,62 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _children(level: int, keys: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of depth ``level`` + 1 below nodes ``keys``, of which each row of ``mins`` has one document:
+    their keys, and their rows. What a node selects depends on its key alone."""
+    h = mixed(keys ^ _BY_LEVEL[level])
+    one = (h % np.uint64(TOKENS)).astype(np.int64)
+    two = (one + 1 + ((h >> np.uint64(20)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
+    branches = np.flatnonzero((h >> np.uint64(62)) == 0)  # a quarter of the nodes select a second token
+    rows = np.concatenate((np.arange(len(keys)), branches))
+    token = level * TOKENS + np.concatenate((one, two[branches]))
+    return mixed(mixed(keys[rows] * _ORDER + token.astype(np.uint64)) + mins[rows, token].astype(np.uint64)), rows
+
+
+def _roots() -> np.ndarray:
+    """Keys of the trees' roots: the first numbers of which no two select the same token and a quarter select two."""
+    keys, taken, k = [], set(), 0
+    while len(keys) < TREES:
+        k += 1
+        children = _children(0, np.array([k], np.uint64), np.arange(SKETCH)[None, :])[0]
+        h = int(mixed(np.array([k], np.uint64) ^ _BY_LEVEL[0])[0])
+        one = h % TOKENS
+        selected = {one, (one + 1 + (h >> 20) % (TOKENS - 1)) % TOKENS} if len(children) == 2 else {one}
+        if not selected & taken and (len(selected) == 2) == (len(keys) % 4 == 2):
+            keys.append(k)
+            taken |= selected
+    return np.array(keys, np.uint64)
+
+
 def _signatures(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = _roots()
         for part in text_slices(batches, "text"):
-            sets = shingle_sets(part.column(1), words)
+            found = _words(part.column(1))
+            sets = _sets(*found, words)
             mins = np.stack([minwise(s) for s in sets])
-            sums = np.array([[s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s))] if len(s) else [0, 0] for s in sets], np.uint64)
-            tokens = np.empty((len(sets), TREES * DEPTH), np.uint64)
-            for tree in range(TREES):  # a node's key: the hash of its path
-                key = np.full(len(sets), np.uint64(tree + 1))
-                for d in range(DEPTH):
-                    key = mixed(key * _ORDER + mins[:, (tree * DEPTH + d) % SKETCH])
-                    tokens[:, tree * DEPTH + d] = key
+            tokens = (mins >> np.uint64(32)).astype("<u4")
+            n = len(sets)
+            keys, rows = _children(0, np.tile(roots, n), np.repeat(tokens, len(roots), axis=0))
+            order = np.argsort(rows, kind="stable")
+            each = np.bincount(rows // len(roots), minlength=n)
+            nodes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))), pa.int32()), pa.array(keys[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(sums[:, 0].view(np.int64)),
-                    pa.array(sums[:, 1].view(np.int64)),
-                    pa.array(list(tokens.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array([d.tobytes() for d in _word_digests(*found)], pa.binary()),
+                    nodes,
+                    pa.array([t.tobytes() for t in tokens], pa.binary()),
                     pa.array([m.tobytes() for m in (mins >> np.uint64(48)).astype("<u2")], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "sum", "xor", "path", "sketch"],
+                ["doc_id", "n_shingles", "digest", "nodes", "tokens", "sketch"],
             )
 
     return sign
 
 
-SIGNATURE = "doc_id long, n_shingles long, sum long, xor long, path array<long>, sketch binary"
+SIGNATURE = "doc_id long, n_shingles long, digest binary, nodes array<long>, tokens binary, sketch binary"
 
 
 def _agreeing(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -229,28 +279,40 @@ def _by_node(members: DataFrame, of_nodes, schema: str, *more: str) -> DataFrame
 PAIR, MEMBER = "u long, v long", "node long, block long, doc_id long, label long, sketch binary"
 
 
+def _branch(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(1)
+                each = np.diff(lists.offsets.to_numpy())
+                tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, SKETCH)
+                keys, rows = _children(level, lists.flatten().to_numpy().view(np.uint64), np.repeat(tokens, each, axis=0))
+                ids = np.repeat(batch.column(0).to_numpy(), each)[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], ["node", "doc_id"])
+
+    return run
+
+
 def nodes(reps: DataFrame) -> DataFrame:
     """node, doc_id, size, dense: the leaves of all trees with at least two documents.
 
-    Level by level the documents of nodes that are still too large go two tokens further. Nodes of
-    several trees with the same documents count once."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("path", t * DEPTH + 1).alias("node")))
-    keyed = reps.select("doc_id", F.inline(trees))
+    Level by level the documents of nodes that are too large branch on, one row a document with all of its
+    large nodes. Leaves with the same documents (of several trees) count once."""
+    keyed = reps.select("doc_id", F.explode("nodes").alias("node"))
     leaves = None
-    for level, depth in enumerate(LEVELS):
-        last = depth == LEVELS[-1]
+    for depth in range(1, DEPTH + 1):
+        large = (F.col("size") > LEAF) & F.lit(depth < DEPTH)
         sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("size > 1")
-        small = sizes if last else sizes.where(F.col("size") <= LEAF)
-        once = small.groupBy("size", "members").agg(F.min("node").alias("node"))
-        done = written(keyed.join(once, "node").select("node", "doc_id", "size"), f"leaves-{depth}")
+        own = F.when(large, F.col("node"))  # each large node stays
+        once = sizes.groupBy("size", "members", own.alias("own")).agg(F.min("node").alias("node"))
+        level = written(keyed.join(once.select("node", "size"), "node"), f"nodes-{depth}")
+        done = level.where(~large)
         leaves = done if leaves is None else leaves.unionByName(done)
-        if last:
-            break
-        large = written(keyed.join(sizes.where(F.col("size") > LEAF).select("node"), "node", "left_semi").select("doc_id", "tree"), f"level-{depth}")
-        if large.isEmpty():
+        if depth == DEPTH or level.where(large).isEmpty():
             break
-        keyed = large.join(reps.select("doc_id", "path"), "doc_id").select("doc_id", "tree", F.element_at("path", F.col("tree") * DEPTH + LEVELS[level + 1]).alias("node"))
-    return leaves.withColumn("dense", F.col("size") > LEAF)
+        above = level.where(large).groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
+        keyed = written(above.join(reps.select("doc_id", "tokens"), "doc_id").mapInArrow(_branch(depth), "node long, doc_id long"), f"level-{depth}")
+    return leaves.select("node", "doc_id", "size").withColumn("dense", F.col("size") > LEAF)
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -281,10 +343,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_signatures(words), SIGNATURE), "signatures")
-    classes = written(signed.where("n_shingles > 0").groupBy("sum", "xor", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.join(classes.where("rep IS NOT NULL"), ["sum", "xor", "n_shingles"]).where("doc_id = rep").dropDuplicates(["doc_id", "sum", "xor"])
-    reps = written(reps.select("doc_id", "path", "sketch", "sum", "xor", "n_shingles"), "representatives")
-    leaves = written(nodes(reps), "leaves")
+    some = signed.where("n_shingles > 0")
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = some.join(classes.where("rep IS NOT NULL"), "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"])
+    reps = written(reps.select("doc_id", "nodes", "tokens", "sketch"), "representatives")
+    leaves = nodes(reps)
     sketches = reps.select("doc_id", "sketch")
     # Dense nodes: everything with the smallest id; sub-blocks stand in for the node below.
     least = leaves.where("dense").groupBy("node").agg(F.min("doc_id").alias("u"))
@@ -292,7 +355,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     block = F.when(F.col("dense"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LEAF))).otherwise(0).cast("long")
     blocks = leaves.withColumn("block", block)
     forest = _by_node(blocks.join(sketches, "doc_id").withColumn("label", F.lit(0).cast("long")), _likely_pairs, PAIR)
-    same_id = signed.where("n_shingles > 0").join(classes, ["sum", "xor", "n_shingles"])
     texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     tried = written(forest.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     links = written(confirmed(tried, texts, words, percent), "links")
@@ -300,19 +362,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
     labelled = written(blocks.where("size > 2").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-    # Of a dense node, what is apart from its smallest id's component meets every sub-block.
+    # Of a dense node, what is apart from its smallest id's component meets every sub-block: the visitors, too, come
+    # in blocks, so a group holds two blocks whatever the node's size.
     dense = labelled.where("dense")
     lead = dense.groupBy("node").agg(F.min_by("label", "doc_id").alias("lead"))
-    rest = dense.join(lead, "node").where("label <> lead").select("node", "doc_id", "label")
-    visiting = rest.join(dense.select("node", "block").distinct(), "node").select("node", "block", "doc_id", "label")
-    members = written(labelled.select("node", "block", "doc_id", "label").unionByName(visiting).distinct(), "members")
+    rest = written(dense.join(lead, "node").where("label <> lead").select("node", F.col("block").alias("visitors"), "doc_id", "label"), "rest")
+    there = dense.select("node", "block").distinct()
+    meeting = rest.select("node", "visitors").distinct().join(there, "node").where("visitors <> block")
+    wide = F.col("block") * F.lit(1 << 31) + F.col("visitors")  # one number for a pair of blocks
+    hosts = dense.select("node", "block", "doc_id", "label").join(meeting, ["node", "block"]).select("node", wide.alias("block"), "doc_id", "label")
+    guests = rest.join(there, "node").where("visitors <> block").select("node", wide.alias("block"), "doc_id", "label")
+    own = labelled.select("node", (F.col("block") * F.lit(1 << 31) + F.col("block")).alias("block"), "doc_id", "label")
+    members = written(own.unionByName(hosts).unionByName(guests), "members")
     mixed_nodes = members.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     apart = written(_by_node(members.join(mixed_nodes, ["node", "block"], "left_semi").join(sketches, "doc_id"), _rows_apart, MEMBER), "apart")
     more = _by_node(apart.join(full_sets(apart.select("doc_id"), texts, words), "doc_id"), _joining_pairs(percent), PAIR, "set")
     more = written(more.distinct(), "links")
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-    ids = same_id.select("doc_id", "sum", "xor", "n_shingles", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    ids = some.select("doc_id", "digest", "n_shingles").join(classes, "digest").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
