@@ -1,8 +1,9 @@
 """Exact deduplication by skew-safe combining.
 
-Copies first meet inside a map task (the partial aggregation), then inside one of many salts of
-their digest, and only the salts' winners meet globally. Every one of these steps groups on the
-digest *and* the whole normalised text, so two texts never count as equal on a digest alone.
+Copies first meet inside a map task (the partial aggregation), then by salt of their digest, and of texts with
+several salts only the salts' winners meet globally. Every one of these steps groups on the digest *and* the
+whole normalised text, so two texts never count as equal on a digest alone. A text has one salt for each
+``bound`` of its copies: a group never holds more of them, and most texts are done after the second step.
 
 Edge cases: a null text is an empty one. Rows of equal text with equal ids are copies, of which
 one stays. A null id ranks after all others. An empty table gives an empty result. Other columns
@@ -14,9 +15,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
+MOST_HOT = 10_000  # texts that may have several salts
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -28,28 +31,32 @@ def normalised(text) -> F.Column:
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 8192) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
-    ``rows_per_salt`` bounds how many rows of one text a single group of the salted step holds:
-    the number of salts follows the table's size."""
-    salts = max(1, math.ceil(docs.count() / rows_per_salt))
+    A salt holds about ``rows_per_salt`` copies of a text, or a ``MOST_HOT``th of all rows where that is more: so
+    fewer than ``MOST_HOT`` texts have more than one salt, and the table that names them can be broadcast."""
+    bound = max(rows_per_salt, math.ceil(docs.count() / MOST_HOT))
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.select(
-        F.struct(F.col("id").isNull().alias("none"), "id").alias("ref"),
-        "norm",
-        F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
-    )
-    salted = rows.groupBy("digest", "norm", "salt").agg(F.min("ref").alias("best"), F.collect_list("ref").alias("refs"))
-    same = W.partitionBy("digest", "norm")
-    won = salted.select(
-        "digest",
-        "refs",
-        "best",
-        F.min("best").over(same).alias("keep"),
-        F.min(F.struct("best", "salt")).over(same).alias("first"),
-        F.sum(F.size("refs")).over(same).cast("long").alias("group_size"),
-        F.struct("best", "salt").alias("own"),
-    )
-    each = won.select("digest", "keep", "group_size", (F.col("own") == F.col("first")).alias("wins"), F.posexplode(F.array_sort("refs")).alias("pos", "ref"))
+    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("ref"), "norm", F.xxhash64("norm").alias("mark"))
+    counts = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
+    hot = written(counts.select("mark", F.ceil(F.col("n") / bound).alias("salts")), "hot")
+    salt = F.coalesce(F.pmod(F.xxhash64("ref.id"), F.col("salts")), F.lit(0)).cast("int")
+    marked = rows.join(F.broadcast(hot), "mark", "left")
+    marked = marked.select("ref", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), salt.alias("salt"), F.col("salts").isNotNull().alias("hot"))
+    group = ["digest", "norm", "salt"]
+    won = marked.groupBy(*group).agg(F.min("ref").alias("best"), F.collect_list("ref").alias("refs"))
+    if hot.isEmpty():
+        won = won.select("digest", "refs", F.col("best").alias("keep"), F.size("refs").cast("long").alias("group_size"), F.lit(True).alias("wins"))
+    else:  # the salts' winners combine; each salt then learns of its text's
+        winners = marked.where("hot").groupBy(*group).agg(F.min("ref").alias("best"), F.count(F.lit(1)).alias("n"))
+        total = winners.groupBy("digest", "norm").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("each"))
+        total = written(total.select("digest", "norm", F.explode("each").alias("salt"), "keep", "group_size"), "winners")
+        won = won.join(total.hint("shuffle_hash"), group, "left").select(
+            "digest",
+            "refs",
+            F.coalesce("keep", "best").alias("keep"),
+            F.coalesce("group_size", F.size("refs").cast("long")).alias("group_size"),
+            (F.col("keep").isNull() | (F.col("keep") == F.col("best"))).alias("wins"),
+        )
+    each = won.select("digest", "keep", "group_size", "wins", F.posexplode(F.array_sort("refs")).alias("pos", "ref"))
     return each.select(
         F.col("ref.id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
@@ -60,11 +67,16 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns."""
-    kept = decisions(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__kept_digest"))
-    rows = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    stay = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    return stay.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    """The rows of ``docs`` that stay, with all columns: they meet their decisions in one shuffle, and of rows
+    with equal ids and texts one goes on from there."""
+
+    def keys(digest):
+        return F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col), F.lit("0").cast(docs.schema[id_col].dataType)).alias("__id"), digest.alias("__digest")
+
+    kept = decisions(docs, id_col, text_col).where("kept").select(*keys(F.col("text_sha256")))
+    rows = docs.select("*", *keys(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    stay = rows.join(kept, ["__none", "__id", "__digest"], "left_semi")
+    return stay.dropDuplicates(["__none", "__id", "__digest"]).select(docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
