@@ -24,13 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = written(toxicity.scored(docs, model).groupBy("doc_id").agg(F.max("score").alias("score")), "toxicity")
     known = labels.where(toxicity.calibrates(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     langs = docs.select("doc_id", "lang").distinct()
-    rows = toxicity.calibrated(scores.join(known, "doc_id").join(langs, "doc_id")).collect()  # a row per language with labels
-    by = {r.lang: r.threshold for r in rows}
-    least, lowest = F.lit(by.get(None, toxicity.THRESHOLD)), min([toxicity.THRESHOLD, *by.values()])
-    by.pop(None, None)
-    for lang, threshold in sorted(by.items()):
-        least = F.when(F.col("lang") == lang, F.lit(threshold)).otherwise(least)
-    toxic = scores.where(F.col("score") >= lowest).join(langs, "doc_id").where(F.col("score") >= least).select("doc_id").distinct()
+    by = written(toxicity.calibrated(scores.join(known, "doc_id").join(langs, "doc_id")), "thresholds")
+    together = by.where("lang IS NULL").first()  # the row of all languages
+    least = F.coalesce("threshold", F.lit(together.threshold if together else toxicity.THRESHOLD))
+    judged = scores.join(langs, "doc_id").join(by.where("lang IS NOT NULL"), "lang", "left")
+    toxic = judged.where(F.col("score") >= least).select("doc_id").distinct()
     return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -16,6 +16,7 @@ every score is the labels' mean (0.5 without any). Other columns don't matter.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -199,8 +200,20 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: s
         known = known.where(~calibrates(F.col("__id")))
     known = known.where(fold(F.col("__id")) != 2).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     sample = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
-    got = sample.select("__doc", "__text", "__toxic").toPandas().sort_values(["__doc", "__text"], na_position="first")
-    return train(got["__text"].tolist(), got["__toxic"].to_numpy(np.float64))
+    sample = sample.select("__doc", "__text", F.col("__toxic").cast("double").alias("__toxic"))
+    got = sample.repartition(1).mapInArrow(_train, "model binary").collect()  # one row; the sample is bounded
+    return pickle.loads(got[0].model) if got else train([], np.zeros(0))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task fits the model, away from the driver's memory."""
+    full = [b for b in batches if b.num_rows]
+    if full:
+        rows = pa.Table.from_batches(full).sort_by([("__doc", "ascending"), ("__text", "ascending")])
+        model = train(rows.column("__text").to_pylist(), rows.column("__toxic").to_numpy())
+    else:
+        model = train([], np.zeros(0))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
