@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellspan.llm import exact_dedup, mixing, near_dedup, substring_dedup, suffixes, toxicity
 
-from .conftest import ODD_TEXTS
+from .conftest import ODD_TEXTS, thue_morse
 
 DATA = "/root/testdata/sf0.01"
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -95,6 +95,31 @@ def test_op4_odd_rows(spark, corpus):
     assert sorted(map(tuple, got), key=repr) == plain_removed(rows)
 
 
+@pytest.mark.parametrize("order", [10, 11, 12])
+def test_op4_tells_colliding_texts_apart(spark, corpus, order):
+    one, other = thue_morse(order)
+    rows = [(1, one), (2, other), (3, one[:700] + " " + other[:900]), (4, f"q{other}"), (5, one)]
+    got = substring_dedup.op4_suffix_dedup(spark, corpus(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_removed(rows)
+
+
+def test_op4_survives_any_hash(spark, corpus, monkeypatch):
+    """With a hash that says the same of all contexts, bytes decide."""
+    monkeypatch.setattr(substring_dedup.SpanHasher, "__call__", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    rng = np.random.default_rng(6)
+    parts = ["".join(rng.choice(list("abc"), rng.integers(40, 120))) for _ in range(6)]
+    rows = [(i, "".join(parts[k] for k in rng.integers(0, 6, 4))) for i in range(30)]
+    folder = corpus(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1).select("doc_id", F.col("text").cast("binary"))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r.doc_id, "text": bytes(r.text)} for r in docs.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.binary())]))
+    data, bounds = substring_dedup.text_bytes(batch.column(1))
+    key, first, n, row = substring_dedup.anchors(data, bounds)
+    order = np.lexsort((first, key))
+    new = substring_dedup._new_content(data, key[order], np.zeros(len(key), np.uint64), first[order], n[order] + 49)
+    raw = [(int(k), data[a : a + m + 49].tobytes()) for k, a, m in zip(key[order], first[order], n[order])]
+    assert new.tolist() == [k == 0 or raw[k] != raw[k - 1] for k in range(len(raw))]
+
+
 # Exact copies
 
 
@@ -116,6 +141,16 @@ def test_op9(spark, corpus):
     assert exact_dedup.op9_exact_dedup(spark, corpus([])).count() == 0
 
 
+def test_op9_salts_of_a_hot_text(spark, corpus):
+    rows = [(k, "hot  text") for k in range(300)] + [(300 + k, f"text {k % 7}") for k in range(50)] + [(5, "hot text"), (None, "hot text")]
+    docs = spark.read.parquet(f"{corpus(rows)}/documents.parquet")
+    got = exact_dedup.decisions(docs, rows_per_salt=16).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == [0, *range(300, 307)] and len(got) == len(rows)
+    assert {(r.keep_id, r.group_size) for r in got if r.text_sha256 == hashlib.sha256(b"hot text").hexdigest()} == {(0, 302)}
+    stay = exact_dedup.deduplicated(docs)
+    assert sorted(r.doc_id for r in stay.collect()) == [0, *range(300, 307)]
+
+
 def test_exact_stage_keeps_whole_rows(spark, corpus):
     docs = spark.read.parquet(f"{corpus(ODD_TEXTS)}/documents.parquet")
     kept = exact_dedup.deduplicated(docs)
@@ -160,6 +195,32 @@ def test_op10(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == plain_near(rows, 4)
 
 
+def test_op10_tells_colliding_words_apart(spark, corpus):
+    one, other = thue_morse(11)
+    rows = [(1, one), (2, other), (3, f"{one} b c d e"), (4, f"{other} b c d e"), (5, other.upper())]
+    got = near_dedup.op10_near_dedup(spark, corpus(rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == plain_near(rows, 4)
+
+
+def test_trees_meet_as_often_as_stated():
+    """Pairs of similarity 0.8 share a node of the last depth in one of the trees with over 0.99."""
+    rng, pairs = np.random.default_rng(11), 1500
+    left = rng.integers(0, 1 << 32, (pairs, near_dedup.SKETCH)).astype(np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, left + 1).astype(np.uint32)
+
+    def below(mins):
+        roots = near_dedup._roots()
+        keys, rows = near_dedup._children(0, np.tile(roots, pairs), np.repeat(mins, len(roots), axis=0))
+        rows = rows if len(rows) == 0 else np.repeat(np.arange(pairs), len(roots))[rows]
+        for level in range(1, near_dedup.DEPTH):
+            keys, at = near_dedup._children(level, keys, mins[rows])
+            rows = rows[at]
+        return set(zip(rows.tolist(), keys.tolist()))
+
+    met = {row for row, _ in below(left) & below(right)}
+    assert len(met) >= 0.99 * pairs
+
+
 @pytest.mark.parametrize("leaf", [4, 128])
 def test_near_copies_in_dense_groups(spark, corpus, monkeypatch, leaf):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
