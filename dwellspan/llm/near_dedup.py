@@ -8,9 +8,9 @@ of every depth with at most ``LEAF`` documents are compared, only larger ones br
 similarity 0.8 so have on average one common child of a common node, and a node of a tree in common with
 probability 0.84, 0.73, 0.64, 0.58, 0.52, 0.48 at depths 1 to 6: in one of nine trees with over 0.997.
 
-Nodes that ``DEPTH`` tokens don't make small hold documents that are nearly the same; they are
-compared with their smallest id and within sub-blocks, and what is then still apart from that id's
-component is compared with the whole node, block by block.
+Large nodes that hold nearly all of their parent's documents, or that ``DEPTH`` tokens don't make small, hold
+documents that are nearly the same. They are compared with their smallest id and within sub-blocks, and what is
+then still apart from that id's component is compared with the whole node, block by block.
 
 Inside a small node all pairs are compared on sketches. First only a maximum spanning forest of the likely pairs is put
 forward and confirmed on full sets. Then the documents with likely partners in other components bring
@@ -37,7 +37,8 @@ from .shared import mixed, ranges, span_hashes, text_bytes, text_digests, text_s
 SHINGLE = 5
 PERCENT = 80
 TREES, DEPTH = 9, 6
-LEAF = 128  # documents of a node that are compared exhaustively
+LEAF = 512  # documents of a node that are compared exhaustively
+DENSE = 0.7  # share of its parent's documents from which a large node doesn't branch on: tokens don't make it small
 SKETCH = 128  # minwise values: 32 bits of each as tokens, 16 in a sketch
 TOKENS = SKETCH // DEPTH  # tokens that nodes of one depth select from
 LIKELY = 0.67  # share of equal sketch values from which a pair is confirmed on full sets: 0.80 less 3.7 deviations
@@ -286,9 +287,10 @@ def _branch(level: int):
                 lists = batch.column(1)
                 each = np.diff(lists.offsets.to_numpy())
                 tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, SKETCH)
-                keys, rows = _children(level, lists.flatten().to_numpy().view(np.uint64), np.repeat(tokens, each, axis=0))
+                node, size = (lists.flatten().field(k).to_numpy() for k in range(2))
+                keys, rows = _children(level, node.view(np.uint64), np.repeat(tokens, each, axis=0))
                 ids = np.repeat(batch.column(0).to_numpy(), each)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], ["node", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(size[rows])], ["node", "doc_id", "above"])
 
     return run
 
@@ -298,20 +300,21 @@ def nodes(reps: DataFrame) -> DataFrame:
 
     Level by level the documents of nodes that are too large branch on, one row a document with all of its
     large nodes. Leaves with the same documents (of several trees) count once."""
-    keyed = reps.select("doc_id", F.explode("nodes").alias("node"))
+    keyed = reps.select("doc_id", F.explode("nodes").alias("node"), F.lit(None).cast("long").alias("above"))
     leaves = None
+    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")
     for depth in range(1, DEPTH + 1):
-        large = (F.col("size") > LEAF) & F.lit(depth < DEPTH)
-        sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("size > 1")
+        sizes = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), members, F.max("above").alias("above")).where("size > 1")
+        large = (F.col("size") > LEAF) & F.lit(depth < DEPTH) & (F.col("above").isNull() | (F.col("size") < DENSE * F.col("above")))
         own = F.when(large, F.col("node"))  # each large node stays
-        once = sizes.groupBy("size", "members", own.alias("own")).agg(F.min("node").alias("node"))
-        level = written(keyed.join(once.select("node", "size"), "node"), f"nodes-{depth}")
-        done = level.where(~large)
+        once = sizes.groupBy("size", "members", large.alias("large"), own.alias("own")).agg(F.min("node").alias("node"))
+        level = written(keyed.select("node", "doc_id").join(once.select("node", "size", "large"), "node"), f"nodes-{depth}")
+        done = level.where("NOT large")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == DEPTH or level.where(large).isEmpty():
+        if depth == DEPTH or level.where("large").isEmpty():
             break
-        above = level.where(large).groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
-        keyed = written(above.join(reps.select("doc_id", "tokens"), "doc_id").mapInArrow(_branch(depth), "node long, doc_id long"), f"level-{depth}")
+        above = level.where("large").groupBy("doc_id").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
+        keyed = written(above.join(reps.select("doc_id", "tokens"), "doc_id").mapInArrow(_branch(depth), "node long, doc_id long, above long"), f"level-{depth}")
     return leaves.select("node", "doc_id", "size").withColumn("dense", F.col("size") > LEAF)
 
 
@@ -362,17 +365,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
     labelled = written(blocks.where("size > 2").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-    # Of a dense node, what is apart from its smallest id's component meets every sub-block: the visitors, too, come
-    # in blocks, so a group holds two blocks whatever the node's size.
+    # Of a dense node, what is apart from its smallest id's component meets every other sub-block: these visitors, too,
+    # come in blocks, so a group holds two blocks whatever the node's size.
     dense = labelled.where("dense")
     lead = dense.groupBy("node").agg(F.min_by("label", "doc_id").alias("lead"))
-    rest = written(dense.join(lead, "node").where("label <> lead").select("node", F.col("block").alias("visitors"), "doc_id", "label"), "rest")
-    there = dense.select("node", "block").distinct()
-    meeting = rest.select("node", "visitors").distinct().join(there, "node").where("visitors <> block")
-    wide = F.col("block") * F.lit(1 << 31) + F.col("visitors")  # one number for a pair of blocks
-    hosts = dense.select("node", "block", "doc_id", "label").join(meeting, ["node", "block"]).select("node", wide.alias("block"), "doc_id", "label")
-    guests = rest.join(there, "node").where("visitors <> block").select("node", wide.alias("block"), "doc_id", "label")
-    own = labelled.select("node", (F.col("block") * F.lit(1 << 31) + F.col("block")).alias("block"), "doc_id", "label")
+    rest = dense.join(lead, "node").where("label <> lead").select("node", F.col("block").alias("home"), "doc_id", "label")
+    many = rest.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / LEAF).alias("many"))
+    rest = written(rest.join(many, "node").withColumn("visitors", F.pmod(F.xxhash64("doc_id"), F.col("many")) + 1), "rest")
+    wide = (F.col("block") * F.lit(1 << 31) + F.col("visitors")).alias("block")  # one number for a sub-block and its visitors, 0: none
+    hosts = dense.select("node", "block", "doc_id", "label").join(rest.select("node", "visitors").distinct(), "node").select("node", wide, "doc_id", "label")
+    guests = rest.join(dense.select("node", "block").distinct(), "node").where("home <> block").select("node", wide, "doc_id", "label")
+    own = labelled.select("node", (F.col("block") * F.lit(1 << 31)).alias("block"), "doc_id", "label")
     members = written(own.unionByName(hosts).unionByName(guests), "members")
     mixed_nodes = members.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     apart = written(_by_node(members.join(mixed_nodes, ["node", "block"], "left_semi").join(sketches, "doc_id"), _rows_apart, MEMBER), "apart")

@@ -221,7 +221,7 @@ def test_trees_meet_as_often_as_stated():
     assert len(met) >= 0.99 * pairs
 
 
-@pytest.mark.parametrize("leaf", [4, 128])
+@pytest.mark.parametrize("leaf", [4, 512])
 def test_near_copies_in_dense_groups(spark, corpus, monkeypatch, leaf):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
     rng = np.random.default_rng(8)
