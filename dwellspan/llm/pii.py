@@ -76,7 +76,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Candidate segments and their features
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]", re.UNICODE)
-STRETCH = re.compile(r"[^\s@]*@[^\s@]*|\S+ ?[\[(][aA][tT][\])] ?\S+(?: ?[\[(][dD][oO][tT][\])] ?\S+)*|(?:[+(]{0,2}[0-9][0-9().+/-]*[ ]?)*[+(]{0,2}[0-9][0-9().+/-]*")
+BREAK = re.compile(r"[\s@]")
+AT = re.compile(r"[\[(][aA][tT][\])]")
+SPELLED = re.compile(r"\S+ ?[\[(][aA][tT][\])] ?\S+(?: ?[\[(][dD][oO][tT][\])] ?\S+)*")
+NUMBERS = re.compile(r"(?:[+(]{0,2}[0-9][0-9().+/-]*[ ]?)*[+(]{0,2}[0-9][0-9().+/-]*")
+MOST_CHARACTERS = 400  # of a segment of several tokens
+STEP = 512  # tokens whose candidates are held at a time
+
+
+def _run_start(text: str, at: int, free: int, stop: str) -> int:
+    """Where the run of characters that are neither blank nor ``stop`` begins that ends before ``at``."""
+    while at > free and not text[at - 1].isspace() and text[at - 1] != stop:
+        at -= 1
+    return at
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text that may hold an entity, leftmost first: an address's run around its ``@``, one spelled out
+    around its ``(at)``, digits with what joins them. Each part grows from its mark, so no run is read again."""
+
+    def with_at(free: int):
+        k = text.find("@", free)
+        if k < 0:
+            return None
+        end = BREAK.search(text, k + 1)
+        return _run_start(text, k, free, "@"), end.start() if end else len(text)
+
+    def spelled(free: int):
+        for mark in AT.finditer(text, free):
+            k = mark.start()
+            k = k - 1 if k > free and text[k - 1] == " " else k
+            start = _run_start(text, k, free, "")
+            if start < k and (m := SPELLED.match(text, start)):
+                return m.span()
+        return None
+
+    def numbers(free: int):
+        m = NUMBERS.search(text, free)
+        return m.span() if m else None
+
+    free, ways = 0, (with_at, spelled, numbers)
+    ahead = [way(0) for way in ways]
+    while any(ahead):
+        a, b = min((x for x in ahead if x), key=lambda x: x[0])
+        yield a, b
+        free = max(b, free + 1)
+        ahead = [way(free) if x and x[0] < free else x for way, x in zip(ways, ahead)]
+
 
 _SHAPES = [
     re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+", re.ASCII),
@@ -118,13 +164,13 @@ def features(text: str, a: int, b: int, n_tokens: int) -> list[int]:
     return on + [rest + k for k, yes in enumerate(marks) if yes]
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Segments (first token, length) and their 0/1 feature rows."""
+def candidates(text: str, tokens: list[tuple[int, int]], first: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Segments (first token, length) that begin at tokens ``first`` to ``stop`` and their 0/1 feature rows."""
     spans, rows = [], []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if stop is None else min(stop, len(tokens))):
         for n in range(1, min(LONGEST, len(tokens) - i) + 1):
             a, b = tokens[i][0], tokens[i + n - 1][1]
-            if n > 1 and (tokens[i + n - 1][0] - tokens[i + n - 2][1] > 1 or "\n" in text[tokens[i + n - 2][1] : tokens[i + n - 1][0]]):
+            if n > 1 and (b - a > MOST_CHARACTERS or tokens[i + n - 1][0] - tokens[i + n - 2][1] > 1 or "\n" in text[tokens[i + n - 2][1] : tokens[i + n - 1][0]]):
                 break
             spans.append((i, n))
             rows.append(features(text, a, b, n))
@@ -142,21 +188,22 @@ def scores(weights: np.ndarray, x: np.ndarray, spans: list[tuple[int, int]]) ->
 
 
 def decode(weights: np.ndarray, text: str, tokens: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """The best segmentation's entities."""
-    spans, x = candidates(text, tokens)
-    s = scores(weights, x, spans)
-    best, pick = np.full(len(tokens) + 1, -np.inf), [None] * (len(tokens) + 1)
+    """The best segmentation's entities. Candidates are scored ``STEP`` tokens at a time."""
+    best, pick = np.full(len(tokens) + 1, -np.inf), [(0, 0)] * (len(tokens) + 1)
     best[0] = 0.0
-    label, top = s.argmax(1), s.max(1)
-    for k, (i, n) in enumerate(spans):  # by first token: best[i] is final
-        if best[i] + top[k] > best[i + n]:
-            best[i + n], pick[i + n] = best[i] + top[k], k
+    for at in range(0, len(tokens), STEP):
+        spans, x = candidates(text, tokens, at, at + STEP)
+        s = scores(weights, x, spans)
+        label, top = s.argmax(1).tolist(), s.max(1).tolist()
+        for k, (i, n) in enumerate(spans):  # by first token: best[i] is final
+            if best[i] + top[k] > best[i + n]:
+                best[i + n], pick[i + n] = best[i] + top[k], (n, label[k])
     out, j = [], len(tokens)
     while j:
-        i, n = spans[pick[j]]
-        if label[pick[j]]:
-            out.append((LABELS[label[pick[j]]], tokens[i][0], tokens[i + n - 1][1]))
-        j = i
+        n, label = pick[j]
+        if label:
+            out.append((LABELS[label], tokens[j - n][0], tokens[j - 1][1]))
+        j -= n
     return out[::-1]
 
 
@@ -262,12 +309,13 @@ def default_weights() -> np.ndarray:
 def field_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
     """The field's entities over a whole text."""
     out, done = [], 0
-    for m in STRETCH.finditer(text):
-        if "@" not in m[0] and "at" not in m[0].lower() and sum(c in "0123456789" for c in m[0]) < 7 and m[0].count(".") < 3:
+    for start, stop in stretches(text):
+        part = text[start:stop]
+        if "@" not in part and "at" not in part.lower() and sum(c in "0123456789" for c in part) < 7 and part.count(".") < 3:
             continue
-        a = max(done, m.start() - 24)
-        around = [t.span() for t in TOKEN.finditer(text, a, min(len(text), m.end() + 24))]
-        inner = [k for k, (x, y) in enumerate(around) if y > m.start() and x < m.end()]
+        a = max(done, start - 24)
+        around = [t.span() for t in TOKEN.finditer(text, a, min(len(text), stop + 24))]
+        inner = [k for k, (x, y) in enumerate(around) if y > start and x < stop]
         if not inner:
             continue
         tokens = around[max(0, inner[0] - CONTEXT) : inner[-1] + 1 + CONTEXT]
@@ -275,7 +323,7 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
             tokens = tokens[1:]
         found = decode(weights, text, tokens)
         out += [s for s in found if s[1] >= done]
-        done = max([done, m.start(), *(b for _, _, b in found)])
+        done = max([done, start, *(b for _, _, b in found)])
     return out
 
 
