@@ -13,8 +13,9 @@ type. Repeated rows are independent. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import bisect
 import functools
-import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import text_slices, written
 
 BLOCK = 576
 SAMPLE_RATE = 8000
 DECLARED = "application/octet-stream"
+PIECE = 1 << 16  # bytes that are inflated at a time
 SLICE = 1 << 20  # bytes that are worked on at a time
 
 #: The formats' published signatures.
@@ -130,6 +132,18 @@ def _gif(b: bytes, at: int) -> tuple[int, int, int] | None:
     return None
 
 
+@functools.lru_cache(maxsize=4)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """All places of a trailer: looked for once in a blob, however many magics it holds."""
+    return [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", b)]
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int | None:
+    places = _places(b, mark)
+    k = bisect.bisect_left(places, at)
+    return places[k] if k < len(places) else None
+
+
 def _jpeg(b: bytes, at: int) -> tuple[int, int, int] | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
@@ -138,19 +152,21 @@ def _jpeg(b: bytes, at: int) -> tuple[int, int, int] | None:
             return None
         p += 2 + size
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p)
-            return (end + 2, p, end) if end >= 0 else None
+            end = _next(b, b"\xff\xd9", p)
+            return (end + 2, p, end) if end is not None else None
     return None
 
 
 def _gzip(b: bytes, at: int) -> tuple[int, int, int] | None:
     try:
-        unpack = zlib.decompressobj(31)
-        rest = b[at:]
-        while rest and not unpack.eof:
-            unpack.decompress(rest, 1 << 20)
-            rest = unpack.unconsumed_tail or (unpack.unused_data if unpack.eof else b"")
-        end = len(b) - len(unpack.unused_data)
+        unpack, view, p = zlib.decompressobj(31), memoryview(b), at
+        while p < len(b) and not unpack.eof:
+            part = view[p : p + PIECE]
+            p += len(part)
+            while len(part) and not unpack.eof:
+                unpack.decompress(part, 1 << 20)
+                part = unpack.unconsumed_tail
+        end = p - len(unpack.unused_data)
         return (end, at + 10, end - 8) if unpack.eof else None
     except zlib.error:
         return None
@@ -166,8 +182,11 @@ def _zip(b: bytes, at: int) -> tuple[int, int, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[int, int, int] | None:
-    end = b.find(b"%%EOF", at)
-    return (end + 5, at + 8, end) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    end = _next(b, b"%%EOF", at)
+    if end is None:
+        return None
+    table = _next(b, b"startxref", at)
+    return (end + 5, at + 8, end) if table is not None and table + 9 <= end else None
 
 
 VALIDATORS = {"audio/wav": _wav, "image/bmp": _bmp, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/gzip": _gzip, "application/zip": _zip, "application/pdf": _pdf}
@@ -258,23 +277,22 @@ def sniffed(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: st
     return media.select(*keep, media_col, declared_col).mapInArrow(look, f"{schema}, type string, corrected boolean, body binary, carved {CARVED}, features string")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``stored`` and ``sniffed`` in one pass, slice by slice, with digests in place of the bytes."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", SLICE):
-            rows = []
-            for doc_id, n_bytes, declared, blob in zip(*(c.to_pylist() for c in _encoded(part).columns)):
-                kind, _, body, carved, found = examined(blob, declared)
-                line = ",".join(f"{c['type']}:{c['start']}:{c['end']}" for c in carved)
-                rows.append((doc_id, n_bytes, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{found};carved={line}"))
-            types = [pa.string() if c.endswith("string") else pa.int64() for c in DIGESTS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [c.split()[0] for c in DIGESTS.split(", ")])
-
-    return _bytes(docs, id_col, text_col).mapInArrow(both, DIGESTS)
+    """What sniffing finds in the stored media, as lengths and digests: the media table is written and read back."""
+    media = written(stored(docs, id_col, text_col), "media")
+    media = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media", "declared_type")
+    found = sniffed(media, ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    carved = F.concat_ws(",", F.transform("carved", lambda c: F.concat_ws(":", c["type"], c["start"], c["end"])))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.sha2("body", 256).alias("payload_sha256"),
+        F.crc32(F.substring("body", -32, 32)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat("type", F.lit(";"), "features", F.lit(";carved="), carved).alias("feature"),
+    )
 
 
 _CARVED = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
