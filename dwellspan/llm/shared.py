@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import tempfile
 import uuid
 
@@ -36,11 +37,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/dwellspan/{name}-{uuid.uuid4().hex}"
 
 
+_tables = itertools.count(1)
+COLLECT_EVERY = 5  # tables
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    After every few tables the driver's JVM is asked to collect garbage: Spark drops the shuffle files of ended
+    jobs on the executors only once their handles are collected, and the driver's heap doesn't grow meanwhile."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    if next(_tables) % COLLECT_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
