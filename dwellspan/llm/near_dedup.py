@@ -277,6 +277,12 @@ def _by_node(members: DataFrame, of_nodes, schema: str, *more: str) -> DataFrame
     return rows.repartition("node", "block").sortWithinPartitions("node", "block", "doc_id").mapInArrow(run, schema)
 
 
+def _with_sketch(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """``members`` (node, block, doc_id, label) with sketches, which each document brings once for all of its nodes."""
+    places = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "block", "label")).alias("places"))
+    return places.join(reps.select("doc_id", "sketch"), "doc_id").select("doc_id", "sketch", F.inline("places"))
+
+
 PAIR, MEMBER = "u long, v long", "node long, block long, doc_id long, label long, sketch binary"
 
 
@@ -351,13 +357,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     reps = some.join(classes.where("rep IS NOT NULL"), "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"])
     reps = written(reps.select("doc_id", "nodes", "tokens", "sketch"), "representatives")
     leaves = nodes(reps)
-    sketches = reps.select("doc_id", "sketch")
     # Dense nodes: everything with the smallest id; sub-blocks stand in for the node below.
     least = leaves.where("dense").groupBy("node").agg(F.min("doc_id").alias("u"))
     stars = leaves.where("dense").join(least, "node").where("u <> doc_id").select("u", F.col("doc_id").alias("v"))
     block = F.when(F.col("dense"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LEAF))).otherwise(0).cast("long")
     blocks = leaves.withColumn("block", block)
-    forest = _by_node(blocks.join(sketches, "doc_id").withColumn("label", F.lit(0).cast("long")), _likely_pairs, PAIR)
+    forest = _by_node(_with_sketch(blocks.withColumn("label", F.lit(0).cast("long")), reps), _likely_pairs, PAIR)
     texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     tried = written(forest.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     links = written(confirmed(tried, texts, words, percent), "links")
@@ -378,7 +383,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     own = labelled.select("node", (F.col("block") * F.lit(1 << 31)).alias("block"), "doc_id", "label")
     members = written(own.unionByName(hosts).unionByName(guests), "members")
     mixed_nodes = members.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = written(_by_node(members.join(mixed_nodes, ["node", "block"], "left_semi").join(sketches, "doc_id"), _rows_apart, MEMBER), "apart")
+    apart = written(_by_node(_with_sketch(members.join(mixed_nodes, ["node", "block"], "left_semi"), reps), _rows_apart, MEMBER), "apart")
     more = _by_node(apart.join(full_sets(apart.select("doc_id"), texts, words), "doc_id"), _joining_pairs(percent), PAIR, "set")
     more = written(more.distinct(), "links")
     if not more.isEmpty():
