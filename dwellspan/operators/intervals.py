@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .matching import overlap_join
+
 
 def islands(df: DataFrame, key: list[str], order: list, starts_new: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows within ``key``; ``starts_new`` may use window functions over the same order."""
@@ -49,7 +51,7 @@ def uncovered(wanted: DataFrame, covering: DataFrame, key: list[str]) -> DataFra
     """Per wanted interval (with an id in ``key``) what no covering interval of the key overlaps: the
     covering rows are clipped to it, merged, and the gaps between them are returned."""
     c = covering.select(*key, F.col("start_us").alias("c_start"), F.col("end_us").alias("c_end"))
-    hit = wanted.join(c.where("c_end > c_start"), key).where("c_start < end_us AND c_end > start_us")
+    hit = overlap_join(wanted, c.where("c_end > c_start"), key, ("start_us", "end_us"), ("c_start", "c_end")).where("c_start < end_us AND c_end > start_us")
     span = [*key, "start_us", "end_us"]
     part = hit.select(*span, F.greatest("c_start", "start_us").alias("c_start"), F.least("c_end", "end_us").alias("c_end"))
     part = part.unionByName(wanted.select(*span, F.col("end_us").alias("c_start"), F.col("end_us").alias("c_end")))

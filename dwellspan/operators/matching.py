@@ -27,11 +27,20 @@ def first_match(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def as_of(probes: DataFrame, facts: DataFrame, key: list[str], at: str, value: Column, forward: bool = False, name: str = "found") -> DataFrame:
-    """For each probe the last fact at or before it (``forward``: the first after it), by one sort of both together."""
+def as_of(probes: DataFrame, facts: DataFrame, key: list[str], at: str, value: Column, forward: bool = False, name: str = "found", width_us: int = DAY) -> DataFrame:
+    """For each probe the last fact at or before it (``forward``: the first after it).
+
+    Both are sorted together inside time buckets of a key, so a key's history isn't one task; what the buckets
+    before (``forward``: after) hold comes in from one row for each bucket."""
     p = probes.select(*key, F.col(at).alias("__at"), F.lit(1).alias("__probe"), F.struct(*[c for c in probes.columns if c not in key]).alias("__row"), F.lit(None).cast(facts.select(value.alias("v")).schema[0].dataType).alias("__value"))
     f = facts.select(*key, F.col(at).alias("__at"), F.lit(0).alias("__probe"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), value.alias("__value"))
-    w = W.partitionBy(*key).orderBy("__at", "__probe")
-    frame = w.rowsBetween(0, W.unboundedFollowing) if forward else w.rowsBetween(W.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)("__value", ignorenulls=True).over(frame)
-    return p.unionByName(f).withColumn(name, pick).where("__probe = 1").select(*key, "__row.*", name)
+    rows = p.unionByName(f).withColumn("__bucket", F.floor(F.col("__at") / width_us))
+    edge = F.min_by if forward else F.max_by
+    ends = rows.groupBy(*key, "__bucket").agg(edge(F.when(F.col("__probe") == 0, F.col("__value")), F.when((F.col("__probe") == 0) & F.col("__value").isNotNull(), F.col("__at"))).alias("__end"))
+    turn = (lambda c: F.desc(c)) if forward else F.col
+    before = W.partitionBy(*key).orderBy(turn("__bucket")).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*key, "__bucket", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    inside = W.partitionBy(*key, "__bucket").orderBy(turn("__at"), turn("__probe")).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("__found", F.last("__value", ignorenulls=True).over(inside)).where("__probe = 1")
+    out = found.join(carried, [*key, "__bucket"], "left")
+    return out.select(*key, "__row.*", F.coalesce("__found", "__carried").alias(name))

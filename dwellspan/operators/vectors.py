@@ -38,6 +38,59 @@ def best_two(scores: DataFrame, probe: list[str], label: str, score: str) -> Dat
     return rows.select(*probe, F.col(label).alias("best_label"), "top", F.when(F.col("second").isNull(), F.col("top") + 1).otherwise(F.col("top") - F.col("second")).alias("margin"))
 
 
+BLOCK = 2048  # vectors of a side that meet in one group
+
+
+def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, rows: int = BLOCK) -> DataFrame:
+    """``reduce(probes, references, similarities)`` over all pairs of blocks: a group holds one block of each side
+    (``embedding``, ``ref``) and one matrix product, and only what ``reduce`` keeps of it leaves the task.
+
+    Null vectors and those of another length are at -1 from all, as in ``dot``; similarities have six places."""
+    sides = [(df, -(-df.count() // rows)) for df in (probes, references)]
+    if not all(n for _, n in sides):
+        return probes.sparkSession.createDataFrame([], schema)
+    (p, n_p), (r, n_r) = sides
+    place = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+    p = p.withColumn("__p", place(p, n_p)).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+    r = r.withColumn("__r", place(r, n_r)).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
+
+    def run(a, b):
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({c.strip().split()[0]: [] for c in schema.split(",")})
+        x, n_x = _matrix(a["embedding"])
+        y, n_y = _matrix(b["ref"])
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
+        sims = np.round(x @ y.T, 6) + 0.0
+        sims[n_x[:, None] != n_y[None, :]] = -1.0
+        return reduce(a, b, sims)
+
+    return p.groupBy("__p", "__r").cogroup(r.groupBy("__p", "__r")).applyInPandas(run, schema)
+
+
+def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([-1 if v is None else len(v) for v in vectors])
+    out = np.zeros((len(lengths), max(0, lengths.max(initial=0))))
+    for k, v in enumerate(vectors):
+        if v is not None:
+            out[k, : len(v)] = v
+    return out, lengths
+
+
+def tops_by_label(a, b, sims):
+    """Each probe's highest similarity to each label of the block."""
+    import pandas as pd
+
+    order = np.argsort(b["person"].to_numpy(), kind="stable")
+    person = b["person"].to_numpy()[order]
+    head = np.flatnonzero(np.concatenate(([True], person[1:] != person[:-1])))
+    top = np.maximum.reduceat(sims[:, order], head, axis=1)
+    n = len(head)
+    return pd.DataFrame({"vec_id": np.repeat(a["vec_id"].to_numpy(), n), "label": np.repeat(a["label"].to_numpy(), n), "person": np.tile(person[head], len(a)), "sim": top.ravel()})
+
+
 def verdict(threshold: float, least_margin: float) -> Column:
     return F.when(F.col("top") < threshold, "below_threshold").when(F.col("margin") < least_margin, "margin_too_narrow").otherwise("match")
 

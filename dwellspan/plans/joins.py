@@ -156,12 +156,12 @@ def j19_same_camera(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PRESENCE}, p AS (SELECT event_id, user_id AS person_id, epoch_us(ts) AS at_us FROM events WHERE event_id % 3 = 0), h AS (SELECT event_id, min(interval_id) AS inside FROM p JOIN iv USING (person_id) WHERE start_us < at_us AND at_us <= end_us AND interval_id <> event_id GROUP BY event_id)
+    f"""WITH {PRESENCE}, p AS (SELECT event_id, user_id AS person_id, epoch_us(ts) AS at_us FROM events), h AS (SELECT event_id, min(interval_id) AS inside FROM p JOIN iv USING (person_id) WHERE start_us < at_us AND at_us <= end_us AND interval_id <> event_id GROUP BY event_id)
 SELECT p.event_id, inside FROM p LEFT JOIN h USING (event_id)"""
 )
 def j20_point_in_presence(spark, sf_dir):
-    """The first other interval of the person that a moment lies in."""
-    return points_in_presence(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+    """The first other interval of the person that an event's moment lies in."""
+    return points_in_presence(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
 @query(
@@ -169,8 +169,7 @@ def j20_point_in_presence(spark, sf_dir):
 SELECT p.event_id, inside FROM p LEFT JOIN h USING (event_id)"""
 )
 def j20_point_in_presence_whole(spark, sf_dir):
-    """The same for the moments of all events."""
-    return points_in_presence(spark, sf_dir, table(spark, sf_dir, "events"))
+    return j20_point_in_presence(spark, sf_dir)
 
 
 def points_in_presence(spark, sf_dir, events):
@@ -180,16 +179,9 @@ def points_in_presence(spark, sf_dir, events):
     return points.select("event_id").join(hit, "event_id", "left")
 
 
-_HOURS = "g AS (SELECT unnest(generate_series(1704067200000000, 1704672000000000, 3600000000)) AS at_us), c AS (SELECT DISTINCT camera_id FROM iv)"
 _OWN_HOURS = f"c AS (SELECT camera_id, unnest(generate_series(min(start_us) // {HOUR} * {HOUR}, max(start_us) // {HOUR} * {HOUR} + {HOUR}, {HOUR})) AS at_us FROM iv GROUP BY camera_id)"
 
 
-def week_hours(spark, facts):
-    """Each camera with each full hour of a fixed week."""
-    hours = spark.range(1704067200000000, 1704672000000001, 3600000000).select(F.col("id").alias("at_us"))
-    return facts.select("camera_id").distinct().crossJoin(F.broadcast(hours))
-
-
 def own_hours(spark, facts):
     """Each camera with each full hour around its own frames."""
     hour = lambda c: F.floor(F.col(c) / HOUR) * HOUR
@@ -199,12 +191,12 @@ def own_hours(spark, facts):
 
 
 @query(
-    f"""WITH {PRESENCE}, {_HOURS}, b AS (SELECT camera_id, at_us, max(start_us) FILTER (start_us <= at_us) AS before, min(start_us) FILTER (start_us > at_us) AS after FROM g, c JOIN iv USING (camera_id) GROUP BY ALL)
+    f"""WITH {PRESENCE}, {_OWN_HOURS}, b AS (SELECT camera_id, at_us, max(start_us) FILTER (start_us <= at_us) AS before, min(start_us) FILTER (start_us > at_us) AS after FROM c JOIN iv USING (camera_id) GROUP BY ALL)
 SELECT camera_id, at_us, before, after, CASE WHEN before IS NULL THEN after WHEN after IS NULL OR at_us - before <= after - at_us THEN before ELSE after END AS nearest FROM b"""
 )
 def j22_nearest(spark, sf_dir):
-    """The frames around each full hour and the nearer one; ties go to the earlier."""
-    return nearest_frames(spark, sf_dir, week_hours)
+    """The frames around each full hour of a camera's frames and the nearer one; ties go to the earlier."""
+    return nearest_frames(spark, sf_dir, own_hours)
 
 
 @query(
@@ -212,8 +204,7 @@ def j22_nearest(spark, sf_dir):
 SELECT camera_id, at_us, before, after, CASE WHEN before IS NULL THEN after WHEN after IS NULL OR at_us - before <= after - at_us THEN before ELSE after END AS nearest FROM b"""
 )
 def j22_nearest_whole(spark, sf_dir):
-    """The same for all hours of each camera's frames."""
-    return nearest_frames(spark, sf_dir, own_hours)
+    return j22_nearest(spark, sf_dir)
 
 
 def nearest_frames(spark, sf_dir, hours):
@@ -226,12 +217,12 @@ def nearest_frames(spark, sf_dir, hours):
 
 
 @query(
-    f"""WITH {PRESENCE}, {_HOURS}, b AS (SELECT camera_id, at_us, arg_max(minutes, (start_us, interval_id)) FILTER (start_us <= at_us) AS v0, max(start_us) FILTER (start_us <= at_us) AS t0, arg_min(minutes, (start_us, interval_id)) FILTER (start_us > at_us) AS v1, min(start_us) FILTER (start_us > at_us) AS t1 FROM g, c JOIN iv USING (camera_id) GROUP BY ALL)
+    f"""WITH {PRESENCE}, {_OWN_HOURS}, b AS (SELECT camera_id, at_us, arg_max(minutes, (start_us, interval_id)) FILTER (start_us <= at_us) AS v0, max(start_us) FILTER (start_us <= at_us) AS t0, arg_min(minutes, (start_us, interval_id)) FILTER (start_us > at_us) AS v1, min(start_us) FILTER (start_us > at_us) AS t1 FROM c JOIN iv USING (camera_id) GROUP BY ALL)
 SELECT camera_id, at_us, round(CASE WHEN t1 - t0 > {HOUR} THEN CASE WHEN at_us - t0 <= t1 - at_us THEN v0 ELSE v1 END ELSE v0 + (v1 - v0) * (at_us - t0) / (t1 - t0) END, 6) AS value FROM b WHERE t0 IS NOT NULL AND t1 IS NOT NULL"""
 )
 def p41_interpolation(spark, sf_dir):
     """Linear interpolation between the frames around a moment; across long gaps the nearer frame."""
-    return interpolated(spark, sf_dir, week_hours)
+    return interpolated(spark, sf_dir, own_hours)
 
 
 @query(
@@ -239,8 +230,7 @@ def p41_interpolation(spark, sf_dir):
 SELECT camera_id, at_us, round(CASE WHEN t1 - t0 > {HOUR} THEN CASE WHEN at_us - t0 <= t1 - at_us THEN v0 ELSE v1 END ELSE v0 + (v1 - v0) * (at_us - t0) / (t1 - t0) END, 6) AS value FROM b WHERE t0 IS NOT NULL AND t1 IS NOT NULL"""
 )
 def p41_interpolation_whole(spark, sf_dir):
-    """The same for all hours of each camera's frames."""
-    return interpolated(spark, sf_dir, own_hours)
+    return p41_interpolation(spark, sf_dir)
 
 
 def interpolated(spark, sf_dir, hours):

@@ -142,22 +142,23 @@ def t3_page(spark, sf_dir):
     return page.crossJoin(F.broadcast(total)).select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "total")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice, o_orderkey) AS rank FROM orders WHERE o_orderkey % 50 = 0 ORDER BY rank LIMIT 200")
-def t5_severity(spark, sf_dir):
-    """Ranked by severity of status, then by what remains."""
-    severity = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").orderBy(severity, "o_totalprice", "o_orderkey").limit(200)
-    return rows.select("o_orderkey", F.row_number().over(W.orderBy(severity, "o_totalprice", "o_orderkey")).cast("long").alias("rank"))
+_SEVERITY = "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice, o_orderkey) AS rank FROM orders"
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice, o_orderkey) AS rank FROM orders")
-def t5_severity_whole(spark, sf_dir):
-    """The ranks of all orders: a range sort, then each partition's rows count on from those before it."""
+@query(_SEVERITY)
+def t5_severity(spark, sf_dir):
+    """All orders ranked by severity of status, then by what remains: a range sort, then each partition's rows
+    count on from those before it."""
     severity = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
     rows = table(spark, sf_dir, "orders").orderBy(severity, "o_totalprice", "o_orderkey").select("o_orderkey")
     return rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("o_orderkey long, rank long")
 
 
+@query(_SEVERITY)
+def t5_severity_whole(spark, sf_dir):
+    return t5_severity(spark, sf_dir)
+
+
 @query("WITH u AS (SELECT 'event' AS kind, event_id AS id, epoch_us(ts) AS at_us FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'correction', o_orderkey, epoch_us(o_orderdate) + 800000000000000 FROM orders WHERE o_orderstatus = 'P') SELECT kind, id, at_us FROM u ORDER BY at_us DESC, kind, id LIMIT 100")
 def t6_recent(spark, sf_dir):
     """Events and corrections together, the last hundred."""
@@ -179,16 +180,18 @@ def p5_search(spark, sf_dir):
     return search(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "R#00000001", ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey")
 
 
-@query("SELECT event_id, CASE WHEN regexp_matches(props, '\"(k|limit|allowance)\"\\s*:') THEN 'k' ELSE '' END AS leaked FROM events WHERE event_id < 500")
+_LEAKS = "SELECT event_id, CASE WHEN regexp_matches(props, '\"(k|limit|allowance)\"\\s*:') THEN 'k' ELSE '' END AS leaked FROM events"
+
+
+@query(_LEAKS)
 def p33_policy_keys(spark, sf_dir):
     """JSON keys at any depth that a denylist names."""
-    return p33_policy_keys_whole(spark, sf_dir).where("event_id < 500")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(keys_matching("props", r"k|limit|allowance"), ",").alias("leaked"))
 
 
-@query("SELECT event_id, CASE WHEN regexp_matches(props, '\"(k|limit|allowance)\"\\s*:') THEN 'k' ELSE '' END AS leaked FROM events")
+@query(_LEAKS)
 def p33_policy_keys_whole(spark, sf_dir):
-    """The same for all events."""
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(keys_matching("props", r"k|limit|allowance"), ",").alias("leaked"))
+    return p33_policy_keys(spark, sf_dir)
 
 
 @query("WITH c AS (SELECT event_id, event_id % 90 AS m, event_id % 60 AS s FROM events) SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN m * 60 + s WHEN 1 THEN s + 0.5 WHEN 2 THEN 3600 + m * 60 + s END AS DOUBLE) AS seconds FROM c")

@@ -1,8 +1,10 @@
-"""Queries of vector matching. Galleries are taken as bounded tables (references of enrolled persons); nothing
-checks the bound: each probe meets each reference in a cross join, and Spark broadcasts a side only under its own size threshold."""
+"""Queries of vector matching. Probes and references meet in blocks, one matrix product a pair of blocks; only
+each probe's best by label, counts or true matches leave a block."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,14 +23,13 @@ def queries_and_references(spark, sf_dir):
     return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref"))
 
 
-def dimensions(spark, sf_dir) -> int | None:
-    first = table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()
-    return first[0] if first else None
+TOPS = "vec_id long, label long, person long, sim double"
 
 
-def similarities(spark, sf_dir):
-    q, r = queries_and_references(spark, sf_dir)
-    return q.join(r).select("vec_id", "label", "ref_id", "person", F.round(vx.dot("embedding", "ref", dimensions(spark, sf_dir)), 6).alias("sim"))
+def tops(spark, sf_dir):
+    """Per probe and label the highest similarity."""
+    rows = vx.in_blocks(*queries_and_references(spark, sf_dir), vx.tops_by_label, TOPS)
+    return rows.groupBy("vec_id", "label", "person").agg(F.max("sim").alias("sim"))
 
 
 @query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}), 5) AS norm, round(embedding[1]::DOUBLE / sqrt({DOT.format('embedding', 'embedding')}), 5) AS first FROM embeddings")
@@ -44,32 +45,53 @@ SELECT vec_id, label, best_label, top, round(margin, 5) AS margin, CASE WHEN top
 )
 def v3_match_margin(spark, sf_dir):
     """Per-person maxima, threshold and margin."""
-    best = vx.best_two(similarities(spark, sf_dir), ["vec_id", "label"], "person", "sim").withColumn("margin", F.round("margin", 5))
+    best = vx.best_two(tops(spark, sf_dir), ["vec_id", "label"], "person", "sim").withColumn("margin", F.round("margin", 5))
     return best.withColumn("verdict", vx.verdict(0.37, 0.06))
 
 
 @query(f"WITH {SIMS}, p AS (SELECT vec_id, label, person, max(sim) AS top FROM s WHERE person <> label GROUP BY ALL) SELECT vec_id, max(top) AS top, arg_max(person, (top, -person)) AS other FROM p GROUP BY vec_id")
 def v4_best_other(spark, sf_dir):
     """The most similar other person of each probe."""
-    per = similarities(spark, sf_dir).where("person <> label").groupBy("vec_id", "person").agg(F.max("sim").alias("top"))
+    per = tops(spark, sf_dir).where("person <> label").select("vec_id", "person", F.col("sim").alias("top"))
     return per.groupBy("vec_id").agg(F.max("top").alias("top"), F.max_by("person", F.struct("top", -F.col("person"))).alias("other"))
 
 
-@query(f"WITH a AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id < 200), s AS (SELECT x.label AS a, y.label AS b, round(max({DOT.format('x.embedding', 'y.embedding')}), 6) AS sim FROM a x, a y WHERE x.label < y.label GROUP BY ALL) SELECT a, b, sim FROM s")
+_SETS = f"SELECT x.label AS a, y.label AS b, round(max(round({DOT.format('x.embedding', 'y.embedding')}, 6)), 6) AS sim FROM embeddings x, embeddings y WHERE x.label < y.label GROUP BY ALL"
+
+
+@query(_SETS)
 def v8_set_similarity(spark, sf_dir):
-    """The highest similarity between the vectors of two persons (of the first sessions)."""
-    return set_similarities(spark, sf_dir, table(spark, sf_dir, "embeddings").where("vec_id < 200"))
+    """The highest similarity between the vectors of two persons, over the whole gallery."""
+    e = table(spark, sf_dir, "embeddings")
+    every = vx.in_blocks(e.select("vec_id", "label", "embedding"), e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref")), vx.tops_by_label, TOPS)
+    return every.where("label < person").groupBy(F.col("label").alias("a"), F.col("person").alias("b")).agg(F.max("sim").alias("sim"))
 
 
-@query(f"SELECT x.label AS a, y.label AS b, round(max({DOT.format('x.embedding', 'y.embedding')}), 6) AS sim FROM embeddings x, embeddings y WHERE x.label < y.label GROUP BY ALL")
+@query(_SETS)
 def v8_set_similarity_whole(spark, sf_dir):
-    """The same over the whole gallery."""
-    return set_similarities(spark, sf_dir, table(spark, sf_dir, "embeddings"))
+    return v8_set_similarity(spark, sf_dir)
+
+
+def _across(a, b):
+    return a["vec_id"].to_numpy()[:, None] % 3 != b["ref_id"].to_numpy()[None, :] % 3
+
 
+def _true_matches(a, b, sims):
+    i, j = np.nonzero((a["label"].to_numpy()[:, None] == b["person"].to_numpy()[None, :]) & _across(a, b))
+    return pd.DataFrame({"vec_id": a["vec_id"].to_numpy()[i], "ref_id": b["ref_id"].to_numpy()[j], "sim": sims[i, j]})
 
-def set_similarities(spark, sf_dir, e):
-    x, y = e.select(F.col("label").alias("a"), F.col("embedding").alias("va")), e.select(F.col("label").alias("b"), F.col("embedding").alias("vb"))
-    return x.join(y, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.max(vx.dot("va", "vb", dimensions(spark, sf_dir))), 6).alias("sim"))
+
+def _ranked_above(a, b, sims):
+    """How many references of the block rank above each true match of a probe."""
+    crossed, ids, out = _across(a, b), b["ref_id"].to_numpy(), []
+    for k, (vec_id, hits) in enumerate(zip(a["vec_id"], a["hits"])):
+        order = np.lexsort((ids, -sims[k]))
+        order = order[crossed[k][order]]
+        mine = -sims[k][order]
+        for h in hits:
+            low, high = np.searchsorted(mine, -h["sim"], "left"), np.searchsorted(mine, -h["sim"], "right")
+            out.append((vec_id, h["ref_id"], low + int(np.searchsorted(ids[order[low:high]], h["ref_id"]))))
+    return pd.DataFrame(out, columns=["vec_id", "ref_id", "above"])
 
 
 @query(
@@ -79,61 +101,69 @@ SELECT count(*) AS probes, round(avg(ap), 6) AS map, round(avg(CASE WHEN first =
 )
 def a29_map_rank(spark, sf_dir):
     """Mean average precision and rank 1 and 5 across cameras (a vector's camera is its id modulo 3)."""
-    w = W.partitionBy("vec_id").orderBy(F.desc("sim"), "ref_id")
-    rows = similarities(spark, sf_dir).where("vec_id % 3 <> ref_id % 3").select("vec_id", F.row_number().over(w).alias("rank"), (F.col("person") == F.col("label")).alias("hit"))
-    hits = F.count_if("hit").over(W.partitionBy("vec_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    per = rows.withColumn("hits", hits).where("hit").groupBy("vec_id").agg((F.sum(F.col("hits") / F.col("rank")) / F.count(F.lit(1))).alias("ap"), F.min("rank").alias("first"))
+    probes, references = queries_and_references(spark, sf_dir)
+    hits = vx.in_blocks(probes, references, _true_matches, "vec_id long, ref_id long, sim double")
+    listed = hits.groupBy("vec_id").agg(F.collect_list(F.struct("sim", "ref_id")).alias("hits"))
+    above = vx.in_blocks(probes.join(listed, "vec_id"), references, _ranked_above, "vec_id long, ref_id long, above long")
+    ranks = above.groupBy("vec_id", "ref_id").agg((F.sum("above") + 1).alias("rank"))
+    nth = F.row_number().over(W.partitionBy("vec_id").orderBy("rank"))  # the true matches up to this one
+    per = ranks.withColumn("hits", nth).groupBy("vec_id").agg((F.sum(F.col("hits") / F.col("rank")) / F.count(F.lit(1))).alias("ap"), F.min("rank").alias("first"))
     share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 6)
     return per.agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg("ap"), 6).alias("map"), share(F.col("first") == 1).alias("rank1"), share(F.col("first") <= 5).alias("rank5"))
 
 
+def _histogram(a, b, sims):
+    """Pairs of the block by step of a twentieth: of one person, of two across cameras, of two."""
+    step = np.minimum(np.floor(sims * 20 + 1e-9).astype(np.int64), 20)
+    own, crossed, over = a["label"].to_numpy()[:, None] == b["person"].to_numpy()[None, :], _across(a, b), step >= 0
+    count = lambda pick: np.bincount(step[over & pick], minlength=21)
+    return pd.DataFrame({"step": range(21), "t": count(own), "c": count(~own & crossed), "f": count(~own)})
+
+
 @query(
     f"WITH {SIMS}, t AS (SELECT unnest(generate_series(0, 20)) / 20.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (person = label AND sim >= threshold) AS true_hits, count(*) FILTER (person <> label AND vec_id % 3 <> ref_id % 3 AND sim >= threshold) AS cross_camera_false, count(*) FILTER (person <> label AND sim >= threshold) AS false_hits FROM s, t GROUP BY threshold"
 )
 def a30_threshold_curve(spark, sf_dir):
     """Pairs at or over each threshold, by kind: one histogram of the pairs, then sums from above."""
-    step = F.floor(F.col("sim") * 20 + 1e-9).cast("int")
-    kind = similarities(spark, sf_dir).select(step.alias("step"), (F.col("person") == F.col("label")).alias("own"), (F.col("vec_id") % 3 != F.col("ref_id") % 3).alias("crossed"))
-    bars = kind.where("step >= 0").groupBy(F.least("step", F.lit(20)).alias("step")).agg(F.count_if("own").alias("t"), F.count_if(~F.col("own") & F.col("crossed")).alias("c"), F.count_if(~F.col("own")).alias("f"))
+    bars = vx.in_blocks(*queries_and_references(spark, sf_dir), _histogram, "step int, t long, c long, f long").groupBy("step").agg(*[F.sum(x).alias(x) for x in "tcf"])
     steps = spark.range(21).select(F.col("id").cast("int").alias("step")).join(bars, "step", "left")
     above = W.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     total = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0)).cast("long")
     return steps.select((F.col("step") / F.lit(20)).cast("double").alias("threshold"), total("t").alias("true_hits"), total("c").alias("cross_camera_false"), total("f").alias("false_hits"))
 
 
-@query(
-    """WITH e AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, CAST(sum(CAST(round(x * 1e9) AS BIGINT) * w) AS DOUBLE) AS v FROM e GROUP BY label, d), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
-SELECT label, d AS dimension, round(v / n, 6) AS value FROM m JOIN n USING (label) WHERE d <= 4"""
-)
-def a26_weighted_fusion(spark, sf_dir):
-    """Weighted mean vectors of each person, at unit length; the first four dimensions."""
-    return a26_weighted_fusion_whole(spark, sf_dir).where("dimension <= 4")
+_FUSION = """WITH e AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, CAST(sum(CAST(round(x * 1e9) AS BIGINT) * w) AS DOUBLE) AS v FROM e GROUP BY label, d), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
+SELECT label, d AS dimension, round(v / n, 6) AS value FROM m JOIN n USING (label)"""
 
 
-@query(
-    """WITH e AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, CAST(sum(CAST(round(x * 1e9) AS BIGINT) * w) AS DOUBLE) AS v FROM e GROUP BY label, d), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
-SELECT label, d AS dimension, round(v / n, 6) AS value FROM m JOIN n USING (label)"""
-)
-def a26_weighted_fusion_whole(spark, sf_dir):
-    """The same in all dimensions."""
+@query(_FUSION)
+def a26_weighted_fusion(spark, sf_dir):
+    """Weighted mean vectors of each person, at unit length."""
     e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 7 + 1).alias("w"), F.posexplode("embedding").alias("d", "x"))
     m = e.groupBy("label", "d").agg(F.sum(F.round(F.col("x").cast("double") * 1e9).cast("long") * F.col("w")).cast("double").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("label")))
     return m.select("label", (F.col("d") + 1).cast("long").alias("dimension"), F.round(F.col("v") / norm, 6).alias("value"))
 
 
+@query(_FUSION)
+def a26_weighted_fusion_whole(spark, sf_dir):
+    return a26_weighted_fusion(spark, sf_dir)
+
+
 @query(
-    f"""WITH p AS (SELECT a.label, a.vec_id, avg(round({DOT.format('a.embedding', 'b.embedding')}, 6)) AS mean FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL), m AS (SELECT label, median(mean) AS mid FROM p GROUP BY label)
+    f"""WITH p AS (SELECT a.label, a.vec_id, avg({DOT.format('a.embedding', 'b.embedding')}) AS mean FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL), m AS (SELECT label, median(mean) AS mid FROM p GROUP BY label)
 SELECT vec_id, round(mean, 4) AS mean, round(mean, 4) < round(mid - 0.15, 4) AS outlier FROM p JOIN m USING (label)"""
 )
 def a28_outliers(spark, sf_dir):
     """Vectors whose mean similarity to their person's others is far under the person's median.
 
-    A person's mean over others follows from the sum of the person's vectors, so no pair is formed
-    in the plan's hot path; the pairs here are within one person's bounded template set."""
-    e = table(spark, sf_dir, "embeddings")
-    b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("vb"))
-    per = e.join(b, "label").where("vec_id <> other").groupBy("label", "vec_id").agg(F.avg(F.round(vx.dot("embedding", "vb", dimensions(spark, sf_dir)), 6)).alias("mean"))
+    A vector's sum over the others is its product with the sum of the person's vectors, less its own: no pair is formed."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    parts = e.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    sums = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mean = (vx.dot("embedding", "total") - vx.dot("embedding", "embedding")) / (F.col("n") - 1)
+    per = e.join(sums, "label").join(n, "label").select("label", "vec_id", mean.alias("mean"))
     mid = per.groupBy("label").agg(F.median("mean").alias("mid"))
     return per.join(mid, "label").select("vec_id", F.round("mean", 4).alias("mean"), (F.round("mean", 4) < F.round(F.col("mid") - 0.15, 4)).alias("outlier"))
 
