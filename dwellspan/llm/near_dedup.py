@@ -396,3 +396,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w), g AS (
+  SELECT doc_id, i, n, concat_ws(' ', x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o) AS x FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (SELECT DISTINCT doc_id, x FROM g WHERE i <= n - 3 OR (n < 4 AND i = 1)
+), d AS (SELECT doc_id, count(x) AS size FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE 100 * n >= 80 * (x.size + y.size - n)
+), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, any_value(size) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept FROM d JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
