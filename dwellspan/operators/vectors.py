@@ -64,7 +64,7 @@ def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, row
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
         sims = np.round(x @ y.T, 6) + 0.0
-        sims[n_x[:, None] != n_y[None, :]] = -1.0
+        sims[(n_x[:, None] != n_y[None, :]) | (n_x[:, None] < 0)] = -1.0
         return reduce(a, b, sims)
 
     return p.groupBy("__p", "__r").cogroup(r.groupBy("__p", "__r")).applyInPandas(run, schema)
