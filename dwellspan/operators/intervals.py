@@ -86,25 +86,30 @@ def open_close(df: DataFrame, key: list[str], opens: Column, closes: Column, ord
 def stitch_plan(df: DataFrame, group: list[str], window_us: int):
     """Greedy stitching of segments to the first open chain of the same label, in order of start.
 
-    Overlapping segments open parallel chains, so which chain takes a segment depends on all earlier
-    choices: a sequential rule, replayed per group in time order. ``df``: group, segment_id, label,
-    start_us, end_us."""
+    Overlapping segments open parallel chains, so which chain takes a segment depends on earlier choices: a
+    sequential rule. Chains hold one label, and a start more than the window after all ends so far finds none
+    open, so it is replayed within a label's sessions. Without a label a segment is its own chain.
+    ``df``: group, segment_id, label, start_us, end_us."""
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*group).dtypes) + ", segment_id long, chain_id long"
 
     def replay(frame):
         import pandas as pd
 
         frame = frame.sort_values(["start_us", "segment_id"], kind="stable")
-        open_, out = [], []  # chains: [first segment, end, label]
+        open_, out = [], []  # chains: [first segment, end]
         for row in frame.itertuples(index=False):
             open_ = [c for c in open_ if row.start_us - c[1] <= window_us]
-            chain = next((c for c in open_ if row.label is not None and c[2] == row.label and 0 <= row.start_us - c[1]), None)
+            chain = next((c for c in open_ if row.start_us >= c[1]), None)
             if chain is None:
-                chain = [row.segment_id, row.end_us, row.label]
+                chain = [row.segment_id, row.end_us]
                 open_.append(chain)
             else:
                 chain[1] = max(chain[1], row.end_us)
             out.append((*(getattr(row, g) for g in group), row.segment_id, chain[0]))
         return pd.DataFrame(out, columns=[*group, "segment_id", "chain_id"])
 
-    return df.groupBy(*group).applyInPandas(replay, schema)
+    rows = df.select(*group, F.col("segment_id").cast("long").alias("segment_id"), "label", "start_us", "end_us")
+    keys = list(dict.fromkeys([*group, "label"]))
+    sessions = chained(rows.where("label IS NOT NULL"), keys, window_us, ["segment_id"])
+    chains = sessions.groupBy(*keys, "island").applyInPandas(replay, schema)
+    return chains.unionByName(rows.where("label IS NULL").select(*group, "segment_id", F.col("segment_id").alias("chain_id")))

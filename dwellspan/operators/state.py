@@ -1,13 +1,18 @@
 """State machines over ordered rows: what each event does depends on all before it.
 
-One transition function serves the batch replay (``applyInPandas`` per key, rows in order) and the
-streaming operators in ``dwellspan.streaming``. Keys are cameras or tracks, so state is bounded by what is open."""
+One transition function serves the batch replay (``applyInPandas`` per life of a camera or track, rows in order)
+and the streaming operators in ``dwellspan.streaming``, so state is bounded by what is open. Rules that depend
+on stretches of equal values only are windows over those stretches."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .intervals import islands, open_close
 
 
 @dataclass
@@ -22,6 +27,11 @@ class Track:
 TRACKED = ("track.started", "track.identified", "track.heartbeat", "track.resumed", "track.identity_changed", "track.ended", "presence.interval", "camera.failed", "snapshot", "identity.resolved")
 
 
+def _listed(names) -> set[str]:
+    """The names of a list or array; none for NULL."""
+    return set() if names is None else set(names)
+
+
 def advance(open_: dict[str, Track], event: dict) -> dict[str, Track]:
     """One event's effect on a camera's open tracks; returns those that it closed.
 
@@ -51,99 +61,133 @@ def advance(open_: dict[str, Track], event: dict) -> dict[str, Track]:
         open_.clear()
         return closed
     elif kind == "snapshot":
-        return {u: open_.pop(u) for u in [u for u in open_ if u not in set(event.get("live") or ())]}
+        live = _listed(event.get("live"))
+        return {u: open_.pop(u) for u in [u for u in open_ if u not in live]}
     elif kind == "identity.resolved" and person:
-        for u in event.get("track_uuids") or ():
+        for u in _listed(event.get("track_uuids")):
             if u in open_ and open_[u].person_id == event.get("anon_id"):
                 open_[u].person_id = person
     return {}
 
 
-def _events(frame):
-    return (r for r in frame.sort_values("seq", kind="stable").to_dict("records"))
+def in_order(frame) -> list[dict]:
+    """A frame's events by seq, with None for NULL."""
+    rows = frame.sort_values("seq", kind="stable").astype(object)
+    return rows.where(rows.notna(), None).to_dict("records")
+
+
+def _lives(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The events apart from failures, with their camera's life and the failure that ends it (NULL: none), and
+    the keys within which a replay is whole: a failure leaves nothing open, and where no event speaks of several
+    tracks (no ``live``, no ``track_uuids``), each track stands alone."""
+    w = W.partitionBy("camera_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    failed = F.col("type") == "camera.failed"
+    rows = df.withColumn("life", F.sum(F.when(failed, 1).otherwise(0)).over(w))
+    ends = rows.where(failed).select("camera_id", (F.col("life") - 1).alias("life"), F.col("seq").alias("failed_seq"), F.col("at_us").alias("failed_us"))
+    alone = [] if {"live", "track_uuids"} & set(df.columns) else ["track_uuid"]
+    return rows.where(~F.coalesce(failed, F.lit(False))).join(ends, ["camera_id", "life"], "left"), ["camera_id", "life", *alone]
 
 
 def open_tracks(df: DataFrame) -> DataFrame:
-    """What is open at the end of each camera's log. ``df``: camera_id, seq and an event's fields."""
+    """What is open at the end of each camera's log. ``df``: camera_id, seq and an event's fields. Only what
+    follows a camera's last failure is replayed."""
 
     def replay(frame):
         import pandas as pd
 
         open_: dict[str, Track] = {}
-        for event in _events(frame):
+        for event in in_order(frame):
             advance(open_, event)
         return pd.DataFrame([{"camera_id": frame["camera_id"].iloc[0], **asdict(t)} for t in open_.values()], columns=["camera_id", "track_uuid", "person_id", "start_us", "last_us"])
 
-    return df.groupBy("camera_id").applyInPandas(replay, "camera_id string, track_uuid string, person_id string, start_us long, last_us long")
+    rows, keys = _lives(df)
+    return rows.where("failed_seq IS NULL").groupBy(*keys).applyInPandas(replay, "camera_id string, track_uuid string, person_id string, start_us long, last_us long")
 
 
 def assembled(df: DataFrame) -> DataFrame:
     """Closed intervals of identified tracks, from birth to their end or their camera's failure.
 
-    An interval names the person's previous one on the camera if that ended at most five seconds before."""
+    An interval names the person's previous one on the camera if that ended at most five seconds before. The
+    replay runs within a camera's lives; numbers and previous intervals come from windows over what it closed."""
     stitch_us = 5_000_000
 
     def replay(frame):
         import pandas as pd
 
-        camera, open_, rows, last = frame["camera_id"].iloc[0], {}, [], {}
-        for event in _events(frame):
-            forced = event["type"] == "camera.failed"
-            for track in advance(open_, event).values():
-                if track.person_id is None:
-                    continue
-                ident = f"iv_{camera}-{len(rows) + 1:04d}"
-                before = last.get(track.person_id)
-                end = event["at_us"]
-                rows.append((camera, ident, track.track_uuid, track.person_id, track.start_us, end, "camera_lost" if forced else "left_frame", "forced" if forced else "tracking", before[0] if before and 0 <= track.start_us - before[1] <= stitch_us else None))
-                last[track.person_id] = (ident, end)
-        return pd.DataFrame(rows, columns=["camera_id", "interval_id", "track_uuid", "person_id", "start_us", "end_us", "end_reason", "end_source", "prev_interval_id"])
-
-    return df.groupBy("camera_id").applyInPandas(replay, "camera_id string, interval_id string, track_uuid string, person_id string, start_us long, end_us long, end_reason string, end_source string, prev_interval_id string")
-
-
-def hysteresis(df: DataFrame, group: list[str], at: str, value: str, enter: float, leave: float, hold_us: int) -> DataFrame:
+        camera, open_, rows, opened = frame["camera_id"].iloc[0], {}, [], {}
+        events, end = in_order(frame), frame[["failed_seq", "failed_us"]].iloc[0]
+        if not pd.isna(end.failed_seq):
+            events.append({"type": "camera.failed", "seq": int(end.failed_seq), "at_us": int(end.failed_us)})
+        for event in events:
+            closed = advance(open_, event)
+            for uuid in open_:
+                opened.setdefault(uuid, event["seq"])
+            for uuid, track in closed.items():
+                born = opened.pop(uuid, event["seq"])
+                if track.person_id is not None:
+                    rows.append((camera, event["seq"], born, track.track_uuid, track.person_id, track.start_us, event["at_us"], event["type"] == "camera.failed"))
+        return pd.DataFrame(rows, columns=["camera_id", "closed_seq", "opened_seq", "track_uuid", "person_id", "start_us", "end_us", "forced"])
+
+    rows, keys = _lives(df)
+    closed = rows.groupBy(*keys).applyInPandas(replay, "camera_id string, closed_seq long, opened_seq long, track_uuid string, person_id string, start_us long, end_us long, forced boolean")
+    order = ["closed_seq", "opened_seq", "track_uuid"]
+    number = F.row_number().over(W.partitionBy("camera_id").orderBy(*order))
+    named = closed.withColumn("interval_id", F.format_string("iv_%s-%04d", "camera_id", number))
+    before = W.partitionBy("camera_id", "person_id").orderBy(*order)
+    silent = F.col("start_us") - F.lag("end_us").over(before)
+    return named.select(
+        "camera_id", "interval_id", "track_uuid", "person_id", "start_us", "end_us", F.when(F.col("forced"), "camera_lost").otherwise("left_frame").alias("end_reason"),
+        F.when(F.col("forced"), "forced").otherwise("tracking").alias("end_source"), F.when(silent.between(0, stitch_us), F.lag("interval_id").over(before)).alias("prev_interval_id"),
+    )
+
+
+def _runs(df: DataFrame, group: list[str], bucket: Column, order: list[str], value: Column) -> DataFrame:
+    """``df`` with ``bucket``, ``value``, and ``run``, which numbers the stretches of equal value within a bucket.
+
+    Buckets follow the order, so a long group is sorted in many tasks; only its stretches meet again."""
+    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    w = W.partitionBy(*group, "__bucket").orderBy(*order)
+    starts = F.row_number().over(w).eqNullSafe(F.lit(1)) | ~F.col("__value").eqNullSafe(F.lag("__value").over(w))
+    return islands(rows, [*group, "__bucket"], order, starts, "__run")
+
+
+def hysteresis(df: DataFrame, group: list[str], at: str, value: str, enter: float, leave: float, hold_us: int, ties: tuple[str, ...] = (), bucket_us: int = 86_400_000_000) -> DataFrame:
     """Episodes that open when the value stays at or over ``enter`` for ``hold_us`` and close when it stays
-    at or under ``leave`` as long; each begins and ends where its stretch began."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*group).dtypes) + ", since_us long, until_us long"
-
-    def replay(frame):
-        import pandas as pd
-
-        rows, since, mark = [], None, None
-        key = [frame[c].iloc[0] for c in group]
-        for t, v in frame.sort_values(at, kind="stable")[[at, value]].itertuples(index=False):
-            holds = v >= enter if since is None else v <= leave
-            mark = (t if mark is None else mark) if holds else None
-            if mark is not None and t - mark >= hold_us:
-                if since is None:
-                    since = mark
-                else:
-                    rows.append((*key, since, mark))
-                    since = None
-                mark = None
-        if since is not None:
-            rows.append((*key, since, None))
-        return pd.DataFrame(rows, columns=[*group, "since_us", "until_us"]).astype({"since_us": "Int64", "until_us": "Int64"})
-
-    return df.groupBy(*group).applyInPandas(replay, schema)
-
-
-def debounced(df: DataFrame, group: list[str], order: list[str], raw: str, k: int) -> DataFrame:
-    """A flag that flips after ``k`` samples in a row that disagree with it."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", steady boolean"
-
-    def replay(frame):
-        frame = frame.sort_values(order, kind="stable")
-        state, against, out = False, 0, []
-        for v in frame[raw]:
-            against = against + 1 if v != state else 0
-            if against >= k:
-                state, against = not state, 0
-            out.append(state)
-        return frame.assign(steady=out)
-
-    return df.groupBy(*group).applyInPandas(replay, schema)
+    at or under ``leave`` as long; each begins and ends where its stretch began. NULL ends a stretch.
+
+    As ``enter`` lies over ``leave``, a stretch counts or doesn't whatever is open, so episodes are the changes
+    in the row of stretches that are long enough."""
+    if not enter > leave:
+        raise ValueError("enter must lie over leave")
+    kind = F.when(F.col(value) >= enter, 1).when(F.col(value) <= leave, 0)
+    slim = df.select(*group, F.col(at).alias("at_us"), kind.alias("kind"), *(F.col(c).alias(f"tie{k}") for k, c in enumerate(ties)))
+    ties = [f"tie{k}" for k in range(len(ties))]
+    parts = _runs(slim, group, F.floor(F.col("at_us") / bucket_us), ["at_us", *ties], F.col("kind"))
+    parts = parts.groupBy(*group, "__bucket", "__run").agg(F.first("__value").alias("kind"), F.min("at_us").alias("since_us"), F.max("at_us").alias("last_us"))
+    w = W.partitionBy(*group).orderBy("__bucket", "__run")
+    whole = islands(parts, group, ["__bucket", "__run"], F.row_number().over(w).eqNullSafe(F.lit(1)) | ~F.col("kind").eqNullSafe(F.lag("kind").over(w)), "stretch")
+    long = whole.where("kind IS NOT NULL").groupBy(*group, "stretch").agg(F.first("kind").alias("kind"), F.min("since_us").alias("since_us"), F.max("last_us").alias("last_us")).where(F.col("last_us") - F.col("since_us") >= hold_us)
+    out = open_close(long, group, F.col("kind") == 1, F.col("kind") == 0, ["since_us", "stretch"])
+    return out.select(*group, "since_us", F.col("until").alias("until_us"))
+
+
+def debounced(df: DataFrame, group: list[str], order: list[str], raw: str, k: int, bucket: Column | None = None) -> DataFrame:
+    """A flag that flips after ``k`` samples in a row that disagree with it; NULL counts as false.
+
+    The flag is the value of the latest stretch that reached its k-th sample. ``bucket`` grows with the order."""
+    rows = _runs(df, group, F.lit(0) if bucket is None else bucket, order, F.coalesce(F.col(raw), F.lit(False)))
+    rows = rows.withColumn("__at", F.row_number().over(W.partitionBy(*group, "__bucket", "__run").orderBy(*order)))
+    parts = rows.groupBy(*group, "__bucket", "__run").agg(F.first("__value").alias("__value"), F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(*group).orderBy("__bucket", "__run")
+    whole = islands(parts, group, ["__bucket", "__run"], F.lag("__value").over(w).isNull() | (F.lag("__value").over(w) != F.col("__value")), "stretch")
+    reach = F.sum("n").over(W.partitionBy(*group, "stretch").orderBy("__bucket", "__run").rowsBetween(W.unboundedPreceding, 0))
+    whole = whole.withColumn("reach", reach)
+    held = F.last(F.when(F.col("reach") >= k, F.col("__value")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    carried = whole.select(*group, "__bucket", "__run", (F.col("reach") - F.col("n")).alias("earlier"), F.coalesce(held, F.lit(False)).alias("held"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*group, "__bucket", "__run")]
+    joined = rows.alias("r").join(carried.alias("c"), same)
+    steady = F.when(F.col("earlier") + F.col("__at") >= k, F.col("r.__value")).otherwise(F.col("held"))
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), steady.alias("steady"))
 
 
 def arbitrated(df: DataFrame, group: list[str], order: list[str], disagreements: int = 3) -> DataFrame:

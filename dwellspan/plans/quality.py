@@ -211,17 +211,31 @@ def p27_confidence(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", confidence.alias("confidence"), F.round(v * F.pow(F.lit(0.5), (F.col("user_id") % 60) / 120.0), 6).alias("decayed"), state.alias("state"))
 
 
-@query(None)
+@query(
+    f"""WITH p AS (SELECT event_type, event_id, epoch_us(ts) AS at_us, CASE WHEN value >= 80 THEN 1 WHEN value <= 40 THEN 0 END AS kind FROM events),
+c AS (SELECT *, coalesce(kind, -1) <> coalesce(lag(kind) OVER w, -1) OR row_number() OVER w = 1 AS new FROM p WINDOW w AS (PARTITION BY event_type ORDER BY at_us, event_id)),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+q AS (SELECT event_type, run, min(kind) AS kind, min(at_us) AS since_us FROM r WHERE kind IS NOT NULL GROUP BY event_type, run HAVING max(at_us) - min(at_us) >= {2 * HOUR}),
+d AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY event_type ORDER BY run), 0) AS before FROM q),
+e AS (SELECT *, lead(since_us) OVER (PARTITION BY event_type ORDER BY run) AS until_us FROM d WHERE kind <> before)
+SELECT event_type, since_us, until_us FROM e WHERE kind = 1"""
+)
 def isl7_hysteresis(spark, sf_dir):
     """Degraded episodes: over the entry level for a while opens, under the exit level for a while closes."""
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", micros("ts").alias("at_us"), "value")
-    return st.hysteresis(rows, ["event_type"], "at_us", "value", enter=80.0, leave=40.0, hold_us=2 * HOUR)
+    return st.hysteresis(rows, ["event_type"], "at_us", "value", enter=80.0, leave=40.0, hold_us=2 * HOUR, ties=("event_id",))
 
 
-@query(None)
+@query(
+    """WITH p AS (SELECT event_type, event_id, value > 50 AS raw FROM events),
+c AS (SELECT *, coalesce(lag(raw) OVER w, NOT raw) <> raw AS new FROM p WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY event_id) AS k FROM r)
+SELECT event_type, event_id, raw, coalesce(last_value(CASE WHEN k >= 3 THEN raw END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS steady FROM n"""
+)
 def isl8_debounce(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") > 50).alias("raw"))
-    return st.debounced(rows, ["event_type"], ["event_id"], "raw", 3)
+    return st.debounced(rows, ["event_type"], ["event_id"], "raw", 3, bucket=F.expr("event_id div 65536"))
 
 
 @query(None)

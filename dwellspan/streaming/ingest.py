@@ -23,14 +23,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, policy: Policy) -
     """Splits a batch into durable events that are new, dead letters, and touched dates; each lies under
     its batch's own partition, so running the batch again overwrites it with the same rows."""
     spark = batch.sparkSession
-    rows = parsed(batch)
-    bronze = f"{folder}/bronze"
-    good = rows.where("error IS NULL AND channel = 'durable'").dropDuplicates(["outbox_id", "seq"])
-    seen = _existing(spark, bronze, good.withColumn("batch", F.lit(0)).schema).where(F.col("batch") != batch_id)
-    fresh = good.join(seen.select("outbox_id", "seq"), ["outbox_id", "seq"], "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{bronze}/batch={batch_id}")
-    rows.where("error IS NOT NULL").select("outbox_id", "payload", "error").write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
-    new = spark.read.schema(good.schema).parquet(f"{bronze}/batch={batch_id}")
+    rows = parsed(batch).persist()
+    try:
+        good = rows.where("error IS NULL AND channel = 'durable'").dropDuplicates(["outbox_id", "seq"])
+        schema = good.withColumn("batch", F.lit(0)).schema
+        low, high = good.agg(F.min("seq"), F.max("seq")).first()
+        # Row groups outside the batch's range of numbers aren't read: bronze files hold few ranges each.
+        seen = _existing(spark, f"{folder}/bronze", schema).where(F.col("seq").between(low, high) & (F.col("batch") != batch_id))
+        fresh = good.join(seen.select("outbox_id", "seq"), ["outbox_id", "seq"], "left_anti")
+        fresh.sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{folder}/bronze/batch={batch_id}")
+        rows.where("error IS NOT NULL").select("outbox_id", "payload", "error").write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
+    finally:
+        rows.unpersist()
+    new = spark.read.schema(good.schema).parquet(f"{folder}/bronze/batch={batch_id}")
     touched_dates(new, policy).write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from dwellspan.operators.state import Track, advance
+from dwellspan.operators.state import Track, advance, in_order
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 OUTPUT = "camera_id string, track_uuid string, person_id string, start_us long, last_us long, closed_us long, reason string"
@@ -24,7 +24,7 @@ class OpenTracks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         open_ = {k[0]: Track(k[0], v[0], v[1], v[2]) for k, v in self._tracks.iterator()}
         before, out = set(open_), []
-        for event in pd.concat(list(rows)).sort_values("seq", kind="stable").to_dict("records"):
+        for event in in_order(pd.concat(list(rows))):
             for track in advance(open_, event).values():
                 out.append({"camera_id": key[0], **asdict(track), "closed_us": event["at_us"], "reason": event["type"]})
         for gone in before - set(open_):
