@@ -16,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import ranges, span_hashes, text_bytes
+from .shared import mixed, ranges, span_hashes, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 TABLE_CHUNKS = 1_000_000  # chunks a worker remembers before it starts anew
@@ -31,6 +31,10 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _PUNCTUATION[0x21:0x7F] = True
 _PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
+NEAR = 64  # bytes up to which chunks are hashed and compared by words of eight
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # a word's first k bytes
+_ODD = np.uint64(0x9FB21C651E98DF25)
+
 
 class ChunkEncoder:
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -44,7 +48,7 @@ class ChunkEncoder:
     def _clear(self) -> None:
         self._keys = np.zeros(0, np.uint64)
         self._at, self._n, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self._from, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self._from, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(8, np.uint8)  # eight zeros end the bytes
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
@@ -58,8 +62,8 @@ class ChunkEncoder:
         raw, size = data[ranges(starts, ends - starts)], ends - starts
         edges, whole = np.concatenate(([0], np.cumsum(size))).tolist(), raw.tobytes()
         flat, n = self._encoded([whole[a:b].decode() for a, b in zip(edges, edges[1:])])
-        at, start = len(self._ids) + np.cumsum(n) - n, len(self._bytes) + np.cumsum(size) - size
-        self._ids, self._bytes = np.concatenate((self._ids, flat)), np.concatenate((self._bytes, raw))
+        at, start = len(self._ids) + np.cumsum(n) - n, len(self._bytes) - 8 + np.cumsum(size) - size
+        self._ids, self._bytes = np.concatenate((self._ids, flat)), np.concatenate((self._bytes[:-8], raw, np.zeros(8, np.uint8)))
         old = (self._keys, self._at, self._n, self._from, self._size)
         table = [np.concatenate(x) for x in zip(old, (keys, at, n, start, size))]
         order = np.argsort(table[0], kind="stable")
@@ -80,6 +84,7 @@ class ChunkEncoder:
         cut[heads] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
+        data = np.concatenate((data, np.zeros(8, np.uint8)))
         keys, first, which = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
 
         def missing() -> np.ndarray:
@@ -108,15 +113,36 @@ class ChunkEncoder:
 
     @staticmethod
     def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return span_hashes(data, starts, ends)
+        words, sizes = _words(data), ends - starts
+        out = mixed((words[starts] & _FIRST[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _ODD)
+        at, done = np.flatnonzero((sizes > 8) & (sizes <= NEAR)), 8
+        while len(at):
+            out[at] = mixed(out[at] * _ODD + (words[starts[at] + done] & _FIRST[np.minimum(sizes[at] - done, 8)]))
+            done += 8
+            at = at[sizes[at] > done]
+        far = np.flatnonzero(sizes > NEAR)
+        out[far] = span_hashes(data, starts[far], ends[far])
+        return out
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number. ``data`` ends with eight bytes that belong to no range."""
+    return np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
 
 
 def _same(a: np.ndarray, a_starts, a_sizes, b: np.ndarray, b_starts, b_sizes) -> np.ndarray:
     """Whether each range of ``a`` holds the bytes of its range of ``b``; no range is empty."""
-    same = a_sizes == b_sizes
-    n = np.where(same, a_sizes, 1)
-    differs = a[ranges(a_starts, n)] != b[ranges(b_starts, n)]
-    return same & ~np.logical_or.reduceat(differs, np.cumsum(n) - n) if len(n) else same
+    same, of_a, of_b = a_sizes == b_sizes, _words(a), _words(b)
+    at, done = np.arange(len(same)), 0
+    while len(at):  # ranges that agree so far
+        same[at] &= (of_a[a_starts[at] + done] ^ of_b[b_starts[at] + done]) & _FIRST[np.minimum(a_sizes[at] - done, 8)] == 0
+        done += 8
+        at = at[same[at] & (a_sizes[at] > done) & (a_sizes[at] <= NEAR)]
+    far = np.flatnonzero(same & (a_sizes > NEAR))
+    if len(far):
+        n = a_sizes[far]
+        same[far] = ~np.logical_or.reduceat(a[ranges(a_starts[far], n)] != b[ranges(b_starts[far], n)], np.cumsum(n) - n)
+    return same
 
 
 @functools.cache

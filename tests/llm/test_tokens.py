@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from hypothesis import given, settings
@@ -147,3 +148,16 @@ def test_shard_file(tmp_path):
         assert r.n_docs == len(keys) and len(r._place) > 2
         assert len(r.get(sstable.key_of(3))) == 2 and len(r.get(sstable.key_of(1007))[0]) == 107
         assert r.get(sstable.key_of(1008)) == [] and r.get(sstable.key_of(None)) == []
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_chunks_of_all_lengths_equal_the_library(alike, monkeypatch):
+    if alike:  # chunks of one length share a hash: only the comparison tells them apart
+        monkeypatch.setattr(ChunkEncoder, "_hashes", staticmethod(lambda data, starts, ends: (ends - starts).astype(np.uint64)))
+    words = [w for n in range(1, 140) for w in ("a" * n, "a" * (n - 1) + "b", "b" + "a" * (n - 1))]
+    texts = [" ".join(words), *words, None, "", " ".join(reversed(words))]
+    coder = ChunkEncoder()
+    for _ in range(2):  # from the table the second time
+        ids, bounds = coder.encode(pa.array(texts, pa.string()))
+        want = [coder._tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
