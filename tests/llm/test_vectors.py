@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from dwellspan.llm import centroids
+from dwellspan.llm import centroids, negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int, id string, cluster int, q string"
 
@@ -65,3 +65,60 @@ def test_abandoning():
     full = ((x[:, None] - c[None]) ** 2).sum(2)
     cluster, distance = centroids.nearest(x, c, dice.permutation(24))
     assert (cluster == full.argmin(1)).all() and (distance == full.min(1)).all()
+
+
+def plain_negatives(rows, every=50):
+    top = 2**63 - 1
+    kept = [(i, label, [min(max(math.floor(256 * x), -top - 1), top) for x in v]) for i, v, label in rows if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, label, q) in enumerate(kept):
+        if i is None or i % every:
+            continue
+        scored = [(-min(max(sum(x * y for x, y in zip(q, p)), -top), top), j is None, j or 0, j, other) for b, (j, other, p) in enumerate(kept) if b != a]
+        for s, _, _, positive, _ in sorted(x for x in scored if x[4] == label)[:5]:
+            fits = sorted(x for x in scored if x[4] != label and 50 * -s <= 100 * -x[0] <= 95 * -s)[:3]
+            out += [(i, positive, n + 1, x[3], -s, -x[0]) for n, x in enumerate(fits)]
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("wide, block", [(1.0, 1 << 16), (1.0, 16), (1e5, 16), (1e9, 1 << 16)])
+def test_negatives(spark, monkeypatch, wide, block):
+    monkeypatch.setattr(negatives, "CELL", 16)
+    monkeypatch.setattr(negatives, "BLOCK", block)
+    monkeypatch.setattr(negatives, "GROUP", 4)
+    rows = odd_rows(6, 90, 8, wide) + [(0, [0.5] * 6, 1), (0, [0.5] * 6, 1), (10, [0.1, 0.2], 0), (20, [], 2), (30, [0.0] * 6, 1)]
+    got = negatives.hard_negatives(table(spark, rows), every=10).collect()
+    assert sorted(repr(tuple(r)) for r in got) == plain_negatives(rows, 10)
+
+
+def test_no_anchors(spark):
+    assert negatives.hard_negatives(table(spark, [])).count() == 0
+    assert negatives.hard_negatives(table(spark, [(1, [0.5], 1), (2, [0.5], 2)])).count() == 0
+    assert negatives.hard_negatives(table(spark, [(50, [0.5], 1)])).count() == 0
+
+
+def test_dual_trees():
+    """Products of far clusters are never scored, and what is left is exact."""
+    dice = np.random.Generator(np.random.PCG64(3))
+    centres = dice.integers(-400, 400, (12, 16))
+    x = (centres[dice.integers(0, 12, 3000)] + dice.integers(-9, 10, (3000, 16))).astype(np.int64)
+
+    def tree(rows, leaf):
+        order, ends = negatives._split(x[rows], leaf)
+        rows = rows[order]
+        return {"x": x[rows], "ends": ends, "ids": rows.astype(np.int64), "none": np.zeros(len(rows), bool), "keys": rows}
+
+    a, b = tree(np.arange(0, 3000, 10), 8), tree(np.arange(3000), 32)
+    scored = []
+
+    def hits(rows, s, others, floor):
+        scored.append(s.size)
+        r, c = np.nonzero(s >= floor)
+        yield rows[r], r, c
+
+    best = negatives._visit(a, b, np.full(300, -negatives.LONGEST - 1), np.full(300, negatives.LONGEST), 5, hits)
+    full = a["x"] @ b["x"].T
+    for r in range(300):
+        order = np.lexsort((b["ids"], -full[r]))[:5]
+        assert best.id[best.slot == r].tolist() == b["ids"][order].tolist()
+    assert sum(scored) < full.size // 2
