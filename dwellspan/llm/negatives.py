@@ -29,7 +29,7 @@ from .vectors import LONGEST, floored, largest, matrix, usable
 SCALE, EVERY = 256, 50
 POSITIVES, NEGATIVES = 5, 3
 SAMPLE = 16384  # rows that the cells' cuts are fitted on
-CELL, MOST_CELLS = 4096, 4096  # rows a cell, while there are no more cells than that
+CELL, MOST_CELLS = 1024, 4096  # rows a cell, while there are no more cells than that
 BLOCK, GROUP = 1 << 16, 1 << 13  # most candidates of a block, most anchors of a group
 LEAF, ANCHOR_LEAF = 256, 64
 TOGETHER = 16  # leaves of candidates that are scored in one product
