@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, ranges, span_hashes, text_bytes, text_slices, word_spans, written
+from .shared import BLANK, mixed, ranges, span_hashes, text_bytes, text_slices, word_spans, written
 
 ORDER = 2  # tokens of the longest n-grams
 KEPT = 5  # largest count that is discounted
-CHUNK = 16 << 20  # text bytes, unless one text has more
+CHUNK = 9 << 20  # text bytes, unless one text has more
 WORD_BUCKET = 24 << 20  # text bytes for each bucket of words
 BUCKET = 1 << 21  # tokens for each bucket of longer n-grams
 HOT = 1 << 20
@@ -98,7 +98,7 @@ def _coded(n_buckets: int):
             each = np.bincount(row, minlength=part.num_rows)
             held = part.column(2).to_numpy(zero_copy_only=False)
             edges = np.concatenate(([0], np.cumsum(ends - starts)))
-            solid = data[ranges(starts, ends - starts)]
+            solid = data[~BLANK[data]]
             coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(solid)]).dictionary_encode()
             words, bounds = text_bytes(coded.dictionary)
             token = coded.indices.to_numpy()
@@ -271,9 +271,10 @@ class _Chunk:
         self.learns = np.repeat(~np.array(coded["held"], bool), self.lengths)
         # Words by rank of their numbers; the end has a place of its own.
         self.numbers, rank = np.unique(np.append(number, END), return_inverse=True)
+        rank = rank.astype(np.int32)
         inner = np.ones(len(self.learns), bool)
         inner[self.stop] = False
-        self.rank, self.count = np.full(len(inner), rank[-1]), np.full(len(inner), words.ends, np.int64)
+        self.rank, self.count = np.full(len(inner), rank[-1], np.int32), np.full(len(inner), words.ends, np.int64)
         self.rank[inner], self.count[inner] = rank[token], count[token]
         self.score = np.log10(np.where(self.count > 0, _kept(self.count, words.d) * self.count / words.bottom, words.unknown))
         # Of the level above: each token's history (rank among numbers) and its count, and of its shorter n-gram count and history's count.
@@ -288,9 +289,10 @@ class _Chunk:
 
     def keys(self, n_buckets: int, hot: int):
         """Distinct n-grams of the next level in order of buckets, histories and words."""
-        self.at = np.flatnonzero(self.known)
+        self.at = np.flatnonzero(self.known).astype(np.int32)
         code = self.h[self.at].astype(np.int64) * len(self.numbers) + self.rank[self.at]
-        code, self.place = np.unique(code, return_inverse=True)
+        code, place = np.unique(code, return_inverse=True)
+        self.place = place.astype(np.int32)
         history, word = self.h_numbers[code // len(self.numbers)], self.numbers[code % len(self.numbers)]
         of = np.zeros(len(code), np.int64)
         of[self.place] = self.h_count[self.at]
@@ -325,7 +327,8 @@ class _Chunk:
             number = np.zeros(len(self.order), np.int64)
             number[self.order] = np.concatenate([END + 1 + unpacked(r["numbers"], True) * level.n_buckets + r["bucket"] for r in rows])
             self.h_numbers, rank = np.unique(np.append(np.where(count > 0, number, 0), 0), return_inverse=True)
-            before = np.full(len(self.h), rank[-1])  # the n-gram that ends at each token; 0 if it wasn't learned
+            rank = rank.astype(np.int32)
+            before = np.full(len(self.h), rank[-1], np.int32)  # the n-gram that ends at each token; 0 if it wasn't learned
             before[self.at] = rank[self.place]
             of_before = np.zeros(len(self.h), np.int64)
             of_before[self.at] = own
@@ -489,7 +492,8 @@ WITH crc AS MATERIALIZED (
   SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
 ), docs AS MATERIALIZED (
   SELECT row_number() OVER () AS n, doc_id, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 2, false) AS held_out,
-         list_concat(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> ''), ['']) AS ws
+         list_concat(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> ''), ['']) AS ws
   FROM documents, crc
 ), u AS (SELECT n, held_out, unnest(list_concat([''], ws[:-2])) AS h, unnest(ws) AS w FROM docs
 ), c1 AS MATERIALIZED (SELECT w, count(*) AS c FROM u WHERE NOT held_out GROUP BY w
