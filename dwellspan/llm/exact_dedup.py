@@ -3,7 +3,8 @@
 Copies first meet inside a map task (the partial aggregation), then by salt of their digest, and of texts with
 several salts only the salts' winners meet globally. Every one of these steps groups on the digest *and* the
 whole normalised text, so two texts never count as equal on a digest alone. A text has one salt for each
-``bound`` of its copies: a group never holds more of them, and most texts are done after the second step.
+``bound`` of its copies, dealt by row, so that rows of one id or without ids are dealt too: a group holds hardly more of them,
+and most texts are done after the second step.
 
 Edge cases: a null text is an empty one. Rows of equal text with equal ids are copies, of which
 one stays. A null id ranks after all others. An empty table gives an empty result. Other columns
@@ -34,28 +35,21 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     A salt holds about ``rows_per_salt`` copies of a text, or a ``MOST_HOT``th of all rows where that is more: so
     fewer than ``MOST_HOT`` texts have more than one salt, and the table that names them can be broadcast."""
     bound = max(rows_per_salt, math.ceil(docs.count() / MOST_HOT))
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("ref"), "norm", F.xxhash64("norm").alias("mark"))
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("ref"), "norm", F.xxhash64("norm").alias("mark"), "row")
     counts = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
     hot = written(counts.select("mark", F.ceil(F.col("n") / bound).alias("salts")), "hot")
-    salt = F.coalesce(F.pmod(F.xxhash64("ref.id"), F.col("salts")), F.lit(0)).cast("int")
+    salt = F.coalesce(F.pmod(F.xxhash64("ref.id", "row"), F.col("salts")), F.lit(0)).cast("int")
     marked = rows.join(F.broadcast(hot), "mark", "left")
     marked = marked.select("ref", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), salt.alias("salt"), F.col("salts").isNotNull().alias("hot"))
-    group = ["digest", "norm", "salt"]
-    won = marked.groupBy(*group).agg(F.min("ref").alias("best"), F.collect_list("ref").alias("refs"))
-    if hot.isEmpty():
-        won = won.select("digest", "refs", F.col("best").alias("keep"), F.size("refs").cast("long").alias("group_size"), F.lit(True).alias("wins"))
-    else:  # the salts' winners combine; each salt then learns of its text's
-        winners = marked.where("hot").groupBy(*group).agg(F.min("ref").alias("best"), F.count(F.lit(1)).alias("n"))
-        total = winners.groupBy("digest", "norm").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("each"))
-        total = written(total.select("digest", "norm", F.explode("each").alias("salt"), "keep", "group_size"), "winners")
-        won = won.join(total.hint("shuffle_hash"), group, "left").select(
-            "digest",
-            "refs",
-            F.coalesce("keep", "best").alias("keep"),
-            F.coalesce("group_size", F.size("refs").cast("long")).alias("group_size"),
-            (F.col("keep").isNull() | (F.col("keep") == F.col("best"))).alias("wins"),
-        )
+    groups = marked.groupBy("digest", "norm", "salt", "hot").agg(F.min("ref").alias("best"), F.collect_list("ref").alias("refs"))
+    groups = written(groups.select("digest", F.when(F.col("hot"), F.col("norm")).alias("norm"), "salt", "hot", "best", "refs"), "groups")
+    size = F.size("refs").cast("long")
+    once = groups.where("NOT hot").select("digest", "refs", F.col("best").alias("keep"), size.alias("group_size"), F.lit(True).alias("wins"))
+    salted = groups.where("hot")  # the salts' winners combine; each salt then learns of its text's
+    total = salted.groupBy("digest", "norm").agg(F.min(F.struct("best", "salt")).alias("first"), F.sum(size).alias("group_size"))
+    several = salted.join(total, ["digest", "norm"]).select("digest", "refs", F.col("first.best").alias("keep"), "group_size", (F.col("salt") == F.col("first.salt")).alias("wins"))
+    won = once.unionByName(several)
     each = won.select("digest", "keep", "group_size", "wins", F.posexplode(F.array_sort("refs")).alias("pos", "ref"))
     return each.select(
         F.col("ref.id").alias(id_col),

@@ -15,11 +15,14 @@ then still apart from that id's component is compared with the whole node, block
 Inside a small node all pairs are compared on sketches. First only a maximum spanning forest of the likely pairs is put
 forward and confirmed on full sets. Then the documents with likely partners in other components bring
 their full sets to the node, where those pairs are compared; only links that join components leave it.
-So no group's pairs are written out, and no link between components is lost.
+So no group's pairs are written out, and of the pairs that the sketches let pass no link between components is lost.
 
-Edge cases: a null or blank text has an empty set, size 0, and is a component of its own. Texts with
-fewer words than a shingle are one shingle. Equal ids are one document; a null id follows its
-class and is kept only if its class has no other id. An empty table gives an empty result. Other columns don't matter.
+Classes go by numbers of their own until the end, so ids may repeat: texts with one id are one document, whose
+texts' links all count, in any order of rows.
+
+Edge cases: a null or blank text has an empty set, size 0, and is a component of its own, named by its id. Texts with
+fewer words than a shingle are one shingle. A row without an id follows its class: its component is the smallest id
+there, and it is kept only if there is none. An empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -151,14 +154,15 @@ def _signatures(words: int):
                     nodes,
                     pa.array([t.tobytes() for t in tokens], pa.binary()),
                     pa.array([m.tobytes() for m in (mins >> np.uint64(48)).astype("<u2")], pa.binary()),
+                    part.column(2),
                 ],
-                ["doc_id", "n_shingles", "digest", "nodes", "tokens", "sketch"],
+                ["doc_id", "n_shingles", "digest", "nodes", "tokens", "sketch", "mark"],
             )
 
     return sign
 
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, nodes array<long>, tokens binary, sketch binary"
+SIGNATURE = "doc_id long, n_shingles long, digest binary, nodes array<long>, tokens binary, sketch binary, mark long"
 
 
 def _agreeing(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -324,19 +328,32 @@ def nodes(reps: DataFrame) -> DataFrame:
     return leaves.select("node", "doc_id", "size").withColumn("dense", F.col("size") > LEAF)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set of the documents in ``ids``. ``docs``: doc_id, text, one row per id."""
+class Texts:
+    """The text of each class: that of the row with its smallest id. ``classes``: cid, digest, id, none, mark of that row."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], ["doc_id", "set"])
+    def __init__(self, rows: DataFrame, classes: DataFrame, repeated: bool, words: int):
+        self.rows, self.classes, self.repeated, self.words = rows, classes, repeated, words
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """doc_id (the class's number), set of the classes in ``ids``. Rows meet their class by id and a hash of the text; the digest decides."""
+        words = self.words
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, "text"):
+                found = _words(part.column(1))
+                own = pa.array([d.tobytes() == x.as_buffer().to_pybytes() for d, x in zip(_word_digests(*found), part.column(2))], pa.bool_())
+                sets = pa.array([s.tobytes() for s in _sets(*found, words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "set"]).filter(own)
 
-    return written(docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+        wanted = self.classes.join(ids.select(F.col("doc_id").alias("cid")).distinct(), "cid", "left_semi")
+        met = self.rows.join(wanted, ["none", "id", "mark"]).select(F.col("cid").alias("doc_id"), "text", "digest")
+        found = met.mapInArrow(of, "doc_id long, set binary")
+        return written(found.dropDuplicates(["doc_id"]) if self.repeated else found, "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough."""
-    full = full_sets(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))), docs, words)
+    full = texts.sets(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))))
     with_u = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u")), "u")
     with_both = with_u.join(full.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
 
@@ -350,12 +367,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc = F.col(id_col).cast("long")
+    rows = docs.select(doc.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     signed = written(rows.mapInArrow(_signatures(words), SIGNATURE), "signatures")
-    some = signed.where("n_shingles > 0")
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.where("rep IS NOT NULL"), "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"])
-    reps = written(reps.select("doc_id", "nodes", "tokens", "sketch"), "representatives")
+    some = signed.where("n_shingles > 0").withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+    first = some.groupBy("digest").agg(F.min(F.struct("none", "id", "mark")).alias("first")).select("digest", "first.*")
+    classes = written(first.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    repeated = not some.groupBy("digest", "none", "id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    reps = some.join(classes, ["digest", "none", "id", "mark"]).dropDuplicates(["cid"])
+    reps = written(reps.select(F.col("cid").alias("doc_id"), "nodes", "tokens", "sketch"), "representatives")
     leaves = nodes(reps)
     # Dense nodes: everything with the smallest id; sub-blocks stand in for the node below.
     least = leaves.where("dense").groupBy("node").agg(F.min("doc_id").alias("u"))
@@ -363,9 +383,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     block = F.when(F.col("dense"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LEAF))).otherwise(0).cast("long")
     blocks = leaves.withColumn("block", block)
     forest = _by_node(_with_sketch(blocks.withColumn("label", F.lit(0).cast("long")), reps), _likely_pairs, PAIR)
-    texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = rows.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text")
+    texts = Texts(named, classes, repeated, words)
+    # Texts with one id are one document.
+    several = some.where("NOT none").groupBy("id").agg(F.min("digest").alias("u"), F.max("digest").alias("v")).where("u <> v")
+    together = some.where("NOT none").join(several.select("id"), "id").select("id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
+    together = together.join(together.groupBy("id").agg(F.min("cid").alias("u")), "id").where("u <> cid").select("u", F.col("cid").alias("v"))
     tried = written(forest.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    links = written(confirmed(tried, texts, words, percent), "links")
+    links = written(confirmed(tried, texts, percent).unionByName(together), "links")
     label = components(links)
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
@@ -384,12 +409,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     members = written(own.unionByName(hosts).unionByName(guests), "members")
     mixed_nodes = members.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     apart = written(_by_node(_with_sketch(members.join(mixed_nodes, ["node", "block"], "left_semi"), reps), _rows_apart, MEMBER), "apart")
-    more = _by_node(apart.join(full_sets(apart.select("doc_id"), texts, words), "doc_id"), _joining_pairs(percent), PAIR, "set")
+    more = _by_node(apart.join(texts.sets(apart.select("doc_id")), "doc_id"), _joining_pairs(percent), PAIR, "set")
     more = written(more.distinct(), "links")
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-    ids = some.select("doc_id", "digest", "n_shingles").join(classes, "digest").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    ids = ids.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    each = classes.select("digest", F.when(~F.col("none"), F.col("id")).alias("rep"), "cid").join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = each.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = written(each.join(least, "component").select("digest", "component_id"), "components")
+    ids = some.select("doc_id", "digest", "n_shingles").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import SpanHasher, mixed, text_bytes, text_slices, word_spans
 
@@ -232,6 +233,21 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(score, "doc_id long, score double")
 
 
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """The rows of ``docs``, each with the score of its own whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.kernels, model.biases, model.weights, model.bias, model.embedding.astype(np.float32)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels, biases, weights, bias, embedding = shared.value
+        own = Model(embedding, kernels, biases, weights, bias)
+        tables = own.tables()
+        for part in text_slices(batches, text_col, 1 << 20):
+            found = scores(own, tables, part.column(part.schema.get_field_index(text_col)))
+            yield part.append_column(name, pa.array(found, pa.float64()))
+
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def calibrated(scored_rows: DataFrame, least_labels: int = 50) -> DataFrame:
     """lang, threshold: per language the threshold with the fewest errors on labelled rows, missed toxic and
     rejected clean ones alike, if the rows can tell it from ``THRESHOLD``, else ``THRESHOLD``; a null

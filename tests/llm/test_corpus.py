@@ -1,6 +1,7 @@
 """Dedup, mixing, classifier and the pipeline against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -151,6 +152,16 @@ def test_op9_salts_of_a_hot_text(spark, corpus):
     assert sorted(r.doc_id for r in stay.collect()) == [0, *range(300, 307)]
 
 
+def test_op9_hot_text_without_ids(spark, corpus):
+    """Rows of one id, or without ids, are dealt to several salts, and one of them stays."""
+    for one in (None, 7):
+        docs = spark.read.parquet(f"{corpus([(one, 'hot text')] * 2000 + [(9, 'hot  text'), (8, 'other')])}/documents.parquet")
+        got = exact_dedup.decisions(docs, rows_per_salt=64).collect()
+        keep = one or 9
+        assert len(got) == 2002 and {(r.keep_id, r.group_size) for r in got} == {(keep, 2001), (8, 1)}
+        assert sorted(r.doc_id for r in got if r.kept) == sorted([keep, 8])
+
+
 def test_exact_stage_keeps_whole_rows(spark, corpus):
     docs = spark.read.parquet(f"{corpus(ODD_TEXTS)}/documents.parquet")
     kept = exact_dedup.deduplicated(docs)
@@ -244,6 +255,38 @@ def test_op10_odd_rows(spark, corpus):
     assert near_dedup.op10_near_dedup(spark, corpus([])).count() == 0
 
 
+def test_op10_repeated_ids(spark, corpus):
+    """Texts of one id are one document, in any order of rows."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyz")
+    rows = [(1, x), (2, y), (5, f"{x} q"), (5, f"{y} q"), (6, z), (None, f"{z} q"), (None, "alone without an id"), (7, x), (8, None), (5, "")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.op10_near_dedup(spark, corpus(rows)).collect()
+        assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == sorted(
+            [(1, 9, 1, True), (2, 9, 1, False), (5, 10, 1, False), (5, 10, 1, False), (7, 9, 1, False), (6, 9, 6, True), (0, 10, 6, False), (0, 1, 0, True), (8, 0, 8, True), (5, 0, 5, True)]
+        )
+
+
+def test_op10_recall_near_the_threshold(spark, corpus):
+    """Pairs of similarity 0.80 to 0.83 through the whole query."""
+    dice, rows, pairs = random.Random(9), [], 0
+    for k in range(0, 1200, 2):
+        words = [f"w{dice.randrange(10**9)}" for _ in range(dice.randrange(60, 200))]
+        changed = list(words)
+        for at in dice.sample(range(len(words)), max(1, round(len(words) * 0.0265))):
+            changed[at] = f"v{dice.randrange(10**9)}"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(changed))]
+    got = {r.doc_id: r.component_id for r in near_dedup.op10_near_dedup(spark, corpus(rows)).collect()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    found = 0
+    for k in range(0, 1200, 2):
+        a, b = sets[k], sets[k + 1]
+        if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+            pairs, found = pairs + 1, found + (got[k + 1] == k)
+        assert got[k] == k and got[k + 1] in (k, k + 1)
+    assert pairs >= 60 and found >= 0.98 * pairs
+
+
 # Mixing
 
 
@@ -371,3 +414,28 @@ def test_pipeline(spark):
         counts.append(len(rows))
     pieces = cp.STAGES[4][1](spark, before, DATA).collect()
     assert sum(r.length for r in pieces if r.start == 0) > 0 and len({(r.doc_id) for r in pieces}) == len({r.doc_id for r in before.collect()})
+
+
+def test_pipeline_on_odd_rows(spark, corpus):
+    """Each stage on null, empty, long, tied and repeated rows, and on an empty table."""
+    import corpus_pipeline as cp
+
+    x = " ".join(f"x{k}" for k in range(30))
+    odd = [*ODD_TEXTS, (None, x), (None, f"{x} q"), (11, f"{x} r"), (12, f"{x} r"), (12, "another text"), (12, "another text")]
+    for rows in (odd, []):
+        folder = corpus([(*r, "en", None if (r[0] or 0) % 2 else "a") for r in rows])
+        spark.createDataFrame([(4, 1, 0), (12, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in cp.STAGES[:4]:
+            after = cp.written(stage(spark, docs, folder), "test")
+            assert after.columns == docs.columns
+            docs = after
+            texts = [(r.doc_id, r.text) for r in after.collect()]
+            if stage is cp.drop_toxic:
+                assert sorted(map(str, texts)) == sorted(map(str, rows))
+            if stage is cp.drop_copies:
+                assert len(texts) == len({" ".join((t or "").split()) if (t or "").strip() else (" " if t else "") for _, t in rows})
+            if stage is cp.drop_near_copies and rows:
+                assert [i for i, t in texts if t and t.startswith("x0 ")] == [11]
+        pieces = cp.STAGES[4][1](spark, docs, folder).collect()
+        assert len({r.doc_id for r in pieces}) == len({i for i, _ in texts})
