@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the rows that go on, as
 documents; the last returns pieces of packed sequences with their ids. ``run`` writes each stage's
 result in the shared folder and reads it again. SQL can't express the classifier, the cube method or
-the tokenizer, so ``ORACLE_SQL`` is None and the stages are tested against plain versions."""
+the tokenizer, so ``ORACLE_SQL`` is None and the stages are tested against plain versions.
+
+Rows with a null id, and rows with one id and different texts, are documents of their own for the classifier, exact
+dedup, mixing and packing; near dedup takes texts of one id as one document. Null and empty texts are
+clean, copies of each other, never near copies, and pack as an end token. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -17,19 +21,18 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under their language's calibrated threshold. The model learns outside the held-out
+    """Documents under their language's calibrated threshold, row by row. The model learns outside the held-out
     fold and the calibration's rows; the held-out fold's labels aren't read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fitted(docs, labels, calibration=True)
-    scores = written(toxicity.scored(docs, model).groupBy("doc_id").agg(F.max("score").alias("score")), "toxicity")
-    known = labels.where(toxicity.calibrates(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    langs = docs.select("doc_id", "lang").distinct()
-    by = written(toxicity.calibrated(scores.join(known, "doc_id").join(langs, "doc_id")), "thresholds")
-    together = by.where("lang IS NULL").first()  # the row of all languages
-    least = F.coalesce("threshold", F.lit(together.threshold if together else toxicity.THRESHOLD))
-    judged = scores.join(langs, "doc_id").join(by.where("lang IS NOT NULL"), "lang", "left")
-    toxic = judged.where(F.col("score") >= least).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    known = labels.where(toxicity.calibrates(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
+    sample = docs.select("doc_id", "lang", "text").join(known, F.col("doc_id") == F.col("__id"))
+    by = toxicity.calibrated(toxicity.with_scores(sample, model).select("lang", "toxic", F.col("__score").alias("score")))
+    by = written(by.select(F.col("lang").alias("__lang"), F.col("threshold").alias("__threshold")), "thresholds")
+    together = by.where("__lang IS NULL").first()  # the row of all languages
+    least = F.coalesce("__threshold", F.lit(together["__threshold"] if together else toxicity.THRESHOLD))
+    judged = toxicity.with_scores(docs, model).join(by.where("__lang IS NOT NULL"), F.col("lang") == F.col("__lang"), "left")
+    return judged.where(F.col("__score") < least).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +40,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the links at five words and a similarity of 0.8."""
-    dropped = near_dedup.linked(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component of the links at five words and a similarity of 0.8. A row without an id goes by a
+    number from its text, after all ids below 2^62."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    dropped = near_dedup.linked(docs.select(own.alias("doc_id"), "text")).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, own == F.col("__id"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
