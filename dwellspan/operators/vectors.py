@@ -105,39 +105,59 @@ def _replay(group: list[str], columns: str, step):
     return run
 
 
+def unit(v) -> np.ndarray:
+    v = np.asarray(v, np.float64)
+    return v / (np.linalg.norm(v) or 1.0)
+
+
+class Prototypes:
+    """A bounded set of looks: a vector folds into its nearest prototype if similar enough, else is added while
+    there is room, else replaces the most redundant one if it is more diverse, else folds."""
+
+    def __init__(self, capacity: int = 12, merge: float = 0.95, vectors=(), weights=()):
+        self.capacity, self.merge = capacity, merge
+        self.vectors, self.weights, self._stack = [np.asarray(v, np.float64) for v in vectors], list(weights), None
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+    def matrix(self) -> np.ndarray:
+        if self._stack is None:
+            self._stack = np.stack(self.vectors) if self.vectors else np.zeros((0, 0))
+        return self._stack
+
+    def nearest(self, looks: np.ndarray) -> float:
+        """The highest similarity to any row of ``looks``; -1 without one."""
+        return float((self.matrix() @ looks.T).max()) if self.vectors and len(looks) else -1.0
+
+    def add(self, v: np.ndarray) -> None:
+        stack, self._stack = self.matrix(), None
+        near = stack @ v if self.vectors else np.zeros(0)
+        k = int(near.argmax()) if len(near) else 0
+        if len(near) < self.capacity and (not len(near) or near[k] < self.merge):
+            self.vectors.append(v)
+            self.weights.append(1)
+            return
+        if near[k] < self.merge:
+            crowded = (stack @ stack.T - 2 * np.eye(len(stack))).max(1)
+            worst = int(crowded.argmax())
+            if near[k] < crowded[worst]:
+                self.vectors[worst], self.weights[worst] = v, 1
+                return
+        self.vectors[k], self.weights[k] = unit(self.vectors[k] * self.weights[k] + v), self.weights[k] + 1
+
+
 def prototypes(df: DataFrame, group: list[str], order: list[str], capacity: int = 12, merge: float = 0.95) -> DataFrame:
-    """Sequential prototype sets: a vector folds into its nearest prototype if similar enough, else is
-    added while there is room, else replaces the most redundant one if it is more diverse, else folds."""
+    """The prototype set of each group's vectors, in their order."""
 
     def step(frame):
         import pandas as pd
 
-        kept: list[np.ndarray] = []
-        weights: list[int] = []
+        kept = Prototypes(capacity, merge)
         for vec in frame["embedding"]:
-            v = np.asarray(vec, np.float64)
-            v = v / (np.linalg.norm(v) or 1.0)
-            if not kept:
-                kept, weights = [v], [1]
-                continue
-            stack = np.stack(kept)
-            near = stack @ v
-            k = int(near.argmax())
-            if near[k] < merge and len(kept) < capacity:
-                kept.append(v)
-                weights.append(1)
-                continue
-            if near[k] < merge:
-                gram = stack @ stack.T - 2 * np.eye(len(kept))
-                crowded = gram.max(1)
-                worst = int(crowded.argmax())
-                if near.max() < crowded[worst]:
-                    kept[worst], weights[worst] = v, 1
-                    continue
-            joined = kept[k] * weights[k] + v
-            kept[k], weights[k] = joined / (np.linalg.norm(joined) or 1.0), weights[k] + 1
+            kept.add(unit(vec))
         rows = {c: [frame[c].iloc[0]] * len(kept) for c in group}
-        return pd.DataFrame({**rows, "prototype": range(len(kept)), "weight": weights, "vector": [p.tolist() for p in kept]})
+        return pd.DataFrame({**rows, "prototype": range(len(kept)), "weight": kept.weights, "vector": [p.tolist() for p in kept.vectors]})
 
     return _replay(group, "prototype long, weight long, vector array<double>", step)(df, order)
 
