@@ -90,6 +90,13 @@ def daily_usage(charged: DataFrame, allowance: DataFrame, corrections: DataFrame
     return rows.withColumn("remaining_us", F.greatest(F.lit(0).cast("long"), F.col("allowance_us") - F.col("used_us"))).withColumn("status", status(F.col("used_us"), F.col("allowance_us"), policy.warning_us))
 
 
+def first_violations(charged: DataFrame, policy: Policy) -> DataFrame:
+    """person_id, day, occurred_us, used_us: the visit with which a day's charged time first reaches the allowance."""
+    w = W.partitionBy("person_id", "day").orderBy("start_us", "visit_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = charged.withColumn("cum", F.sum("charged_us").over(w)).where(F.col("cum") >= policy.allowance_us)
+    return rows.groupBy("person_id", "day").agg(F.min("start_us").alias("occurred_us"), F.min("cum").alias("used_us"))
+
+
 def in_break(us, policy: Policy) -> Column:
     """Whether the local minute lies in a break window (half-open)."""
     local = local_micros(us, policy.zone)

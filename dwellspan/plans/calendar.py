@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from dwellspan.functions.time import DAY, HOUR, MINUTE, SECOND, date_text, day_number, format_duration, local_micros
 from dwellspan.operators import calendar as cal
 from dwellspan.operators import intervals as iv
-from dwellspan.sources.tables import presence, table
+from dwellspan.sources.tables import presence, scratch, table
+from dwellspan.streaming.recompute import Ledger
 
 from .intervals import _visits_sql
 from .registry import PRESENCE, query
@@ -42,13 +43,14 @@ def charged_rows(spark, sf_dir):
     return cal.charge(cal.countable(visit_rows(spark, sf_dir), POLICY), ["person_id", "visit_id"], POLICY)
 
 
-def correction_rows(spark, sf_dir):
+def correction_rows(spark, sf_dir, *more):
     rows = presence(spark, sf_dir).where("interval_id % 20 = 0 OR k < 3")
     return rows.select(
         "person_id",
         day_number(local_micros("start_us", POLICY.zone)).alias("day"),
         F.when(F.col("interval_id") % 20 == 0, F.concat(F.lit("visit_"), F.col("interval_id").cast("string"))).alias("visit_id"),
         F.when(F.col("k") < 3, (F.col("k") - 1) * MINUTE).otherwise(0).alias("adjust_us"),
+        *more,
     )
 
 
@@ -82,9 +84,7 @@ SELECT person_id, {DATE} AS local_date, min(start_us) AS occurred_us, CAST(min(c
 )
 def c7_first_violation(spark, sf_dir):
     """The visit with which a day's charged time first reaches the allowance."""
-    w = W.partitionBy("person_id", "day").orderBy("start_us", "visit_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = charged_rows(spark, sf_dir).withColumn("cum", F.sum("charged_us").over(w)).where(F.col("cum") >= POLICY.allowance_us)
-    return rows.groupBy("person_id", "day").agg(F.min("start_us").alias("occurred_us"), F.min("cum").alias("used_us")).select("person_id", date_text("day").alias("local_date"), "occurred_us", "used_us")
+    return cal.first_violations(charged_rows(spark, sf_dir), POLICY).select("person_id", date_text("day").alias("local_date"), "occurred_us", "used_us")
 
 
 @query(f"WITH {PRESENCE}, d AS (SELECT person_id, unnest(generate_series((start_us + {SHIFT}) // {DAY}, greatest((start_us + {SHIFT}) // {DAY}, (end_us + {SHIFT} - 1) // {DAY}))) AS day FROM iv) SELECT person_id, {DATE} AS local_date, count(*) AS events FROM d GROUP BY person_id, day")
@@ -93,6 +93,43 @@ def c8_affected_dates(spark, sf_dir):
     return cal.dates_of(presence(spark, sf_dir), POLICY).groupBy("person_id", "day").agg(F.count(F.lit(1)).alias("events")).select("person_id", date_text("day").alias("local_date"), "events")
 
 
+def _ledger(spark, sf_dir):
+    """Three batches of the log, the second and third full of late intervals, each applied as it comes."""
+    ledger = Ledger(spark, scratch(spark, "ledger"), POLICY, allowance_rows(spark, sf_dir))
+    rows, corrections = presence(spark, sf_dir), correction_rows(spark, sf_dir, "interval_id")
+    for k in range(3):
+        mine = F.pmod(F.col("interval_id"), F.lit(3)) == k
+        ledger.take(k, rows.where(mine), corrections.where(mine).drop("interval_id"))
+    return ledger
+
+
+@query(f"{USAGE} SELECT person_id, {DATE} AS local_date, visits, excluded, used_us, allowance_us, remaining_us, status FROM usage")
+def st17_usage_by_batches(spark, sf_dir):
+    """Daily usage as three batches leave it that compute only what they touch anew."""
+    return _ledger(spark, sf_dir).usage().select("person_id", date_text("day").alias("local_date"), "visits", "excluded", "used_us", "allowance_us", "remaining_us", "status")
+
+
+@query(
+    f"""{BASE}, r AS (SELECT person_id, day, visit_id, start_us, sum(charged_us) OVER (PARTITION BY person_id, day ORDER BY start_us, visit_id ROWS UNBOUNDED PRECEDING) AS cum FROM charged)
+SELECT person_id, {DATE} AS local_date, min(start_us) AS occurred_us, CAST(min(cum) AS BIGINT) AS used_us FROM r WHERE cum >= {30 * MINUTE} GROUP BY person_id, day"""
+)
+def st17_violations_by_batches(spark, sf_dir):
+    """Violations as three batches leave them."""
+    return _ledger(spark, sf_dir).violations().select("person_id", date_text("day").alias("local_date"), "occurred_us", "used_us")
+
+
+@query(f"{USAGE} SELECT {DATE} AS local_date, count(*) AS persons, CAST(sum(used_us) AS BIGINT) AS used_us, count(*) FILTER (status = 'exceeded') AS exceeded FROM usage GROUP BY day")
+def st18_report_revisions(spark, sf_dir):
+    """The newest revision of each date's report after three batches, with a run of reports after each of them."""
+    ledger = Ledger(spark, scratch(spark, "ledger"), POLICY, allowance_rows(spark, sf_dir))
+    rows, corrections = presence(spark, sf_dir), correction_rows(spark, sf_dir, "interval_id")
+    for k in range(3):
+        mine = F.pmod(F.col("interval_id"), F.lit(3)) == k
+        ledger.take(k, rows.where(mine), corrections.where(mine).drop("interval_id"))
+        ledger.report()
+    return ledger.reports().select(date_text("day").alias("local_date"), "persons", "used_us", "exceeded")
+
+
 @query(
     """WITH runs AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS report_date, o_orderkey AS run_id, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS revision, o_orderstatus AS state FROM orders),
 latest AS (SELECT report_date, max(revision) AS revision, arg_max(run_id, revision) AS run_id FROM runs WHERE state = 'F' GROUP BY report_date)

@@ -5,6 +5,9 @@ an event log; ``customer`` rows as employees; ``embeddings`` as a face gallery."
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables below ``spark.checkpoint.dir``, which driver and executors share; without
+    that setting a temporary one, but only where Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='dwellspan-')}"
+    return f"{base.rstrip('/')}/dwellspan/{name}-{uuid.uuid4().hex}"
+
+
+def existing(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, or an empty one where nothing has been written yet."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """interval_id, person_id, camera_id, start_us, end_us, minutes."""
     start = micros("ts")

@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 from dwellspan.functions.time import date_text
 from dwellspan.operators.calendar import Policy, dates_of
 from dwellspan.sources.events import lines, parsed
-
-
-def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+from dwellspan.sources.tables import existing
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, policy: Policy) -> None:
@@ -29,7 +24,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, policy: Policy) -
         schema = good.withColumn("batch", F.lit(0)).schema
         low, high = good.agg(F.min("seq"), F.max("seq")).first()
         # Row groups outside the batch's range of numbers aren't read: bronze files hold few ranges each.
-        seen = _existing(spark, f"{folder}/bronze", schema).where(F.col("seq").between(low, high) & (F.col("batch") != batch_id))
+        seen = existing(spark, f"{folder}/bronze", schema).where(F.col("seq").between(low, high) & (F.col("batch") != batch_id))
         fresh = good.join(seen.select("outbox_id", "seq"), ["outbox_id", "seq"], "left_anti")
         fresh.sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{folder}/bronze/batch={batch_id}")
         rows.where("error IS NOT NULL").select("outbox_id", "payload", "error").write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
