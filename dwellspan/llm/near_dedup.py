@@ -372,7 +372,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     signed = written(rows.mapInArrow(_signatures(words), SIGNATURE), "signatures")
     some = signed.where("n_shingles > 0").withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
     first = some.groupBy("digest").agg(F.min(F.struct("none", "id", "mark")).alias("first")).select("digest", "first.*")
-    classes = written(first.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # Numbers rise with ids: of a dense node the smallest, often the original of its copies, is its centre.
+    classes = written(first.orderBy("none", "id", "mark", "digest").withColumn("cid", F.monotonically_increasing_id()), "classes")
     repeated = not some.groupBy("digest", "none", "id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     reps = some.join(classes, ["digest", "none", "id", "mark"]).dropDuplicates(["cid"])
     reps = written(reps.select(F.col("cid").alias("doc_id"), "nodes", "tokens", "sketch"), "representatives")
