@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import lagged
+
 
 def deduplicated(df: DataFrame) -> DataFrame:
     """Insert or ignore on the natural key."""
@@ -21,10 +22,10 @@ def scan(df: DataFrame, type: str | None = None, person: int | None = None, sinc
     return df if limit is None else df.limit(limit)
 
 
-def holes(df: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """Stretches of numbers that a key's sequence skips."""
-    before = F.lag(seq).over(W.partitionBy(*key).orderBy(seq))
-    return df.withColumn("__p", before).where(F.col(seq) > F.col("__p") + 1).select(*key, (F.col("__p") + 1).alias("from_seq"), (F.col(seq) - 1).alias("to_seq"))
+def holes(df: DataFrame, key: list[str], seq: str, width: int = 1 << 16) -> DataFrame:
+    """Stretches of numbers that a key's sequence skips; looked at in stretches of ``width`` numbers."""
+    rows = lagged(df.select(*key, seq), key, [seq], {"__p": seq}, F.floor(F.col(seq) / width))
+    return rows.where(F.col(seq) > F.col("__p") + 1).select(*key, (F.col("__p") + 1).alias("from_seq"), (F.col(seq) - 1).alias("to_seq"))
 
 
 def lenient_number(text: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellspan.functions.time import DAY, HOUR, SECOND, micros
+from dwellspan.operators import consumer as co
 from dwellspan.operators import log as lg
+from dwellspan.operators import ordered as od
 from dwellspan.sources.tables import presence, table
 
 from .registry import PRESENCE, query
@@ -79,18 +81,24 @@ def w1_gaps(spark, sf_dir):
     return rows.select("interval_id", (F.col("start_us") - F.col("pe")).alias("gap_us"), (F.col("before") == F.col("camera_id")).alias("same_camera"), "before")
 
 
+def stretch():
+    """Stretches of the log that the windows of a camera or outbox run in."""
+    return F.floor(F.col("event_id") / 4096)
+
+
 @query("WITH p AS (SELECT outbox, n, lag(n) OVER (PARTITION BY outbox ORDER BY n) AS prev FROM (SELECT user_id % 4 AS outbox, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS n, event_id FROM events) WHERE event_id % 97 <> 0) SELECT outbox, prev + 1 AS from_seq, n - 1 AS to_seq FROM p WHERE n > prev + 1")
 def w2_seq_holes(spark, sf_dir):
     """Missing stretches of each outbox's sequence."""
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("outbox"), "event_id", F.row_number().over(W.partitionBy(F.col("user_id") % 4).orderBy("event_id")).cast("long").alias("n"))
+    rows = od.numbered(table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("outbox"), "event_id"), ["outbox"], ["event_id"], stretch(), "n")
     return lg.holes(rows.where("event_id % 97 <> 0"), ["outbox"], "n")
 
 
 @query(f"WITH {PRESENCE}, p AS (SELECT interval_id, camera_id, start_us, end_us, max(end_us) OVER (PARTITION BY camera_id, k % 3 ORDER BY interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM iv) SELECT interval_id, high - end_us AS back_us FROM p WHERE end_us < high")
 def w3_backwards(spark, sf_dir):
     """Rows that fall behind the running maximum of their camera and epoch."""
-    w = W.partitionBy("camera_id", F.col("k") % 3).orderBy("interval_id").rowsBetween(W.unboundedPreceding, -1)
-    return presence(spark, sf_dir).withColumn("high", F.max("end_us").over(w)).where("end_us < high").select("interval_id", (F.col("high") - F.col("end_us")).alias("back_us"))
+    rows = presence(spark, sf_dir).withColumn("epoch", F.coalesce(F.col("k") % 3, F.lit(-1)))
+    rows = od.running(rows, ["camera_id", "epoch"], ["interval_id"], F.col("end_us"), F.floor(F.col("interval_id") / 4096), "high", F.max, before=True)
+    return rows.where("end_us < high").select("interval_id", (F.col("high") - F.col("end_us")).alias("back_us"))
 
 
 @query("WITH g AS (SELECT event_id, event_type, user_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS generation FROM events) SELECT event_id, 'tr_' || event_type || '-t' || user_id || '-g' || generation AS track_uuid FROM g")
@@ -107,9 +115,8 @@ SELECT event_type, count(*) FILTER (slow <> ps) AS switches, count(*) FILTER (st
 )
 def w5_phase_switches(spark, sf_dir):
     """Per camera: changes between slow and fast, stall episodes (rising edges), and the median rise between samples."""
-    w = W.partitionBy("event_type").orderBy("event_id")
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", "value", (F.col("value") < 20).alias("slow"), (F.col("value") > 90).alias("stalled"))
-    rows = rows.withColumn("ps", F.lag("slow").over(w)).withColumn("pst", F.coalesce(F.lag("stalled").over(w), F.lit(False))).withColumn("pv", F.lag("value").over(w))
+    rows = od.lagged(rows, ["event_type"], ["event_id"], {"ps": "slow", "pst": "stalled", "pv": "value"}, stretch()).withColumn("pst", F.coalesce("pst", F.lit(False)))
     rise = F.when((F.col("value") >= F.col("pv")) & (F.col("value") > 0), (F.col("value") - F.col("pv")) / F.col("value"))
     return rows.groupBy("event_type").agg(F.count_if(F.col("slow") != F.col("ps")).alias("switches"), F.count_if(F.col("stalled") & ~F.col("pst")).alias("stalls"), F.round(F.median(rise), 6).alias("median_rise"))
 
@@ -119,25 +126,26 @@ def w5_phase_switches(spark, sf_dir):
 )
 def w10_sliding_spread(spark, sf_dir):
     """The largest spread and count in any six hours, and the highest rolling minimum over at least three."""
-    d = W.partitionBy("camera_id").orderBy("start_us").rangeBetween(-6 * HOUR, 0)
-    rows = presence(spark, sf_dir).select("camera_id", (F.max("minutes").over(d) - F.min("minutes").over(d)).alias("spread"), F.count(F.lit(1)).over(d).alias("n"), F.min("minutes").over(d).alias("low"), (F.col("start_us") - F.min("start_us").over(d)).alias("span"))
+    rows, d = od.reaching(presence(spark, sf_dir).select("camera_id", "start_us", "minutes"), ["camera_id"], "start_us", 6 * HOUR)
+    rows = rows.select("camera_id", "__own", (F.max("minutes").over(d) - F.min("minutes").over(d)).alias("spread"), F.count(F.lit(1)).over(d).alias("n"), F.min("minutes").over(d).alias("low"), (F.col("start_us") - F.min("start_us").over(d)).alias("span")).where("__own")
     return rows.groupBy("camera_id").agg(F.round(F.max("spread"), 6).alias("worst_spread"), F.max("n").alias("most"), F.round(F.max(F.when(F.col("span") >= 3 * HOUR, F.col("low"))), 6).alias("highest_floor"))
 
 
 @query(f"WITH {PRESENCE}, w AS (SELECT interval_id, count(*) OVER d AS n, max(start_us) OVER d - min(start_us) OVER d AS span FROM iv WINDOW d AS (PARTITION BY camera_id ORDER BY start_us RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)) SELECT interval_id, round((n - 1) * 1e9 / span, 6) AS rate FROM w WHERE span > 0")
 def w11_rolling_rate(spark, sf_dir):
     """(n - 1) / (last - first) over the last hour, per thousand seconds."""
-    d = W.partitionBy("camera_id").orderBy("start_us").rangeBetween(-HOUR, 0)
-    rows = presence(spark, sf_dir).select("interval_id", F.count(F.lit(1)).over(d).alias("n"), (F.max("start_us").over(d) - F.min("start_us").over(d)).alias("span")).where("span > 0")
+    rows, d = od.reaching(presence(spark, sf_dir).select("interval_id", "camera_id", "start_us"), ["camera_id"], "start_us", HOUR)
+    rows = rows.select("interval_id", "__own", F.count(F.lit(1)).over(d).alias("n"), (F.max("start_us").over(d) - F.min("start_us").over(d)).alias("span")).where("__own AND span > 0")
     return rows.select("interval_id", F.round((F.col("n") - 1) * 1e9 / F.col("span"), 6).alias("rate"))
 
 
 @query("SELECT event_id, max(value) OVER w AS offset_estimate, list_aggregate(list_slice(list(event_id) OVER w, -5, -1), 'sum')::BIGINT AS last_five FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)")
 def w13_offset_estimate(spark, sf_dir):
     """The maximum of the last 64 samples, and a trail of the last five."""
-    w = W.partitionBy("event_type").orderBy("event_id").rowsBetween(-63, 0)
+    rows, w = od.trailing(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"], stretch(), 64)
     trail = F.collect_list("event_id").over(w.rowsBetween(-4, 0))
-    return table(spark, sf_dir, "events").select("event_id", F.max("value").over(w).alias("offset_estimate"), F.aggregate(trail, F.lit(0).cast("long"), lambda a, x: a + x).alias("last_five"))
+    rows = rows.select("event_id", "__own", F.max("value").over(w).alias("offset_estimate"), F.aggregate(trail, F.lit(0).cast("long"), lambda a, x: a + x).alias("last_five"))
+    return rows.where("__own").drop("__own")
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_id, user_id, n FROM r WHERE n <= 5")
@@ -149,9 +157,11 @@ def w16_keep_k(spark, sf_dir):
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) SELECT a.event_type, a.event_id AS newest, b.event_id AS previous, round(a.value - b.value, 6) AS change FROM r a JOIN r b USING (event_type) WHERE a.n = 1 AND b.n = 2")
 def w17_latest_pair(spark, sf_dir):
     """The newest two records of each camera side by side."""
-    w = W.partitionBy("event_type").orderBy(F.desc("event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).withColumn("p_id", F.lead("event_id").over(w)).withColumn("p_v", F.lead("value").over(w)).where("n = 1 AND p_id IS NOT NULL")
-    return rows.select("event_type", F.col("event_id").alias("newest"), F.col("p_id").alias("previous"), F.round(F.col("value") - F.col("p_v"), 6).alias("change"))
+    w = W.partitionBy("event_type").orderBy(F.desc("event_id"))  # a task hands on its own two newest rows of a camera at most
+    two = table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.row_number().over(w).alias("n")).where("n <= 2").groupBy("event_type")
+    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
+    rows = two.agg(at(1, "event_id").alias("newest"), at(2, "event_id").alias("previous"), F.round(at(1, "value") - at(2, "value"), 6).alias("change"))
+    return rows.where("previous IS NOT NULL")
 
 
 @query("SELECT event_id, 'ANON-' || strftime(ts, '%Y%m%d') || '-' || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS VARCHAR), 4, '0') AS anon_id FROM events WHERE event_type = 'error'")
@@ -203,3 +213,24 @@ def st19_conformance(spark, sf_dir):
         "silence": F.col("at_us") - F.col("pat") > 2 * DAY,
     }
     return rows.select("seq", F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))).alias("rule"))
+
+
+_LINES = """e AS (SELECT event_id, CAST(event_id // 5000 AS VARCHAR) AS outbox_id, CASE WHEN event_id % 211 <> 7 THEN event_id % 5000 + 1 END AS seq, 'p' || event_id AS payload, CASE WHEN event_id % 50 = 3 THEN 'bad' END AS error FROM events WHERE event_id % 97 <> 5),
+l AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 3 = 0)"""
+
+
+@query(
+    f"""WITH {_LINES}, o AS (SELECT DISTINCT outbox_id, seq, payload, error FROM l WHERE seq IS NOT NULL), g AS (SELECT *, lag(seq) OVER (PARTITION BY outbox_id ORDER BY seq) AS before FROM o)
+SELECT outbox_id, CASE WHEN error IS NULL THEN 'event' ELSE 'dead' END AS kind, seq, CAST(NULL AS BIGINT) AS to_seq, payload, error FROM o
+UNION ALL SELECT outbox_id, 'dead', NULL, NULL, payload, coalesce(error, 'no seq') FROM l WHERE seq IS NULL
+UNION ALL SELECT outbox_id, 'hole', before + 1, seq - 1, NULL, NULL FROM g WHERE seq > before + 1 AND seq > 1000"""
+)
+def s3_consumed(spark, sf_dir):
+    """What a durable consumer is left with: each event once, poison and lines without number apart, and holes that nobody
+    announced (up to number 1000 they were). A log of 5000 numbers an outbox, some lines missing, some twice."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").where("event_id % 97 <> 5").select(
+        "event_id", F.floor(e / 5000).cast("string").alias("outbox_id"), F.when(e % 211 != 7, e % 5000 + 1).alias("seq"), F.concat(F.lit("p"), e).alias("payload"), F.when(e % 50 == 3, "bad").alias("error")
+    )
+    announced = rows.select("outbox_id").distinct().withColumn("to_seq", F.lit(1000).cast("long"))
+    return co.consumed(rows.unionByName(rows.where("event_id % 3 = 0")).drop("event_id"), announced)

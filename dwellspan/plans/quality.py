@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellspan.functions.text import keys_matching, search
 from dwellspan.functions.time import DAY, HOUR, clock_seconds, micros
+from dwellspan.operators import ordered as od
 from dwellspan.operators import state as st
 from dwellspan.sources.tables import presence, table
 
@@ -25,8 +26,9 @@ def a12_percentiles(spark, sf_dir):
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95, max(value) FILTER (i = CAST(floor(0.9 * n) AS BIGINT)) AS p90, max(value) FILTER (i = n // 2) AS upper_median FROM r GROUP BY event_type")
 def a13_nearest_rank(spark, sf_dir):
     """Percentiles by rank: index round(.95 (n - 1)) with halves to even, int(.9 n), n // 2."""
-    w = W.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value", "event_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = od.numbered(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["value", "event_id"], F.floor(F.col("value") * 16), "i")
+    n = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("i", F.col("i") - 1).join(n, "event_type")
     at = lambda index: F.max(F.when(F.col("i") == index, F.col("value")))
     return rows.groupBy("event_type").agg(at(F.bround(0.95 * (F.col("n") - 1)).cast("long")).alias("p95"), at(F.floor(0.9 * F.col("n"))).alias("p90"), at(F.floor(F.col("n") / 2)).alias("upper_median"))
 
@@ -77,9 +79,8 @@ def a20_zone_endings(spark, sf_dir):
 @query("WITH d AS (SELECT event_type, event_id, value - 50 AS dev, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events) SELECT event_type, round(sqrt(avg(dev * dev)), 6) AS rms, round(max(abs(dev)), 6) AS worst, arg_max(event_id, (abs(dev), -event_id)) AS worst_id, count(*) FILTER (step > 1.5 * 1296000000) AS long_steps, arg_max(round(dev, 6), event_id) AS final_drift FROM d GROUP BY event_type")
 def a23_fidelity(spark, sf_dir):
     """Deviation of a timeline: rms, the worst with its row, steps over 1.5 times nominal, the last value."""
-    w = W.partitionBy("event_type").orderBy("event_id")
-    at = micros("ts")
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") - 50).alias("dev"), (at - F.lag(at).over(w)).alias("step"))
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") - 50).alias("dev"), micros("ts").alias("at_us"))
+    rows = od.lagged(rows, ["event_type"], ["event_id"], {"was": "at_us"}, F.floor(F.col("event_id") / 4096)).withColumn("step", F.col("at_us") - F.col("was"))
     return rows.groupBy("event_type").agg(
         F.round(F.sqrt(F.avg(F.col("dev") * F.col("dev"))), 6).alias("rms"), F.round(F.max(F.abs("dev")), 6).alias("worst"), F.max_by("event_id", F.struct(F.abs("dev"), -F.col("event_id"))).alias("worst_id"),
         F.count_if(F.col("step") > 1.5 * 1296000000).alias("long_steps"), F.max_by(F.round("dev", 6), "event_id").alias("final_drift"),
@@ -147,11 +148,12 @@ _SEVERITY = "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus W
 
 @query(_SEVERITY)
 def t5_severity(spark, sf_dir):
-    """All orders ranked by severity of status, then by what remains: a range sort, then each partition's rows
-    count on from those before it."""
-    severity = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    rows = table(spark, sf_dir, "orders").orderBy(severity, "o_totalprice", "o_orderkey").select("o_orderkey")
-    return rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("o_orderkey long, rank long")
+    """All orders ranked by severity of status, then by what remains: counted within ranges of severity and price, and on from
+    the ranges before."""
+    severity = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("severity")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", severity)
+    order = ["severity", "o_totalprice", "o_orderkey"]
+    return od.numbered(rows, [], order, F.struct("severity", F.floor(F.col("o_totalprice") / 1000)), "rank").select("o_orderkey", "rank")
 
 
 @query(_SEVERITY)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellspan.functions.time import DAY, HOUR, micros
+from dwellspan.operators import ordered as od
 from dwellspan.operators import presence as pr
 from dwellspan.operators import reports as rp
 from dwellspan.operators import spatial as sp
@@ -139,10 +140,11 @@ SELECT event_type, CAST(episode AS BIGINT) AS episode, min(event_id) AS from_id,
 )
 def w6_stall_episodes(spark, sf_dir):
     """Stalls by camera: each begins where the age rises over its limit."""
-    w = W.partitionBy("event_type").orderBy("event_id")
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") > 70).alias("stalled"))
-    rises = F.col("stalled") & ~F.coalesce(F.lag("stalled").over(w), F.lit(False))
-    rows = rows.withColumn("rises", rises).withColumn("episode", F.sum(F.col("rises").cast("long")).over(w)).where("stalled")
+    stretch = F.floor(F.col("event_id") / 4096)
+    rows = od.lagged(rows, ["event_type"], ["event_id"], {"was": "stalled"}, stretch)
+    rises = (F.col("stalled") & ~F.coalesce("was", F.lit(False))).cast("long")
+    rows = od.running(rows, ["event_type"], ["event_id"], rises, stretch, "episode").where("stalled")
     return rows.groupBy("event_type", "episode").agg(F.min("event_id").alias("from_id"), F.max("event_id").alias("to_id"), F.count(F.lit(1)).alias("samples"))
 
 
@@ -311,7 +313,8 @@ def st19_interval_rules(spark, sf_dir):
     """Rules on intervals and payloads, as errors and warnings."""
     before = (W.unboundedPreceding, -1)
     order = W.partitionBy("person_id").orderBy("start_us", "interval_id")
-    s = presence(spark, sf_dir).withColumn("high", F.max("start_us").over(W.partitionBy(F.col("person_id") % 4).orderBy("interval_id").rowsBetween(*before)))
+    s = presence(spark, sf_dir).withColumn("outbox", F.col("person_id") % 4)
+    s = od.running(s, ["outbox"], ["interval_id"], F.col("start_us"), F.floor(F.col("interval_id") / 4096), "high", F.max, before=True)
     s = s.withColumn("busy", F.max("end_us").over(W.partitionBy("person_id", "camera_id").orderBy("start_us", "interval_id").rowsBetween(*before)))
     s = s.withColumn("before", F.lag("camera_id").over(order)).withColumn("left_us", F.lag("end_us").over(order)).withColumn("prev", F.lag("start_us").over(order))
     c = F.col
