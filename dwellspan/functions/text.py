@@ -11,9 +11,21 @@ def search(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return df.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])), F.lower(F.lit(needle))))
 
 
-def keys_matching(payload: str, pattern: str) -> Column:
-    """The distinct keys of a JSON text, at any depth, that match a pattern as a whole."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(payload), F.lit(rf'"({pattern})"\s*:'), F.lit(1))))
+def json_keys(df: DataFrame, ident: list[str], payload: str) -> DataFrame:
+    """Each key of a JSON text at any depth: ``ident``, path, key. Text that isn't JSON has none.
+
+    The text is parsed to a VARIANT and opened level by level, as deep as the deepest row goes."""
+    level = df.select(*ident, F.lit("$").alias("path"), F.try_parse_json(payload).alias("v"))
+    spark, found = df.sparkSession, None
+    while True:
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))
+        inner = inner.select(*ident, F.concat("path", step).alias("path"), "key", F.col("value").alias("v"))
+        keys = inner.where("key IS NOT NULL").select(*ident, "path", "key")
+        found = keys if found is None else found.unionByName(keys)
+        level = inner.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select(*ident, "path", "v")
+        if level.isEmpty():
+            return found
 
 
 def is_anonymous(person_id) -> Column:

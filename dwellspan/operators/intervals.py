@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .matching import overlap_join
+from .ordered import running
 
 
 def islands(df: DataFrame, key: list[str], order: list, starts_new: Column, name: str = "island") -> DataFrame:
@@ -113,3 +114,62 @@ def stitch_plan(df: DataFrame, group: list[str], window_us: int):
     sessions = chained(rows.where("label IS NOT NULL"), keys, window_us, ["segment_id"])
     chains = sessions.groupBy(*keys, "island").applyInPandas(replay, schema)
     return chains.unionByName(rows.where("label IS NULL").select(*group, "segment_id", F.col("segment_id").alias("chain_id")))
+
+
+#: How far a track may reappear, in frame widths, and how much its size may change.
+NEAR, ALIKE = 0.08, 0.6
+
+
+def sessions(df: DataFrame, key: list[str], gap_us: int, ties: list[str], bucket_us: int = 86_400_000_000) -> DataFrame:
+    """``df`` with ``session``: a new one wherever nothing of the key has reached to within ``gap_us``. Runs in stretches of
+    time, so a key isn't one task."""
+    order, bucket = ["start_us", *ties], F.floor(F.col("start_us") / bucket_us)
+    rows = running(df, key, order, F.col("end_us"), bucket, "__reach", F.max, before=True)
+    fresh = F.when(F.col("__reach").isNull() | (F.col("start_us") - F.col("__reach") > gap_us), 1).otherwise(0).cast("long")
+    return running(rows, key, order, fresh, bucket, "session").drop("__reach")
+
+
+def stitch_by_place(df: DataFrame, group: list[str], window_us: int) -> DataFrame:
+    """Greedy stitching where no one says who is who: a segment goes on the first open chain that ended within the window before it,
+    near where it begins and of like size; otherwise it opens a chain. group, segment_id, chain_id (its first segment).
+
+    ``df``: group (camera and epoch: time doesn't run on over a reconnect), segment_id, start_us, end_us, first_box and
+    last_box (x1, y1, x2, y2). A chain that nothing has reached for the window is closed, so a camera's quiet moments cut the replay;
+    within a session open chains are found by a grid of their last places."""
+    schema = ", ".join(f"{c} {t}" for c, t in df.select(*group).dtypes) + ", segment_id long, chain_id long"
+
+    def centre(box):
+        return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, max(1e-9, (box[2] - box[0]) * (box[3] - box[1]))
+
+    def replay(frame):
+        import math
+
+        import pandas as pd
+
+        grid, chains, out = {}, [], []  # cell: chains there; chain: [first segment, end, last place]
+        for row in frame.sort_values(["start_us", "segment_id"], kind="stable").itertuples(index=False):
+            x, y, size = centre(row.first_box)
+            cx, cy = math.floor(x / NEAR), math.floor(y / NEAR)
+            near = sorted(c for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1) for c in grid.get((i, j), ()))
+            chain = None
+            for c in near:
+                _, end, (px, py, was), cell = chains[c]
+                if row.start_us - end > window_us:
+                    grid[cell].discard(c)  # closed for good, as starts only rise
+                elif chain is None and row.start_us >= end and math.hypot(px - x, py - y) <= NEAR and min(was, size) / max(was, size) >= ALIKE:
+                    chain = c
+            place = centre(row.last_box)
+            cell = (math.floor(place[0] / NEAR), math.floor(place[1] / NEAR))
+            if chain is None:
+                chain = len(chains)
+                chains.append([row.segment_id, row.end_us, place, cell])
+            else:
+                first, end, _, was_in = chains[chain]
+                grid[was_in].discard(chain)
+                chains[chain] = [first, max(end, row.end_us), place, cell]
+            grid.setdefault(cell, set()).add(chain)
+            out.append((*(getattr(row, g) for g in group), row.segment_id, chains[chain][0]))
+        return pd.DataFrame(out, columns=[*group, "segment_id", "chain_id"])
+
+    rows = df.select(*group, F.col("segment_id").cast("long").alias("segment_id"), "start_us", "end_us", "first_box", "last_box")
+    return sessions(rows, group, window_us, ["segment_id"]).groupBy(*group, "session").applyInPandas(replay, schema)

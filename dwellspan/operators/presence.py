@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 
 from dwellspan.functions.time import DAY
 
-from .matching import bucketed
+from . import calendar as cal
+from . import intervals as iv
+from .matching import bucketed, overlap_join
 
 
-def current_visits(visits: DataFrame, key: list[str], now_us: int, qualification_us: int) -> DataFrame:
-    """Per key the last visit that is open at ``now_us`` and how much of the qualification it still lacks."""
-    open_ = visits.where((F.col("start_us") <= now_us) & (F.col("end_us") > now_us))
-    last = open_.groupBy(*key).agg(F.max_by(F.struct("visit_id", "start_us"), F.struct("start_us", "visit_id")).alias("v"))
-    lacks = F.greatest(F.lit(0), qualification_us - (now_us - F.col("v.start_us")))
-    return last.select(*key, "v.visit_id", "v.start_us", lacks.alias("remaining_us"))
+def visits_at(intervals: DataFrame, now_us: int, policy: cal.Policy) -> tuple[DataFrame, DataFrame]:
+    """What is known at a moment: visits of segments up to then, those that count and those that don't apart, with their
+    countable time by date; and the (person, flow) pairs with a segment that is still open.
+
+    ``intervals``: interval_id, person_id, camera_id, start_us, end_us, counts."""
+    seen = intervals.where(F.col("start_us") <= now_us)
+    here = seen.withColumn("end_us", F.least("end_us", F.lit(now_us)))
+    visits = iv.visits(here, ["person_id", "counts"], policy.merge_gap_us)
+    return cal.countable(visits, policy), seen.where(F.col("end_us") > now_us).select("person_id", "counts").distinct()
+
+
+def current_visits(intervals: DataFrame, now_us: int, policy: cal.Policy, qualification_us: int) -> DataFrame:
+    """Per person the last visit that is open at ``now_us`` and what its qualification still lacks: the qualification less the
+    visit's countable time over all its dates, and nothing for a visit that doesn't count."""
+    dated, is_open = visits_at(intervals, now_us, policy)
+    lived = dated.groupBy("person_id", "counts", "visit_id", "start_us", "end_us").agg(F.sum("countable_us").alias("countable_us"))
+    running = lived.where(F.col("end_us") == now_us).join(is_open, ["person_id", "counts"], "left_semi")
+    last = running.groupBy("person_id").agg(F.max_by(F.struct("visit_id", "start_us", "counts", "countable_us"), F.struct("start_us", "visit_id")).alias("v"))
+    lacks = F.when(F.col("v.counts"), F.greatest(F.lit(0).cast("long"), qualification_us - F.col("v.countable_us"))).otherwise(0)
+    return last.select("person_id", "v.visit_id", "v.start_us", lacks.cast("long").alias("remaining_us"))
 
 
 def display_status(in_break: Column, remaining_us: Column, identified: Column, ledger: Column) -> Column:
@@ -54,11 +70,39 @@ def live_sessions(df: DataFrame, key: list[str], at: str, gap: str, similarity:
 
 def stitched_tracks(tracks: DataFrame, key: list[str], person: str, windows_us: list[int], ties: list[str]) -> DataFrame:
     """Per key and window: tracks left when a person's tracks no further apart than the window count as one, and how
-    many were broken. One sort serves all windows."""
+    many were joined. One sort serves all windows."""
     reach = F.max("end_us").over(W.partitionBy(*key, person).orderBy("start_us", *ties).rowsBetween(W.unboundedPreceding, -1))
     gaps = tracks.select(*key, (F.col("start_us") - reach).alias("gap"))
     raw = gaps.groupBy(*key).agg(F.count(F.lit(1)).alias("raw"), F.array(*[F.struct(F.lit(w).alias("window_us"), F.count_if(F.col("gap").isNull() | (F.col("gap") > w)).alias("tracks")) for w in windows_us]).alias("each"))
-    return raw.select(*key, "raw", F.inline("each")).withColumn("broken", F.col("raw") - F.col("tracks"))
+    return raw.select(*key, "raw", F.inline("each")).withColumn("joined", F.col("raw") - F.col("tracks"))
+
+
+def distribution(value: str) -> list[Column]:
+    """A sample's number, mean, percentiles (linear) and ends."""
+    p = lambda q: F.round(F.percentile(value, F.lit(q)), 4)
+    return [F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.min(value), 4).alias("least"), F.round(F.max(value), 4).alias("most")]
+
+
+def broken_while_present(tracks: DataFrame, stays: DataFrame, person: str, tolerance_us: int) -> DataFrame:
+    """Tracks that end more than the tolerance before their person leaves: the stay that holds a track's end goes on.
+
+    ``tracks`` has start_us and end_us; ``stays`` are a person's disjoint stays."""
+    ends = tracks.withColumn("__end", F.col("end_us"))
+    s = stays.select(person, F.col("start_us").alias("__in"), F.col("end_us").alias("__out"))
+    return overlap_join(ends, s, [person], ("end_us", "__end"), ("__in", "__out")).where(F.col("end_us") < F.col("__out") - tolerance_us).drop("__end", "__in", "__out")
+
+
+def chain_lifetimes(tracks: DataFrame, key: list[str], person: str, windows_us: list[int]) -> DataFrame:
+    """Per key and window the chains that stitching leaves, their tracks on average and the distribution of their lifetimes.
+
+    ``tracks``: key, segment_id, person, start_us, end_us."""
+    out = None
+    for w in windows_us:
+        rows = tracks.select(*key, F.col("segment_id"), F.col(person).alias("label"), "start_us", "end_us")
+        chains = rows.join(iv.stitch_plan(rows, key, w), [*key, "segment_id"]).groupBy(*key, "chain_id").agg(((F.max("end_us") - F.min("start_us")) / 1e6).alias("s"), F.count(F.lit(1)).alias("segments"))
+        each = chains.groupBy(*key).agg(F.round(F.avg("segments"), 3).alias("segments"), *distribution("s")).withColumn("window_us", F.lit(w).cast("long"))
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 def removed(frames: DataFrame, key: list[str], frame: str, track: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .intervals import islands, open_close
+from .ordered import lagged, running
 
 
 @dataclass
@@ -216,3 +217,73 @@ def arbitrated(df: DataFrame, group: list[str], order: list[str], disagreements:
         return pd.DataFrame(rows, columns=[*group, *order, "holder", "action", "confidence"])
 
     return df.groupBy(*group).applyInPandas(replay, f"{keys}, holder string, action string, confidence double")
+
+
+@dataclass(frozen=True)
+class Slew:
+    """A follower of a clock's error: it starts at one size, stops at a smaller one, and moves by a rate for each second; slower where the
+    clock seems late, as that may be delay."""
+
+    start: float = 0.5
+    stop: float = 0.05
+    rate: float = 0.1
+    rate_late: float = 0.002
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.stop < self.start or not 0 < self.rate < 1 or not 0 <= self.rate_late <= self.rate:
+            raise ValueError("stop must lie under start, rates between 0 and 1, the late one not over the other")
+
+
+def slewed(df: DataFrame, group: list[str], epoch: str, order: list[str], at_us: str, error: str, rules: Slew = Slew()) -> DataFrame:
+    """``df`` with ``moved`` (this sample's correction), ``applied`` (all of the epoch so far) and ``active``.
+
+    ``error`` is a clock's error without any correction; what the rule sees is the error less what was applied, so
+    each step rests on those before it. A new epoch starts from nothing, which is where the replay is cut; within an
+    epoch a sample without an error changes nothing but the time of the last one."""
+    keys = [*group, epoch]
+
+    def replay(frame):
+        import pandas as pd
+
+        last, active, applied, out = None, False, 0.0, []
+        frame = frame.sort_values(order, kind="stable")
+        names = list(dict.fromkeys([*keys, *order]))
+        for t, e, ident in zip(frame[at_us], frame[error], frame[names].itertuples(index=False, name=None)):
+            moved, before, last = 0.0, last, t
+            if not pd.isna(e) and before is not None:
+                bias = e - applied
+                active = active or abs(bias) >= rules.start
+                if active and abs(bias) <= rules.stop:
+                    active = False
+                elif active:
+                    elapsed = max(0.0, (t - before) / 1e6)
+                    moved = max(-rules.rate * elapsed, bias) if bias < 0 else min(rules.rate_late * elapsed, bias)
+                applied += moved
+            out.append((*ident, moved, applied, active))
+        return pd.DataFrame(out, columns=[*names, "moved", "applied", "active"])
+
+    extra = [c for c in order if c not in keys]
+    need = list(dict.fromkeys([*keys, *extra, at_us, error]))
+    kinds = ", ".join(f"{c} {t}" for c, t in df.select(*keys, *extra).dtypes)
+    return df.select(*need).groupBy(*keys).applyInPandas(replay, f"{kinds}, moved double, applied double, active boolean")
+
+
+def heartbeats(df: DataFrame, since: str, until: str, every_us: int) -> DataFrame:
+    """One row (``at_us``) for each beat of a claim: when it begins, then every ``every_us`` while it stands."""
+    return df.where(F.col(until) > F.col(since)).withColumn("at_us", F.explode(F.sequence(F.col(since), F.col(until) - 1, F.lit(every_us).cast("long"))))
+
+
+def snapshots(df: DataFrame, group: list[str], since: str, until: str, every_us: int, counts: dict[str, Column]) -> DataFrame:
+    """Per tick (a multiple of ``every_us``) how many rows are open: since <= tick < until; ``counts`` names what is counted (a flag).
+
+    A sweep: a row adds one at the first tick from its beginning and takes it off at the first from its end. Sums run over the
+    ticks at which something changes, in stretches of a day; between them the counts stand. No row is written for each track and tick."""
+    first = lambda c: F.ceil(F.col(c) / every_us)
+    edges = df.select(*group, F.explode(F.array(F.struct(first(since).alias("tick"), F.lit(1).alias("d")), F.struct(first(until).alias("tick"), F.lit(-1).alias("d")))).alias("e"), *[v.cast("int").alias(n) for n, v in counts.items()])
+    steps = edges.groupBy(*group, F.col("e.tick").alias("tick")).agg(*[F.sum(F.col("e.d") * F.col(n)).alias(n) for n in counts])
+    bucket = F.floor(F.col("tick") * every_us / 86_400_000_000)
+    for n in counts:
+        steps = running(steps, group, ["tick"], F.col(n), bucket, f"__{n}").drop(n).withColumnRenamed(f"__{n}", n)
+    upto = lagged(steps, group, ["tick"], {"__next": "tick"}, bucket, ahead=True).where("__next IS NOT NULL")
+    ticks = upto.withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("__next") - 1)))
+    return ticks.select(*group, (F.col("tick") * every_us).alias("at_us"), *counts)

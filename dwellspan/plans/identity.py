@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspan.functions.time import SECOND
+from dwellspan.functions.time import HOUR, MINUTE, SECOND
+from dwellspan.operators import enrolment as en
 from dwellspan.operators import groups as gr
-from dwellspan.sources.tables import table
+from dwellspan.operators import intervals as iv
+from dwellspan.operators import state as st
+from dwellspan.sources.tables import presence, table
 
-from .registry import query
+from .registry import PRESENCE, query
 
 
 def sightings(spark, sf_dir):
@@ -28,3 +31,85 @@ RULES = gr.Rules(threshold=0.15, margin=0.01, travel_s=15.0, capacity=4, merge=0
 def st7_pending_groups(spark, sf_dir):
     """Whose track each sighting is, and what faces resolve or rule out."""
     return gr.pending_groups(sightings(spark, sf_dir), RULES)
+
+
+def offered(spark, sf_dir):
+    """Five images a person, in order; all measures follow from the id. Every third vector is a reference of its person."""
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.floor(v / 5).alias("person_id"), v.alias("image_id"), (v % 5).alias("n"), "embedding", (v % 4 == 0).alias("from_camera"), F.when(v % 23 == 0, 0).otherwise(1).alias("faces"), (v % 29 != 0).alias("embedded"),
+        (v % 128 + 64.0).alias("width"), (v % 90 + 72.0).alias("height"), (v % 64 / 64.0 + 0.4).alias("confidence"), (v * 7 % 256 + 30).cast("double").alias("sharpness"), F.lit(120.0).alias("brightness"), F.lit(50.0).alias("contrast"), ((v % 9 - 4) / 12.0).alias("yaw"),
+    )
+    return rows, table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.floor(v / 5).alias("person"), "embedding")
+
+
+@query(None)
+def v11_enrolment_images(spark, sf_dir):
+    """Each offered image's verdict: the gate's reason, a near image kept before, or accepted."""
+    return en.enrolled(*offered(spark, sf_dir), duplicate=0.2)[0]
+
+
+@query(None)
+def v11_enrolment_persons(spark, sf_dir):
+    """Each person's enrolment: too few images, a collision with somebody else's references, or taken."""
+    return en.enrolled(*offered(spark, sf_dir), duplicate=0.2, least=3, collision=0.35)[1]
+
+
+CAPTURE = en.Capture(face=70.0, anchor=0.22, margin=-0.1, duplicate=0.4, cooldown_us=300 * SECOND, retry_us=40 * SECOND)
+
+
+def templates(spark, sf_dir):
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 4 <> 0").select(
+        v.alias("offer_id"), F.col("label").alias("person_id"), (v * 2 * SECOND).alias("at_us"), "embedding", (v % 31 != 0).alias("crop"), (v % 100 + 60.0).alias("face_px"), (v % 40 / 40.0 + 0.6).alias("detector"),
+        F.when(v % 19 > 0, v % 12 / 30.0).alias("yaw"), F.when(v % 37 == 0, "v0").otherwise("v1").alias("version"),
+    )
+    return rows, table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("label").alias("person"), "embedding")
+
+
+@query(None)
+def p17_template_gate(spark, sf_dir):
+    """Why a template captured at work isn't taken: pauses and near templates taken before interact."""
+    return en.captured(*templates(spark, sf_dir), CAPTURE)
+
+
+def clock_samples(spark, sf_dir):
+    e = F.col("event_id")
+    error = F.when(e % 17 != 0, (F.col("value") - 50) / 40)
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("camera"), F.floor(e / 1000).alias("epoch"), "event_id", (e * SECOND).alias("at_us"), error.alias("error"))
+
+
+@query(None)
+def st13_offset_slew(spark, sf_dir):
+    """Corrections of a camera's clock by a rate-limited follower with a dead band; a new epoch starts from nothing."""
+    return st.slewed(clock_samples(spark, sf_dir), ["camera"], "epoch", ["event_id"], "at_us", "error")
+
+
+@query(f"WITH {PRESENCE} SELECT interval_id, unnest(generate_series(start_us, end_us - 1, {30 * MINUTE})) AS at_us FROM iv WHERE end_us > start_us AND k % 3 > 0")
+def st11_heartbeats(spark, sf_dir):
+    """A beat every half hour of each identified presence (seconds at a camera)."""
+    return st.heartbeats(presence(spark, sf_dir).where("k % 3 > 0"), "start_us", "end_us", 30 * MINUTE).select("interval_id", "at_us")
+
+
+@query(
+    f"""WITH {PRESENCE}, e AS (SELECT camera_id, k, CAST(ceil(start_us / {HOUR}.0) AS BIGINT) AS a, CAST(ceil(end_us / {HOUR}.0) AS BIGINT) AS z FROM iv), r AS (SELECT camera_id, min(a) AS low, max(z) AS high FROM e GROUP BY camera_id),
+t AS (SELECT camera_id, unnest(generate_series(low, high - 1)) AS tick FROM r)
+SELECT t.camera_id, tick * {HOUR} AS at_us, count(e.a) AS live, count(e.a) FILTER (k % 3 > 0) AS identified FROM t LEFT JOIN e ON e.camera_id = t.camera_id AND e.a <= tick AND tick < e.z GROUP BY t.camera_id, tick"""
+)
+def st11_snapshots(spark, sf_dir):
+    """How many presences are open, and how many of those identified, at each full hour of a camera: a sweep, not a join of ticks and presences."""
+    return st.snapshots(presence(spark, sf_dir), ["camera_id"], "start_us", "end_us", HOUR, {"live": F.lit(1), "identified": F.coalesce(F.col("k") % 3 > 0, F.lit(False))})
+
+
+def placed(spark, sf_dir):
+    """Presence as track segments with a first and a last box."""
+    u, e = F.col("person_id"), F.col("interval_id")
+    x, y, w, drift = u * 37 % 100 / 100.0, u * 53 % 100 / 100.0, u % 5 / 100.0 + 0.1, e % 9 / 100.0
+    rows = presence(spark, sf_dir).where("end_us >= start_us")
+    return rows.select("camera_id", F.floor(e / 2000).alias("epoch"), e.alias("segment_id"), "start_us", "end_us", F.array(x, y, x + w, y + w).alias("first_box"), F.array(x + drift, y, x + w + drift, y + w).alias("last_box"))
+
+
+@query(None)
+def isl5_by_place(spark, sf_dir):
+    """Chains of segments that go on where another ended, at a like size, within ten minutes."""
+    return iv.stitch_by_place(placed(spark, sf_dir), ["camera_id", "epoch"], 10 * MINUTE)

@@ -4,44 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspan.functions.time import DAY, HOUR, MINUTE, micros
+from dwellspan.functions.time import DAY, HOUR, MINUTE, SECOND, micros
+from dwellspan.operators import calendar as cal
 from dwellspan.operators import enrolment as en
 from dwellspan.operators import intervals as iv
 from dwellspan.operators import presence as pr
 from dwellspan.operators import vectors as vx
+from dwellspan.operators.matching import as_of
 from dwellspan.sources.tables import presence, table
 
-from .intervals import _visits_sql
 from .registry import PRESENCE, query
 from .vectors import SIMS, tops
 
 NOW = 1704888000000000  # 2024-01-10 12:00 UTC
 QUALIFICATION = 20 * MINUTE
 
-_VISITS = f"{PRESENCE}, {_visits_sql(30 * MINUTE)}"
-_CURRENT = f"""o AS (SELECT person_id, visit_id, start_us FROM visits WHERE start_us <= {NOW} AND end_us > {NOW}),
-cur AS (SELECT person_id, arg_max(visit_id, (start_us, visit_id)) AS visit_id, max(start_us) AS start_us FROM o GROUP BY person_id)"""
+POLICY = cal.Policy(merge_gap_us=30 * MINUTE)
+SHIFT = 7 * HOUR
+#: What is known at the moment: segments cut there, in two flows, chained to visits, with their countable time by date.
+_KNOWN = f"""{PRESENCE}, seen AS (SELECT interval_id, person_id, length(camera_id) <> 4 AS counts, start_us, least(end_us, {NOW}) AS end_us, end_us > {NOW} AS goes_on FROM iv WHERE start_us <= {NOW}),
+reach AS (SELECT *, max(end_us) OVER (PARTITION BY person_id, counts ORDER BY start_us, interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM seen),
+part AS (SELECT *, count(*) FILTER (high IS NULL OR start_us - high > {30 * MINUTE}) OVER (PARTITION BY person_id, counts ORDER BY start_us, interval_id ROWS UNBOUNDED PRECEDING) AS part FROM reach),
+vis AS (SELECT person_id, counts, 'visit_' || arg_min(interval_id, (start_us, interval_id)) AS visit_id, min(start_us) AS start_us, max(end_us) AS end_us, bool_or(goes_on) AS goes_on FROM part GROUP BY person_id, counts, part),
+dated AS (SELECT *, unnest(generate_series((start_us + {SHIFT}) // {DAY}, greatest((start_us + {SHIFT}) // {DAY}, (end_us + {SHIFT} - 1) // {DAY}))) AS day FROM vis),
+lived AS (SELECT *, greatest(0, least(end_us + {SHIFT}, day * {DAY} + {DAY}) - greatest(start_us + {SHIFT}, day * {DAY})
+  - greatest(0, least(end_us + {SHIFT}, day * {DAY} + {13 * HOUR}) - greatest(start_us + {SHIFT}, day * {DAY} + {12 * HOUR}))) AS countable_us FROM dated),
+cur AS (SELECT person_id, arg_max(struct_pack(visit_id, start_us, counts, us), (start_us, visit_id)) AS v FROM (SELECT person_id, counts, visit_id, start_us, sum(countable_us)::BIGINT AS us FROM lived WHERE goes_on GROUP BY ALL) GROUP BY person_id),
+lacking AS (SELECT person_id, v.visit_id AS visit_id, v.start_us AS start_us, CASE WHEN v.counts THEN greatest(0, {QUALIFICATION} - v.us) ELSE 0 END AS remaining_us FROM cur)"""
 
 
-def current(spark, sf_dir):
-    return pr.current_visits(iv.visits(presence(spark, sf_dir), ["person_id"], 30 * MINUTE), ["person_id"], NOW, QUALIFICATION)
+def segments(spark, sf_dir):
+    """Presence whose cameras count, but for those with a name of four letters."""
+    return presence(spark, sf_dir).withColumn("counts", F.length("camera_id") != 4)
 
 
-@query(f"WITH {_VISITS}, {_CURRENT} SELECT person_id, visit_id, start_us, greatest(0, {QUALIFICATION} - ({NOW} - start_us)) AS remaining_us FROM cur")
+@query(f"WITH {_KNOWN} SELECT person_id, visit_id, start_us, remaining_us FROM lacking")
 def c4_current_visit(spark, sf_dir):
     """Each person's open visit at a moment and what its qualification still lacks."""
-    return current(spark, sf_dir)
+    return pr.current_visits(segments(spark, sf_dir), NOW, POLICY, QUALIFICATION)
 
 
 @query(
-    f"""WITH {_VISITS}, {_CURRENT} SELECT person_id, CASE WHEN person_id % 10 = 9 THEN 'OFFICIAL_BREAK' WHEN {QUALIFICATION} - ({NOW} - start_us) > 0 THEN 'VERIFYING' WHEN person_id % 4 = 0 THEN 'UNIDENTIFIED'
-WHEN person_id % 5 = 0 THEN 'LIMIT' WHEN person_id % 5 = 1 THEN 'WARNING' ELSE 'CONFIRMED' END AS status FROM cur"""
+    f"""WITH {_KNOWN}, cum AS (SELECT person_id, visit_id, day, countable_us, sum(countable_us) OVER (PARTITION BY person_id, visit_id) AS total, coalesce(sum(countable_us) OVER (PARTITION BY person_id, visit_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lived WHERE counts),
+used AS (SELECT person_id, sum(CASE WHEN total < {20 * SECOND} THEN 0 ELSE countable_us - least(countable_us, greatest(0, {20 * SECOND} - before)) END) AS used_us FROM cum WHERE day = ({NOW} + {SHIFT}) // {DAY} GROUP BY person_id),
+st AS (SELECT person_id, remaining_us, c_custkey IS NOT NULL AS known, coalesce(used_us, 0) AS used_us, coalesce(CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 500) AS BIGINT) * {MINUTE} END, {30 * MINUTE}) AS allowance_us FROM lacking LEFT JOIN used USING (person_id) LEFT JOIN customer ON c_custkey = person_id)
+SELECT person_id, CASE WHEN ({NOW} + {SHIFT}) % {DAY} BETWEEN {12 * HOUR} AND {13 * HOUR - 1} THEN 'OFFICIAL_BREAK' WHEN remaining_us > 0 THEN 'VERIFYING' WHEN NOT known THEN 'UNIDENTIFIED'
+WHEN used_us >= allowance_us THEN 'LIMIT' WHEN allowance_us - used_us <= CASE WHEN {5 * MINUTE} < allowance_us THEN {5 * MINUTE} ELSE allowance_us / 2 END THEN 'WARNING' ELSE 'CONFIRMED' END AS status FROM st"""
 )
 def p22_display_status(spark, sf_dir):
-    """What a display shows of those present; break, identity and ledger state are taken from the person's number."""
-    p = F.col("person_id")
-    ledger = F.when(p % 5 == 0, "exceeded").when(p % 5 == 1, "warning").otherwise("ok")
-    return current(spark, sf_dir).select("person_id", pr.display_status(p % 10 == 9, F.col("remaining_us"), p % 4 != 0, ledger).alias("status"))
+    """What a display shows of those present at a moment, from the break windows, the open visit, the roster and the day's ledger."""
+    rows = segments(spark, sf_dir)
+    dated, _ = pr.visits_at(rows.where("counts"), NOW, POLICY)
+    roster = table(spark, sf_dir, "customer")
+    minutes = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 500).cast("long") * MINUTE)
+    allowance = roster.select(F.col("c_custkey").alias("person_id"), minutes.alias("allowance_us"))
+    none = spark.createDataFrame([], "person_id long, day int, visit_id string, adjust_us long")
+    used = cal.daily_usage(cal.charge(dated, ["person_id", "visit_id"], POLICY), allowance, none, POLICY).where(F.col("day") == (NOW + SHIFT) // DAY)
+    now = pr.current_visits(rows, NOW, POLICY, QUALIFICATION).join(used.select("person_id", "used_us"), "person_id", "left").join(allowance.withColumn("known", F.lit(True)), "person_id", "left")
+    ledger = cal.status(F.coalesce("used_us", F.lit(0)), F.coalesce("allowance_us", F.lit(POLICY.allowance_us)), POLICY.warning_us)
+    return now.select("person_id", pr.display_status(cal.in_break(F.lit(NOW), POLICY), F.col("remaining_us"), F.coalesce("known", F.lit(False)), ledger).alias("status"))
 
 
 @query(
@@ -72,14 +93,14 @@ def j5_counting_cameras(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT event_id, user_id % 10 AS camera, event_id // 1000 AS epoch, event_type, ts, value FROM events), o AS (SELECT camera, epoch, arg_max(value, (ts, event_id)) AS clock_offset FROM m WHERE event_type = 'signup' GROUP BY ALL)
-SELECT event_id, clock_offset FROM m LEFT JOIN o USING (camera, epoch)"""
+    """WITH m AS (SELECT event_id, user_id % 10 AS camera, event_id // 1000 AS epoch, event_type, value FROM events)
+SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY camera, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS clock_offset FROM m"""
 )
 def j9_clock_offset(spark, sf_dir):
-    """Each message with the newest clock offset of its camera and epoch (sign-ups report it)."""
-    m = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("camera"), F.floor(F.col("event_id") / 1000).alias("epoch"), "event_type", "ts", "value")
-    newest = m.where("event_type = 'signup'").groupBy("camera", "epoch").agg(F.max_by("value", F.struct("ts", "event_id")).alias("clock_offset"))
-    return m.join(newest, ["camera", "epoch"], "left").select("event_id", "clock_offset")
+    """Each message with the clock offset of its camera and epoch as it stands at the message (sign-ups report it)."""
+    m = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("camera"), F.floor(F.col("event_id") / 1000).alias("epoch"), "event_type", "value")
+    told = m.where("event_type = 'signup'").select("camera", "epoch", "event_id", "value")
+    return as_of(m.select("camera", "epoch", "event_id"), told, ["camera", "epoch"], "event_id", F.col("value"), name="clock_offset", width_us=1 << 16).select("event_id", "clock_offset")
 
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 50")
@@ -203,7 +224,7 @@ def st10_live_sessions(spark, sf_dir):
 
 @query(
     f"""WITH {PRESENCE}, g AS (SELECT camera_id, start_us - max(end_us) OVER (PARTITION BY camera_id, person_id ORDER BY start_us, interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM iv), w AS (SELECT unnest([2, 5, 15, 30]) * {HOUR} AS window_us)
-SELECT camera_id, count(*) AS raw, window_us, count(*) FILTER (gap IS NULL OR gap > window_us) AS tracks, count(*) - count(*) FILTER (gap IS NULL OR gap > window_us) AS broken FROM g, w GROUP BY camera_id, window_us"""
+SELECT camera_id, count(*) AS raw, window_us, count(*) FILTER (gap IS NULL OR gap > window_us) AS tracks, count(*) - count(*) FILTER (gap IS NULL OR gap > window_us) AS joined FROM g, w GROUP BY camera_id, window_us"""
 )
 def a21_stitched_tracks(spark, sf_dir):
     """Tracks by camera, raw and stitched over four windows (hours here, seconds on a camera's own log)."""
@@ -211,6 +232,31 @@ def a21_stitched_tracks(spark, sf_dir):
     return pr.stitched_tracks(rows, ["camera_id"], "person_id", [w * HOUR for w in (2, 5, 15, 30)], ["interval_id"])
 
 
+_SPREAD = "count(s) AS n, round(avg(s), 4) AS mean, round(quantile_cont(s, 0.1), 4) AS p10, round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.9), 4) AS p90, round(min(s), 4) AS least, round(max(s), 4) AS most"
+
+
+@query(
+    f"""WITH {PRESENCE}, o AS (SELECT person_id, start_us, end_us, max(end_us) OVER (PARTITION BY person_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM iv WHERE end_us > start_us),
+i AS (SELECT *, count(*) FILTER (high IS NULL OR start_us > high) OVER (PARTITION BY person_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS k FROM o), stay AS (SELECT person_id, min(start_us) AS enter, max(end_us) AS leave FROM i GROUP BY person_id, k),
+t AS (SELECT camera_id, 'raw' AS basis, greatest(0, (end_us - start_us) / 1e6) AS s FROM iv UNION ALL SELECT camera_id, 'broken', greatest(0, (end_us - start_us) / 1e6) FROM iv JOIN stay USING (person_id) WHERE end_us BETWEEN enter AND leave AND end_us < leave - {2 * SECOND})
+SELECT camera_id, basis, {_SPREAD} FROM t GROUP BY camera_id, basis"""
+)
+def a21_track_lifetimes(spark, sf_dir):
+    """How long tracks last by camera, all of them and those that break while their person is still present on any camera."""
+    rows = presence(spark, sf_dir)
+    broken = pr.broken_while_present(rows, iv.merge(rows.select("person_id", "start_us", "end_us"), ["person_id"]), "person_id", 2 * SECOND)
+    s = F.greatest(F.lit(0.0), (F.col("end_us") - F.col("start_us")) / 1e6).alias("s")
+    both = rows.select("camera_id", F.lit("raw").alias("basis"), s).unionByName(broken.select("camera_id", F.lit("broken").alias("basis"), s))
+    return both.groupBy("camera_id", "basis").agg(*pr.distribution("s"))
+
+
+@query(None)
+def a21_stitched_lifetimes(spark, sf_dir):
+    """Lifetimes of the chains that stitching a person's tracks leaves, over four windows."""
+    rows = presence(spark, sf_dir).select("camera_id", F.col("interval_id").alias("segment_id"), "person_id", "start_us", "end_us")
+    return pr.chain_lifetimes(rows, ["camera_id"], "person_id", [w * HOUR for w in (2, 5, 15, 30)])
+
+
 @query(
     f"""SELECT event_id, CASE WHEN user_id % 6 > 0 THEN (event_id - 1) / CAST(user_id % 6 AS DOUBLE) END AS pts, (epoch_us(ts) - {4 * HOUR}) // {DAY} AS reid_day, CASE WHEN event_type IN ('click', 'error') THEN 'left_frame' ELSE 'occluded_timeout' END AS ended,
 least(1.0, greatest(0.0, (event_id % 900 - 100) / 640.0)) AS x1, least(1.0, greatest(0.0, (event_id % 900 + 50) / 640.0)) AS x2 FROM events"""

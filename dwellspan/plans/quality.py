@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellspan.functions.text import keys_matching, search
+from dwellspan.functions.text import json_keys, search
 from dwellspan.functions.time import DAY, HOUR, clock_seconds, micros
 from dwellspan.operators import ordered as od
 from dwellspan.operators import state as st
@@ -182,13 +182,20 @@ def p5_search(spark, sf_dir):
     return search(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "R#00000001", ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey")
 
 
-_LEAKS = "SELECT event_id, CASE WHEN regexp_matches(props, '\"(k|limit|allowance)\"\\s*:') THEN 'k' ELSE '' END AS leaked FROM events"
+_LEAKS = r"""WITH d AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"a":[' || props || ',{"note":"x \"limit\": 3","l\u0069mit":{"deep":[{"allowance":' || event_id || '}]}}]}' ELSE '[1,"k",{"limits":null}' END AS payload FROM events),
+t AS (SELECT d.event_id, j.fullkey AS path, j.key FROM d, json_tree(CASE WHEN json_valid(payload) THEN payload END::JSON) j WHERE j.key IS NOT NULL)
+SELECT event_id, replace(path, '"', '') AS path, key FROM t WHERE key IN ('k', 'limit', 'allowance')"""
 
 
 @query(_LEAKS)
 def p33_policy_keys(spark, sf_dir):
-    """JSON keys at any depth that a denylist names."""
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(keys_matching("props", r"k|limit|allowance"), ",").alias("leaked"))
+    """JSON keys at any depth that a denylist names, with their paths. A third of the payloads are as they are, a third hold them
+    deeper, in other spellings and inside a text, a third isn't JSON."""
+    e, props = F.col("event_id"), F.col("props")
+    nested = F.concat(F.lit('{"a":['), props, F.lit(',{"note":"x \\"limit\\": 3","l\\u0069mit":{"deep":[{"allowance":'), e.cast("string"), F.lit("}]}}]}"))
+    payload = F.when(e % 3 == 0, props).when(e % 3 == 1, nested).otherwise(F.lit('[1,"k",{"limits":null}'))
+    rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return json_keys(rows, ["event_id"], "payload").where(F.col("key").isin("k", "limit", "allowance"))
 
 
 @query(_LEAKS)
