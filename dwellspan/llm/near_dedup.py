@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mixed, ranges, span_hashes, text_bytes, text_digests, text_slices, word_spans, written
+from .shared import mixed, ranges, released, span_hashes, text_bytes, text_digests, text_slices, word_spans, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -278,7 +278,7 @@ def _by_node(members: DataFrame, of_nodes, schema: str, *more: str) -> DataFrame
             yield of_nodes(rest)
 
     rows = members.select("node", "block", "doc_id", "label", "sketch", *more)
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "doc_id").mapInArrow(run, schema)
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "doc_id").mapInArrow(released(run), schema)
 
 
 def _with_sketch(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ class Texts:
 
         wanted = self.classes.join(ids.select(F.col("doc_id").alias("cid")).distinct(), "cid", "left_semi")
         met = self.rows.join(wanted, ["none", "id", "mark"]).select(F.col("cid").alias("doc_id"), "text", "digest")
-        found = met.mapInArrow(of, "doc_id long, set binary")
+        found = met.mapInArrow(released(of), "doc_id long, set binary")
         return written(found.dropDuplicates(["doc_id"]) if self.repeated else found, "sets")
 
 
@@ -362,14 +362,14 @@ def confirmed(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
             keep = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.mapInArrow(compare, PAIR)
+    return with_both.mapInArrow(released(compare), PAIR)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     doc = F.col(id_col).cast("long")
     rows = docs.select(doc.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
-    signed = written(rows.mapInArrow(_signatures(words), SIGNATURE), "signatures")
+    signed = written(rows.mapInArrow(released(_signatures(words)), SIGNATURE), "signatures")
     some = signed.where("n_shingles > 0").withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
     first = some.groupBy("digest").agg(F.min(F.struct("none", "id", "mark")).alias("first")).select("digest", "first.*")
     # Numbers rise with ids: of a dense node the smallest, often the original of its copies, is its centre.

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import released, text_slices
 from .tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         def flush() -> pa.RecordBatch:
             nonlocal sequence
             ids = np.concatenate(flat)
+            flat.clear()
             first = np.concatenate(([0], np.cumsum(lengths))).tolist()
             rows: list[list] = [[] for _ in range(8 + with_ids)]
             for content in pack(lengths, capacity):
@@ -109,13 +110,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             flat.append(np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4"))
             tokens += len(flat[-1])
             if tokens >= GROUP_TOKENS:
-                yield flush()
+                done = flush()
                 names, flat, lengths, tokens = [], [], [], 0
+                yield done
+                del done
         if names:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(packed, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(released(packed), PIECES + ", ids binary" * with_ids)
 
 
 def op6_harmonic_pack(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import itertools
@@ -54,6 +55,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """``run``, a generator over batches, for mapInArrow: as its task ends, freed memory goes back to the system. Python workers
+    live on with the next stages, whose peaks would otherwise lie on top of what this one has let go."""
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+    return lean
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .shared import mixed, ranges, span_hashes, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
-TABLE_CHUNKS = 1_000_000  # chunks a worker remembers before it starts anew
+TABLE_CHUNKS = 500_000  # chunks a worker remembers before it starts anew
 
 #: A visible character for sure, judged by its first byte: printable ASCII, or a lead byte under which no white space is encoded.
 _VISIBLE = np.zeros(256, bool)

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import SpanHasher, mixed, text_bytes, text_slices, word_spans
+from .shared import SpanHasher, mixed, released, text_bytes, text_slices, word_spans
 
 TRAIN_ROWS = 6000  # bound of the labelled sample that the model is fitted on
 ROW_VISITS, MOST_EPOCHS = 36_000, 30
@@ -202,7 +202,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: s
     known = known.where(fold(F.col("__id")) != 2).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     sample = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
     sample = sample.select("__doc", "__text", F.col("__toxic").cast("double").alias("__toxic"))
-    got = sample.repartition(1).mapInArrow(_train, "model binary").collect()  # one row; the sample is bounded
+    got = sample.repartition(1).mapInArrow(released(_train), "model binary").collect()  # one row; the sample is bounded
     return pickle.loads(got[0].model) if got else train([], np.zeros(0))
 
 
@@ -230,7 +230,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(own, tables, part.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, score double")
+    return rows.mapInArrow(released(score), "doc_id long, score double")
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
@@ -245,7 +245,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
             found = scores(own, tables, part.column(part.schema.get_field_index(text_col)))
             yield part.append_column(name, pa.array(found, pa.float64()))
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(released(score), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def calibrated(scored_rows: DataFrame, least_labels: int = 50) -> DataFrame:
