@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellspan.functions.time import SECOND, parse_utc
+from dwellspan.sources.ndjson import register
 
 ENVELOPE = """type STRING, ts STRING, seq BIGINT, at STRING, camera_id STRING, stream_epoch INT, track_uuid STRING, person_id STRING, to_person_id STRING,
   pts DOUBLE, track_started_pts DOUBLE, interval_id STRING, start_at STRING, end_at STRING, start_zone STRING, end_zone STRING, end_reason STRING, start_source STRING,
@@ -62,16 +63,9 @@ def replay_gaps(events: DataFrame, acknowledged: DataFrame) -> DataFrame:
     return gap.select("outbox_id", (F.col("last_seq") + 1).alias("from_seq"), (F.col("first_seq") - 1).alias("to_seq"))
 
 
-#: Track logs: a frame per line with positional track arrays; the zone, at position 7, came later.
-FRAME = "cam STRING, f BIGINT, pts DOUBLE, e INT, w INT, h INT, tr ARRAY<ARRAY<STRING>>"
-
-
 def track_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per track and frame: camera, frame, pts, epoch, track_id, state, box, score, zone."""
-    frames = spark.read.schema(FRAME).option("mode", "FAILFAST").json(path)
-    at = lambda k, t: F.get("t", F.lit(k)).try_cast(t)
-    rows = frames.select("cam", "f", "pts", "e", F.explode("tr").alias("t"))
-    return rows.select(
-        F.col("cam").alias("camera_id"), F.col("f").alias("frame"), "pts", F.col("e").alias("epoch"), at(0, "long").alias("track_id"), at(1, "string").alias("state"),
-        at(2, "double").alias("x1"), at(3, "double").alias("y1"), at(4, "double").alias("x2"), at(5, "double").alias("y2"), at(6, "double").alias("score"), F.coalesce(at(7, "string"), F.lit("interior")).alias("zone"),
-    )
+    """One row per track and frame of a track log: camera, frame, pts, epoch, track_id, state, box, score, zone."""
+    register(spark)
+    frames = spark.read.format("track_log").load(path)
+    rows = frames.select(F.col("cam").alias("camera_id"), F.col("f").alias("frame"), "pts", F.col("e").alias("epoch"), F.inline("tr"))
+    return rows.select("camera_id", "frame", "pts", "epoch", "track_id", "state", "x1", "y1", "x2", "y2", "score", "zone")

@@ -73,7 +73,7 @@ def test_stateful_stream_equals_replay(spark, log, tmp_path):
 
 
 def test_track_log_and_sinks(spark, tmp_path):
-    (tmp_path / "t.ndjson").write_text('{"cam":"c","f":1,"pts":0.1,"e":0,"w":10,"h":10,"tr":[["3","new","0.1","0.2","0.3","0.4","0.9","door"],["4","lost","0.1","0.2","0.3","0.4","0.5"]]}\n')
+    (tmp_path / "t.ndjson").write_text('{"cam":"c","f":1,"pts":0.1,"e":0,"w":10,"h":10,"tr":[[3,0.1,0.2,0.3,0.4,"new",0.9,"door"],[4,0.1,0.2,0.3,0.4,"lost",0.5]]}\n')
     assert [(r.track_id, r.x2, r.zone) for r in ev.track_log(spark, str(tmp_path / "t.ndjson")).orderBy("track_id").collect()] == [(3, 0.3, "door"), (4, 0.3, "interior")]
     health = spark.createDataFrame([(1, {"c": {"fps": 5.0, "lag": 0.1}})], "at_us long, camera_metrics map<string, map<string, double>>")
     rows = sinks.health_rows(health)
