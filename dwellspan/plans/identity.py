@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspan.functions.time import HOUR, MINUTE, SECOND
+from dwellspan.functions.time import HOUR, MINUTE, SECOND, micros
+from dwellspan.operators import attribution as at
 from dwellspan.operators import enrolment as en
 from dwellspan.operators import groups as gr
 from dwellspan.operators import intervals as iv
 from dwellspan.operators import state as st
-from dwellspan.sources.tables import presence, table
+from dwellspan.sources.events import track_log
+from dwellspan.sources.ndjson import register
+from dwellspan.sources.tables import presence, scratch, table
 
 from .registry import PRESENCE, query
 
@@ -113,3 +116,65 @@ def placed(spark, sf_dir):
 def isl5_by_place(spark, sf_dir):
     """Chains of segments that go on where another ended, at a like size, within ten minutes."""
     return iv.stitch_by_place(placed(spark, sf_dir), ["camera_id", "epoch"], 10 * MINUTE)
+
+
+_REVIEW = "CASE WHEN {} THEN 1.0 ELSE 0.5 END"
+
+
+@query(
+    f"""WITH {PRESENCE}, r AS (SELECT event_id, user_id AS anon_id, user_id * 7 % 2000 AS person_id, epoch_us(ts) AS at_us, event_id - 40 AS low FROM events WHERE event_type = 'purchase'),
+m AS (SELECT r.event_id, min(start_us) AS a, max(end_us) AS z FROM r JOIN iv ON iv.interval_id IN (r.event_id, r.event_id - 11, r.event_id - 23, r.event_id - 40) AND iv.person_id = r.anon_id GROUP BY r.event_id)
+SELECT r.event_id, coalesce(a, at_us) AS window_start, coalesce(z, at_us) AS window_end, CASE WHEN c_custkey IS NULL THEN 'missing_employee' END AS review_reason, {_REVIEW.format("c_custkey IS NOT NULL")}::DOUBLE AS confidence
+FROM r LEFT JOIN m USING (event_id) LEFT JOIN customer ON c_custkey = person_id"""
+)
+def st9_resolved_windows(spark, sf_dir):
+    """What each resolution (a purchase) covers: of four intervals that it moves, those of its anonymous group."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(e, F.col("user_id").alias("anon_id"), (F.col("user_id") * 7 % 2000).alias("person_id"), micros("ts").alias("at_us"), F.array(e, e - 11, e - 23, e - 40).alias("moved"))
+    return at.resolved(rows, presence(spark, sf_dir).select("interval_id", "person_id", "start_us", "end_us"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id")))
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, epoch_us(ts) AS at_us, CASE WHEN event_id % 13 > 0 THEN user_id END AS track, CASE WHEN event_id % 40 = 0 THEN 'cx' ELSE 'c' || user_id % 3 END AS camera, event_type = 'signup' AS changes,
+  CASE event_id % 3 WHEN 1 THEN user_id * 7 % 2000 WHEN 2 THEN user_id * 7 % 2000 + (event_id % 2) END AS was, user_id * 7 % 2000 AS person FROM events),
+h AS (SELECT a.event_id, any_value(a.at_us) AS at_us, min(b.at_us) AS since, count(DISTINCT b.camera) AS cameras, any_value(a.was) AS was, any_value(a.person) AS person FROM e a LEFT JOIN e b ON a.track = b.track AND (b.at_us, b.event_id) <= (a.at_us, a.event_id) WHERE a.changes GROUP BY a.event_id),
+v AS (SELECT *, CASE WHEN c_custkey IS NULL THEN 'missing_employee' WHEN was IS NOT NULL AND was <> person THEN 'conflicting_identity' WHEN cameras > 1 THEN 'ambiguous_reid' WHEN since IS NULL THEN 'insufficient_evidence' END AS review_reason FROM h LEFT JOIN customer ON c_custkey = person)
+SELECT event_id, cameras, coalesce(since, at_us) AS window_start, at_us AS window_end, review_reason, {_REVIEW.format("review_reason IS NULL")}::DOUBLE AS confidence FROM v"""
+)
+def st9_review_reasons(spark, sf_dir):
+    """Changes of identity (sign-ups): the window that the track's history gives, and why somebody has to look at it."""
+    e, u = F.col("event_id"), F.col("user_id")
+    person = u * 7 % 2000
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", micros("ts").alias("at_us"), F.when(e % 13 > 0, u).alias("track_uuid"), F.when(e % 40 == 0, "cx").otherwise(F.concat(F.lit("c"), u % 3)).alias("camera_id"), (F.col("event_type") == "signup").alias("changes"),
+        F.when(e % 3 == 1, person).when(e % 3 == 2, person + e % 2).alias("from_person_id"), person.alias("to_person_id"),
+    )
+    return at.changed(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id")))
+
+
+@query(
+    """WITH f AS (SELECT event_type AS cam, event_id // 3 AS f, event_id, user_id FROM events)
+SELECT cam AS camera_id, f AS frame, f / 4.0 AS pts, CAST(f % 5 AS INTEGER) AS epoch, event_id AS track_id, CASE WHEN user_id % 2 = 0 THEN 'tracked' ELSE 'lost' END AS state, user_id % 8 / 8.0 AS x1, 0.25::DOUBLE AS y1, user_id % 8 / 8.0 + 0.125 AS x2, 0.75::DOUBLE AS y2, user_id % 16 / 16.0 AS score, 'interior' AS zone FROM f"""
+)
+def s17_track_log(spark, sf_dir):
+    """The log's events as frames of tracks, written as a track log and read back."""
+    register(spark)
+    u, x = F.col("user_id"), F.col("user_id") % 8 / 8.0
+    track = F.struct(F.col("event_id").alias("track_id"), x.alias("x1"), F.lit(0.25).alias("y1"), (x + 0.125).alias("x2"), F.lit(0.75).alias("y2"), F.when(u % 2 == 0, "tracked").otherwise("lost").alias("state"), (u % 16 / 16.0).alias("score"), F.lit("interior").alias("zone"))
+    frames = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cam"), F.floor(F.col("event_id") / 3).alias("f")).agg(F.collect_list(track).alias("tr"))
+    folder = scratch(spark, "track-log")
+    frames.select("cam", "f", (F.col("f") / 4).alias("pts"), (F.col("f") % 5).cast("int").alias("e"), F.lit(640).alias("w"), F.lit(480).alias("h"), "tr").write.format("track_log").mode("append").save(folder)
+    return track_log(spark, folder)
+
+
+@query("SELECT event_type AS cam, 'stage' || user_id % 4 AS stage, event_id AS f, event_id / 4.0 AS pts, event_id * 1.0 AS t0, event_id + user_id % 32 / 64.0 AS t1, round(user_id % 32 / 64.0 * 1000, 4) AS ms, CASE WHEN user_id % 3 > 0 THEN 'tr_' || user_id END AS track_uuid FROM events")
+def s19_spans(spark, sf_dir):
+    """Spans of the pipeline's stages, written and read back; milliseconds follow from the times."""
+    register(spark)
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("cam"), F.concat(F.lit("stage"), u % 4).alias("stage"), e.alias("f"), (e / 4).alias("pts"), e.cast("double").alias("t0"), (e + u % 32 / 64.0).alias("t1"), F.lit(0.0).alias("ms"), F.when(u % 3 > 0, F.concat(F.lit("tr_"), u)).alias("track_uuid")
+    )
+    folder = scratch(spark, "spans")
+    rows.write.format("spans").mode("append").save(folder)
+    return spark.read.format("spans").load(folder)
