@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellspan.functions.time import HOUR, MINUTE, SECOND, micros
 from dwellspan.operators import attribution as at
+from dwellspan.operators import conformance as cf
 from dwellspan.operators import enrolment as en
 from dwellspan.operators import groups as gr
 from dwellspan.operators import intervals as iv
@@ -178,3 +179,25 @@ def s19_spans(spark, sf_dir):
     folder = scratch(spark, "spans")
     rows.write.format("spans").mode("append").save(folder)
     return spark.read.format("spans").load(folder)
+
+
+def recorded(spark, sf_dir):
+    """The log's events as messages of four recorded streams; what their fields say follows from ids, so some rules are broken."""
+    e, u = F.col("event_id"), F.col("user_id")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    camera, track = text("c", u % 8), F.concat(F.lit("tr_c"), (u % 8).cast("string"), F.lit("-t"), u.cast("string"))
+    kind = F.when(F.col("event_type") == "signup", "track.started").when(F.col("event_type") == "click", "track.identified").when(F.col("event_type") == "view", "track.heartbeat")
+    kind = kind.when((F.col("event_type") == "purchase") & (e % 2 == 0), "presence.interval").when(F.col("event_type") == "purchase", "track.ended").when(e % 3 == 0, "camera.failed").otherwise("camera.online")
+    at_camera = F.col("event_type").isin("error", "signup")
+    fields = F.struct(
+        kind.alias("type"), F.when(e % 53 != 0, e).alias("seq"), F.when(at_camera, camera).alias("camera_id"), (F.floor(e / 4000) + (e % 200 == 0).cast("int")).cast("int").alias("stream_epoch"), (e % 4000 / 4.0).alias("pts"), F.when(F.col("event_type") != "error", track).alias("track_uuid"),
+        F.when(e % 5 == 0, "camera_lost").otherwise("left_frame").alias("reason"), F.when(F.col("event_type") == "purchase", text("iv", e - e % 4)).alias("interval_id"), (e * 1.0).alias("start_pts"), (e + F.col("value") - 10).alias("end_pts"),
+        F.when(e % 7 == 0, "interior").otherwise("door").alias("end_zone"), F.lit("left_frame").alias("end_reason"), F.when(e % 9 == 0, text("ANON-", u)).otherwise(text("", u)).alias("person_id"),
+    )
+    return table(spark, sf_dir, "events").select((u % 4).cast("string").alias("stream"), e.alias("line"), F.to_json(fields).alias("payload"))
+
+
+@query(None)
+def st19_message_rules(spark, sf_dir):
+    """Breaches of the rules across messages in four recorded streams."""
+    return cf.breaches(recorded(spark, sf_dir))
