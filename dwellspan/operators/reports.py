@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dwellspan.sources.tables import scratch
+
 
 def resolved(merges: DataFrame) -> DataFrame:
     """group, root: every merged group with the group that its chain of merges ends in. ``merges``: group, into, one
     row a group; a cycle raises.
 
-    Each round looks twice as far ahead, so a chain of n merges takes log2(n) joins."""
+    Each round looks twice as far ahead, so a chain of n merges takes log2(n) joins; rounds are written as tables, so no
+    round is computed twice."""
     spark = merges.sparkSession
     known = merges.select("group", "into")
     for _ in range(63):
         ahead = known.select(F.col("group").alias("into"), F.col("into").alias("further"))
         known = known.join(ahead, "into", "left").select("group", F.coalesce("further", "into").alias("into"), F.col("further").isNotNull().alias("moved"))
-        known = known.checkpoint() if spark.sparkContext.getCheckpointDir() else known.persist()
+        path = scratch(spark, "merges")
+        known.write.parquet(path)
+        known = spark.read.schema(known.schema).parquet(path)
         if known.where("moved").isEmpty():
             return known.select("group", F.col("into").alias("root"))
         known = known.drop("moved")

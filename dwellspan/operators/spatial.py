@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import as_of
+from .ordered import lagged, running
+
 
 def box(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
@@ -110,7 +113,14 @@ def greedy_pairs(scored: DataFrame, group: list[str], left: str, right: str, sco
 
 
 def decimated(df: DataFrame, group: list[str], order: list[str], at: str, every: float) -> DataFrame:
-    """Frames kept at a cadence: a frame is taken when the cursor is due, and the cursor then moves on by whole steps."""
+    """Frames kept at a cadence: a frame is taken when the cursor is due, and the cursor then moves on by whole steps.
+
+    A frame that comes two steps or more after the one before is due whatever was taken, and sets the cursor anew: the
+    replay is cut there, so a group is a stretch without such a pause. ``order`` begins with the time."""
+    bucket = F.floor(F.col(at) / (4096 * every))
+    rows = lagged(df, group, order, {"__was": at}, bucket)
+    pause = F.when(F.col("__was").isNull() | (F.col(at) - F.col("__was") >= 2 * every), 1).otherwise(0).cast("long")
+    pieces = running(rows, group, order, pause, bucket, "__piece").drop("__was")
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
     def pick(frame):
@@ -120,6 +130,39 @@ def decimated(df: DataFrame, group: list[str], order: list[str], at: str, every:
             if t >= due:
                 rows.append(k)
                 due = t + every if due == -math.inf or t - due >= every else due + every
-        return frame.iloc[rows]
-
-    return df.groupBy(*group).applyInPandas(pick, schema)
+        return frame.iloc[rows].drop(columns="__piece")
+
+    return pieces.groupBy(*group, "__piece").applyInPandas(pick, schema)
+
+
+#: Percent of the frame, and milliseconds.
+JUMP, LONG_GAP, LOST_HOLD = 25.0, 500, 300
+
+
+def interpolated_boxes(boxes: DataFrame, probes: DataFrame, width_ms: int = 3_600_000) -> DataFrame:
+    """Boxes shown at moments between frames: camera_id, at_ms, track, x, y, w, h, how.
+
+    Over a gap of more than ``LONG_GAP``, of a track that jumps by more than ``JUMP``, and of boxes without a track, the nearer frame
+    counts (the later one of two equally near); else a track's box moves evenly. A new track waits until the later frame is
+    the nearer; a lost one stays for ``LOST_HOLD``. Both frames are as-of joins; boxes come by frame and track.
+    ``boxes``: camera_id, at_ms, track (null: none), x, y, w, h in percent, a box per frame and track; ``probes``: camera_id, at_ms."""
+    frames = boxes.select("camera_id", "at_ms").distinct()
+    p = as_of(probes.withColumn("probe", F.col("at_ms")), frames, ["camera_id"], "at_ms", F.col("at_ms"), name="a", width_us=width_ms)
+    p = as_of(p, frames, ["camera_id"], "at_ms", F.col("at_ms"), forward=True, name="b", width_us=width_ms).where("a IS NOT NULL AND b IS NOT NULL").drop("probe")
+    p = p.withColumn("later", F.col("at_ms") - F.col("a") >= F.col("b") - F.col("at_ms")).withColumn("far", F.col("b") - F.col("a") > LONG_GAP)
+    geom = F.struct("x", "y", "w", "h")
+    side = lambda c, n: p.join(boxes.select("camera_id", F.col("at_ms").alias(c), "track", geom.alias(n)), ["camera_id", c])
+    one, two = side("a", "ga"), side("b", "gb")
+    out = ["camera_id", "at_ms", "track"]
+    alone = F.col("far") | F.col("track").isNull()
+    near = one.where(alone & ~F.col("later")).select(*out, F.col("ga").alias("g"), F.lit("nearest").alias("how")).unionByName(two.where(alone & F.col("later")).select(*out, F.col("gb").alias("g"), F.lit("nearest").alias("how")))
+    keys = ["camera_id", "at_ms", "track", "a", "b", "later"]
+    met = one.where(~alone).select(*keys, "ga").join(two.where(~alone).select(*keys, "gb"), keys, "full")
+    middle = lambda g, at, size: F.col(f"{g}.{at}") + F.col(f"{g}.{size}") / 2
+    jump = (F.abs(middle("ga", "x", "w") - middle("gb", "x", "w")) > JUMP) | (F.abs(middle("ga", "y", "h") - middle("gb", "y", "h")) > JUMP)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("at_ms") - F.col("a")) / (F.col("b") - F.col("a"))))
+    moved = F.struct(*[(F.col(f"ga.{c}") + (F.col(f"gb.{c}") - F.col(f"ga.{c}")) * share).alias(c) for c in "xywh"])
+    how = F.when(F.col("ga").isNull(), F.when(F.col("later"), "new")).when(F.col("gb").isNull(), F.when(F.col("at_ms") - F.col("a") <= LOST_HOLD, "held")).when(jump, "jump").otherwise("moved")
+    g = F.when(F.col("how") == "new", F.col("gb")).when(F.col("how") == "held", F.col("ga")).when(F.col("how") == "jump", F.when(F.col("later"), F.col("gb")).otherwise(F.col("ga"))).otherwise(moved)
+    shown = met.withColumn("how", how).where("how IS NOT NULL").select(*out, g.alias("g"), "how")
+    return near.unionByName(shown).select(*out, "g.*", "how")

@@ -41,11 +41,21 @@ def best_two(scores: DataFrame, probe: list[str], label: str, score: str) -> Dat
 BLOCK = 2048  # vectors of a side that meet in one group
 
 
-def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, rows: int = BLOCK) -> DataFrame:
+def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, rows: int = BLOCK, by: str | None = None) -> DataFrame:
     """``reduce(probes, references, similarities)`` over all pairs of blocks: a group holds one block of each side
-    (``embedding``, ``ref``) and one matrix product, and only what ``reduce`` keeps of it leaves the task.
+    (``embedding``, ``ref``) and one matrix product, and only what ``reduce`` keeps of it leaves the task. With ``by``
+    only rows of one value of that column meet; each value has as many blocks as its rows need.
 
     Null vectors and those of another length are at -1 from all, as in ``dot``; similarities have six places."""
+    if by:
+        probes, references = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (probes, references))  # both may come from one table
+        n = [df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / rows).alias(c)) for df, c in ((probes, "__np"), (references, "__nr"))]
+        both = n[0].join(n[1], by)
+        place = lambda df, c: F.pmod(F.xxhash64(df.columns[0]), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+        p = probes.join(both, by).withColumn("__p", place(probes, "__np")).withColumn("__r", every("__nr")).drop("__np", "__nr")
+        r = references.join(both, by).withColumn("__r", place(references, "__nr")).withColumn("__p", every("__np")).drop("__np", "__nr")
+        return p.groupBy(by, "__p", "__r").cogroup(r.groupBy(by, "__p", "__r")).applyInPandas(_product(reduce, schema), schema)
     sides = [(df, -(-df.count() // rows)) for df in (probes, references)]
     if not all(n for _, n in sides):
         return probes.sparkSession.createDataFrame([], schema)
@@ -54,6 +64,10 @@ def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, row
     p = p.withColumn("__p", place(p, n_p)).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
     r = r.withColumn("__r", place(r, n_r)).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
 
+    return p.groupBy("__p", "__r").cogroup(r.groupBy("__p", "__r")).applyInPandas(_product(reduce, schema), schema)
+
+
+def _product(reduce, schema: str):
     def run(a, b):
         import pandas as pd
 
@@ -67,7 +81,7 @@ def in_blocks(probes: DataFrame, references: DataFrame, reduce, schema: str, row
         sims[(n_x[:, None] != n_y[None, :]) | (n_x[:, None] < 0)] = -1.0
         return reduce(a, b, sims)
 
-    return p.groupBy("__p", "__r").cogroup(r.groupBy("__p", "__r")).applyInPandas(run, schema)
+    return run
 
 
 def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +105,20 @@ def tops_by_label(a, b, sims):
     return pd.DataFrame({"vec_id": np.repeat(a["vec_id"].to_numpy(), n), "label": np.repeat(a["label"].to_numpy(), n), "person": np.tile(person[head], len(a)), "sim": top.ravel()})
 
 
+def tops_by_pair(a, b, sims):
+    """The highest similarity of the block between each two persons, the smaller first."""
+    import pandas as pd
+
+    left, i = np.unique(a["label"].to_numpy(), return_inverse=True)
+    right, j = np.unique(b["person"].to_numpy(), return_inverse=True)
+    top = np.full((len(left), len(right)), -np.inf)
+    wide = np.full((len(left), sims.shape[1]), -np.inf)
+    np.maximum.at(wide, i, sims)
+    np.maximum.at(top.T, j, wide.T)
+    x, y = np.nonzero(left[:, None] < right[None, :])
+    return pd.DataFrame({"a": left[x], "b": right[y], "sim": top[x, y]})
+
+
 def verdict(threshold: float, least_margin: float) -> Column:
     return F.when(F.col("top") < threshold, "below_threshold").when(F.col("margin") < least_margin, "margin_too_narrow").otherwise("match")
 

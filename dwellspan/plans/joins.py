@@ -61,10 +61,10 @@ def j4_exemption_anti(spark, sf_dir):
     return rows.join(ex.alias("e"), F.expr(on), "left_anti").select("interval_id", "person_id")
 
 
-@query("SELECT c.conv_id, c.turn FROM conversations c WHERE c.turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)")
+@query("WITH k AS (SELECT conv_id, turn FROM conversations WHERE (conv_id * 3 + turn) % 17 <> 0) SELECT c.conv_id, c.turn FROM k c WHERE c.turn > 0 AND NOT EXISTS (SELECT 1 FROM k p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)")
 def j10_dangling(spark, sf_dir):
-    """Rows whose predecessor doesn't exist."""
-    c = table(spark, sf_dir, "conversations")
+    """Rows whose predecessor doesn't exist, of a table that lost one row in seventeen."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").where("(conv_id * 3 + turn) % 17 <> 0")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct()
     return c.where("turn > 0").join(before, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dwellspan.functions import rules as rl
 from dwellspan.functions.time import DAY, HOUR, MINUTE, SECOND, micros
 from dwellspan.operators import calendar as cal
 from dwellspan.operators import enrolment as en
@@ -258,27 +259,70 @@ def a21_stitched_lifetimes(spark, sf_dir):
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN user_id % 6 > 0 THEN (event_id - 1) / CAST(user_id % 6 AS DOUBLE) END AS pts, (epoch_us(ts) - {4 * HOUR}) // {DAY} AS reid_day, CASE WHEN event_type IN ('click', 'error') THEN 'left_frame' ELSE 'occluded_timeout' END AS ended,
-least(1.0, greatest(0.0, (event_id % 900 - 100) / 640.0)) AS x1, least(1.0, greatest(0.0, (event_id % 900 + 50) / 640.0)) AS x2 FROM events"""
+    f"""WITH z AS (SELECT *, CASE WHEN event_id % 900 < 60 THEN 'frame_edge' WHEN event_id % 900 < 200 THEN 'door' ELSE 'interior' END AS zone FROM events)
+SELECT event_id, CASE WHEN user_id % 6 > 0 THEN (event_id - 1) / CAST(user_id % 6 AS DOUBLE) END AS pts, CAST((epoch_us(ts) + {7 * HOUR} - {4 * HOUR}) // {DAY} AS INTEGER) AS reid_day, CASE WHEN zone IN ('door', 'frame_edge') THEN 'left_frame' ELSE 'occluded_timeout' END AS ended,
+least(1.0, greatest(0.0, (event_id % 900 - 100) / 640.0)) AS x1, least(1.0, greatest(0.0, (event_id % 900 + 50) / 640.0)) AS x2, least(640.0, greatest(0.0, event_id % 900 + 50.0)) AS back, (event_id % 900 - 100 + event_id % 900 + 50) / 2 / 640.0 BETWEEN 0.25 AND 0.75 AS central FROM z"""
 )
 def p36_frame_rules(spark, sf_dir):
-    """Time of a frame at a rate, the day that turns four hours after midnight, why a track ended by
-    its last zone, and pixels as shares of the frame."""
-    fps = F.col("user_id") % 6
-    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c / 640.0))
+    """Time of a frame at a rate, the local day that turns four hours after midnight, why a track ended by
+    its last zone, pixels as shares of the frame and back, and whether a box's centre lies in a region."""
+    e = F.col("event_id")
+    box = {"x1": e % 900 - 100, "y1": F.lit(10), "x2": e % 900 + 50, "y2": F.lit(110)}
+    shares = rl.from_pixels(box, 640, 480)
+    zone = F.when(e % 900 < 60, "frame_edge").when(e % 900 < 200, "door").otherwise("interior")
+    region = {k: F.lit(v) for k, v in {"x1": 0.25, "y1": 0.0, "x2": 0.75, "y2": 1.0}.items()}
     return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.when(fps > 0, (F.col("event_id") - 1) / fps.cast("double")).alias("pts"),
-        F.floor((micros("ts") - 4 * HOUR) / DAY).alias("reid_day"),
-        F.when(F.col("event_type").isin("click", "error"), "left_frame").otherwise("occluded_timeout").alias("ended"),
-        share(F.col("event_id") % 900 - 100).alias("x1"),
-        share(F.col("event_id") % 900 + 50).alias("x2"),
-    )
+        "event_id", rl.derived_pts(e, F.col("user_id") % 6).alias("pts"), rl.purge_day(micros("ts"), POLICY.zone, 4 * HOUR).alias("reid_day"), rl.end_reason(zone).alias("ended"),
+        shares["x1"].alias("x1"), shares["x2"].alias("x2"), rl.to_pixels(shares, 640, 480)["x2"].alias("back"), rl.holds_centre(region, box, 640, 480).alias("central"),
+    )
+
+
+_LOG = "l AS (SELECT event_id, user_id, epoch_us(ts) AS at_us, value / 100 AS confidence, CASE user_id % 3 WHEN 0 THEN 'backend' WHEN 1 THEN 'engine' ELSE 'frontend' END AS source, CASE event_type WHEN 'view' THEN 'DEBUG' WHEN 'click' THEN 'INFO' WHEN 'signup' THEN 'WARNING' WHEN 'purchase' THEN 'ERROR' ELSE 'TRACE' END AS level FROM events)"
 
 
-@query("WITH l AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS level, value FROM events) SELECT event_id FROM l WHERE user_id % 3 = 1 AND level >= 2 AND value >= 10")
+def log_rows(spark, sf_dir):
+    """The log's events as lines of three sources at five levels, one of them unknown."""
+    u, t = F.col("user_id"), F.col("event_type")
+    level = F.when(t == "view", "DEBUG").when(t == "click", "INFO").when(t == "signup", "WARNING").when(t == "purchase", "ERROR").otherwise("TRACE")
+    source = F.when(u % 3 == 0, "backend").when(u % 3 == 1, "engine").otherwise("frontend")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("at_us"), (F.col("value") / 100).alias("confidence"), source.alias("source"), level.alias("level"), t.alias("class"))
+
+
+@query(f"WITH {_LOG} SELECT event_id, source, level FROM l WHERE source = 'engine' AND level IN ('WARNING', 'ERROR')")
 def p32_log_filter(spark, sf_dir):
-    """Lines of one source from a level on, over a confidence, of the persons that the reader may see."""
-    ranks = F.create_map(*[F.lit(x) for pair in (("view", 0), ("click", 1), ("signup", 2), ("purchase", 3)) for x in pair])
-    level = F.coalesce(F.try_element_at(ranks, F.col("event_type")), F.lit(4))
-    return table(spark, sf_dir, "events").where((F.col("user_id") % 3 == 1) & (level >= 2) & (F.col("value") >= 10)).select("event_id")
+    """Lines of one source from a level on; lines of an unknown level don't count."""
+    return rl.log_lines(log_rows(spark, sf_dir), "engine", "WARNING").select("event_id", "source", "level")
+
+
+@query(f"WITH {_LOG} SELECT event_id, level FROM l WHERE level IN ('INFO', 'WARNING', 'ERROR') ORDER BY at_us DESC, event_id LIMIT 50")
+def p32_newest_lines(spark, sf_dir):
+    """The newest lines of all sources, as a report."""
+    return rl.log_lines(log_rows(spark, sf_dir)).orderBy(F.desc("at_us"), "event_id").limit(50).select("event_id", "level")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click') AND value / 100 >= 0.4")
+def p31_detections(spark, sf_dir):
+    """Detections of two classes that are sure enough."""
+    return rl.detections(log_rows(spark, sf_dir), ["view", "click"], 0.4).select("event_id", F.col("class").alias("event_type"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY user_id")
+def p4_scope(spark, sf_dir):
+    """What a reader with an own id sees of a table: its rows alone, whatever it doesn't ask for."""
+    rows = table(spark, sf_dir, "events")
+    own = rows.agg(F.min("user_id")).first()[0]
+    return rl.scoped(rows, "user_id", own).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 3.6e9 AS h, event_type = 'signup' AS face, value / 100 AS confidence FROM events),
+t AS (SELECT *, sum(face::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS turn FROM e), s AS (SELECT *, h - max(CASE WHEN face THEN h END) OVER (PARTITION BY user_id, turn) AS since, max(CASE WHEN face THEN confidence END) OVER (PARTITION BY user_id, turn) AS sure FROM t),
+d AS (SELECT *, sum(CASE WHEN since >= 3 THEN since ELSE 0 END) OVER (PARTITION BY user_id, turn ORDER BY event_id ROWS UNBOUNDED PRECEDING) / 120 AS halvings, CASE WHEN since >= 60 THEN 'EXPIRED' WHEN since >= 3 THEN 'HELD' WHEN since IS NOT NULL THEN 'CONFIRMED' END AS state FROM s)
+SELECT event_id, round(sure * power(0.5, halvings), 6) AS decayed, state, CASE WHEN state = 'CONFIRMED' THEN 'face' WHEN state IS NOT NULL THEN 'tracking' END AS source FROM d"""
+)
+def p28_ticks(spark, sf_dir):
+    """A track's identity at each tick since its last face (a sign-up; hours here): state, source, and the confidence that every
+    tick takes down from where the last one left it."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (micros("ts") / 3.6e9).alias("h"), (F.col("event_type") == "signup").alias("face"), (F.col("value") / 100).alias("confidence"))
+    out = rl.ticked(rows, ["user_id"], ["event_id"], "h", "face", "confidence", 120.0)
+    return out.select("event_id", F.round("decayed", 6).alias("decayed"), "state", "source")

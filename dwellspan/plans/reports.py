@@ -257,8 +257,8 @@ SELECT vec_id, person, sim, rank FROM n WHERE rank <= 3"""
 def v9_gallery_ranking(spark, sf_dir):
     """Each body vector's three best persons of its day's gallery of faces, without persons that were forgotten."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / 100).alias("day"), F.when(F.col("vec_id") % 4 == 0, "body").otherwise("face").alias("source"))
-    g = rp.daily_gallery(e, e.where("label % 10 = 3 AND day % 2 = 1"), "day", "label").select("day", F.col("label").alias("person"), F.col("embedding").alias("ref"))
-    sims = e.where("source = 'body'").join(g, "day").select("vec_id", "person", F.round(vx.dot("embedding", "ref"), 6).alias("sim"))
+    g = rp.daily_gallery(e, e.where("label % 10 = 3 AND day % 2 = 1"), "day", "label").select("vec_id", "day", F.col("label").alias("person"), F.col("embedding").alias("ref"))
+    sims = vx.in_blocks(e.where("source = 'body'").select("vec_id", "day", "label", "embedding"), g, vx.tops_by_label, "vec_id long, label int, person int, sim double", by="day")
     best = sims.groupBy("vec_id", "person").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("sim"), "person")).cast("long")
     return best.withColumn("rank", rank).where("rank <= 3").select("vec_id", "person", "sim", "rank")
@@ -266,10 +266,21 @@ def v9_gallery_ranking(spark, sf_dir):
 
 def _triangle(a, b, sims):
     """Count, sum, least and highest similarity of the block's pairs of different ids, once a pair, by persons."""
-    i, j = np.nonzero(a["vec_id"].to_numpy()[:, None] < b["ref_id"].to_numpy()[None, :])
-    x, y = a["label"].to_numpy()[i], b["person"].to_numpy()[j]
-    pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "sim": sims[i, j]})
-    return pairs.groupby(["a", "b"], as_index=False).agg(n=("sim", "size"), total=("sim", "sum"), low=("sim", "min"), high=("sim", "max"))
+    left, i = np.unique(a["label"].to_numpy(), return_inverse=True)
+    right, j = np.unique(b["person"].to_numpy(), return_inverse=True)
+    once = a["vec_id"].to_numpy()[:, None] < b["ref_id"].to_numpy()[None, :]
+
+    def folded(pick, values, start):  # by persons: rows of the matrix first, then its columns
+        rows, out = np.full((len(left), values.shape[1]), start, values.dtype), np.full((len(left), len(right)), start, values.dtype)
+        pick.at(rows, i, values)
+        pick.at(out.T, j, rows.T)
+        return out
+
+    n, total = folded(np.add, once.astype(np.int64), 0), folded(np.add, np.where(once, sims, 0.0), 0.0)
+    low, high = folded(np.minimum, np.where(once, sims, np.inf), np.inf), folded(np.maximum, np.where(once, sims, -np.inf), -np.inf)
+    x, y = np.nonzero(n)
+    one, two = left[x], right[y]
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "n": n[x, y], "total": total[x, y], "low": low[x, y], "high": high[x, y]})
 
 
 @query(

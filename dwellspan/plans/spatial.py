@@ -103,3 +103,35 @@ def j15_association(spark, sf_dir):
 def t10_decimation(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", "value", (F.col("event_id") / F.lit(10.0)).alias("pts"))
     return sp.decimated(rows, ["event_type"], ["pts", "event_id"], "pts", 5.0)
+
+
+_SHOWN = """e AS (SELECT 'c' || event_id % 2 AS camera_id, event_id // 12 AS f, user_id, event_id FROM events), raw AS (SELECT camera_id, f * 200 AS at_ms, CASE WHEN user_id % 11 > 0 THEN user_id % 4 END AS track, f, event_id FROM e WHERE f % 7 > 0 AND f % 50 > 2),
+u AS (SELECT camera_id, at_ms, track, any_value(f) AS f, min(event_id) AS n FROM raw GROUP BY camera_id, at_ms, track), bx AS (SELECT camera_id, at_ms, track, f % 20 + coalesce(track, 0) * 20.0 + CASE WHEN f % 13 = 0 THEN 30 ELSE 0 END AS x, 10.0 AS y, 10.0 AS w, 20.0 + n % 3 AS h FROM u)"""
+
+
+def shown(spark, sf_dir):
+    """Frames of two cameras, a fifth of a second apart with gaps, and moments to show them at."""
+    e, u = F.col("event_id"), F.col("user_id")
+    f = F.floor(e / 12)
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), e % 2).alias("camera_id"), f.alias("f"), F.when(u % 11 > 0, u % 4).alias("track"), "event_id").where("f % 7 > 0 AND f % 50 > 2")
+    rows = rows.groupBy("camera_id", (F.col("f") * 200).alias("at_ms"), "track").agg(F.any_value("f").alias("f"), F.min("event_id").alias("n"))
+    x = F.col("f") % 20 + F.coalesce("track", F.lit(0)) * 20.0 + F.when(F.col("f") % 13 == 0, 30).otherwise(0)
+    boxes = rows.select("camera_id", "at_ms", "track", x.alias("x"), F.lit(10.0).alias("y"), F.lit(10.0).alias("w"), (20.0 + F.col("n") % 3).alias("h"))
+    ends = boxes.groupBy("camera_id").agg(F.min("at_ms").alias("a"), F.max("at_ms").alias("z"))
+    return boxes, ends.select("camera_id", F.explode(F.sequence("a", "z", F.lit(130).cast("long"))).alias("at_ms"))
+
+
+@query(
+    f"""WITH {_SHOWN}, fr AS (SELECT DISTINCT camera_id, at_ms FROM bx), p AS (SELECT camera_id, unnest(generate_series(min(at_ms), max(at_ms), 130)) AS t FROM bx GROUP BY camera_id),
+b AS (SELECT p.camera_id, t, max(at_ms) FILTER (at_ms <= t) AS a, min(at_ms) FILTER (at_ms > t) AS b FROM p JOIN fr USING (camera_id) GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL), q AS (SELECT *, t - a >= b - t AS later, b - a > 500 AS far FROM b),
+one AS (SELECT q.*, track, x, y, w, h FROM q JOIN bx ON bx.camera_id = q.camera_id AND at_ms = a), two AS (SELECT q.*, track, x, y, w, h FROM q JOIN bx ON bx.camera_id = q.camera_id AND at_ms = b),
+m AS (SELECT coalesce(o.camera_id, n.camera_id) AS camera_id, coalesce(o.t, n.t) AS t, coalesce(o.track, n.track) AS track, coalesce(o.a, n.a) AS a, coalesce(o.b, n.b) AS b, coalesce(o.later, n.later) AS later, o.x AS x0, o.y AS y0, o.w AS w0, o.h AS h0, n.x AS x1, n.y AS y1, n.w AS w1, n.h AS h1
+  FROM (SELECT * FROM one WHERE NOT far AND track IS NOT NULL) o FULL JOIN (SELECT * FROM two WHERE NOT far AND track IS NOT NULL) n ON o.camera_id = n.camera_id AND o.t = n.t AND o.track = n.track),
+s AS (SELECT *, CASE WHEN x0 IS NULL THEN CASE WHEN later THEN 'new' END WHEN x1 IS NULL THEN CASE WHEN t - a <= 300 THEN 'held' END WHEN abs(x0 + w0 / 2 - x1 - w1 / 2) > 25 OR abs(y0 + h0 / 2 - y1 - h1 / 2) > 25 THEN 'jump' ELSE 'moved' END AS how, (t - a) / (b - a) AS k FROM m)
+SELECT camera_id, t AS at_ms, track, round(x, 6) AS x, round(h, 6) AS h, 'nearest' AS how FROM one WHERE (far OR track IS NULL) AND NOT later UNION ALL SELECT camera_id, t, track, round(x, 6), round(h, 6), 'nearest' FROM two WHERE (far OR track IS NULL) AND later
+UNION ALL SELECT camera_id, t, track, round(CASE how WHEN 'new' THEN x1 WHEN 'held' THEN x0 WHEN 'jump' THEN CASE WHEN later THEN x1 ELSE x0 END ELSE x0 + (x1 - x0) * k END, 6), round(CASE how WHEN 'new' THEN h1 WHEN 'held' THEN h0 WHEN 'jump' THEN CASE WHEN later THEN h1 ELSE h0 END ELSE h0 + (h1 - h0) * k END, 6), how FROM s WHERE how IS NOT NULL"""
+)
+def p41_boxes(spark, sf_dir):
+    """Boxes between frames: even motion, new tracks that wait, lost ones that stay a while, jumps and long gaps at the nearer frame."""
+    out = sp.interpolated_boxes(*shown(spark, sf_dir))
+    return out.select("camera_id", "at_ms", "track", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"), "how")

@@ -63,8 +63,8 @@ _SETS = f"SELECT x.label AS a, y.label AS b, round(max(round({DOT.format('x.embe
 def v8_set_similarity(spark, sf_dir):
     """The highest similarity between the vectors of two persons, over the whole gallery."""
     e = table(spark, sf_dir, "embeddings")
-    every = vx.in_blocks(e.select("vec_id", "label", "embedding"), e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref")), vx.tops_by_label, TOPS)
-    return every.where("label < person").groupBy(F.col("label").alias("a"), F.col("person").alias("b")).agg(F.max("sim").alias("sim"))
+    every = vx.in_blocks(e.select("vec_id", "label", "embedding"), e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref")), vx.tops_by_pair, "a int, b int, sim double")
+    return every.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 @query(_SETS)

@@ -64,3 +64,36 @@ def annotation(spark: SparkSession, content: dict) -> tuple[DataFrame, DataFrame
         .when(before > F.col("enter_us"), "overlap")
     )
     return presence, tracks, presence.withColumn("why", why).where("why IS NOT NULL")
+
+
+#: What a file of pass marks must say, and what it may.
+REQUIRED = ("max_false_gap_minutes_per_person_per_day", "min_track_lifetime_seconds_while_present", "workday_hours", "declared_on")
+OPTIONAL = {"min_recognizable_faces_per_person_hour": None, "stitch_window_for_verdict_seconds": 5.0}
+
+
+def thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """Pass marks that were written down beforehand: one row a file (``name: value`` lines), with its digest.
+
+    A mark that must be there and isn't raises: there is no default for it."""
+    from pyspark.sql import functions as F
+
+    line = r'^(\w+):\s*"?([^#"]*?)"?\s*(?:#.*)?$'
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("sha256"), F.split("value", r"\r?\n").alias("lines"))
+    said = F.filter("lines", lambda x: F.regexp_like(x, F.lit(line)))
+    part = lambda k: F.transform(said, lambda x: F.regexp_extract(x, line, k))
+    rows = text.withColumn("m", F.map_from_arrays(part(1), part(2)))
+    held = lambda c: F.nullif(F.try_element_at("m", F.lit(c)), F.lit(""))
+    missing = F.filter(F.array(*[F.when(held(c).isNull(), c) for c in REQUIRED]), lambda x: x.isNotNull())
+    for r in rows.select("path", missing.alias("missing")).where(F.size("missing") > 0).collect():
+        raise ValueError(f"{r.path}: missing {', '.join(r.missing)}")
+    marks = [held(c).try_cast("double").alias(c) for c in REQUIRED[:-1]] + [held("declared_on").alias("declared_on"), *(F.coalesce(held(c).try_cast("double"), F.lit(d).cast("double")).alias(c) for c, d in OPTIONAL.items())]
+    return rows.select("path", "sha256", *marks)
+
+
+def labelled_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images below ``folder`` as person, camera, path, content: person/camera_anything.jpg. Names without a camera are marked
+    (camera null) rather than left out, so that they can be counted."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(f"{folder.rstrip('/')}/*/")
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("person"), F.nullif(F.regexp_extract("path", r"/([^/_]*)_[^/]*$", 1), F.lit("")).alias("camera"), "path", "content")

@@ -12,6 +12,7 @@ from dwellspan.sources.ndjson import register
 ENVELOPE = """type STRING, ts STRING, seq BIGINT, at STRING, camera_id STRING, stream_epoch INT, track_uuid STRING, person_id STRING, to_person_id STRING,
   pts DOUBLE, track_started_pts DOUBLE, interval_id STRING, start_at STRING, end_at STRING, start_zone STRING, end_zone STRING, end_reason STRING, start_source STRING,
   end_source STRING, prev_interval_id STRING, anon_id STRING, track_uuids ARRAY<STRING>, moved_intervals ARRAY<STRING>, live ARRAY<STRUCT<track_uuid: STRING, camera_id: STRING>>"""
+MAX_LINE = 64 << 20  # bytes; longer lines are dead letters
 VIEW_TYPES, CONTROL_TYPES = ("view.frame",), ("hello", "replay_gap", "replay_done", "ping", "pong")
 
 
@@ -29,7 +30,7 @@ def parsed(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("e", e)
     at = F.coalesce(parse_utc(F.col("e.at")), parse_utc(F.col("e.ts")))
     is_object = F.startswith(F.ltrim("payload"), F.lit("{")) & F.col("e.type").isNotNull()
-    error = F.when(~is_object, "not an event").when(at.isNull(), "no time").when(F.col("e.seq").isNull() & (channel(F.col("e.type")) == "durable"), "no seq")
+    error = F.when(F.octet_length("payload") > MAX_LINE, "line too long").when(~is_object, "not an event").when(at.isNull(), "no time").when(F.col("e.seq").isNull() & (channel(F.col("e.type")) == "durable"), "no seq")
     return rows.select("outbox_id", "payload", "e.*", at.alias("at_us"), parse_utc(F.col("e.start_at")).alias("start_us"), parse_utc(F.col("e.end_at")).alias("end_us"), channel(F.col("e.type")).alias("channel"), F.substring(error, 1, 2000).alias("error"))
 
 

@@ -48,6 +48,12 @@ def run(spark: SparkSession, source: str, folder: str, policy: Policy | None = N
     query.awaitTermination()
 
 
+def dead_letters(spark: SparkSession, folder: str, newest: int = 100) -> DataFrame:
+    """The newest dead letters: outbox_id, payload, error, batch."""
+    rows = existing(spark, f"{folder}/dead", "outbox_id string, payload string, error string, batch long")
+    return rows.orderBy(F.desc("batch"), "outbox_id", "payload").limit(newest)
+
+
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """The highest sequence number of each outbox."""
     return spark.read.parquet(f"{folder}/bronze").groupBy("outbox_id").agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("events"))

@@ -55,3 +55,37 @@ def test_spans(formats, tmp_path):
     spans.write.format("spans").mode("append").save(f"file://{tmp_path}/spans")
     got = {r.stage: r for r in formats.read.format("spans").load(f"file://{tmp_path}/spans").collect()}
     assert (got["detect"].pts, got["detect"].t0, got["detect"].ms, got["detect"].track_uuid) == (0.1235, 1.0, 20.4996, None) and got["embed"].ms == 500.0
+
+
+def test_thresholds(spark, tmp_path):
+    import hashlib
+
+    from dwellspan.sources import config
+
+    text = 'max_false_gap_minutes_per_person_per_day: 3.0  # minutes\nmin_track_lifetime_seconds_while_present: 30\nworkday_hours: 8\n# a note: 1\ndeclared_on: "2026-09-01"\n'
+    (tmp_path / "marks.yaml").write_text(text)
+    r = config.thresholds(spark, str(tmp_path / "marks.yaml")).first()
+    assert (r.max_false_gap_minutes_per_person_per_day, r.min_track_lifetime_seconds_while_present, r.workday_hours, r.declared_on, r.stitch_window_for_verdict_seconds) == (3.0, 30.0, 8.0, "2026-09-01", 5.0)
+    assert r.min_recognizable_faces_per_person_hour is None and r.sha256 == hashlib.sha256(text.encode()).hexdigest()
+    (tmp_path / "bad.yaml").write_text("workday_hours: 8\n")
+    with pytest.raises(ValueError, match="declared_on"):
+        config.thresholds(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_labelled_images(spark, tmp_path):
+    from dwellspan.sources import config
+
+    for name in ("p1/c2_001.jpg", "p1/plain.jpg", "p2/c3_x_y.png", "p2/notes.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    got = {(r.person, r.camera, bytes(r.content)) for r in config.labelled_images(spark, str(tmp_path)).collect()}
+    assert got == {("p1", "c2", b"p1/c2_001.jpg"), ("p1", None, b"p1/plain.jpg"), ("p2", "c3", b"p2/c3_x_y.png")}
+
+
+def test_scope(spark):
+    from dwellspan.functions import rules
+
+    df = spark.range(5)
+    assert rules.scoped(df, "id").count() == 5 and rules.scoped(df, "id", requested=3).count() == 1 and rules.scoped(df, "id", own=2).collect()[0].id == 2
+    with pytest.raises(PermissionError):
+        rules.scoped(df, "id", own=2, requested=3)
