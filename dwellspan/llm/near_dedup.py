@@ -375,7 +375,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # Numbers rise with ids: of a dense node the smallest, often the original of its copies, is its centre.
     classes = written(first.orderBy("none", "id", "mark", "digest").withColumn("cid", F.monotonically_increasing_id()), "classes")
     repeated = not some.groupBy("digest", "none", "id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    reps = some.join(classes, ["digest", "none", "id", "mark"]).dropDuplicates(["cid"])
+    reps = some.join(classes, ["digest", "none", "id", "mark"])
+    reps = reps.dropDuplicates(["cid"]) if repeated else reps
     reps = written(reps.select(F.col("cid").alias("doc_id"), "nodes", "tokens", "sketch"), "representatives")
     leaves = nodes(reps)
     # Dense nodes: everything with the smallest id; sub-blocks stand in for the node below.
@@ -388,10 +389,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     texts = Texts(named, classes, repeated, words)
     # Texts with one id are one document.
     several = some.where("NOT none").groupBy("id").agg(F.min("digest").alias("u"), F.max("digest").alias("v")).where("u <> v")
+    several = written(several, "several")
     together = some.where("NOT none").join(several.select("id"), "id").select("id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
     together = together.join(together.groupBy("id").agg(F.min("cid").alias("u")), "id").where("u <> cid").select("u", F.col("cid").alias("v"))
     tried = written(forest.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    links = written(confirmed(tried, texts, percent).unionByName(together), "links")
+    links = confirmed(tried, texts, percent)
+    links = written(links if several.isEmpty() else links.unionByName(together), "links")
     label = components(links)
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))

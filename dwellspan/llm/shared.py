@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _tables = itertools.count(1)
-COLLECT_EVERY = 5  # tables
+COLLECT_EVERY = 3  # tables
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
