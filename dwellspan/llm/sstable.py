@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import mixed, shared_folder, text_slices, written
+from .shared import released, mixed, shared_folder, text_slices, written
 from .tokens import VOCABULARY, encoder
 
 MAGIC = b"DWSST\x00\x00\x01"
@@ -233,7 +233,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, MANIFEST).withColumn("folder", F.lit(folder)), "manifest")
+    return written(ordered.mapInArrow(released(write), MANIFEST).withColumn("folder", F.lit(folder)), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return placed.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(n, "file").mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
