@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import released, mixed, shared_folder, text_slices, written
+from .shared import mixed, released, shared_folder, text_slices, written
 from .tokens import VOCABULARY, encoder
 
 MAGIC = b"DWSST\x00\x00\x01"
