@@ -180,6 +180,20 @@ def a5_report_rows(spark, sf_dir):
     )
 
 
+@query(
+    f"""{USAGE}, seg AS (SELECT person_id, (start_us + {SHIFT}) // {DAY} AS day, count(*) AS segments FROM iv GROUP BY ALL), g AS (SELECT c_custkey AS person_id, day FROM customer, (SELECT unnest(generate_series(19723, 19729)) AS day))
+SELECT person_id, {DATE} AS local_date, used_us, coalesce(segments, 0) AS segments FROM g LEFT JOIN usage USING (person_id, day) LEFT JOIN seg USING (person_id, day) WHERE used_us IS NOT NULL OR segments IS NOT NULL"""
+)
+def j6_report_grid(spark, sf_dir):
+    """Every employee on every date of a week with usage and segments, less the pairs that have neither."""
+    days = spark.range(19723, 19730).select(F.col("id").cast("int").alias("day"))
+    grid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.explode(F.sequence(F.lit(19723), F.lit(19729))).alias("day"))
+    seg = presence(spark, sf_dir).groupBy("person_id", day_number(local_micros("start_us", POLICY.zone)).alias("day")).agg(F.count(F.lit(1)).alias("segments"))
+    used = usage_rows(spark, sf_dir).select("person_id", "day", "used_us").join(F.broadcast(days), "day", "left_semi")
+    rows = grid.join(used, ["person_id", "day"], "left").join(seg, ["person_id", "day"], "left").where("used_us IS NOT NULL OR segments IS NOT NULL")
+    return rows.select("person_id", date_text("day").alias("local_date"), "used_us", F.coalesce("segments", F.lit(0)).alias("segments"))
+
+
 @query(
     f"""{USAGE} SELECT coalesce(c_mktsegment, 'unknown') AS division, count(DISTINCT person_id) AS persons, count(*) AS n_rows, count(*) FILTER (status = 'exceeded') AS exceeded, count(*) FILTER (status = 'warning') AS warned, round(sum(used_us) / 1e6 / count(*), 3) AS mean_used_s
 FROM usage LEFT JOIN customer ON c_custkey = person_id GROUP BY 1"""

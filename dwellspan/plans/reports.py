@@ -340,3 +340,16 @@ def st19_interval_rules(spark, sf_dir):
     ]
     broken = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"))) for rule, level, test in rules]))
     return s.select("interval_id", F.inline(broken))
+
+
+@query(
+    f"""WITH {BOXES}, z AS (SELECT *, vec_id // 20 AS segment, CASE WHEN x1 <= 0.03 OR y1 <= 0.03 OR x2 >= 1 - 0.03 OR y2 >= 1 - 0.03 THEN 'frame_edge' ELSE 'interior' END AS zone FROM bx)
+SELECT label AS track, segment, arg_min(zone, vec_id) AS start_zone, arg_max(zone, vec_id) AS end_zone, round(arg_min(x1, vec_id), 6) AS first_x1, round(arg_min(y2, vec_id), 6) AS first_y2, round(arg_max(x1, vec_id), 6) AS last_x1, round(arg_max(y2, vec_id), 6) AS last_y2, count(*) AS boxes FROM z GROUP BY label, segment"""
+)
+def w18_segment_ends(spark, sf_dir):
+    """The first and last zone and box of each segment of a track."""
+    edge = (F.col("x1") <= 0.03) | (F.col("y1") <= 0.03) | (F.col("x2") >= 1 - 0.03) | (F.col("y2") >= 1 - 0.03)
+    rows = boxes(spark, sf_dir).withColumn("segment", F.floor(F.col("vec_id") / 20)).withColumn("zone", F.when(edge, "frame_edge").otherwise("interior"))
+    ends = rows.groupBy(F.col("label").alias("track"), "segment").agg(F.min_by(F.struct("zone", "x1", "y2"), "vec_id").alias("a"), F.max_by(F.struct("zone", "x1", "y2"), "vec_id").alias("z"), F.count(F.lit(1)).alias("boxes"))
+    r = lambda c: F.round(c, 6)
+    return ends.select("track", "segment", F.col("a.zone").alias("start_zone"), F.col("z.zone").alias("end_zone"), r("a.x1").alias("first_x1"), r("a.y2").alias("first_y2"), r("z.x1").alias("last_x1"), r("z.y2").alias("last_y2"), "boxes")

@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellspan.functions.text import is_anonymous
 from dwellspan.functions.time import date_text
 from dwellspan.operators.calendar import Policy, dates_of
 from dwellspan.sources.events import lines, parsed
 from dwellspan.sources.tables import existing
 
+from .recompute import Ledger
+
 
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, policy: Policy) -> None:
     """Splits a batch into durable events that are new, dead letters, and touched dates; each lies under
@@ -40,12 +43,20 @@ def touched_dates(events: DataFrame, policy: Policy) -> DataFrame:
     return dates_of(spans, policy).select("person_id", date_text("day").alias("local_date")).distinct()
 
 
-def run(spark: SparkSession, source: str, folder: str, policy: Policy | None = None) -> None:
-    """Ingests all files of ``source`` that weren't yet."""
+def run(spark: SparkSession, source: str, folder: str, policy: Policy | None = None, allowance: DataFrame | None = None) -> None:
+    """Ingests all files of ``source`` that weren't yet; with ``allowance`` (person_id, allowance_us) the same batch also brings the
+    ledger below ``folder``/ledger up to date: usage, violations, notices, and which reports are dirty."""
     policy = policy or Policy()
+    ledger = Ledger(spark, f"{folder}/ledger", policy, allowance, ids="string") if allowance is not None else None
+
+    def batch(rows: DataFrame, n: int) -> None:
+        ingest_batch(rows, n, folder, policy)
+        if ledger:
+            new = spark.read.parquet(f"{folder}/bronze/batch={n}").where("type = 'presence.interval' AND person_id IS NOT NULL AND interval_id IS NOT NULL AND end_us >= start_us")
+            ledger.take(n, new.where(~is_anonymous(F.col("person_id"))).select("interval_id", "person_id", "camera_id", "start_us", "end_us"))
+
     stream = lines(spark, source, streaming=True, files_per_batch=4)
-    query = stream.writeStream.foreachBatch(lambda b, n: ingest_batch(b, n, folder, policy)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def dead_letters(spark: SparkSession, folder: str, newest: int = 100) -> DataFrame:

@@ -25,18 +25,22 @@ REPORTS = "day int, revision long, persons long, used_us long, exceeded long"
 
 
 class Ledger:
-    """Tables below ``folder``, each partitioned by batch. ``allowance``: person_id, allowance_us (NULL: the policy's)."""
+    """Tables below ``folder``, each partitioned by batch. ``allowance``: person_id, allowance_us (NULL: the policy's); ``ids``
+    is the type of person and interval ids."""
 
-    def __init__(self, spark: SparkSession, folder: str, policy: cal.Policy, allowance: DataFrame):
-        self.spark, self.folder, self.policy, self.allowance = spark, folder.rstrip("/"), policy, allowance
+    def __init__(self, spark: SparkSession, folder: str, policy: cal.Policy, allowance: DataFrame, ids: str = "long"):
+        self.spark, self.folder, self.policy, self.allowance, self.ids = spark, folder.rstrip("/"), policy, allowance, ids
+
+    def _typed(self, schema: str) -> str:
+        return schema.replace("person_id long", f"person_id {self.ids}").replace("interval_id long", f"interval_id {self.ids}")
 
     def _all(self, name: str, schema: str, upto: int | None = None) -> DataFrame:
-        rows = existing(self.spark, f"{self.folder}/{name}", f"{schema}, batch long")
+        rows = existing(self.spark, f"{self.folder}/{name}", f"{self._typed(schema)}, batch long")
         return rows if upto is None else rows.where(F.col("batch") <= upto)
 
     def _write(self, df: DataFrame, name: str, schema: str, batch: int) -> DataFrame:
         columns = [c.split()[0] for c in schema.split(", ")]
-        typed = df.select(*[F.col(c).cast(t) for c, t in (c.split() for c in schema.split(", "))])
+        typed = df.select(*[F.col(c).cast(t) for c, t in (c.split() for c in self._typed(schema).split(", "))])
         typed.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
         return self._all(name, schema).where(F.col("batch") == batch).select(*columns)
 
@@ -49,7 +53,7 @@ class Ledger:
         """Applies a batch; facts that an earlier batch has are left out. The same batch may come again."""
         earlier = self._all("intervals", INTERVALS, batch - 1)
         fresh = self._write(intervals.dropDuplicates(["interval_id"]).join(earlier.select("interval_id"), "interval_id", "left_anti"), "intervals", INTERVALS, batch)
-        none = self.spark.createDataFrame([], CORRECTIONS)
+        none = self.spark.createDataFrame([], self._typed(CORRECTIONS))
         said = self._write(none if corrections is None else corrections, "corrections", CORRECTIONS, batch)
         persons = fresh.select("person_id").union(said.select("person_id")).distinct()
         own = self._all("intervals", INTERVALS, batch).join(persons, "person_id", "left_semi")

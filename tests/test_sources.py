@@ -89,3 +89,35 @@ def test_scope(spark):
     assert rules.scoped(df, "id").count() == 5 and rules.scoped(df, "id", requested=3).count() == 1 and rules.scoped(df, "id", own=2).collect()[0].id == 2
     with pytest.raises(PermissionError):
         rules.scoped(df, "id", own=2, requested=3)
+
+
+def test_outbox(spark, tmp_path):
+    from dwellspan.sources.outbox import Outbox
+
+    box = Outbox(spark, str(tmp_path / "o"), "kind string, n long")
+    rows = lambda a, z: spark.range(a, z).select(F.lit("k").alias("kind"), F.col("id").alias("n")).repartition(3)
+    assert box.high_water() == 0 and box.gap_for(0) is None and box.append(rows(0, 0), ["n"]) == (1, 0)
+    assert box.append(rows(0, 50), ["n"]) == (1, 50) and box.append(rows(50, 60), ["n"]) == (51, 60)
+    got = box.since(0).collect()
+    assert [(r.seq, r.n) for r in got] == [(k + 1, k) for k in range(60)]
+    assert [r.seq for r in box.since(48, 4).collect()] == [49, 50, 51, 52]
+    box.acknowledge(20)
+    assert box.prune() == 20 and box.gap_for(5) == (6, 20) and box.gap_for(20) is None and box.since(0).first().seq == 21
+    assert box.prune(keep=5) == 55 and [r.seq for r in box.since(0).collect()] == [56, 57, 58, 59, 60]
+    box.acknowledge(99)
+    assert box.prune() == 60 and box.since(0).count() == 0 and box.high_water() == 60
+    assert box.append(rows(0, 2), ["n"]) == (61, 62) and box.gap_for(58) == (59, 60)
+
+
+def test_references(spark):
+    from dwellspan.sources import references as rf
+
+    v = [0.5]
+    changes = [(1, 7, "enroll", "v1", v, 0, False), (1, 7, "enroll", "v2", v, 5, False), (2, 7, "capture", "v2", v, 1, False), (3, 8, "enroll", "v1", v, 1, False), (4, 9, "enroll", "v2", v, 1, False), (4, 9, "enroll", "v2", v, 2, True), (5, 8, "enroll", "v2", None, 1, False)]
+    refs = rf.current(spark.createDataFrame(changes, "ref_id long, person_id long, source string, version string, embedding array<double>, at_us long, deleted boolean"))
+    assert sorted(r.ref_id for r in refs.collect()) == [1, 2, 3, 5]
+    assert sorted(r.ref_id for r in rf.usable(refs, "v2").collect()) == [1, 2] and rf.vectors_of(refs, 7, "enroll").count() == 1
+    assert [(r.person_id, r.ref_id) for r in rf.to_embed_again(refs, "v2").collect()] == [(8, 3), (8, 5)]
+    assert tuple(rf.stats(refs, "v2").first()) == (2, 4, 2, 1)
+    ours, theirs = rf.roster(refs), rf.roster(refs.where("ref_id <> 2").unionByName(refs.where("ref_id = 1").withColumn("person_id", F.lit(12).cast("long"))))
+    assert {(r.person_id, r.verdict) for r in rf.roster_diff(ours, theirs).collect()} == {(7, "changed"), (12, "removed")}

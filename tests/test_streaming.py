@@ -58,6 +58,17 @@ def test_ingest_deduplicates_and_keeps_dead_letters(spark, log, tmp_path):
     assert [(g.from_seq, g.to_seq) for g in gaps] == [(4, 4)]
 
 
+def test_ingestion_feeds_the_ledger(spark, log, tmp_path):
+    out = str(tmp_path / "out")
+    allowance = spark.createDataFrame([("4471", 30_000_000)], "person_id string, allowance_us long")
+    for _ in range(2):
+        ingest.run(spark, log, out, Policy(), allowance)
+    ledger = ingest.Ledger(spark, f"{out}/ledger", Policy(), allowance, ids="string")
+    assert [(r.person_id, r.day, r.used_us, r.status) for r in ledger.usage().collect()] == [("4471", 20350, 40_000_000, "exceeded")]
+    assert [(r.person_id, r.kind) for r in ledger.notices().collect()] == [("4471", "exceeded")]
+    assert {r.error for r in ingest.dead_letters(spark, out).collect()} == {"no seq", "not an event"} and ingest.dead_letters(spark, out, 1).count() == 1
+
+
 def test_stateful_stream_equals_replay(spark, log, tmp_path):
     spark.conf.set(*presence.ROCKSDB)
     batch = ev.lifecycle(ev.parsed(ev.lines(spark, log)).where("error IS NULL AND channel = 'durable'").dropDuplicates(["outbox_id", "seq"]))
