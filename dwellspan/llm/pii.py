@@ -14,6 +14,8 @@ table gives an empty result. Other columns don't matter.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import functools
 import random
 import re
@@ -339,8 +341,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
             for i in pc.indices_nonzero(pc.match_substring_regex(column, FILTER)).to_pylist():
                 text = column[i].as_py()
                 base = base_spans(text)
-                covered = sorted((a, b) for _, a, b in base)
-                added = [s for s in field_spans(text, weights) if not _touches(covered, s[1], s[2])]
+                added = _untouched(field_spans(text, weights), base)
                 rows[i] = span_rows(text, base, added, KINDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, SPAN_TYPE)], ["doc_id", "spans"])
 
@@ -348,8 +349,11 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     return rows.mapInArrow(scan, f"doc_id long, spans {SPANS}")
 
 
-def _touches(covered: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in covered)
+def _untouched(spans: list, base: list) -> list:
+    """The spans that overlap none of ``base``: of those that begin before a span's end, none reaches beyond its start."""
+    covered = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in covered], list(itertools.accumulate((b for _, b in covered), max))
+    return [s for s in spans if not (n := bisect.bisect_left(starts, s[2])) or reach[n - 1] <= s[1]]
 
 
 def op7_pii_field(spark, sf_dir: str) -> DataFrame:
