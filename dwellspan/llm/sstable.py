@@ -17,6 +17,7 @@ repeated tasks leave no half-written shard in use.
 
 from __future__ import annotations
 
+import array
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,9 @@ RESTART = 16  # every so many entries a key is stored whole
 BITS_PER_KEY, PROBES = 10, 7
 END_ID = 0
 
-MANIFEST = "shard int, file string, n_docs long, n_ids long"
+SHARD_BYTES = 64 << 20  # a task goes on in a next shard from here
+
+MANIFEST = "shard int, part int, file string, n_docs long, n_ids long, first_key binary, last_key binary"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -79,19 +82,25 @@ class Bloom:
         self.bits = bits
 
     @staticmethod
-    def _probes(keys: list[bytes], m: int) -> np.ndarray:
-        h = mixed(np.array([int.from_bytes(k.rjust(8, b"\0"), "big") + len(k) & (1 << 64) - 1 for k in keys], np.uint64))
+    def number(key: bytes) -> int:
+        """What the filter knows of a key."""
+        return int.from_bytes(key.rjust(8, b"\0"), "big") + len(key) & (1 << 64) - 1
+
+    @staticmethod
+    def _probes(numbers: np.ndarray, m: int) -> np.ndarray:
+        h = mixed(numbers)
         step = mixed(h) | np.uint64(1)
         return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(m)
 
     @classmethod
-    def of(cls, keys: list[bytes]) -> Bloom:
-        flags = np.zeros(max(64, -(-len(keys) * BITS_PER_KEY // 8) * 8), np.uint8)
-        flags[cls._probes(keys, len(flags)).ravel()] = 1
+    def of(cls, numbers: np.ndarray) -> Bloom:
+        flags = np.zeros(max(64, -(-len(numbers) * BITS_PER_KEY // 8) * 8), np.uint8)
+        for at in range(0, len(numbers), 1 << 16):
+            flags[cls._probes(numbers[at : at + (1 << 16)], len(flags)).ravel()] = 1
         return cls(np.packbits(flags))
 
     def may_have(self, key: bytes) -> bool:
-        at = self._probes([key], len(self.bits) * 8)[0]
+        at = self._probes(np.array([self.number(key)], np.uint64), len(self.bits) * 8)[0]
         return bool((self.bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all())
 
 
@@ -99,7 +108,8 @@ class ShardWriter:
     """Writes entries in ascending key order to an open binary stream."""
 
     def __init__(self, out):
-        self._out, self._at, self._index, self._keys = out, 0, [], []
+        self._out, self._at, self._index = out, 0, []
+        self._numbers, self.first_key, self.last_key = array.array("Q"), None, None
         self.n_docs = self.n_ids = 0
         self._press = zstandard.ZstdCompressor(level=1)
         self._open_block()
@@ -107,6 +117,11 @@ class ShardWriter:
     def _open_block(self) -> None:
         self._block, self._size, self._entries, self._last = [], 0, 0, b""
 
+    @property
+    def n_bytes(self) -> int:
+        """Bytes written so far, besides the open block."""
+        return self._at
+
     def _put(self, raw: bytes) -> None:
         self._out.write(raw)
         self._at += len(raw)
@@ -119,7 +134,7 @@ class ShardWriter:
         self._open_block()
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self._keys and key < self._keys[-1]:
+        if self.last_key is not None and key < self.last_key:
             raise ValueError("keys must ascend")
         shared = 0
         if self._entries % RESTART:
@@ -133,8 +148,9 @@ class ShardWriter:
         self._block += [head, key[shared:], value]
         self._size += len(head) + len(key) - shared + len(value)
         self._entries += 1
-        self._last = key
-        self._keys.append(key)
+        self._last = self.last_key = key
+        self.first_key = key if self.first_key is None else self.first_key
+        self._numbers.append(Bloom.number(key))
         self.n_docs += 1
         self.n_ids += len(ids)
         if self._size >= BLOCK_BYTES:
@@ -145,7 +161,7 @@ class ShardWriter:
         index_at = self._at
         self._put(b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self._index))
         filter_at = self._at
-        self._put(Bloom.of(self._keys).bits.tobytes() if self._keys else b"")
+        self._put(Bloom.of(np.array(self._numbers, np.uint64)).bits.tobytes() if self._numbers else b"")
         self._put(FOOTER.pack(index_at, filter_at - index_at, filter_at, self._at - filter_at, self.n_docs, self.n_ids, MAGIC))
 
 
@@ -206,8 +222,9 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """Encodes all texts, writes the shards and returns their manifest."""
+def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encodes all texts, writes the shards and returns their manifest. Tasks are as many as the session's shuffle partitions; each goes on
+    in a next shard at ``shard_bytes``, so shards are bounded whatever the data."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "shards")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,20 +233,29 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, path = pyarrow.fs.FileSystem.from_uri(folder)
-        name = f"{path}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
-        out = writer = None
+        name = f"{path}/shard-{task.partitionId():06d}-{{:04d}}-{task.taskAttemptId()}.sst".format
+        out, writer, done = None, None, 0
         encode = encoder(vocabulary).encode
+
+        def close() -> pa.RecordBatch:
+            writer.finish()
+            out.close()
+            row = (task.partitionId(), done, name(done), writer.n_docs, writer.n_ids, writer.first_key, writer.last_key)
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in MANIFEST.split(", ")])
+
         for part in text_slices(batches, "text"):
-            if out is None:
-                out = store.open_output_stream(name)
-                writer = ShardWriter(out)
             ids, bounds = encode(part.column(1))
             for k, doc_id in enumerate(part.column(0).to_pylist()):
+                if out is None:
+                    out = store.open_output_stream(name(done))
+                    writer = ShardWriter(out)
                 writer.add(key_of(doc_id), np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)))
+                if writer.n_bytes >= shard_bytes:
+                    yield close()
+                    out, done = None, done + 1
         if out is not None:
-            writer.finish()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [name], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]})
+            yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -239,7 +265,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of all documents, from the files."""
     spark = manifest.sparkSession
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -268,8 +294,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def look_up(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """doc_id, ids of a short list of documents, each shard read by binary search."""
+    """doc_id, ids of a short list of documents: only shards whose range of keys has one of them are opened, and read by binary search."""
     keys = [(i, key_of(i)) for i in doc_ids]
+    wanted = F.array(*[F.lit(key) for _, key in keys]) if keys else F.array().cast("array<binary>")
+    manifest = manifest.where(F.exists(wanted, lambda k: (F.col("first_key") <= k) & (k <= F.col("last_key"))))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

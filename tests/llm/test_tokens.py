@@ -115,6 +115,22 @@ def test_op8_whole_table_and_lookup(spark):
     assert found == {i: [*library_ids(docs[i].text), 0] for i in (0, 500, 999)}
 
 
+def test_op8_goes_on_in_further_shards(spark, corpus):
+    """Shards are bounded in bytes; numbering and lookup go over all of them, and only those with a key are opened."""
+    dice = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in dice.integers(0, 10**6, 400))) for k in range(300)] + [(150, "again")]
+    docs = spark.read.parquet(f"{corpus(rows)}/documents.parquet")
+    manifest = sstable.write_shards(docs, shard_bytes=10_000)
+    files = manifest.collect()
+    assert len(files) > 8 and max(r.part for r in files) > 0 and sum(r.n_docs for r in files) == 301
+    got = sstable.read_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    found = sorted((r.doc_id, len(r.ids)) for r in sstable.look_up(manifest, [0, 150, 299, 555]).collect())
+    assert found == sorted((k, len(library_ids(t)) + 1) for k, t in rows if k in (0, 150, 299))
+    assert sstable.look_up(manifest, []).count() == 0
+
+
 def test_odd_texts(spark, corpus):
     folder = corpus(ODD_TEXTS)
     got = packing.op6_harmonic_pack(spark, folder).collect()
