@@ -1,8 +1,9 @@
 """Secret scans: patterns of assigned, access and hexadecimal keys, and the token-efficiency test.
 
 Natural words are cheap under a trained vocabulary; random strings take nearly a token for every two
-characters. The test takes the long unbroken strings of a text, sets aside known digests, identifiers,
-numbers and addresses, and reports those whose characters per token stay under a threshold.
+characters. The test takes the unbroken strings of at least ``LEAST_CHARACTERS`` of a text, sets aside known digests, numbers
+and identifiers (paths and names whose parts are short), and reports those whose characters per token stay under
+a threshold, as a whole or in a long part. Letters alone are no excuse: words are told from keys by their ratio.
 
 Edge cases: a null text is an empty one and has no spans. Repeated rows are independent. An empty
 table gives an empty result. Other columns don't matter.
@@ -37,10 +38,12 @@ HEX_FILTER = r"[0-9a-f]{24}"
 LONG_FILTER = rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARACTERS}}}"
 
 LONG = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_CHARACTERS},}}")
-#: Strings that look random and are no secrets: digests by their lengths, UUIDs, decimal numbers, paths and snake or kebab names.
+#: Strings that look random and are no secrets: digests by their lengths, UUIDs, decimal numbers, paths and names of short parts.
 KNOWN = re.compile(r"""[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}
     |[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}
-    |[0-9-]+|[A-Za-z]+|/?([a-z0-9.]+/)+[a-z0-9.-]*|([A-Za-z]+[0-9]{0,4}[_-])+[A-Za-z]*[0-9]{0,4}|[+/_=-]+""", re.VERBOSE)
+    |[0-9-]+|/?([a-z0-9.]{1,15}/)+[a-z0-9.-]{0,15}|([A-Za-z]{1,15}[0-9]{0,4}[_-])+[A-Za-z]{0,15}[0-9]{0,4}|[+/_=-]+""", re.VERBOSE)
+#: A part between separators that is long enough to be a key with a prefix.
+PART = re.compile(r"[A-Za-z0-9+=]{16,}")
 
 
 @functools.cache
@@ -63,7 +66,8 @@ def random_spans(text: str, most: float = MOST_CHARACTERS_PER_TOKEN) -> list[tup
     """The token-efficiency test's spans."""
     out = []
     for m in LONG.finditer(text):
-        if not KNOWN.fullmatch(m[0]) and len(m[0]) < most * len(_encoding().encode_ordinary(m[0])):
+        parts = [m[0], *(p for p in PART.findall(m[0]) if p != m[0])]  # a key with a prefix shows in its long part
+        if not KNOWN.fullmatch(m[0]) and any(not KNOWN.fullmatch(p) and len(p) < most * len(_encoding().encode_ordinary(p)) for p in parts):
             out.append(("random", *m.span()))
     return out
 

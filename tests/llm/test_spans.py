@@ -57,6 +57,11 @@ def test_whole_table(spark, query, plain, kinds):
 
 def test_token_efficiency():
     found = lambda t: [t[a:b] for _, a, b in secrets.random_spans(t)]
+    letters = random.Random(3)
+    for size in (20, 24, 32):
+        keys = ["".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(100)] + ["".join(letters.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=size)) for _ in range(100)]
+        assert sum(found(k) == [k] for k in keys) >= 195 and sum(found(f"sk_live_{k}") == [f"sk_live_{k}"] for k in keys) >= 195
+    assert found("getElementsByClassNameFromDocument Lorem-ipsum-dolor-sit-amet internationalization-and-localization usr/local/lib/python3/site-packages") == []
     assert found("use Zq8vXw2LkR9tYb4NcJ7hPd3G now") == ["Zq8vXw2LkR9tYb4NcJ7hPd3G"]
     assert found("internationalization_of_names and " + "a" * 30) == []
     assert found("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000 12345678901234567890") == []
