@@ -31,3 +31,9 @@ def json_keys(df: DataFrame, ident: list[str], payload: str) -> DataFrame:
 def is_anonymous(person_id) -> Column:
     """Whether an id is that of an unresolved group; NULL isn't."""
     return F.coalesce(F.startswith(person_id, F.lit("ANON-")), F.lit(False))
+
+
+def anonymous_id(day: Column, n: Column, nonce: Column | None = None) -> Column:
+    """The id of a day's n-th anonymous group: ``ANON-YYYYMMDD``, a nonce if there is one, and four digits or more."""
+    number = F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))
+    return F.concat(F.lit("ANON-"), F.regexp_replace(day, "-", ""), nonce if nonce is not None else F.lit(""), number)

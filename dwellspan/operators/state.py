@@ -287,3 +287,19 @@ def snapshots(df: DataFrame, group: list[str], since: str, until: str, every_us:
     upto = lagged(steps, group, ["tick"], {"__next": "tick"}, bucket, ahead=True).where("__next IS NOT NULL")
     ticks = upto.withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("__next") - 1)))
     return ticks.select(*group, (F.col("tick") * every_us).alias("at_us"), *counts)
+
+
+def reconnected(seen: DataFrame, camera: str, epoch: str, order: str, at_us: str, track: str, ended: Column) -> tuple[DataFrame, DataFrame]:
+    """What a camera's reconnections do: the tracks that they close, and the announcements.
+
+    A new epoch is a new timeline: every track of the one before that has no end of its own is closed as lost at that epoch's last
+    moment, and the camera is announced again at the new epoch's first. The last epoch closes nothing.
+    ``seen``: rows of tracks by camera and epoch; ``ended`` says which rows end a track. Epochs are few, so windows run over them alone."""
+    epochs = seen.groupBy(camera, epoch).agg(F.max(at_us).alias("last_us"), F.min(at_us).alias("first_us"))
+    w = W.partitionBy(camera).orderBy(epoch)
+    epochs = epochs.withColumn("next", F.lead(epoch).over(w)).withColumn("before", F.lag(epoch).over(w))
+    tracks = seen.groupBy(camera, epoch, track).agg(F.max_by(ended, order).alias("over"))
+    closed = tracks.where("NOT over").join(epochs.where("next IS NOT NULL").select(camera, epoch, "last_us"), [camera, epoch])
+    closed = closed.select(camera, epoch, track, F.col("last_us").alias("closed_us"), F.lit("camera_lost").alias("reason"))
+    online = epochs.select(camera, epoch, F.col("first_us").alias("at_us"), F.col("before").isNotNull().alias("again"))
+    return closed, online

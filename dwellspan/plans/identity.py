@@ -201,3 +201,24 @@ def recorded(spark, sf_dir):
 def st19_message_rules(spark, sf_dir):
     """Breaches of the rules across messages in four recorded streams."""
     return cf.breaches(recorded(spark, sf_dir))
+
+
+def connections(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("camera"), F.floor(e / 700).alias("epoch"), "event_id", micros("ts").alias("at_us"), F.col("user_id").alias("track"), (e % 4 == 0).alias("ends"))
+
+
+_EPOCHS = """e AS (SELECT event_type AS camera, event_id // 700 AS epoch, event_id, epoch_us(ts) AS at_us, user_id AS track, event_id % 4 = 0 AS ends FROM events),
+ep AS (SELECT camera, epoch, max(at_us) AS last_us, min(at_us) AS first_us, lead(epoch) OVER w AS next, lag(epoch) OVER w AS before FROM e GROUP BY camera, epoch WINDOW w AS (PARTITION BY camera ORDER BY epoch))"""
+
+
+@query(f"WITH {_EPOCHS}, t AS (SELECT camera, epoch, track, arg_max(ends, event_id) AS over FROM e GROUP BY ALL) SELECT camera, epoch, track, last_us AS closed_us, 'camera_lost' AS reason FROM t JOIN ep USING (camera, epoch) WHERE NOT over AND next IS NOT NULL")
+def st12_lost_tracks(spark, sf_dir):
+    """Tracks that a camera's reconnections close, at the last moment of the epoch that they belong to."""
+    return st.reconnected(connections(spark, sf_dir), "camera", "epoch", "event_id", "at_us", "track", F.col("ends"))[0]
+
+
+@query(f"WITH {_EPOCHS} SELECT camera, epoch, first_us AS at_us, before IS NOT NULL AS again FROM ep")
+def st12_announcements(spark, sf_dir):
+    """A camera's announcements: its first one, and one for each epoch after it."""
+    return st.reconnected(connections(spark, sf_dir), "camera", "epoch", "event_id", "at_us", "track", F.col("ends"))[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dwellspan.functions.text import anonymous_id
 from dwellspan.functions.time import DAY, HOUR, SECOND, micros
 from dwellspan.operators import consumer as co
 from dwellspan.operators import log as lg
@@ -164,12 +165,12 @@ def w17_latest_pair(spark, sf_dir):
     return rows.where("previous IS NOT NULL")
 
 
-@query("SELECT event_id, 'ANON-' || strftime(ts, '%Y%m%d') || '-' || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS VARCHAR), 4, '0') AS anon_id FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, 'ANON-' || strftime(ts, '%Y%m%d') || substr(md5(strftime(ts, '%Y%m%d')), 1, 4) || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS VARCHAR), 4, '0') AS anon_id FROM events WHERE event_type = 'error'")
 def w19_anon_ids(spark, sf_dir):
-    """Anonymous ids numbered within their day."""
+    """Anonymous ids numbered within their day, with a nonce that tells one run's ids from another's."""
     rows = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("d", F.date_format("ts", "yyyyMMdd"))
-    n = F.row_number().over(W.partitionBy("d").orderBy("event_id"))
-    return rows.select("event_id", F.concat(F.lit("ANON-"), "d", F.lit("-"), F.lpad(n.cast("string"), 4, "0")).alias("anon_id"))
+    rows = od.numbered(rows, ["d"], ["event_id"], stretch(), "n")
+    return rows.select("event_id", anonymous_id(F.col("d"), F.col("n"), F.substring(F.md5(F.col("d").cast("binary")), 1, 4)).alias("anon_id"))
 
 
 #: Lifecycle roles of the event types.
