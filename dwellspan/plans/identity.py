@@ -8,6 +8,7 @@ from dwellspan.functions.time import HOUR, MINUTE, SECOND, micros
 from dwellspan.operators import attribution as at
 from dwellspan.operators import conformance as cf
 from dwellspan.operators import enrolment as en
+from dwellspan.operators import gate as ga
 from dwellspan.operators import groups as gr
 from dwellspan.operators import intervals as iv
 from dwellspan.operators import state as st
@@ -222,3 +223,22 @@ def st12_lost_tracks(spark, sf_dir):
 def st12_announcements(spark, sf_dir):
     """A camera's announcements: its first one, and one for each epoch after it."""
     return st.reconnected(connections(spark, sf_dir), "camera", "epoch", "event_id", "at_us", "track", F.col("ends"))[1]
+
+
+def tracked_boxes(spark, sf_dir):
+    """Six tracks a camera that drift, jump at times, get lost and are analysed every fifth frame."""
+    e, u = F.col("event_id"), F.col("user_id") % 6
+    frame = F.floor(e / 8)
+    x, y = u * 60.0 + frame % 40 * 2 + F.when(frame % 90 > 70, 150.0).otherwise(0.0), F.col("user_id") % 3 * 40.0
+    state = F.when(e % 97 == 0, "new").when(frame % 31 > 22, "lost").otherwise("tracked")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("c"), (e % 2).cast("string")).alias("camera"), frame.alias("frame"), (frame / 5).alias("pts"), u.alias("track"), state.alias("state"), x.alias("x1"), y.alias("y1"), (x + 100).alias("x2"), (y + 300).alias("y2"))
+    first = F.min_by(F.struct("pts", "state", "x1", "y1", "x2", "y2"), "event_id").alias("r")
+    seen = rows.groupBy("camera", "frame", "track").agg(first).select("camera", "frame", "track", "r.*")
+    marks = seen.where("frame % 5 = 0").select("camera", "frame", "track", F.explode(F.array(F.lit("face"), F.lit("reid"))).alias("kind"))
+    return seen, marks
+
+
+@query(None)
+def st13_change_gate(spark, sf_dir):
+    """What makes a track worth another analysis: it is new, changed, back from a loss, apart from one it overlapped, or due."""
+    return ga.triggers(*tracked_boxes(spark, sf_dir), ga.Limits(interval_s=20.0))
