@@ -43,6 +43,23 @@ def touched_dates(events: DataFrame, policy: Policy) -> DataFrame:
     return dates_of(spans, policy).select("person_id", date_text("day").alias("local_date")).distinct()
 
 
+def attributed(new: DataFrame, known: DataFrame) -> DataFrame:
+    """What new events say of persons' intervals: interval_id, person_id, camera_id, start_us, end_us.
+
+    Intervals of persons count as they come; those of anonymous groups once a resolution moves them, whichever comes first: new resolutions
+    take up what is ``known``, new intervals the resolutions that are. An interval that was never moved stays nobody's."""
+    whole = "type = 'presence.interval' AND person_id IS NOT NULL AND interval_id IS NOT NULL AND end_us >= start_us"
+    columns = ["interval_id", "person_id", "camera_id", "start_us", "end_us"]
+    intervals = lambda df: df.where(whole).select(*columns)
+    anonymous = is_anonymous(F.col("person_id"))
+    moves = lambda df: df.where("type = 'identity.resolved'").select(F.col("anon_id"), F.col("person_id").alias("to"), F.explode("moved_intervals").alias("interval_id")).distinct()
+    own = F.col("person_id") == F.col("anon_id")
+    late = intervals(known).where(anonymous).join(moves(new), "interval_id").where(own)
+    early = intervals(new).where(anonymous).join(moves(known), "interval_id").where(own)
+    moved = late.unionByName(early).select("interval_id", F.col("to").alias("person_id"), "camera_id", "start_us", "end_us")
+    return intervals(new).where(~anonymous).unionByName(moved)
+
+
 def run(spark: SparkSession, source: str, folder: str, policy: Policy | None = None, allowance: DataFrame | None = None) -> None:
     """Ingests all files of ``source`` that weren't yet; with ``allowance`` (person_id, allowance_us) the same batch also brings the
     ledger below ``folder``/ledger up to date: usage, violations, notices, and which reports are dirty."""
@@ -52,8 +69,8 @@ def run(spark: SparkSession, source: str, folder: str, policy: Policy | None = N
     def batch(rows: DataFrame, n: int) -> None:
         ingest_batch(rows, n, folder, policy)
         if ledger:
-            new = spark.read.parquet(f"{folder}/bronze/batch={n}").where("type = 'presence.interval' AND person_id IS NOT NULL AND interval_id IS NOT NULL AND end_us >= start_us")
-            ledger.take(n, new.where(~is_anonymous(F.col("person_id"))).select("interval_id", "person_id", "camera_id", "start_us", "end_us"))
+            new = spark.read.parquet(f"{folder}/bronze/batch={n}")
+            ledger.take(n, attributed(new, spark.read.schema(new.schema).parquet(f"{folder}/bronze")))
 
     stream = lines(spark, source, streaming=True, files_per_batch=4)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -69,6 +69,20 @@ def test_ingestion_feeds_the_ledger(spark, log, tmp_path):
     assert {r.error for r in ingest.dead_letters(spark, out).collect()} == {"no seq", "not an event"} and ingest.dead_letters(spark, out, 1).count() == 1
 
 
+def test_resolutions_move_intervals(spark, tmp_path):
+    """Intervals of an anonymous group count for the person that it is resolved to, in whichever order they come."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    part = lambda n, a, z, who="ANON-1": line(n, "presence.interval", 70, track_uuid="t", camera_id="r1", interval_id=f"iv_{n}", person_id=who, start_at=f"2025-09-19T00:{a:02d}:00.000Z", end_at=f"2025-09-19T00:{z:02d}:00.000Z")
+    solved = line(4, "identity.resolved", 80, anon_id="ANON-1", person_id="4471", track_uuids=["t"], moved_intervals=["iv_1", "iv_5", "iv_3"])
+    for k, lines in enumerate([[part(1, 1, 5), part(2, 6, 7), part(3, 8, 9, "12")], [solved], [part(5, 20, 30)]]):
+        (folder / f"engine.{k}.ndjson").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"engine.{k}.ndjson", (1758240000 + k, 1758240000 + k))
+        ingest.run(spark, str(folder), out, Policy(grace_us=0), spark.createDataFrame([], "person_id string, allowance_us long"))
+    ledger = ingest.Ledger(spark, f"{out}/ledger", Policy(), spark.createDataFrame([], "person_id string, allowance_us long"), ids="string")
+    assert {(r.person_id, r.used_us // 60_000_000, r.visits) for r in ledger.usage().collect()} == {("4471", 14, 2), ("12", 1, 1)}
+
+
 def test_stateful_stream_equals_replay(spark, log, tmp_path):
     spark.conf.set(*presence.ROCKSDB)
     batch = ev.lifecycle(ev.parsed(ev.lines(spark, log)).where("error IS NULL AND channel = 'durable'").dropDuplicates(["outbox_id", "seq"]))
