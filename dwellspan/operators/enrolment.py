@@ -13,6 +13,10 @@ from . import vectors as vx
 from .vectors import unit
 
 
+#: What size, sharpness and frontality weigh in an image's score; below, the limits of the gates.
+WEIGHTS = (0.4, 0.35, 0.25)
+
+
 @dataclass(frozen=True)
 class Limits:
     face: float = 80.0
@@ -46,7 +50,7 @@ def score(limits: Limits = Limits()) -> Column:
     size = F.least(F.lit(1.0), F.least("width", "height") / (limits.face * 2))
     sharp = F.least(F.lit(1.0), F.col("sharpness") / (limits.sharpness * 4))
     frontal = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs("yaw") / limits.yaw), F.lit(1.0))
-    return 0.4 * size + 0.35 * sharp + 0.25 * frontal
+    return sum((w * x for w, x in zip(WEIGHTS, (size, sharp, frontal))), F.lit(0.0))
 
 
 def _best_other(a, b, sims):

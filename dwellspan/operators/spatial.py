@@ -11,6 +11,14 @@ from .matching import as_of
 from .ordered import lagged, running
 
 
+#: Weights of nearness, overlap, size and direction, an overlap that adds a bonus, and the bonus; how near to the frame's edge
+#: a box touches it; limits of a crop's height, shape and margin; limits of a box's change.
+AFFINITY, OVERLAP_BONUS = (0.45, 0.30, 0.15, 0.10), (0.15, 0.08)
+EDGE = 0.03
+CROP_HEIGHT, CROP_ASPECT, CROP_MARGIN = 96, (0.15, 1.0), 2
+CHANGE = (0.5, 0.25, 0.25)
+
+
 def box(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
 
@@ -39,11 +47,12 @@ def affinity(a, b, direction: Column | None = None) -> Column:
     """How well a detection continues a track, at most 1."""
     overlap = iou(a, b)
     near = F.greatest(F.lit(0.0), 1 - centre_distance(a, b))
-    score = 0.45 * near + 0.30 * overlap + 0.15 * size_similarity(a, b) + 0.10 * (F.lit(0.5) if direction is None else direction)
-    return F.least(F.lit(1.0), score + F.when(overlap >= 0.15, 0.08).otherwise(0.0))
+    parts = (near, overlap, size_similarity(a, b), F.lit(0.5) if direction is None else direction)
+    score = sum((w * p for w, p in zip(AFFINITY, parts)), F.lit(0.0))
+    return F.least(F.lit(1.0), score + F.when(overlap >= OVERLAP_BONUS[0], OVERLAP_BONUS[1]).otherwise(0.0))
 
 
-def zone(b, door, edge: float = 0.03) -> Column:
+def zone(b, door, edge: float = EDGE) -> Column:
     """'door' if the centre lies in the door rectangle, 'frame_edge' if an edge is near the frame's, else 'interior'."""
     x, y = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
     inside = x.between(door[0], door[2]) & y.between(door[1], door[3])
@@ -51,7 +60,7 @@ def zone(b, door, edge: float = 0.03) -> Column:
     return F.when(F.coalesce(inside, F.lit(False)), "door").when(near, "frame_edge").otherwise("interior")
 
 
-def crop_quality(b, width, height, least_height: int = 96, aspect: tuple[float, float] = (0.15, 1.0), margin: int = 2) -> Column:
+def crop_quality(b, width, height, least_height: int = CROP_HEIGHT, aspect: tuple[float, float] = CROP_ASPECT, margin: int = CROP_MARGIN) -> Column:
     """The first reason that holds: empty, too_small, aspect, truncated, else ok (pixels; halves round to even)."""
     x1, y1 = F.greatest(F.lit(0.0), F.bround(b[0])), F.greatest(F.lit(0.0), F.bround(b[1]))
     x2, y2 = F.least(F.lit(float(width)), F.bround(b[2])), F.least(F.lit(float(height)), F.bround(b[3]))
@@ -65,13 +74,14 @@ def crop_quality(b, width, height, least_height: int = 96, aspect: tuple[float,
     )
 
 
-def change_score(now, ref, limits: tuple[float, float, float] = (0.5, 0.25, 0.25)) -> Column:
-    """The largest of displacement by height, scale and aspect change, each by its limit; 1 or more is a change."""
+def change_score(now, ref, limits: tuple[float, float, float] = CHANGE) -> Column:
+    """The largest of displacement by height, scale and aspect change, each by its limit; 1 or more is a change. Scale and aspect count
+    as logarithms, so their limits are shares: a quarter more is one change, whichever way it goes."""
     width, height = (lambda b: b[2] - b[0]), (lambda b: b[3] - b[1])
-    move = centre_distance(now, ref) / height(ref)
+    move = centre_distance(now, ref) / F.greatest(height(ref), F.lit(1e-6))
     scale = F.abs(F.log(height(now) / height(ref)))
     shape = F.abs(F.log(width(now) / height(now) / (width(ref) / height(ref))))
-    return F.greatest(move / limits[0], scale / limits[1], shape / limits[2])
+    return F.greatest(move / limits[0], scale / math.log1p(limits[1]), shape / math.log1p(limits[2]))
 
 
 def _overlap(a, b) -> float:

@@ -77,7 +77,7 @@ def p13_crop_quality(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOXES}, s AS (SELECT p.vec_id AS a, q.vec_id AS b, round(greatest({DIST} / (q.y2 - q.y1) / 0.5, abs(ln((p.y2 - p.y1) / (q.y2 - q.y1))) / 0.25, abs(ln((p.x2 - p.x1) / (p.y2 - p.y1) / ((q.x2 - q.x1) / (q.y2 - q.y1)))) / 0.25), 5) AS score FROM bx p JOIN bx q ON p.frame = q.frame AND p.vec_id < q.vec_id) SELECT a, b, score, score >= 1 AS changed FROM s"""
+    f"""WITH {BOXES}, s AS (SELECT p.vec_id AS a, q.vec_id AS b, round(greatest({DIST} / (q.y2 - q.y1) / 0.5, abs(ln((p.y2 - p.y1) / (q.y2 - q.y1))) / ln(1.25), abs(ln((p.x2 - p.x1) / (p.y2 - p.y1) / ((q.x2 - q.x1) / (q.y2 - q.y1)))) / ln(1.25)), 5) AS score FROM bx p JOIN bx q ON p.frame = q.frame AND p.vec_id < q.vec_id) SELECT a, b, score, score >= 1 AS changed FROM s"""
 )
 def p26_change_score(spark, sf_dir):
     rows = frame_pairs(spark, sf_dir).withColumn("score", F.round(sp.change_score(sp.box("p_"), sp.box("q_")), 5))
