@@ -42,15 +42,15 @@ _tables = itertools.count(1)
 COLLECT_EVERY = 3  # tables
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, collect: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    After every few tables the driver's JVM is asked to collect garbage: Spark drops the shuffle files of ended
+    After every few tables (``collect``: after this one) the driver's JVM is asked to collect garbage: Spark drops the shuffle files of ended
     jobs on the executors only once their handles are collected, and the driver's heap doesn't grow meanwhile."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    if next(_tables) % COLLECT_EVERY == 0:
+    if next(_tables) % COLLECT_EVERY == 0 or collect:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHasher, mixed, ranges, text_bytes, text_digests, text_slices, written
+from .shared import SpanHasher, mixed, ranges, released, text_bytes, text_digests, text_slices, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def text_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, digest, copy: whether a smaller doc_id has the same text."""
     rows = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    return written(rows, "digests")
+    return written(rows, "digests", collect=True)
 
 
 ENTRY = np.dtype([("hash", "<u4"), ("texts", "<u4"), ("doc", "<i8"), ("text", "<u8"), ("lo", "<u4"), ("n", "u1")])
@@ -401,15 +401,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not unclear.isEmpty():
         known, usable = (x.join(unclear, "doc_id", "left_anti") for x in (known, usable))
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = written(known.join(classes, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
-    blobs = usable.mapInArrow(_entries(n_blocks), "block long, asks boolean, blob binary")
+    copies = written(known.join(classes, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies", collect=True)
+    blobs = usable.mapInArrow(released(_entries(n_blocks)), "block long, asks boolean, blob binary")
     shared = blobs.groupBy("block").applyInPandas(_shared, SHARED)
     # One row per document, and the hot keys in rows of their own: all of one shuffle.
     key_row = F.col("n") == 0
     shared = shared.withColumn("is_key", key_row).withColumn("doc_id", F.when(key_row, F.pmod("key", F.lit(1024))).otherwise(F.col("doc_id")))
     shared = shared.join(copies.select("doc_id", F.lit(False).alias("is_key")).distinct(), ["doc_id", "is_key"], "left_anti")
     spot = F.struct(F.col("lo").cast("int").alias("lo"), "n", "key", "hot")
-    grouped = written(shared.groupBy("doc_id", "is_key").agg(F.collect_list(spot).alias("spots")), "spots")
+    grouped = written(shared.groupBy("doc_id", "is_key").agg(F.collect_list(spot).alias("spots")), "spots", collect=True)
     hot = [r.key for r in grouped.where("is_key").select(F.explode("spots").alias("s")).select("s.key").distinct().limit(HOT_KEYS + 1).collect()]
     spots = grouped.where("NOT is_key").select("doc_id", "spots")
     if len(hot) > HOT_KEYS:  # too many to name in the plan: mark them by a join
@@ -419,16 +419,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         spots, hot = each.groupBy("doc_id").agg(F.collect_list(marked).alias("spots")), []
     named = texts.where("doc_id IS NOT NULL")
     with_spots = named.join(spots, "doc_id").select("doc_id", "text", "spots")
-    contexts = with_spots.mapInArrow(_contexts(n_places, hot), CONTEXTS)
+    contexts = with_spots.mapInArrow(released(_contexts(n_places, hot)), CONTEXTS)
     place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_places)) + n_places).otherwise(F.col("block"))
     gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(_settled, REMOVED)
     gone = gone.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     copy = F.coalesce(F.array_contains("copied", F.unhex(F.sha2("text", 256))), F.lit(False)).alias("copy")
     whole = named.join(gone, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", copy, "spans")
-    out = whole.mapInArrow(_cut, RESULT)
+    out = whole.mapInArrow(released(_cut), RESULT)
     nameless = texts.where("doc_id IS NULL").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(whole.schema["spans"].dataType).alias("spans"))
-    return out.unionByName(nameless.mapInArrow(_cut, RESULT))
+    return out.unionByName(nameless.mapInArrow(released(_cut), RESULT))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
