@@ -48,14 +48,18 @@ def complement(merged: DataFrame, key: list[str], low: int, high: int) -> DataFr
     return inner.unionByName(last).where("end_us > start_us")
 
 
+def clipped(wanted: DataFrame, covering: DataFrame, key: list[str]) -> DataFrame:
+    """Per wanted interval (with an id in ``key``) the parts c_start, c_end of the key's non-empty covering intervals within it."""
+    c = covering.select(*key, F.col("start_us").alias("c_start"), F.col("end_us").alias("c_end"))
+    hit = overlap_join(wanted, c.where("c_end > c_start"), key, ("start_us", "end_us"), ("c_start", "c_end")).where("c_start < end_us AND c_end > start_us")
+    return hit.select(*key, "start_us", "end_us", F.greatest("c_start", "start_us").alias("c_start"), F.least("c_end", "end_us").alias("c_end"))
+
+
 def uncovered(wanted: DataFrame, covering: DataFrame, key: list[str]) -> DataFrame:
     """Per wanted interval (with an id in ``key``) what no covering interval of the key overlaps: the
     covering rows are clipped to it, merged, and the gaps between them are returned."""
-    c = covering.select(*key, F.col("start_us").alias("c_start"), F.col("end_us").alias("c_end"))
-    hit = overlap_join(wanted, c.where("c_end > c_start"), key, ("start_us", "end_us"), ("c_start", "c_end")).where("c_start < end_us AND c_end > start_us")
     span = [*key, "start_us", "end_us"]
-    part = hit.select(*span, F.greatest("c_start", "start_us").alias("c_start"), F.least("c_end", "end_us").alias("c_end"))
-    part = part.unionByName(wanted.select(*span, F.col("end_us").alias("c_start"), F.col("end_us").alias("c_end")))
+    part = clipped(wanted, covering, key).unionByName(wanted.select(*span, F.col("end_us").alias("c_start"), F.col("end_us").alias("c_end")))
     w = W.partitionBy(*span).orderBy("c_start", "c_end").rowsBetween(W.unboundedPreceding, -1)
     gaps = part.withColumn("gap_start", F.coalesce(F.max("c_end").over(w), "start_us")).where("c_start > gap_start")
     return gaps.select(*span, "gap_start", F.col("c_start").alias("gap_end"))
