@@ -4,9 +4,12 @@ Everything partitions on the caller's key first, so the operators of one plan sh
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .matching import overlap_join
 from .ordered import running
@@ -88,38 +91,113 @@ def open_close(df: DataFrame, key: list[str], opens: Column, closes: Column, ord
     return marked.withColumn("until", F.lead(order[0]).over(w)).where("__kind = 1").drop("__kind", "__before")
 
 
+class FirstFit:
+    """Open chains of one label, by order of opening; rows must come by start. A chain takes a segment that begins at or after its end
+    and at most the window later; of several the one opened first does. Two heaps: chains still busy by end, free ones by age."""
+
+    def __init__(self, window_us: int):
+        self.window_us, self.opened, self.busy, self.free = window_us, 0, [], []
+
+    def place(self, segment_id, start_us, end_us) -> tuple[list, bool]:
+        """The segment's chain ([first segment, start, end, segments]) and whether it is a new one."""
+        if start_us is None:
+            return [segment_id, start_us, end_us, 1], True
+        while self.busy and self.busy[0][0] <= start_us:
+            _, age, chain = heappop(self.busy)
+            heappush(self.free, (age, chain))
+        while self.free and start_us - self.free[0][1][2] > self.window_us:
+            heappop(self.free)  # closed for good, as starts only rise
+        new = not self.free
+        if new:
+            self.opened += 1
+            age, chain = self.opened, [segment_id, start_us, end_us, 1]
+        else:
+            age, chain = heappop(self.free)
+            chain[2] = chain[2] if end_us is None else max(chain[2], end_us)
+            chain[3] += 1
+        if chain[2] is not None:
+            heappush(self.busy, (chain[2], age, chain))
+        return chain, new
+
+
+def _by_label(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    """Segments with a label, dealt by group and label and in order within each: one pass over a task's rows meets labels one by one."""
+    keys = list(dict.fromkeys([*group, "label"]))
+    return df.where("label IS NOT NULL").repartition(*keys).sortWithinPartitions(*keys, "start_us", "segment_id"), keys
+
+
+def _labels(batches, keys: list[str]):
+    """Per Arrow batch: its columns as lists, and the label that each row belongs to."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns)))
+        yield columns, list(zip(*(columns[k] for k in keys)))
+
+
 def stitch_plan(df: DataFrame, group: list[str], window_us: int):
     """Greedy stitching of segments to the first open chain of the same label, in order of start.
 
     Overlapping segments open parallel chains, so which chain takes a segment depends on earlier choices: a
-    sequential rule. Chains hold one label, and a start more than the window after all ends so far finds none
-    open, so it is replayed within a label's sessions. Without a label a segment is its own chain.
+    sequential rule. Chains hold one label, so a task replays its labels one after the other as their rows come, and keeps the
+    chains of one. Without a label a segment is its own chain.
     ``df``: group, segment_id, label, start_us, end_us."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*group).dtypes) + ", segment_id long, chain_id long"
-
-    def replay(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["start_us", "segment_id"], kind="stable")
-        open_, out = [], []  # chains: [first segment, end]
-        for row in frame.itertuples(index=False):
-            open_ = [c for c in open_ if row.start_us - c[1] <= window_us]
-            chain = next((c for c in open_ if row.start_us >= c[1]), None)
-            if chain is None:
-                chain = [row.segment_id, row.end_us]
-                open_.append(chain)
-            else:
-                chain[1] = max(chain[1], row.end_us)
-            out.append((*(getattr(row, g) for g in group), row.segment_id, chain[0]))
-        return pd.DataFrame(out, columns=[*group, "segment_id", "chain_id"])
-
     rows = df.select(*group, F.col("segment_id").cast("long").alias("segment_id"), "label", "start_us", "end_us")
-    keys = list(dict.fromkeys([*group, "label"]))
-    sessions = chained(rows.where("label IS NOT NULL"), keys, window_us, ["segment_id"])
-    chains = sessions.groupBy(*keys, "island").applyInPandas(replay, schema)
+    schema = rows.select(*group, "segment_id", F.col("segment_id").alias("chain_id")).schema
+    dealt, keys = _by_label(rows, group)
+
+    def replay(batches):
+        import pyarrow as pa
+
+        label = chains = None
+        for c, labels in _labels(batches, keys):
+            firsts = []
+            for at, segment, start, end in zip(labels, c["segment_id"], c["start_us"], c["end_us"]):
+                if at != label:
+                    label, chains = at, FirstFit(window_us)
+                firsts.append(chains.place(segment, start, end)[0][0])
+            yield pa.RecordBatch.from_pydict({**{g: c[g] for g in group}, "segment_id": c["segment_id"], "chain_id": firsts}, schema=out)
+
+    out = to_arrow_schema(schema)
+    chains = dealt.mapInArrow(replay, schema)
     return chains.unionByName(rows.where("label IS NULL").select(*group, "segment_id", F.col("segment_id").alias("chain_id")))
 
 
+def chains(df: DataFrame, group: list[str], windows_us: list[int]) -> DataFrame:
+    """The chains of ``stitch_plan`` for several windows in one pass: group, window_us, start_us, end_us, segments."""
+    rows = df.select(*group, F.col("segment_id").cast("long").alias("segment_id"), "label", F.col("start_us").cast("long").alias("start_us"), F.col("end_us").cast("long").alias("end_us"))
+    columns = ["window_us", "start_us", "end_us", "segments"]
+    alone = rows.where("label IS NULL").select(*group, F.explode(F.array(*[F.lit(w).cast("long") for w in windows_us])).alias("window_us"), "start_us", "end_us", F.lit(1).cast("long").alias("segments"))
+    dealt, keys = _by_label(rows, group)
+    schema, out = alone.schema, to_arrow_schema(alone.schema)
+
+    def replay(batches):
+        import pyarrow as pa
+
+        label, fits, kept = None, [], []  # kept: the label's chains with their window
+
+        def batch(rows):
+            return pa.RecordBatch.from_pydict(dict(zip([*group, *columns], map(list, zip(*rows)))), schema=out)
+
+        done = []
+        for c, labels in _labels(batches, keys):
+            places = zip(*(c[g] for g in group))
+            for at, place, segment, start, end in zip(labels, places, c["segment_id"], c["start_us"], c["end_us"]):
+                if at != label:
+                    done += [(*p, w, *chain[1:]) for p, w, chain in kept]
+                    label, fits, kept = at, [(w, FirstFit(w)) for w in windows_us], []
+                    if len(done) > 1 << 15:
+                        yield batch(done)
+                        done = []
+                for w, fit in fits:
+                    chain, new = fit.place(segment, start, end)
+                    if new:
+                        kept.append((place, w, chain))
+        done += [(*p, w, *chain[1:]) for p, w, chain in kept]
+        if done:
+            yield batch(done)
+
+    return dealt.mapInArrow(replay, schema).unionByName(alone)
+
+
 #: How far a track may reappear, in frame widths, and how much its size may change.
 NEAR, ALIKE = 0.08, 0.6
 

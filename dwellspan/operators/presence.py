@@ -96,13 +96,9 @@ def chain_lifetimes(tracks: DataFrame, key: list[str], person: str, windows_us:
     """Per key and window the chains that stitching leaves, their tracks on average and the distribution of their lifetimes.
 
     ``tracks``: key, segment_id, person, start_us, end_us."""
-    out = None
-    for w in windows_us:
-        rows = tracks.select(*key, F.col("segment_id"), F.col(person).alias("label"), "start_us", "end_us")
-        chains = rows.join(iv.stitch_plan(rows, key, w), [*key, "segment_id"]).groupBy(*key, "chain_id").agg(((F.max("end_us") - F.min("start_us")) / 1e6).alias("s"), F.count(F.lit(1)).alias("segments"))
-        each = chains.groupBy(*key).agg(F.round(F.avg("segments"), 3).alias("segments"), *distribution("s")).withColumn("window_us", F.lit(w).cast("long"))
-        out = each if out is None else out.unionByName(each)
-    return out
+    rows = tracks.select(*key, "segment_id", F.col(person).alias("label"), "start_us", "end_us")
+    chains = iv.chains(rows, key, windows_us).withColumn("s", (F.col("end_us") - F.col("start_us")) / 1e6)
+    return chains.groupBy(*key, "window_us").agg(F.round(F.avg("segments"), 3).alias("segments"), *distribution("s")).select(*key, "segments", "n", "mean", "p10", "p50", "p90", "least", "most", "window_us")
 
 
 def removed(frames: DataFrame, key: list[str], frame: str, track: str) -> DataFrame:
