@@ -53,6 +53,22 @@ def reaching(df: DataFrame, key: list[str], at: str, reach: int) -> tuple[DataFr
     return rows, W.partitionBy(*key, "__bucket").orderBy(at).rangeBetween(-reach, 0)
 
 
+def within(df: DataFrame, key: list[str], at: str, reach: int, values: dict[str, tuple]) -> DataFrame:
+    """``df`` with, by name, a function (min, max or count) of a column over the key's rows from ``reach`` before a row up to its peers.
+
+    Rows fall into buckets that long, each also into the next one. A row's window is the end of the bucket before and the beginning of
+    its own, so two running windows meet in it and no row looks at all the rows in its reach."""
+    here = F.floor(F.col(at) / reach)
+    rows = df.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__bucket", here + F.when(F.col("__own"), 0).otherwise(1))
+    rows = rows.withColumn("__from", F.when(F.col("__own"), F.col(at) - reach).otherwise(F.col(at)))
+    upto = W.partitionBy(*key, "__bucket").orderBy(at).rangeBetween(W.unboundedPreceding, 0)
+    since = W.partitionBy(*key, "__bucket").orderBy(F.desc("__from"), "__own").rowsBetween(W.unboundedPreceding, 0)
+    own = rows.select("*", *[how(F.when(F.col("__own"), c)).over(upto).alias(f"__o_{n}") for n, (how, c) in values.items()])
+    both = own.select("*", *[how(F.when(~F.col("__own"), c)).over(since).alias(f"__b_{n}") for n, (how, c) in values.items()]).where("__own")
+    met = {F.max: F.greatest, F.min: F.least, F.count: lambda a, b: a + b}
+    return both.select(*df.columns, *[met[how](F.col(f"__o_{n}"), F.col(f"__b_{n}")).alias(n) for n, (how, _) in values.items()])
+
+
 def trailing(df: DataFrame, key: list[str], order: list[str], bucket: Column, last: int, width: int = 1 << 12) -> tuple[DataFrame, object]:
     """The same for windows over the last ``last`` rows: rows are numbered and fall into stretches of ``width``."""
     rows = numbered(df, key, order, bucket, "__number")
