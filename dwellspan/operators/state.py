@@ -11,6 +11,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .intervals import islands, open_close
 from .ordered import lagged, running
@@ -89,20 +91,42 @@ def _lives(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.where(~F.coalesce(failed, F.lit(False))).join(ends, ["camera_id", "life"], "left"), ["camera_id", "life", *alone]
 
 
+def _in_turn(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
+    """``step(events)`` for each value of ``keys``, its events (dicts) in order of seq. A task's rows are sorted by key and pass
+    one by one, so many short lives cost what their rows cost."""
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        import itertools
+
+        import pyarrow as pa
+
+        events, done = (e for batch in batches for e in batch.to_pylist()), []
+        for _, mine in itertools.groupby(events, key=lambda e: tuple(e[k] for k in keys)):
+            done += step(mine)
+            if len(done) > 1 << 14:
+                yield pa.RecordBatch.from_pylist(done, schema=out)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
+
+
 def open_tracks(df: DataFrame) -> DataFrame:
     """What is open at the end of each camera's log. ``df``: camera_id, seq and an event's fields. Only what
     follows a camera's last failure is replayed."""
 
-    def replay(frame):
-        import pandas as pd
-
+    def replay(events):
         open_: dict[str, Track] = {}
-        for event in in_order(frame):
+        camera = None
+        for event in events:
+            camera = event["camera_id"]
             advance(open_, event)
-        return pd.DataFrame([{"camera_id": frame["camera_id"].iloc[0], **asdict(t)} for t in open_.values()], columns=["camera_id", "track_uuid", "person_id", "start_us", "last_us"])
+        return [{"camera_id": camera, **asdict(t)} for t in open_.values()]
 
     rows, keys = _lives(df)
-    return rows.where("failed_seq IS NULL").groupBy(*keys).applyInPandas(replay, "camera_id string, track_uuid string, person_id string, start_us long, last_us long")
+    return _in_turn(rows.where("failed_seq IS NULL"), keys, replay, "camera_id string, track_uuid string, person_id string, start_us long, last_us long")
 
 
 def assembled(df: DataFrame) -> DataFrame:
@@ -112,25 +136,29 @@ def assembled(df: DataFrame) -> DataFrame:
     replay runs within a camera's lives; numbers and previous intervals come from windows over what it closed."""
     stitch_us = 5_000_000
 
-    def replay(frame):
-        import pandas as pd
+    def replay(events):
+        open_, rows, opened, last = {}, [], {}, None
 
-        camera, open_, rows, opened = frame["camera_id"].iloc[0], {}, [], {}
-        events, end = in_order(frame), frame[["failed_seq", "failed_us"]].iloc[0]
-        if not pd.isna(end.failed_seq):
-            events.append({"type": "camera.failed", "seq": int(end.failed_seq), "at_us": int(end.failed_us)})
-        for event in events:
+        def follow(event, camera):
             closed = advance(open_, event)
-            for uuid in open_:
-                opened.setdefault(uuid, event["seq"])
+            for uuid in open_.keys() - opened.keys():
+                opened[uuid] = event["seq"]
             for uuid, track in closed.items():
                 born = opened.pop(uuid, event["seq"])
                 if track.person_id is not None:
-                    rows.append((camera, event["seq"], born, track.track_uuid, track.person_id, track.start_us, event["at_us"], event["type"] == "camera.failed"))
-        return pd.DataFrame(rows, columns=["camera_id", "closed_seq", "opened_seq", "track_uuid", "person_id", "start_us", "end_us", "forced"])
+                    values = (camera, event["seq"], born, track.track_uuid, track.person_id, track.start_us, event["at_us"], event["type"] == "camera.failed")
+                    rows.append(dict(zip(columns, values)))
+
+        for last in events:
+            follow(last, last["camera_id"])
+        if last["failed_seq"] is not None:
+            follow({"type": "camera.failed", "seq": last["failed_seq"], "at_us": last["failed_us"]}, last["camera_id"])
+        return rows
 
+    schema = "camera_id string, closed_seq long, opened_seq long, track_uuid string, person_id string, start_us long, end_us long, forced boolean"
+    columns = [c.split()[0] for c in schema.split(", ")]
     rows, keys = _lives(df)
-    closed = rows.groupBy(*keys).applyInPandas(replay, "camera_id string, closed_seq long, opened_seq long, track_uuid string, person_id string, start_us long, end_us long, forced boolean")
+    closed = _in_turn(rows, keys, replay, schema)
     order = ["closed_seq", "opened_seq", "track_uuid"]
     number = F.row_number().over(W.partitionBy("camera_id").orderBy(*order))
     named = closed.withColumn("interval_id", F.format_string("iv_%s-%04d", "camera_id", number))
