@@ -266,18 +266,11 @@ def v9_gallery_ranking(spark, sf_dir):
 
 def _triangle(a, b, sims):
     """Count, sum, least and highest similarity of the block's pairs of different ids, once a pair, by persons."""
-    left, i = np.unique(a["label"].to_numpy(), return_inverse=True)
-    right, j = np.unique(b["person"].to_numpy(), return_inverse=True)
     once = a["vec_id"].to_numpy()[:, None] < b["ref_id"].to_numpy()[None, :]
-
-    def folded(pick, values, start):  # by persons: rows of the matrix first, then its columns
-        rows, out = np.full((len(left), values.shape[1]), start, values.dtype), np.full((len(left), len(right)), start, values.dtype)
-        pick.at(rows, i, values)
-        pick.at(out.T, j, rows.T)
-        return out
-
-    n, total = folded(np.add, once.astype(np.int64), 0), folded(np.add, np.where(once, sims, 0.0), 0.0)
-    low, high = folded(np.minimum, np.where(once, sims, np.inf), np.inf), folded(np.maximum, np.where(once, sims, -np.inf), -np.inf)
+    fold = lambda pick, values: vx.folded(pick, values, a["label"].to_numpy(), b["person"].to_numpy())
+    left, right, n = fold(np.add, once.astype(np.int64))
+    total = fold(np.add, np.where(once, sims, 0.0))[2]
+    low, high = fold(np.minimum, np.where(once, sims, np.inf))[2], fold(np.maximum, np.where(once, sims, -np.inf))[2]
     x, y = np.nonzero(n)
     one, two = left[x], right[y]
     return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "n": n[x, y], "total": total[x, y], "low": low[x, y], "high": high[x, y]})
