@@ -61,14 +61,30 @@ def released(run):
 
     def lean(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-        if trim:
-            trim(0)
+        _given_back()
 
     return lean
 
 
+def released_groups(of_group):
+    """The same for applyInPandas: after each group."""
+
+    def lean(group):
+        out = of_group(group)
+        del group
+        _given_back()
+        return out
+
+    return lean
+
+
+def _given_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHasher, mixed, ranges, released, text_bytes, text_digests, text_slices, written
+from .shared import SpanHasher, mixed, ranges, released, released_groups, text_bytes, text_digests, text_slices, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -46,6 +46,7 @@ SHARD = 1 << 20  # bytes of a shard, unless one anchor's contexts have more
 BLOCK_BYTES = 16 << 20  # text bytes for each range of anchors
 CONTEXT_BYTES = 6 << 20  # text bytes for each range of contexts
 SLICE = 3 << 19
+STRETCH = 3 << 18  # bytes of contexts that are hashed at a time where they meet
 FLUSH = 600_000  # anchors that a task gathers before it deals them out
 CONTEXT_FLUSH = 12 << 20  # bytes of contexts that a task gathers before it deals them out
 
@@ -282,6 +283,16 @@ def _new_content(data: np.ndarray, key: np.ndarray, content: np.ndarray, start:
     return new
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that lie one behind the other, in stretches: a hasher takes 24 bytes for each byte, and as many while it is made."""
+    cuts = np.append(np.flatnonzero(np.diff(start // STRETCH, prepend=-1)), len(start)).tolist()
+    out = np.empty(len(start), np.uint64)
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        low = start[a]
+        out[a:z] = SpanHasher(data[low : start[z - 1] + size[z - 1]])(start[a:z] - low, start[a:z] - low + size[a:z])
+    return out
+
+
 def _rows(blocks, texts, ns, docs, los, keys, removed) -> pa.RecordBatch:
     raw = [pa.array([x.astype(t).tobytes() for x in column], pa.binary()) for column, t in ((ns, "u1"), (docs, "<i8"), (los, "<u4"), (keys, "<i8"))]
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(texts, pa.binary()), *raw, pa.array(removed)], ["block", "texts", "ends", "docs", "los", "keys", "removed"])
@@ -299,7 +310,7 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
     data = np.frombuffer(b"".join(map(zstandard.decompress, group["texts"])), np.uint8)
     size = n + LENGTH - 1
     start = np.cumsum(size) - size
-    content = SpanHasher(data)(start, start + size)
+    content = _hashes(data, start, size)
     order = np.lexsort((lo, doc, content, key))
     n, doc, lo, key, start, size, content = (x[order] for x in (n, doc, lo, key, start, size, content))
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
@@ -403,7 +414,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = written(known.join(classes, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies", collect=True)
     blobs = usable.mapInArrow(released(_entries(n_blocks)), "block long, asks boolean, blob binary")
-    shared = blobs.groupBy("block").applyInPandas(_shared, SHARED)
+    shared = blobs.groupBy("block").applyInPandas(released_groups(_shared), SHARED)
     # One row per document, and the hot keys in rows of their own: all of one shuffle.
     key_row = F.col("n") == 0
     shared = shared.withColumn("is_key", key_row).withColumn("doc_id", F.when(key_row, F.pmod("key", F.lit(1024))).otherwise(F.col("doc_id")))
@@ -421,7 +432,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with_spots = named.join(spots, "doc_id").select("doc_id", "text", "spots")
     contexts = with_spots.mapInArrow(released(_contexts(n_places, hot)), CONTEXTS)
     place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_places)) + n_places).otherwise(F.col("block"))
-    gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(_settled, REMOVED)
+    gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(released_groups(_settled), REMOVED)
     gone = gone.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     copy = F.coalesce(F.array_contains("copied", F.unhex(F.sha2("text", 256))), F.lit(False)).alias("copy")

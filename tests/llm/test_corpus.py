@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from dwellspan.llm import exact_dedup, mixing, near_dedup, substring_dedup, suffixes, toxicity
+from dwellspan.llm import exact_dedup, mixing, near_dedup, shared, substring_dedup, suffixes, toxicity
 
 from .conftest import ODD_TEXTS, thue_morse
 
@@ -89,6 +91,20 @@ def test_op4_deals_out_what_slices_keep():
     assert max(places.count(b) for b in range(n)) <= 16
 
 
+def test_op4_settles_a_group_in_little_memory():
+    """Contexts that meet are hashed in stretches: 240 MB before, 123 MB since."""
+    rng = np.random.default_rng(8)
+    n, key, doc = rng.integers(1, substring_dedup.SPAN + 1, 90_000), rng.integers(0, 45_000, 90_000), rng.integers(0, 4000, 90_000)
+    text = rng.integers(97, 100, int((n + substring_dedup.LENGTH - 1).sum()), np.uint8).tobytes()
+    part = substring_dedup._rows([0], [zstandard.compress(text, 1)], [n], [doc], [np.arange(90_000)], [key], [False]).to_pandas()
+    shared._powers.cache_clear()
+    tracemalloc.start()
+    substring_dedup._settled(part)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 180e6
+
+
 def test_op4_odd_rows(spark, corpus):
     assert substring_dedup.op4_suffix_dedup(spark, corpus([])).count() == 0
     rows = [*ODD_TEXTS, (11, "x" * 500)]
