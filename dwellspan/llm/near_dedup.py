@@ -398,7 +398,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     label = components(links)
     # Second round: likely pairs across components.
     known = label.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    labelled = written(blocks.where("size > 2").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    # Dense nodes with the same smallest id, of several trees or branches, hold much the same documents: here they are one, so
+    # that a pair meets once and not in each of them.
+    merged = leaves.where("dense").join(least, "node").select(F.col("u").alias("node"), "doc_id").distinct()
+    merged = merged.join(merged.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node").select("node", "doc_id", "size", F.lit(True).alias("dense")).withColumn("block", block)
+    groups = blocks.where("size > 2 AND NOT dense").unionByName(merged)
+    labelled = written(groups.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     # Of a dense node, what is apart from its smallest id's component meets every other sub-block: these visitors, too,
     # come in blocks, so a group holds two blocks whatever the node's size.
     dense = labelled.where("dense")

@@ -271,6 +271,23 @@ def test_op10_odd_rows(spark, corpus):
     assert near_dedup.op10_near_dedup(spark, corpus([])).count() == 0
 
 
+def test_op10_dense_nodes_meet_once(spark, corpus, monkeypatch):
+    """Dense nodes that hold much the same documents are compared as one."""
+    tables, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, *more: tables.setdefault(name, []).append(written(df, name, *more)) or tables[name][-1])
+    dice, rows = random.Random(4), []
+    for d in range(100):
+        words = [f"w{k}" for k in range(60)]
+        for k in dice.sample(range(60), 2):
+            words[k] = f"x{dice.randrange(10**6)}"
+        rows.append((d, " ".join(words)))
+    got = near_dedup.op10_near_dedup(spark, corpus(rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == plain_near(rows, 4)
+    dense = tables["leaves"][0].where("dense").groupBy("node").count().count()
+    assert dense > 3 and tables["members"][0].count() <= 9000
+
+
 def test_op10_repeated_ids(spark, corpus):
     """Texts of one id are one document, in any order of rows."""
     x, y, z = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyz")
