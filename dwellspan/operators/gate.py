@@ -7,7 +7,6 @@ A track is taken to be in every frame while it lives; one that wasn't seen for l
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import lagged
+from .ordered import lagged, running
 
 KINDS = ("face", "reid")
 TRIGGERS = "camera string, track long, frame long, pts double, kind string, reason string, credits long"
@@ -80,22 +79,24 @@ class _Track:
 
 
 def _replay(limits: Limits):
+    """Rows of tracks, each track's in order, in batches: a task holds one batch and one track's state, however long the track."""
     burst = {"face": limits.face, "reid": limits.reid}
     forget = max(30.0, 2 * limits.lost_s)
 
-    def run(frame):
+    def run(frames):
         import pandas as pd
 
-        out, t = [], None
+        out, t, life = [], None, None
 
         def grant(kind, reason, credits):
             if credits > 0:
                 t.credits[kind] = max(t.credits[kind], credits)
-                out.append((row.camera, row.track, row.frame, row.pts, kind, reason, t.credits[kind]))
+                out.append((row.camera, int(row.key) if row.key else None, row.frame, row.pts, kind, reason, t.credits[kind]))
 
-        ordered = frame.sort_values(["frame", "part"], kind="stable").itertuples(index=False)
-        for _, rows in itertools.groupby(ordered, key=lambda r: r.frame):
-            for row in rows:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if (row.camera, row.key, row.life) != life:
+                    t, life = None, (row.camera, row.key, row.life)
                 if row.part == 0:
                     if t is None or row.state == "new" or (row.before is not None and row.before - t.seen > forget):
                         t = _Track()
@@ -130,7 +131,8 @@ def _replay(limits: Limits):
                 else:
                     t.credits[row.kind] = max(0, t.credits[row.kind] - 1)
                     t.ref[row.kind], t.over[row.kind], t.last[row.kind] = t.box, 0, row.pts
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRIGGERS.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRIGGERS.split(", ")])
+            out.clear()
 
     return run
 
@@ -148,4 +150,9 @@ def triggers(seen: DataFrame, marks: DataFrame, limits: Limits = Limits()) -> Da
     own = once.drop("pts").join(frames, ["camera", "frame"])
     rows = shape(own, 0, "state", "x1", "y1", "x2", "y2").unionByName(shape(own, 2))
     rows = rows.unionByName(shape(short_overlaps(once, limits).join(frames, ["camera", "frame"]), 1)).unionByName(shape(marks.join(frames, ["camera", "frame"]), 3, "kind"))
-    return rows.groupBy("camera", "track").applyInPandas(_replay(limits), TRIGGERS)
+    # A new track forgets what was before, so each beginning starts a life of its own, wherever that is replayed.
+    begins = F.when((F.col("part") == 0) & (F.col("state") == "new"), 1).otherwise(0).cast("long")
+    rows = rows.withColumn("key", F.coalesce(F.col("track").cast("string"), F.lit(""))).drop("track")
+    rows = running(rows, ["camera", "key"], ["frame", "part"], begins, F.floor(F.col("frame") / 4096), "life")
+    life = ["camera", "key", "life"]
+    return rows.repartition(*life).sortWithinPartitions(*life, "frame", "part", "kind").mapInPandas(_replay(limits), TRIGGERS)
