@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dwellspan.functions.text import json_keys
 from dwellspan.sources.events import CONTROL_TYPES, channel
+from dwellspan.sources.tables import scratch
 
 from .matching import as_of
 from .ordered import lagged, running
@@ -41,6 +42,12 @@ def _stretch():
     return F.floor(F.col("line") / STRETCH)
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -167,12 +174,16 @@ def snapshot_rules(m: DataFrame) -> DataFrame:
 
 
 def policy_rules(m: DataFrame) -> DataFrame:
-    keys = json_keys(m.where("channel = 'events'"), ["stream", "line"], "payload")
+    # A key stands in the text as it is, or with escapes: texts with neither such a word nor a backslash have no such key.
+    texts = m.where(F.col("payload").rlike(POLICY_WORDS) | F.contains("payload", F.lit("\\"))).where("channel = 'events'")
+    keys = json_keys(texts, ["stream", "line"], "payload")
     return _breach(keys, F.col("key").rlike(POLICY_WORDS) & ~F.startswith("key", F.lit("_")) & ~F.col("key").isin(*NO_POLICY), "policy_field")
 
 
 def breaches(raw: DataFrame, allow_replay: bool = False) -> DataFrame:
-    """All breaches of ``raw`` (stream, line, payload): stream, line (null: the stream as a whole), rule, level; one row for each breach."""
-    m = messages(raw)
-    tracks = _tracks(m)
-    return _all([control_rules(m), sequence_rules(m, allow_replay), track_rules(m, tracks), clock_rules(m, tracks), interval_rules(m, tracks), resolution_rules(m, tracks), snapshot_rules(m), policy_rules(m)])
+    """All breaches of ``raw`` (stream, line, payload): stream, line (null: the stream as a whole), rule, level; one row for each breach.
+
+    Payloads are parsed once and tracks followed once: both are written down, as nearly every rule reads them."""
+    m = _table(messages(raw).drop("payload"), "messages")
+    tracks = _table(_tracks(m), "tracks")
+    return _all([control_rules(m), sequence_rules(m, allow_replay), track_rules(m, tracks), clock_rules(m, tracks), interval_rules(m, tracks), resolution_rules(m, tracks), snapshot_rules(m), policy_rules(messages(raw))])

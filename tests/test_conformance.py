@@ -111,3 +111,13 @@ def test_replays_may_repeat(spark):
     df = spark.createDataFrame(rows, "stream string, line long, payload string")
     assert cf.breaches(df, allow_replay=True).count() == 0
     assert [r.line for r in cf.breaches(df).collect()] == [2]
+
+
+def test_payloads_are_parsed_once(spark):
+    """The rules read a table of messages; only the search for keys opens texts again, and finds escaped ones."""
+    texts = ['{"type": "camera.failed", "seq": 1, "br\\u0065ak": 1}', '{"type": "camera.failed", "seq": 2, "reason": "x"}', '{"type": "camera.failed", "seq": 3, "a": {"Late": 1}}']
+    df = spark.createDataFrame([("s", n, t) for n, t in enumerate(texts)], "stream string, line long, payload string").repartition(2)
+    found = cf.breaches(df)
+    assert [r.line for r in found.where("rule = 'policy_field'").orderBy("line").collect()] == [0, 2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("from_json" in line and "payload#" in line for line in plan) <= 2
