@@ -9,7 +9,8 @@ and form a context. Anchors are the keys that bring equal windows of a whole cor
 2. The contexts of shared anchors meet by anchor. Equal contexts are merged in the task first and once
    more where they meet, keeping the smallest doc_id. Anchors of more than ``HOT`` texts send
    single windows instead, each to its own place, so that no anchor fills a task.
-3. Where different contexts share an anchor, they are concatenated into shards; induced sorting gives a shard's
+3. Where different contexts share an anchor, they are cut to the windows that another one may have, as far as
+   bytes beside the anchor agree, and concatenated into shards; induced sorting gives a shard's
    suffix array and permuted common prefixes, and runs of suffixes that share ``LENGTH`` bytes give each
    window the smallest doc_id that has it.
 4. A document's removed bytes are the union of its windows with a smaller doc_id.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,34 +48,41 @@ SHARD = 1 << 20  # bytes of a shard, unless one anchor's contexts have more
 BLOCK_BYTES = 16 << 20  # text bytes for each range of anchors
 CONTEXT_BYTES = 6 << 20  # text bytes for each range of contexts
 SLICE = 3 << 19
+CHUNK = 1 << 15  # windows whose anchors are found at a time: what that takes stays in a core's cache
 STRETCH = 3 << 18  # bytes of contexts that are hashed at a time where they meet
 FLUSH = 600_000  # anchors that a task gathers before it deals them out
 CONTEXT_FLUSH = 12 << 20  # bytes of contexts that a task gathers before it deals them out
 
+_LOW = np.uint64(0xFFFF)  # anchors are ordered by the other bits of their hashes, then by place
+
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of concatenated texts: anchor hash, first window's start, number of windows, row."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none.astype(np.uint64), none, none, none
-    value = SpanHasher(data).fixed(ANCHOR)
-    place = np.arange(len(value), dtype=np.int32)
-    hashes, width = value, 1
-
-    def least(v, p, by):
-        right = v[by:] < v[:-by]
-        return np.minimum(v[:-by], v[by:]), np.where(right, p[by:], p[:-by])
-
-    while width * 2 <= SPAN:
-        value, place = least(value, place, width)
-        width *= 2
-    if width < SPAN:
-        value, place = least(value, place, SPAN - width)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(place)]
-    inside = np.arange(len(place)) + LENGTH <= bounds[row + 1]
-    first = np.flatnonzero(inside & np.concatenate(([True], (place[1:] != place[:-1]) | ~inside[:-1] | (row[1:] != row[:-1]))))
-    stop = np.flatnonzero(inside & np.concatenate(((place[1:] != place[:-1]) | ~inside[1:] | (row[1:] != row[:-1]), [True]))) + 1
-    return hashes[place[first]], first, stop - first, row[first]
+    hashes, place = np.empty(len(data) - ANCHOR + 1, np.uint64), np.empty(len(data) - LENGTH + 1, np.int64)
+    for a in range(0, len(place), CHUNK):
+        z = min(a + CHUNK, len(place))
+        value = SpanHasher(data[a : z + LENGTH - 1]).fixed(ANCHOR)
+        hashes[a : z + SPAN - 1] = value
+        least, width = value & ~_LOW | np.arange(len(value), dtype=np.uint64), 1
+        while width * 2 <= SPAN:
+            least, width = np.minimum(least[:-width], least[width:]), width * 2
+        if width < SPAN:
+            least = np.minimum(least[: width - SPAN], least[SPAN - width :])
+        np.add(least & _LOW, a, out=place[a:z], casting="unsafe")
+    edge = np.ones(len(place) + 1, bool)
+    np.not_equal(place[1:], place[:-1], out=edge[1:-1])
+    windowed = np.diff(bounds) >= LENGTH
+    edge[bounds[:-1][windowed]] = True
+    edge[bounds[1:][windowed] - LENGTH + 1] = True
+    cut = np.flatnonzero(edge)
+    first, n = cut[:-1], np.diff(cut)
+    row = np.searchsorted(bounds, first, "right") - 1
+    inside = first + LENGTH <= bounds[row + 1]
+    first, n, row = first[inside], n[inside], row[inside]
+    return hashes[place[first]], first, n, row
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def _entries(n_blocks: int):
     apart by a digest of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for part in text_slices(batches, "text", SLICE):
             found = _slice_entries(part, n_blocks)
             if found:
@@ -106,8 +115,8 @@ def _entries(n_blocks: int):
     return run
 
 
-def _slice_entries(part: pa.RecordBatch, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Entries to send, their blocks, and the occurrences that stay behind."""
+def _slice_entries(part: pa.RecordBatch, n_blocks: int) -> tuple[np.ndarray, ...] | None:
+    """Entries to send, their blocks and places in the slice, and the occurrences that stay behind."""
     data, bounds = text_bytes(part.column(1))
     key, first, n, row = anchors(data, bounds)
     if not len(key):
@@ -131,22 +140,26 @@ def _slice_entries(part: pa.RecordBatch, n_blocks: int) -> tuple[np.ndarray, np.
     more = np.zeros(len(again), ENTRY)
     more["hash"], more["doc"], more["text"] = key[again] & np.uint64(0xFFFFFFFF), doc[row[again]], text[row[again]]
     more["lo"], more["n"] = (first - bounds[row])[again], n[again]
-    kept = np.zeros(int(several.sum()), ENTRY)
+    several = np.flatnonzero(several)[np.argsort(order[several])]
+    kept = np.zeros(len(several), ENTRY)
     kept["hash"], kept["doc"] = key[several] & np.uint64(0xFFFFFFFF), doc[row[several]]
     kept["text"], kept["lo"], kept["n"] = (key[several] >> np.uint64(32)) % np.uint64(n_blocks), (first - bounds[row])[several], n[several]
-    return np.concatenate((sent, more)), np.concatenate((block, ((key[again] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64))), kept
+    blocks = np.concatenate((block, ((key[again] >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int64)))
+    return np.concatenate((sent, more)), blocks, np.concatenate((order[head], order[again])), kept
 
 
 def _dealt(held: list, n_blocks: int) -> pa.RecordBatch:
-    sent, block, kept = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((sent["lo"], sent["doc"], block))
+    # By range, and there as the texts have them: neighbours compress well.
+    before = np.cumsum([0, *(int(x[2].max()) + 1 for x in held)])
+    sent, block, place, kept = (np.concatenate(x) for x in zip(*((a, b, c + at, d) for (a, b, c, d), at in zip(held, before))))
+    order = np.argsort(block * before[-1] + place)
     sent, block = sent[order], block[order]
     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     blobs = [_packed(x) for x in np.split(sent, cuts[1:])]
     names = block[cuts].tolist()
     asks = [True] * len(names)
     if len(kept):  # they carry their ranges, so any group can read them: each task's go where its first document's hash says
-        blobs.append(_packed(np.sort(kept, order=["doc", "lo"])))
+        blobs.append(_packed(kept))
         names.append(int(mixed(kept["doc"][:1].view(np.uint64))[0] % np.uint64(n_blocks)))
         asks.append(False)
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(asks), pa.array(blobs, pa.binary())], ["block", "asks", "blob"])
@@ -298,7 +311,7 @@ def _rows(blocks, texts, ns, docs, los, keys, removed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(texts, pa.binary()), *raw, pa.array(removed)], ["block", "texts", "ends", "docs", "los", "keys", "removed"])
 
 
-REMOVED = "doc_id long, spans array<struct<lo: int, n: int>>"
+REMOVED = "doc_id long, los binary, ns binary"
 
 
 def _settled(group: pd.DataFrame) -> pd.DataFrame:
@@ -324,19 +337,20 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
     several = np.bincount(group_of)[group_of] > 1
     first, group_of = first[several], group_of[several]
     if len(first):
-        total = np.cumsum(size[first] + 1)
-        group_start = total[np.searchsorted(group_of, group_of)] - size[first[np.searchsorted(group_of, group_of)]] - 1
-        shard_of = group_start // SHARD
+        met = [_meeting(data, group_of[a:z], start[first[a:z]], n[first[a:z]]) for a, z in _shards(group_of, size[first])]
+        skip, count = (np.concatenate(x) for x in zip(*met))
+        first, group_of, skip, count = (x[count > 0] for x in (first, group_of, skip, count))
         members = np.flatnonzero(~lost)
-        for a in np.unique(shard_of):
-            part = first[shard_of == a]
-            cut, low = _window_owners(data, start[part], size[part], n[part], doc[part])
+        for a, z in _shards(group_of, count + LENGTH - 1):
+            part = first[a:z]
+            cut, low = _window_owners(data, start[part] + skip[a:z], count[a:z] + LENGTH - 1, count[a:z], doc[part])
             # All rows of these contexts' smallest documents (a document may repeat its context).
             rows = members[np.isin(head[members], part)]
             at = np.searchsorted(part, head[rows])
-            window = ranges(cut[at], n[rows])
-            gone = low[window] < np.repeat(doc[rows], n[rows])
-            edge = np.concatenate(([0], np.cumsum(n[rows])))
+            times, begins = count[a:z][at], lo[rows] + skip[a:z][at]
+            window = ranges(cut[at], times)
+            gone = low[window] < np.repeat(doc[rows], times)
+            edge = np.concatenate(([0], np.cumsum(times)))
             begin = gone.copy()
             begin[1:] &= ~gone[:-1]
             begin[edge[:-1]] = gone[edge[:-1]]
@@ -345,10 +359,56 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
             end[edge[1:] - 1] = gone[edge[1:] - 1]
             b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
             owner = np.searchsorted(edge, b, "right") - 1
-            found.append((doc[rows[owner]], lo[rows[owner]] + b - edge[owner], e - b))
+            found.append((doc[rows[owner]], begins[owner] + b - edge[owner], e - b))
     return _spans(*(np.concatenate(x) for x in zip(*found)))
 
 
+def _shards(group_of: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of shards in ordered contexts; those of one anchor stay together."""
+    head = np.searchsorted(group_of, group_of)
+    shard_of = (np.cumsum(size + 1) - size - 1)[head] // SHARD
+    cuts = np.append(np.flatnonzero(np.diff(shard_of, prepend=-1)), len(size)).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _meeting(data: np.ndarray, group_of: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of each context that another one of its anchor may have: how many to skip, how many follow.
+
+    Equal windows have their anchor at equal places, so a window can only recur as far as the bytes on both sides of
+    the anchor agree with some other context's. What lies beyond need not be sorted."""
+    size = n + LENGTH - 1
+    data = data[ranges(start, size)]
+    start = np.cumsum(size) - size
+    value = SpanHasher(data).fixed(ANCHOR) & ~_LOW
+    anchor = start + n - 1  # the first place that all windows of a context cover
+    least = value[anchor]
+    for k in range(1, SPAN):
+        at = np.flatnonzero(n <= SPAN - k)
+        at = at[value[start[at] + n[at] - 1 + k] < least[at]]
+        anchor[at] = start[at] + n[at] - 1 + k
+        least[at] = value[anchor[at]]
+    left = _agreeing(data, group_of, anchor - 1, -1, anchor - start)
+    right = _agreeing(data, group_of, anchor + ANCHOR, 1, start + size - anchor - ANCHOR)
+    return anchor - start - left, np.maximum(0, left + right + ANCHOR - LENGTH + 1)
+
+
+def _agreeing(data: np.ndarray, group_of: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
+    """How many of a context's ``room`` bytes from ``at`` on agree with another one's of the group at most."""
+    side = LENGTH - ANCHOR
+    sides = np.zeros((len(at), -(-side // 8) * 8), np.uint8)
+    for k in range(side):
+        inside = np.flatnonzero(k < room)
+        sides[inside, k] = data[at[inside] + step * k]
+    order = np.lexsort((*sides.view(">u8").astype(np.uint64).T[::-1], group_of))
+    sides, group_of = sides[order], group_of[order]
+    differs = sides[1:] != sides[:-1]
+    alike = np.where(differs.any(1), differs.argmax(1), side)  # of neighbours in order: no others agree further
+    alike[group_of[1:] != group_of[:-1]] = 0
+    out = np.empty(len(at), np.int64)
+    out[order] = np.maximum(np.append(alike, 0), np.append(0, alike))
+    return np.minimum(out, room)
+
+
 def _window_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a shard of contexts: where each one's windows begin in the second array, which holds the
     smallest doc_id of each window."""
@@ -368,11 +428,13 @@ def _window_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.
 
 
 def _spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((lo, doc))
-    doc, lo, n = doc[order], lo[order], n[order]
-    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    lists = [[{"lo": a, "n": b} for a, b in zip(x, y)] for x, y in zip(*(map(np.ndarray.tolist, np.split(v, head[1:])) for v in (lo, n)))] if len(doc) else []
-    return pd.DataFrame({"doc_id": doc[head], "spans": pd.Series(lists, dtype=object)})
+    """One row per document: the first windows and numbers of windows of all its spans."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    head = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else np.zeros(0, np.int64)
+    edges, los, ns = [*head.tolist(), len(doc)], lo[order].astype("<u4").tobytes(), n[order].astype("u1").tobytes()
+    pairs = list(zip(edges, edges[1:]))
+    return pd.DataFrame({"doc_id": doc[head], "los": [los[4 * a : 4 * z] for a, z in pairs], "ns": [ns[a:z] for a, z in pairs]})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -381,24 +443,29 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4: the bytes that stay."""
     for part in text_slices(batches, "text", SLICE):
-        out = []
-        for doc_id, text, copy, lists in zip(*(c.to_pylist() for c in part.columns)):
-            text, gone = text or b"", np.zeros(0, np.int64)
-            if copy and len(text) >= LENGTH:
-                out.append((doc_id, len(text), len(text), 1, b""))
-                continue
-            lists = [s for spans in lists or () for s in spans]
-            if not lists:
-                out.append((doc_id, len(text), 0, 0, text))
-                continue
-            step = np.zeros(len(text) + 1, np.int64)
-            np.add.at(step, [s["lo"] for s in lists], 1)
-            np.add.at(step, [s["lo"] + s["n"] + LENGTH - 1 for s in lists], -1)
-            gone = np.cumsum(step[:-1]) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((doc_id, len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], [c.split()[0] for c in RESULT.split(", ")])
+        data, bounds = text_bytes(part.column(1))
+        copy, lists = part.column(2).to_numpy(zero_copy_only=False), part.column(3)
+        size = np.diff(bounds)
+        of_list = np.repeat(np.arange(len(size)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        los, edges = text_bytes(lists.flatten().field(0))
+        lo, n = np.frombuffer(los.tobytes(), "<u4").astype(np.int64), text_bytes(lists.flatten().field(1))[0].astype(np.int64)
+        whole = np.flatnonzero(copy & (size >= LENGTH))
+        row = np.concatenate((np.repeat(of_list, np.diff(edges) // 4), whole))
+        lo, end = np.concatenate((lo, size[whole] * 0)) + bounds[row], np.concatenate((lo + n + LENGTH - 1, size[whole])) + bounds[row]
+        order = np.argsort(lo, kind="stable")
+        row, lo, end = row[order], lo[order], np.maximum.accumulate(end[order])
+        new = np.ones(len(row), bool)  # maximal removed runs; they end with their document
+        new[1:] = (lo[1:] > end[:-1]) | (row[1:] != row[:-1])
+        row, lo, end = row[new], lo[new], end[np.append(new[1:], True)[: len(new)]]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[lo] += 1
+        step[end] -= 1
+        kept = data[np.cumsum(step[:-1], dtype=np.int8) == 0]
+        n_removed = np.bincount(row, end - lo, len(size)).astype(np.int64)
+        kept_bounds = np.concatenate(([0], np.cumsum(size - n_removed)))
+        binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(kept_bounds.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
+        columns = [part.column(0), pa.array(size), pa.array(n_removed), pa.array(np.bincount(row, minlength=len(size))), binary]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,7 +500,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contexts = with_spots.mapInArrow(released(_contexts(n_places, hot)), CONTEXTS)
     place = F.when(F.col("removed"), F.pmod(F.xxhash64("docs"), F.lit(n_places)) + n_places).otherwise(F.col("block"))
     gone = contexts.withColumn("block", place).groupBy("block").applyInPandas(released_groups(_settled), REMOVED)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("los", "ns")).alias("spans"))
     copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     copy = F.coalesce(F.array_contains("copied", F.unhex(F.sha2("text", 256))), F.lit(False)).alias("copy")
     whole = named.join(gone, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", copy, "spans")

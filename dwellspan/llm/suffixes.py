@@ -148,14 +148,16 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> tup
     """For each position, its suffix's predecessor in order (-1: none) and the length of their common
     prefix, by text position.
 
-    Only irreducible values (where the symbols to the left differ) are compared, up to ``most`` symbols;
-    every other value is its left neighbour's less one."""
+    Only irreducible values (where the symbols to the left differ) and those of every ``most // 2``-th place are compared, up
+    to ``most`` symbols; every other value is its left neighbour's less one. So what is less than ``most // 2`` is exact,
+    and what isn't comes out as that much at least."""
     n = len(s)
     previous = np.full(n, -1)
     previous[order[1:]] = order[:-1]
     irreducible = np.ones(n, bool)
     inner = np.flatnonzero((previous[1:] > 0) & (previous[:-1] >= 0)) + 1
     irreducible[inner] = s[inner - 1] != s[previous[inner] - 1]
+    irreducible[:: most // 2] = True
     length = np.zeros(n, np.int64)
     at = np.flatnonzero(irreducible & (previous >= 0))
     for k in range(most):

@@ -105,6 +105,49 @@ def test_op4_settles_a_group_in_little_memory():
     assert most < 180e6
 
 
+def test_op4_sorts_only_what_may_recur(monkeypatch):
+    """Contexts that agree around their anchor in too few bytes for a window are not sorted; what another context may have is."""
+    rng, sorted_ = np.random.default_rng(9), []
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda s, sigma: sorted_.append(len(s)) or suffixes.suffix_array(s, sigma))
+    for common in (30, 64):
+        same, sorted_[:] = bytes(rng.integers(97, 123, common, np.uint8)), []
+        texts = [b"".join((bytes(rng.integers(97, 123, 40, np.uint8)), same, bytes(rng.integers(97, 123, 40, np.uint8)))) for _ in range(200)]
+        data, bounds = substring_dedup.text_bytes(pa.array(texts, pa.binary()))
+        key, first, n, row = substring_dedup.anchors(data, bounds)
+        content = [data[a : a + m + substring_dedup.LENGTH - 1].tobytes() for a, m in zip(first, n)]
+        part = substring_dedup._rows([0], [zstandard.compress(b"".join(content), 1)], [n], [row], [first - bounds[row]], [key.view(np.int64)], [False])
+        got = substring_dedup._settled(part.to_pandas())
+        seen = {(d, w) for d, los, ns in zip(got["doc_id"], got["los"], got["ns"]) for a, m in zip(np.frombuffer(los, "<u4"), ns) for w in range(a, a + m)}
+        owner = {}
+        for d, text in enumerate(texts):
+            for w in range(len(text) - 49):
+                owner.setdefault(text[w : w + 50], d)
+        assert seen == {(d, w) for d, text in enumerate(texts) for w in range(len(text) - 49) if owner[text[w : w + 50]] < d}
+        assert bool(seen) == bool(sorted_) == (common == 64)
+
+
+def test_op4_anchors_do_not_depend_on_chunks(monkeypatch):
+    data, bounds = substring_dedup.text_bytes(pa.array([b"ab" * 200, b"", b"c" * 49, bytes(np.random.default_rng(10).integers(97, 100, 5000, np.uint8)), b"d" * 50], pa.binary()))
+    found = []
+    for chunk in (1 << 15, 64):
+        monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+        found.append([x.tolist() for x in substring_dedup.anchors(data, bounds)])
+    assert found[0] == found[1]
+    key, first, n, row = (np.array(x) for x in found[0])
+    windows = np.sort(np.concatenate([np.arange(a, a + m) for a, m in zip(first, n)]))
+    assert windows.tolist() == [w for a, z in zip(bounds, bounds[1:]) for w in range(a, z - 49)] and n.max() <= substring_dedup.SPAN
+
+
+def test_common_prefixes_of_periodic_text():
+    """Values are exact up to half the cap where irreducible ones exceed it; they came out too small."""
+    s = np.tile(np.append(np.random.default_rng(11).integers(1, 5, 60), 0), 30)
+    previous, got = suffixes.permuted_common_prefixes(s, suffixes.suffix_array(s, 5), 100)
+    for k, other in enumerate(previous):
+        both = min(len(s) - k, len(s) - other) if other >= 0 else 0
+        plain = int(np.argmin(np.append(s[k : k + both] == s[other : other + both], False)))
+        assert min(got[k], 50) == min(plain, 50)
+
+
 def test_op4_odd_rows(spark, corpus):
     assert substring_dedup.op4_suffix_dedup(spark, corpus([])).count() == 0
     rows = [*ODD_TEXTS, (11, "x" * 500)]
