@@ -1,5 +1,5 @@
 """Queries of vector matching. Probes and references meet in blocks, one matrix product a pair of blocks; only
-each probe's best by label, counts or true matches leave a block."""
+each probe's best by label, counts or precision leave a block."""
 
 from __future__ import annotations
 
@@ -76,24 +76,6 @@ def _across(a, b):
     return a["vec_id"].to_numpy()[:, None] % 3 != b["ref_id"].to_numpy()[None, :] % 3
 
 
-def _true_matches(a, b, sims):
-    i, j = np.nonzero((a["label"].to_numpy()[:, None] == b["person"].to_numpy()[None, :]) & _across(a, b))
-    return pd.DataFrame({"vec_id": a["vec_id"].to_numpy()[i], "ref_id": b["ref_id"].to_numpy()[j], "sim": sims[i, j]})
-
-
-def _ranked_above(a, b, sims):
-    """How many references of the block rank above each true match of a probe."""
-    crossed, ids, out = _across(a, b), b["ref_id"].to_numpy(), []
-    for k, (vec_id, hits) in enumerate(zip(a["vec_id"], a["hits"])):
-        order = np.lexsort((ids, -sims[k]))
-        order = order[crossed[k][order]]
-        mine = -sims[k][order]
-        for h in hits:
-            low, high = np.searchsorted(mine, -h["sim"], "left"), np.searchsorted(mine, -h["sim"], "right")
-            out.append((vec_id, h["ref_id"], low + int(np.searchsorted(ids[order[low:high]], h["ref_id"]))))
-    return pd.DataFrame(out, columns=["vec_id", "ref_id", "above"])
-
-
 @query(
     f"""WITH {SIMS}, r2 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, ref_id) AS rank, person = label AS hit FROM s WHERE vec_id % 3 <> ref_id % 3), p AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM r2),
 q2 AS (SELECT vec_id, sum(CASE WHEN hit THEN hits * 1.0 / rank END) / count(*) FILTER (hit) AS ap, min(CASE WHEN hit THEN rank END) AS first FROM p GROUP BY vec_id HAVING count(*) FILTER (hit) > 0)
@@ -101,13 +83,7 @@ SELECT count(*) AS probes, round(avg(ap), 6) AS map, round(avg(CASE WHEN first =
 )
 def a29_map_rank(spark, sf_dir):
     """Mean average precision and rank 1 and 5 across cameras (a vector's camera is its id modulo 3)."""
-    probes, references = queries_and_references(spark, sf_dir)
-    hits = vx.in_blocks(probes, references, _true_matches, "vec_id long, ref_id long, sim double")
-    listed = hits.groupBy("vec_id").agg(F.collect_list(F.struct("sim", "ref_id")).alias("hits"))
-    above = vx.in_blocks(probes.join(listed, "vec_id"), references, _ranked_above, "vec_id long, ref_id long, above long")
-    ranks = above.groupBy("vec_id", "ref_id").agg((F.sum("above") + 1).alias("rank"))
-    nth = F.row_number().over(W.partitionBy("vec_id").orderBy("rank"))  # the true matches up to this one
-    per = ranks.withColumn("hits", nth).groupBy("vec_id").agg((F.sum(F.col("hits") / F.col("rank")) / F.count(F.lit(1))).alias("ap"), F.min("rank").alias("first"))
+    per = vx.precision(*(df.withColumn("camera", F.col(df.columns[0]) % 3) for df in queries_and_references(spark, sf_dir)))
     share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 6)
     return per.agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg("ap"), 6).alias("map"), share(F.col("first") == 1).alias("rank1"), share(F.col("first") <= 5).alias("rank5"))
 
