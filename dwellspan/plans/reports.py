@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -264,27 +262,13 @@ def v9_gallery_ranking(spark, sf_dir):
     return best.withColumn("rank", rank).where("rank <= 3").select("vec_id", "person", "sim", "rank")
 
 
-def _triangle(a, b, sims):
-    """Count, sum, least and highest similarity of the block's pairs of different ids, once a pair, by persons."""
-    once = a["vec_id"].to_numpy()[:, None] < b["ref_id"].to_numpy()[None, :]
-    fold = lambda pick, values: vx.folded(pick, values, a["label"].to_numpy(), b["person"].to_numpy())
-    left, right, n = fold(np.add, once.astype(np.int64))
-    total = fold(np.add, np.where(once, sims, 0.0))[2]
-    low, high = fold(np.minimum, np.where(once, sims, np.inf))[2], fold(np.maximum, np.where(once, sims, -np.inf))[2]
-    x, y = np.nonzero(n)
-    one, two = left[x], right[y]
-    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "n": n[x, y], "total": total[x, y], "low": low[x, y], "high": high[x, y]})
-
-
 @query(
     f"""SELECT least(label, other) AS a, greatest(label, other) AS b, count(*) AS n, round(avg(s), 4) AS mean, round(min(s), 6) AS low, round(max(s), 6) AS high
 FROM (SELECT p.label, q.label AS other, {DOT.format("p.embedding", "q.embedding")} AS s FROM embeddings p JOIN embeddings q ON p.vec_id < q.vec_id) GROUP BY ALL"""
 )
 def v13_similarity_matrix(spark, sf_dir):
     """The upper triangle of the matrix of all similarities, by persons; only sums leave a pair of blocks."""
-    e = table(spark, sf_dir, "embeddings")
-    right = e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("person"), F.col("embedding").alias("ref"))
-    rows = vx.in_blocks(e.select("vec_id", "label", "embedding"), right, _triangle, "a long, b long, n long, total double, low double, high double")
+    rows = vx.label_pairs(table(spark, sf_dir, "embeddings"))
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
