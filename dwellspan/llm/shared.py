@@ -51,10 +51,16 @@ def written(df: DataFrame, name: str, collect: bool = False) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     if next(_tables) % COLLECT_EVERY == 0 or collect:
-        spark.sparkContext._jvm.System.gc()
+        ended_jobs_freed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ended_jobs_freed(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage. The latest job is often still held by the events of its end, so its own shuffle
+    files may go only if this is called after another job."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def released(run):
     """``run``, a generator over batches, for mapInArrow: as its task ends, freed memory goes back to the system. Python workers
     live on with the next stages, whose peaks would otherwise lie on top of what this one has let go."""

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHasher, mixed, ranges, released, released_groups, text_bytes, text_digests, text_slices, written
+from .shared import SpanHasher, ended_jobs_freed, mixed, ranges, released, released_groups, text_bytes, text_digests, text_slices, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -489,6 +489,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spot = F.struct(F.col("lo").cast("int").alias("lo"), "n", "key", "hot")
     grouped = written(shared.groupBy("doc_id", "is_key").agg(F.collect_list(spot).alias("spots")), "spots", collect=True)
     hot = [r.key for r in grouped.where("is_key").select(F.explode("spots").alias("s")).select("s.key").distinct().limit(HOT_KEYS + 1).collect()]
+    ended_jobs_freed(docs.sparkSession)  # the shuffles that made the spots, before those of the texts are added
     spots = grouped.where("NOT is_key").select("doc_id", "spots")
     if len(hot) > HOT_KEYS:  # too many to name in the plan: mark them by a join
         keys = grouped.where("is_key").select(F.explode("spots").alias("s")).select(F.col("s.key").alias("hot_key")).distinct()

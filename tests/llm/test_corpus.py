@@ -515,3 +515,14 @@ def test_pipeline_on_odd_rows(spark, corpus):
                 assert [i for i, t in texts if t and t.startswith("x0 ")] == [11]
         pieces = cp.STAGES[4][1](spark, docs, folder).collect()
         assert len({r.doc_id for r in pieces}) == len({i for i, _ in texts})
+
+
+def test_shuffles_of_the_spots_are_freed_after_a_later_job(spark, corpus, monkeypatch):
+    """op4: right after a table is written its job is often still held, so garbage is collected once more after the next job."""
+    said, written = [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name, **how: said.append(name) or written(df, name, **how))
+    monkeypatch.setattr(substring_dedup, "ended_jobs_freed", lambda spark: said.append("freed"))
+    text = "the same passage of well over fifty bytes stands in both of these texts, "
+    got = substring_dedup.op4_suffix_dedup(spark, corpus([(1, text + "once"), (2, text + "twice")])).collect()
+    assert said == ["digests", "copies", "spots", "freed"]
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: len(text)}
